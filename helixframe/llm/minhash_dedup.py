@@ -22,12 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import Scratch, join_small
 from helixframe.llm.links import connected_components, link
+from helixframe.llm.words import WordHasher, mix
 
 CHUNKS, WIDTH = 8, 5
 SYMBOLS = CHUNKS * WIDTH
@@ -38,51 +38,33 @@ ADD = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser, in place."""
-    x ^= x >> np.uint64(31)
-    x *= np.uint64(0x7FB5D329728EA185)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x81DADEF4BC2DD44D)
-    x ^= x >> np.uint64(33)
-    return x
-
-
 class Shingler:
-    """Sorted distinct 64-bit shingle hashes of a text; word hashes are remembered, up to a bound."""
+    """Sorted distinct 64-bit shingle hashes of a text."""
 
     def __init__(self, words: int):
-        self.words, self.seen = words, {}
+        self.words, self.hasher = words, WordHasher()
 
     def __call__(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint64)
-        parts = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
-        if not parts:
+        raw = (text or "").encode("utf-8", "surrogatepass").translate(LOWER)
+        hashes = self.hasher(raw)[0]
+        if not len(hashes):
             return np.empty(0, np.uint64)
-        seen = self.seen
-        try:
-            hashes = np.array([seen[w] for w in parts], np.uint64)
-        except KeyError:
-            if len(seen) > 400_000:
-                seen.clear()
-            for w in parts:
-                if w not in seen:
-                    seen[w] = xxhash.xxh3_64_intdigest(w)
-            hashes = np.array([seen[w] for w in parts], np.uint64)
         k = min(self.words, len(hashes))
         n = len(hashes) - k + 1
         acc = np.full(n, k * 0x9E3779B1, np.uint64)
         for i in range(k):
-            acc = mix(acc * ODD[i % 6] + hashes[i : i + n])
-        return np.unique(acc)
+            acc *= ODD[i % 6]
+            acc += hashes[i : i + n]
+            acc = mix(acc)
+        acc.sort()
+        return acc[np.concatenate([[True], acc[1:] != acc[:-1]])]
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    out = np.empty(SYMBOLS, np.uint16)
-    for k in range(SYMBOLS):
-        out[k] = mix(np.array([(s * MULT[k] + ADD[k]).min()], np.uint64))[0] & np.uint64(0xFFFF)
-    return out
+    low = np.full(SYMBOLS, 2**64 - 1, np.uint64)
+    for at in range(0, len(s), 4096):
+        np.minimum(low, (MULT[:, None] * s[at : at + 4096] + ADD[:, None]).min(axis=1), out=low)
+    return (mix(low) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 def chunk_keys(sig: np.ndarray) -> np.ndarray:

@@ -45,8 +45,8 @@ def seats(cells: DataFrame, by: list[str], total: str, share: str) -> DataFrame:
     c = c.withColumn("__open", F.when(F.col("__sum") > 0, F.col(total) - F.sum("__base").over(own)).otherwise(F.lit(0)))
     q = c.where(f"__off > 0 and {share} > 0").select(*by, "cell", F.col(share).alias("__s"), "__open", F.explode(F.expr("sequence(__base + 1, __at + __off)")).alias("__k"))
     rank = own.orderBy(F.desc(F.col("__s") / (2 * F.col("__k") - 1)), F.desc("__s"), "cell")
-    won = q.withColumn("__r", F.row_number().over(rank)).where("__r <= __open").groupBy("cell").agg(F.count("*").alias("__won"))
-    out = c.join(won, "cell", "left")
+    won = q.withColumn("__r", F.row_number().over(rank)).where("__r <= __open").groupBy(*by, "cell").agg(F.count("*").alias("__won"))
+    out = c.join(won, [*by, "cell"], "left")
     exact = F.col("__base") + F.coalesce("__won", F.lit(0))
     return out.withColumn("seats", F.when(F.col("__off") == 0, F.col("__at")).otherwise(exact)).drop("__sum", "__at", "__off", "__base", "__open", "__won")
 
@@ -75,47 +75,60 @@ def targets(sources: DataFrame, share: float = 1.5, weights: tuple[int, ...] = W
     return s.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+SIZE = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _place(docs: DataFrame, share: float, weights: tuple[int, ...], block: int, shard_words: int, seed: int, scratch: Scratch) -> DataFrame:
+    """``docs`` with __size, __source_size, __target, __passes, and the words of its further blocks: __ahead words from word
+    __from on, then __behind words from the start."""
+    src = F.coalesce("source", F.lit("\x00null"))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    number = lambda x: F.conv(F.substring(x, 1, 8), 16, 10).cast("long")
+    sized = scratch.keep(docs.select(F.col("source"), src.alias("__src"), number(order).alias("__n"), SIZE.alias("__size")))
+    per = targets(sized.groupBy("source").agg(F.sum("__size").alias("source_size")), share, weights)
+    per = per.withColumn("cell", src).withColumn("blocks", F.floor(F.sum("target").over(Window.partitionBy(F.lit(1))) / block + 0.5).cast("long"))
+    per = seats(per, [], "blocks", "target").select(F.col("cell").alias("__src"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("seats").alias("__quota"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).alias("__shards"))
+    per = scratch.keep(per)
+    few = per.count() <= 10_000
+    per_side = F.broadcast(per) if few else per
+    shard = F.pmod(F.col("__n"), F.col("__shards")).alias("__shard")
+    shards = sized.join(per_side, "__src").groupBy("__src", "__quota", shard).agg(F.sum("__size").alias("__words"))
+    shards = seats(shards.withColumn("cell", F.col("__shard")), ["__src"], "__quota", "__words").withColumn("__blocks", F.ceil(F.col("__words") / block))
+    start = F.pmod(number(F.md5(F.concat(F.lit(f"{seed}/"), "__src", F.lit("/"), F.col("__shard").cast("string")))), F.greatest("__blocks", F.lit(1)))
+    # at most two passes in all: a last block that is short never asks for a third
+    q, n = F.least("seats", 2 * F.col("__blocks")), F.greatest("__blocks", F.lit(1))
+    shards = shards.withColumn("__q", q).withColumn("__nb", n)
+    shards = scratch.keep(shards.select("__src", "__shard", "__words", "__blocks", F.expr("__q div __nb").alias("__passes"), F.expr("__q % __nb").alias("__r"), start.alias("__first")))
+    rows = docs.withColumns({"__src": src, "__o": order, "__n": number(order), "__size": SIZE}).join(per_side, "__src").withColumn("__shard", F.pmod(F.col("__n"), F.col("__shards")))
+    run = Window.partitionBy("__src", "__shard").orderBy("__o", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__c", F.coalesce(F.sum("__size").over(run), F.lit(0)))
+    rows = rows.join(F.broadcast(shards) if few and shards.count() <= 100_000 else shards, ["__src", "__shard"])
+    lo, hi = F.col("__first") * block, (F.col("__first") + F.col("__r")) * block
+    cut = lambda a, b: F.greatest(F.lit(0), F.least(F.col("__c") + F.col("__size"), b) - F.greatest(F.col("__c"), a))
+    return rows.withColumns({"__ahead": cut(lo, F.least(hi, F.col("__words"))), "__behind": cut(F.lit(0), F.greatest(F.lit(0), hi - F.col("__blocks") * block)), "__from": F.greatest(F.lit(0), lo - F.col("__c"))})
 
 
 def mix(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS, block: int = 16, shard_words: int = 2_000_000, seed: int = 7, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, first_word) for every row of ``docs``.
+    """(doc_id, source, size, source_size, target, taken) for every row of ``docs``; taken counts repeats."""
+    p = _place(docs.select("doc_id", "source", "text"), share, weights, block, shard_words, seed, scratch or Scratch(docs.sparkSession, "mix"))
+    taken = F.col("__passes") * F.col("__size") + F.col("__ahead") + F.col("__behind")
+    return p.select("doc_id", "source", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.cast("long").alias("taken"))
 
-    ``taken`` counts a document's words in the mix. It is made of
-    taken div size whole copies and a rest; where the rest is not zero, it is
-    the words from ``first_word`` on (and from the start again, if the run wraps).
-    """
-    scratch = scratch or Scratch(docs.sparkSession, "mix")
-    sized = scratch.keep(sizes(docs))
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    per = targets(per, share, weights).withColumn("cell", F.xxhash64(F.coalesce("source", F.lit("\x00null"))))
-    per = per.withColumn("blocks", F.floor(F.sum("target").over(Window.partitionBy(F.lit(1))) / block + 0.5).cast("long"))
-    per = scratch.keep(seats(per, [], "blocks", "target").withColumnRenamed("seats", "quota").withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).drop("cell", "blocks"))
 
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    dealt = sized.join(F.broadcast(per), sized["source"].eqNullSafe(per["source"])) if per.count() <= 10_000 else sized.join(per, sized["source"].eqNullSafe(per["source"]))
-    dealt = dealt.drop(per["source"]).withColumn("__o", order)
-    dealt = dealt.withColumn("shard", F.pmod(F.conv(F.substring("__o", 1, 8), 16, 10).cast("long"), F.col("shards")))
-    key = [F.coalesce("source", F.lit("\x00null")).alias("__src"), "shard"]
-    dealt = dealt.select("*", key[0])
-    shards = dealt.groupBy("__src", "shard", "quota").agg(F.sum("size").alias("words"))
-    shards = shards.withColumn("cell", F.xxhash64("__src", "shard"))
-    shards = seats(shards, ["__src"], "quota", "words").withColumn("n_blocks", F.ceil(F.col("words") / block))
-    start = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), "__src", F.lit("/"), F.col("shard").cast("string"))), 1, 8), 16, 10).cast("long"), F.greatest("n_blocks", F.lit(1)))
-    shards = scratch.keep(shards.select("__src", "shard", "words", F.col("seats").alias("q"), "n_blocks", start.alias("from")))
-    small = shards.count() <= 100_000
-    run = Window.partitionBy("__src", "shard").orderBy("__o", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("c", F.coalesce(F.sum("size").over(run), F.lit(0)))
-    placed = placed.join(F.broadcast(shards) if small else shards, ["__src", "shard"])
-    # at most two passes in all: a last block that is short never asks for a third
-    placed = placed.withColumn("q", F.least("q", 2 * F.col("n_blocks")))
-    placed = placed.withColumn("passes", F.when(F.col("n_blocks") > 0, F.expr("q div greatest(n_blocks, 1)")).otherwise(F.lit(0)))
-    placed = placed.withColumn("r", F.when(F.col("n_blocks") > 0, F.expr("q % greatest(n_blocks, 1)")).otherwise(F.lit(0)))
-    lo, hi = F.col("from") * block, (F.col("from") + F.col("r")) * block
-    wrap = F.greatest(F.lit(0), hi - F.col("n_blocks") * block)
-    cut = lambda a, b: F.greatest(F.lit(0), F.least(F.col("c") + F.col("size"), b) - F.greatest(F.col("c"), a))
-    ahead, behind = cut(lo, F.least(hi, F.col("words"))), cut(F.lit(0), wrap)
-    placed = placed.withColumn("__rest", ahead + behind)
-    first = F.when(behind > 0, F.lit(0)).otherwise(F.greatest(F.lit(0), lo - F.col("c")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("__rest")).cast("long").alias("taken"), first.cast("long").alias("first_word"))
+def take(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS, block: int = 16, shard_words: int = 2_000_000, seed: int = 7, scratch: Scratch | None = None) -> DataFrame:
+    """The mix itself, in the columns of ``docs``: a row for each time a text is taken.
+
+    A text that a block's edge cuts gives a row with the words taken, white
+    space between them as it was; all others come whole.
+    """
+    p = _place(docs, share, weights, block, shard_words, seed, scratch or Scratch(docs.sparkSession, "mix"))
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})[\\x20\\x09-\\x0D]*"), F.lit(0))
+    ahead, behind = (F.col(c).cast("int") for c in ("__ahead", "__behind"))
+    some = F.rtrim(F.array_join(F.concat(F.slice(words, F.col("__from").cast("int") + 1, ahead), F.slice(words, F.lit(1), behind)), ""))
+    whole = (F.col("__ahead") + F.col("__behind")) == F.col("__size")
+    part = F.when((ahead + behind > 0) & whole, F.array(F.col("text"))).when(ahead + behind > 0, F.array(some)).otherwise(F.array().cast("array<string>"))
+    copies = F.when(F.col("__size") > 0, F.concat(F.array_repeat("text", F.col("__passes").cast("int")), part)).otherwise(F.array().cast("array<string>"))
+    out = p.select(*[F.col(c) for c in docs.columns if c != "text"], F.explode(copies).alias("text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)

@@ -13,58 +13,97 @@ equally good bins go to the newest. Extra columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import Scratch
+from helixframe.llm.words import remembered
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 ITEM = "item long, length long"
 
 
+# Fixed value: the tokenizer's pattern for pre-tokens; what it does not match is dropped.
+PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+ENDS = b"\xff"  # stands for the word-end mark; no byte of UTF-8
+
+
 class WordIds:
     """Token ids of whole texts, as little-endian 32-bit bytes.
 
     The tokenizer folds case and composes characters within runs without
     white space and drops white space, so a text's ids are those of its
     blank-separated parts in order; each distinct part is encoded once
-    while it is remembered. Texts that may hold an added token's name
-    or characters that only Python takes for white space go to the tokenizer
-    whole.
+    while it is remembered. Parts of Latin-1 characters, whose case and
+    composition are plain, are merged by rank with a byte for the word-end
+    mark; any other part, and whole texts that may hold an added token's name
+    or characters that only Python takes for white space, go to the
+    tokenizer itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 1_000_000):
+        import json
+
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tok, self.seen = Tokenizer.from_file(path), {}
+        self.tok, self.seen, self.most = Tokenizer.from_file(path), _Parts(self.part), most
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        byte_of = {c: b for b, c in _printable().items()}
+        ranks = {}
+        for piece, rank in vocab.items():
+            if not piece.startswith("<|"):
+                word = piece.removesuffix("</w>") if len(piece) > 4 else piece
+                ranks[bytes(byte_of[c] for c in word) + ENDS * (word != piece)] = rank
+        for b in range(256):
+            ranks.setdefault(bytes((b,)), 1_000_000 + b)
+        self.merge = tiktoken.Encoding("word_ends", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def part(self, text: str) -> bytes:
+        if len(text) < 64 and max(text) < "\u0100" and "\x85" not in text and "\xa0" not in text:
+            text = text.lower()
+            pieces = (text,) if text.isalpha() else PRETOKEN.findall(text)
+            ids = [i for p in pieces for i in self.merge(p.encode() + ENDS)]
+        else:
+            ids = self.tok.encode(text, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
         if any(mark in text for mark in ("<|", "\x1c", "\x1d", "\x1e", "\x1f")):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts, seen = text.split(), self.seen
-        try:
-            return b"".join([seen[w] for w in parts])
-        except KeyError:
-            if len(seen) > 300_000:
-                seen.clear()
-            new = [w for w in dict.fromkeys(parts) if w not in seen]
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    seen[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join([seen[w] for w in parts])
+            return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self.seen) > self.most:
+            self.seen.clear()
+        return b"".join(map(self.seen.__getitem__, text.split()))
+
+
+class _Parts(dict):
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, part: str) -> bytes:
+        got = self[part] = self.make(part)
+        return got
+
+
+def _printable() -> dict[int, str]:
+    """The byte-level alphabet: visible Latin-1 bytes stand for themselves, the others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 def _pieces(path: str, room: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, closing = WordIds(path), np.array([end], "<u4").tobytes()
+        ids_of, closing = remembered(f"ids {path}", lambda: WordIds(path)), np.array([end], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 rows = []

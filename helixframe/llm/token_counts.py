@@ -22,49 +22,48 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.words import remembered
+
 MARK = "▁"
 PRETOKEN = regex.compile(r" +[^ ]+| +")
 
 
 class PieceCounter:
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 1_000_000):
         from sentencepiece import SentencePieceProcessor
 
-        self.sp, self.seen = SentencePieceProcessor(model_file=path), {}
-
-    def fresh(self, words: list[str]) -> None:
-        """Count pre-tokens that are not remembered; ``words`` are pre-tokens without their first mark."""
-        if len(self.seen) > 400_000:
-            self.seen.clear()
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            # an empty one is a mark alone, which the library adds to no empty text
-            self.seen.update((w, len(ids) if w else 1) for w, ids in zip(some, self.sp.encode(some, num_threads=1), strict=True))
+        self.sp, self.seen, self.most = SentencePieceProcessor(model_file=path), {}, most
 
-    def __call__(self, text: str) -> int:
+    def pretokens(self, text: str) -> list[str]:
+        """The pre-tokens of a text, each without its first mark."""
         if not text:
-            return 0
+            return []
         text = text.replace(MARK, " ")
         if "  " in text or text[0] == " " or text[-1] == " ":
-            words = [p[1:] for p in PRETOKEN.findall(" " + text)]
-        else:
-            words = text.split(" ")
-        freq, seen = Counter(words), self.seen
-        if new := [w for w in freq if w not in seen]:
-            self.fresh(new)
-            if len(new) < len(freq) and any(w not in seen for w in freq):
-                self.fresh([w for w in freq if w not in seen])
-        return sum(seen[w] * n for w, n in freq.items())
+            return [p[1:] for p in PRETOKEN.findall(" " + text)]
+        return text.split(" ")
+
+    def __call__(self, texts: list[str]) -> list[int]:
+        freqs = [Counter(self.pretokens(t)) for t in texts]
+        seen = self.seen
+        if len(seen) > self.most:
+            seen.clear()
+        new = [w for w in dict.fromkeys(w for f in freqs for w in f) if w not in seen]
+        for at in range(0, len(new), 8192):
+            some = new[at : at + 8192]
+            # an empty one is a mark alone, which the library adds to no empty text
+            seen.update((w, len(ids) if w else 1) for w, ids in zip(some, self.sp.encode(some, num_threads=1), strict=True))
+        return [sum([seen[w] * n for w, n in f.items()]) for f in freqs]
 
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(path)
+        counter = remembered(f"pieces {path}", lambda: PieceCounter(path))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = part.column(1).to_pylist()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array([counter(t or "") for t in texts], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(counter([t or "" for t in texts]), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return run
 
