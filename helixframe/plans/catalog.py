@@ -1,7 +1,474 @@
-"""The registered queries."""
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""The registered queries over the cohort lens, with the same in SQL."""
 
+from __future__ import annotations
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
+from statistics import NormalDist
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helixframe.functions import site as S
+from helixframe.operators import export as X
+from helixframe.operators import joins as J
+from helixframe.operators import sites as U
+from helixframe.operators import trees as T
+from helixframe.operators import windows as W
+from helixframe.plans import lens
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, use_lens: bool = True):
+    """Register a function over (sites, spark, sf_dir), or over (spark, sf_dir) without the lens."""
+    def add(f):
+        QUERIES[name] = (lambda spark, d: f(lens.sites(spark, d), spark, d)) if use_lens else f
+        if sql:
+            ORACLES[name] = f"with {lens.SQL}{sql if sql.lstrip().startswith(',') else ' ' + sql}" if use_lens else sql
+        return f
+
+    return add
+
+
+def counted(s: DataFrame) -> DataFrame:
+    return s.withColumn("counts", S.counts())
+
+
+@query("site_alleles", "select site_id, n0, n1, n2, alc as allelicity, an, n0 = 1 or n1 = 1 or n2 = 1 as singleton, n0 = 2 or n1 = 2 or n2 = 2 as doubleton, n0 between 1 and 2 or n1 between 1 and 2 or n2 between 1 and 2 as lowcount from sa")
+def _(s, *_):
+    c = counted(s)
+    return c.select("site_id", *[F.get("counts", F.lit(k)).cast("long").alias(f"n{k}") for k in range(3)], S.allelicity().alias("allelicity"), S.an().cast("long").alias("an"), S.has_count(n=1).alias("singleton"), S.has_count(n=2).alias("doubleton"), S.has_lowcount(most=2).alias("lowcount"))
+
+
+SECOND = "case when alc < 2 then null when maj = 0 then case when n1 >= n2 then 1 else 2 end when maj = 1 then case when n0 >= n2 then 0 else 2 end else case when n0 >= n1 then 0 else 1 end end"
+
+
+@query("site_major_minor", f", x as (select *, {SECOND} as sec from sa) select site_id, cast(maj as int) as major, cast(sec as int) as second, case when sec is null then null else [n0, n1, n2][sec + 1] end as second_count, cast(case when alc <> 2 then null when [n0, n1, n2][maj + 1] = [n0, n1, n2][sec + 1] then maj else sec end as int) as minor, cast(case when sec is null then null else [n0, n1, n2][sec + 1] end as double) / an as second_frac from x")
+def _(s, *_):
+    c = counted(s)
+    return c.select("site_id", S.major().alias("major"), S.second().alias("second"), S.second_count().cast("long").alias("second_count"), S.minor().alias("minor"), S.second_frac().alias("second_frac"))
+
+
+@query("site_missing_depth", "select site_id, cast(2 * ns - an as double) / (2 * ns) as missing_frac, dp as depth, cast(low3 as double) / ns as low_depth_frac, over3 > 0 as has_data from sa")
+def _(s, *_):
+    return s.select("site_id", S.missing_frac().alias("missing_frac"), S.depth().alias("depth"), S.low_depth_frac().alias("low_depth_frac"), S.has_data().alias("has_data"))
+
+
+@query("site_genotype_alleles", "select site_id, case when n0 > 0 then 'A' when n1 > 0 then 'C' when n2 > 0 then 'G' end as geno_ref, case when alc < 2 then null when n0 > 0 then case when n1 >= n2 then 'C' else 'G' end else 'G' end as geno_alt, n0 > 0 as has_ref, (n0 > 0 or n1 = 0) and (n1 > 0 or n2 = 0) as is_ordered from sa")
+def _(s, *_):
+    c = counted(s)
+    return c.select("site_id", S.geno_ref().alias("geno_ref"), S.geno_alt().alias("geno_alt"), S.has_ref().alias("has_ref"), S.is_ordered().alias("is_ordered"))
+
+
+for _name, _args, _rule in (("bi", {}, "alc = 2"), ("mono_bi", {"mono": True}, "alc in (1, 2)"), ("multi", {"multi": True, "bi": False}, "alc > 2"), ("all", {"mono": True, "multi": True, "nonsnp": True}, "alc > 0")):
+    query(f"site_passes_filter_{_name}", f"select site_id, {_rule} as passes from sa")(lambda s, *_, a=_args: counted(s).select("site_id", S.passes_filter(**a).alias("passes")))
+
+
+@query("lowcount_to_miss", "select site_id, n0 between 1 and 2 or n1 between 1 and 2 or n2 between 1 and 2 as changed, an - case when n0 <= 2 then n0 else 0 end - case when n1 <= 2 then n1 else 0 end - case when n2 <= 2 then n2 else 0 end as an from sa")
+def _(s, *_):
+    return counted(U.lowcount_to_miss(s, 2)).select("site_id", "changed", S.an().cast("long").alias("an"))
+
+
+@query("depth_to_miss", "select site_id, count(*) filter (dp >= 20 and a1 >= 0) + count(*) filter (dp >= 20 and a2 >= 0) as an from lens_geno group by site_id")
+def _(s, *_):
+    return counted(U.depth_to_miss(s, 20)).select("site_id", S.an().cast("long").alias("an"))
+
+
+AGE = "1.0::double - cast(greatest(n0, n1, n2) as double) / greatest(an, 1)"
+
+
+@query("allele_age", f", x as (select *, {AGE} as x from sa) select site_id, case when alc > 1 then floor(-2.0::double * x / (1.0::double - x) * ln(x) * 1e4) / 1e4 end as age, case when alc > 1 then floor(x * 1e3) / 1e3 end as af from x")
+def _(s, *_):
+    age, af = S.age_columns()
+    return counted(s).select("site_id", age.alias("age"), af.alias("af"))
+
+
+@query("filter_range", f", x as (select *, {SECOND} as sec from sa) select site_id, pos from x where pos between 100 and 2000 and alc = 2 and cast([n0, n1, n2][sec + 1] as double) / an > 0.1")
+def _(s, *_):
+    return U.filter_range(s, 100, 2000, 0.1, True).select("site_id", "pos")
+
+
+@query("filter_mac", "select site_id from sa where alc > 1 and least(case when n0 > 0 then n0 end, case when n1 > 0 then n1 end, case when n2 > 0 then n2 end) >= 3")
+def _(s, *_):
+    return U.filter_mac(s, 3).select("site_id")
+
+
+@query("filter_missing", "select site_id from sa where cast(smiss as double) / ns < 0.4")
+def _(s, *_):
+    return U.filter_missing(s, 0.4).select("site_id")
+
+
+@query("filter_depth", "select site_id from lens_geno group by site_id having cast(count(*) filter (dp >= 20) as double) / count(*) > 0.3")
+def _(s, *_):
+    return U.filter_depth(s, 20, 0.3).select("site_id")
+
+
+def pops(spark: SparkSession, sf_dir: str) -> dict[str, list[int]]:
+    """Samples of each population; a dimension of 25 rows."""
+    out: dict[str, list[int]] = {}
+    for r in lens.read(spark, sf_dir, "nation").orderBy("n_nationkey").collect():
+        out.setdefault(f"p{r['n_regionkey']}", []).append(r["n_nationkey"])
+    return out
+
+
+@query("filter_missing_pops", "select distinct site_id from sa where site_id not in (select site_id from lens_geno group by site_id, pop having count(*) filter (a1 >= 0) = 0)")
+def _(s, spark, d):
+    return U.filter_missing_pops(s, pops(spark, d)).select("site_id")
+
+
+@query("filter_outgroup", "select site_id from lens_geno where sample_ix in (3, 7) group by site_id having bool_or(a1 in (0, 1) or a2 in (0, 1))")
+def _(s, *_):
+    return U.filter_outgroup(s, [3, 7]).select("site_id")
+
+
+AA = "case site_id % 4 when 0 then 'A' when 1 then 'C' when 2 then 'G' else 'T' end"
+
+
+def with_aa(s: DataFrame) -> DataFrame:
+    return s.withColumn("aa", F.element_at(F.array(*map(F.lit, "ACGT")), (F.col("site_id") % 4 + 1).cast("int")))
+
+
+@query("quick_filter_reasons", f""", k as (select *, (n0 > 1)::int + (n1 > 1)::int + (n2 > 1)::int as lft, {AA} as aa from sa),
+k2 as (select *, alc > 2 and lft in (1, 2) as saved from k),
+k3 as (select *, case when saved and n0 <= 1 then 0 else n0 end as k0, case when saved and n1 <= 1 then 0 else n1 end as k1, case when saved and n2 <= 1 then 0 else n2 end as k2 from k2)
+select reason, saved as rescued, count(*) as n from (select saved, case when cast(2 * ns - an as double) / (2 * ns) > 0.5 then 'missing' when alc = 0 or (alc > 2 and not saved) then 'nonallelic'
+when not ((aa = 'A' and k0 > 0) or (aa = 'C' and k1 > 0) or (aa = 'G' and k2 > 0)) then 'nonancestral' when k0 = 0 then 'noref' end as reason from k3) group by all""")
+def _(s, *_):
+    return U.quick_filter(with_aa(s)).groupBy("reason", "rescued").agg(F.count("*").alias("n"))
+
+
+@query("polarise_counts", f", k as (select *, {AA} as aa from sa) select site_id, aa as ref, case when aa = 'A' then n0 else n1 end as n_anc, case when aa = 'A' then n1 else n0 end as n_der from k where aa in ('A', 'C')")
+def _(s, *_):
+    p = counted(U.polarise(with_aa(s)))
+    return p.select("site_id", "ref", F.get("counts", F.lit(0)).cast("long").alias("n_anc"), F.get("counts", F.lit(1)).cast("long").alias("n_der"))
+
+
+@query("flip_counts", "select site_id, n1 as n0, n0 as n1 from sa")
+def _(s, *_):
+    p = counted(U.flip(s))
+    return p.select("site_id", F.get("counts", F.lit(0)).cast("long").alias("n0"), F.get("counts", F.lit(1)).cast("long").alias("n1"))
+
+
+@query("ancestral_majority", "select site_id, case when over3 = 0 then 'nodata' when alc = 0 then 'nonallelic' when alc = 1 then 'mono' when alc > 2 then 'multi' when n0 = 0 then 'noref' when an - greatest(n0, n1, n2) < 3 then 'single' end as reason, case when over3 > 0 and alc = 2 and n0 > 0 and an - greatest(n0, n1, n2) >= 3 then ['A', 'C', 'G'][maj + 1] end as aa from sa")
+def _(s, *_):
+    return U.ancestral_majority(s, keep_singles=False).select("site_id", "reason", "aa")
+
+
+OUT = "case site_id % 4 when 0 then 'A' when 1 then 'C' when 2 then 'N' else 'T' end as out1, case site_id % 7 when 0 then 'A' when 1 then 'C' when 2 then 'N' when 3 then 'A' when 4 then 'G' when 5 then 'C' else 'N' end as out2"
+
+
+@query("ancestral_two_outgroups", f""", k as (select *, {OUT}, cast(greatest(n0, n1, n2) as double) / (n0 + greatest(n1, n2)) as mf from sa where n0 + greatest(n1, n2) > 0),
+k2 as (select *, (out1 = 'A' and n0 > 0) or (out1 = 'C' and n1 > 0) or (out1 = 'G' and n2 > 0) as in1, (out2 = 'A' and n0 > 0) or (out2 = 'C' and n1 > 0) or (out2 = 'G' and n2 > 0) as in2 from k),
+k3 as (select *, case when alc <> 2 then 'nonbiallelic' when n0 = 0 then 'noref' when out1 = 'N' and out2 = 'N' and mf <= 0.95 then 'nooutgroup' when mf > 0.98 then 'singleton'
+  when not in1 and not in2 and mf <= 0.95 then 'orthogonal' when in1 and out1 = out2 then 'agree' when mf > 0.95 then 'majority' when in1 and not in2 then 'first' when in2 and not in1 then 'second' else 'conflict' end as rule from k2)
+select site_id, rule, case when rule in ('singleton', 'majority') then ['A', 'C', 'G'][maj + 1] when rule in ('agree', 'first') then out1 when rule = 'second' then out2 end as aa from k3""")
+def _(s, *_):
+    pick = lambda letters, n: F.element_at(F.array(*map(F.lit, letters)), (F.col("site_id") % n + 1).cast("int"))
+    s = s.where(F.exists("gt", lambda g: g["a0"] >= 0)).withColumns({"out1": pick("ACNT", 4), "out2": pick("ACNAGCN", 7)})
+    return U.ancestral_outgroups(s).select("site_id", "rule", "aa")
+
+
+@query("est_postprocess", f""", x as (select *, {SECOND} as sec, cast(site_id % 101 as double) / 100 as p from sa where alc > 0)
+select site_id, case when alc = 1 or p > 0.8 then ['A', 'C', 'G'][maj + 1] when p < 0.2 then ['A', 'C', 'G'][sec + 1] end as aa, case when alc = 1 then 1.0::double when p > 0.8 then p when p < 0.2 then 1 - p end as aap from x""")
+def _(s, *_):
+    s = s.where(S.allelicity(S.counts()) > 0).withColumn("p", (F.col("site_id") % 101).cast("double") / 100)
+    return U.post_est(s, threshold=0.8).withColumn("aa", F.col("aa")).select("site_id", "aa", "aap")
+
+
+# --- joins -----------------------------------------------------------------
+
+FILES = ", fa as (select chrom, pos, site_id from lens_sites union all select chrom, pos, site_id + 1000000 from lens_sites where site_id % 10 = 0), fb as (select chrom, pos, site_id from lens_sites where site_id % 5 <> 0 union all select chrom, pos + 1, site_id from lens_sites where site_id % 7 = 0), a as (select *, row_number() over (partition by chrom, pos order by site_id) as dup_ix from fa), b as (select *, row_number() over (partition by chrom, pos order by site_id) as dup_ix from fb)"
+
+
+def two_files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    part = lens.read(spark, d, "part")
+    key = F.col("p_partkey")
+    s = part.select(F.concat(F.lit("c"), (key % 3 + 1).cast("string")).alias("chrom"), (F.expr("p_partkey div 3") * 5 + F.col("p_size") % 5 + 1).alias("pos"), key.alias("site_id"))
+    a = s.unionByName(s.where("site_id % 10 = 0").withColumn("site_id", F.col("site_id") + 1000000))
+    b = s.where("site_id % 5 <> 0").unionByName(s.where("site_id % 7 = 0").withColumn("pos", F.col("pos") + 1))
+    return a, b
+
+
+for _mode, _how in (("intersect", "join"), ("left", "left join"), ("right", "right join"), ("all", "full join"), ("exclude", "full join")):
+    query(f"compare_{_mode}", f"{FILES} select chrom, pos, a.site_id as l_id, b.site_id as r_id from a {_how} b using (chrom, pos, dup_ix)" + " where a.site_id is null or b.site_id is null" * (_mode == "exclude"))(
+        lambda s, spark, d, m=_mode: J.compare(*two_files(spark, d), m, ["site_id"]).select("chrom", "pos", F.col("l.site_id").alias("l_id"), F.col("r.site_id").alias("r_id")))
+
+for _side, _sql in (("left", "coalesce(a.site_id, b.site_id)"), ("right", "coalesce(b.site_id, a.site_id)")):
+    for _ex in (False, True):
+        query(f"compare_replace_{_side}" + "_exclusive" * _ex, f"{FILES} select chrom, pos, {_sql} as site_id from a full join b using (chrom, pos, dup_ix)" + f" where {'a' if _side == 'left' else 'b'}.site_id is not null" * _ex)(
+            lambda s, spark, d, side=_side, ex=_ex: J.prefer(J.compare(*two_files(spark, d), "all", ["site_id"]), side, ex).select("chrom", "pos", F.col("site.site_id").alias("site_id")))
+
+RAW = ", raw as (select concat('c', cast(o_orderkey % 3 + 1 as varchar(8))) as chrom, o_orderkey * 37 % 20000 + 1 as s, o_orderkey * 37 % 20000 + 1 + o_custkey % 40 as e from orders)"
+ISLANDS = RAW + ", w as (select *, max(e) over (partition by chrom order by s, e rows between unbounded preceding and 1 preceding) as pm from raw), g as (select *, sum(case when pm is null or s > pm + 1 then 1 else 0 end) over (partition by chrom order by s, e rows unbounded preceding) as grp from w), m as (select chrom, min(s) as s, max(e) as e from g group by chrom, grp)"
+
+
+def raw_mask(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    lo = k * 37 % 20000 + 1
+    return lens.read(spark, d, "orders").select(F.concat(F.lit("c"), (k % 3 + 1).cast("string")).alias("chrom"), lo.alias("start"), (lo + F.col("o_custkey") % 40).alias("end"))
+
+
+@query("mask_merge", ISLANDS + " select chrom, s as start, e as \"end\" from m")
+def _(s, spark, d):
+    return J.merge_intervals(raw_mask(spark, d))
+
+
+SMALL = ", m as (select chrom, i * 400 + 1 as s, i * 400 + 60 as e from (select distinct chrom from lens_sites) c, (select unnest(range(0, 2000)) as i) r)"
+
+
+def mask(spark: SparkSession, s: DataFrame) -> DataFrame:
+    return s.select("chrom").distinct().crossJoin(F.broadcast(spark.range(2000))).select("chrom", (F.col("id") * 400 + 1).alias("start"), (F.col("id") * 400 + 60).alias("end"))
+
+
+@query("mask_points", SMALL + " select site_id from lens_sites x where exists (select 1 from m where m.chrom = x.chrom and x.pos between m.s and m.e)")
+def _(s, spark, d):
+    return J.in_intervals(s.select("site_id", "chrom", "pos"), mask(spark, s)).select("site_id")
+
+
+@query("mask_outside", SMALL + " select site_id from lens_sites x where not exists (select 1 from m where m.chrom = x.chrom and x.pos between m.s and m.e)")
+def _(s, spark, d):
+    return J.in_intervals(s.select("site_id", "chrom", "pos"), mask(spark, s), anti=True).select("site_id")
+
+
+@query("mask_spans", SMALL + ", sp as (select distinct chrom, pos as s, pos + 250 as e from lens_sites) select sp.chrom, sp.s as start, sp.e as \"end\", cast(coalesce(sum(ov), 0) as bigint) as covered, coalesce(sum(ov), 0) > 0 as overlaps, cast(coalesce(sum(ov), 0) as double) / 251 as frac from (select sp.*, case when m.s is not null then least(sp.e, m.e) - greatest(sp.s, m.s) + 1 end as ov from sp left join m on m.chrom = sp.chrom and m.s <= sp.e and sp.s <= m.e) sp group by all")
+def _(s, spark, d):
+    return J.span_cover(s.select("chrom", F.col("pos").alias("start"), (F.col("pos") + 250).alias("end")).distinct(), mask(spark, s), 1000)
+
+
+MAP = ", mp as (select chrom, i * 100 as phys, cast(i * (i + 1) as double) / 40 as gen from (select distinct chrom from lens_sites) c, (select unnest(range(1, 30)) as i) r)"
+
+
+def genetic_map(spark: SparkSession, s: DataFrame) -> DataFrame:
+    i = F.col("id")
+    return s.select("chrom").distinct().crossJoin(F.broadcast(spark.range(1, 30))).select("chrom", (i * 100).alias("phys"), ((i * (i + 1)).cast("double") / 40).alias("gen"))
+
+
+@query("asof_map_rate", MAP + """, z as (select * from mp union all select distinct chrom, 0, 0.0::double from mp),
+lo as (select l.site_id, l.chrom, l.pos, max(z.phys) as lp from lens_sites l join z on z.chrom = l.chrom and z.phys <= l.pos group by all),
+hi as (select l.site_id, min(z.phys) as hp from lens_sites l join z on z.chrom = l.chrom and z.phys >= l.pos group by all),
+g as (select lo.site_id, lo.chrom, lo.pos, case when lp = lo.pos then a.gen else a.gen + (b.gen - a.gen) * (lo.pos - lp) / (hp - lp) end as gen
+  from lo left join hi using (site_id) join z a on a.chrom = lo.chrom and a.phys = lp left join z b on b.chrom = lo.chrom and b.phys = hp)
+select site_id, round(gen, 6) as gen, round(coalesce(gen - coalesce(lag(gen) over (partition by chrom order by pos), 0.0), 0.0), 6) as rec from g""")
+def _(s, spark, d):
+    out = J.interpolate_map(s.select("site_id", "chrom", "pos"), genetic_map(spark, s))
+    return out.select("site_id", F.round("gen", 6).alias("gen"), F.round("rec", 6).alias("rec"))
+
+
+@query("map_rates", MAP + " select chrom, phys, round((gen - lag(gen, 1, 0.0) over w) / (phys - lag(phys, 1, 0) over w) * 1e6, 6) as rate from mp window w as (partition by chrom order by phys)")
+def _(s, spark, d):
+    return W.map_rates(genetic_map(spark, s)).select("chrom", "phys", F.round("rate", 6).alias("rate"))
+
+
+@query("map_mean_weighted", MAP + ", r as (select *, (gen - lag(gen, 1, 0.0) over w) / (phys - lag(phys, 1, 0) over w) as rate from mp window w as (partition by chrom order by phys)) select chrom, round(avg(rate) * 1e6, 6) as mean_rate, round(arg_max(gen, phys) / max(phys) * 1e6, 6) as weighted from r group by chrom")
+def _(s, spark, d):
+    r = W.map_rates(genetic_map(spark, s))
+    return r.groupBy("chrom").agg(F.round(F.avg("rate"), 6).alias("mean_rate"), F.round(F.max_by("gen", "phys") / F.max("phys") * 1e6, 6).alias("weighted"))
+
+
+# --- windows ---------------------------------------------------------------
+
+WIN = ", wd as (select g.chrom, (g.pos - 1) // 250 as win, sample_ix, cast(sum(g.dp) as bigint) as depth_sum, count(*) as sites from lens_geno g join sa using (site_id) where cast(2 * ns - sa.an as double) / (2 * ns) <= 0.5 group by all)"
+
+
+@query("window_depth", WIN + " select chrom, win, cast(sample_ix as int) as sample_ix, depth_sum, sites from wd")
+def _(s, *_):
+    return W.window_depth(s, 250)
+
+
+@query("window_depth_gapfill", WIN + ", e as (select chrom, min(win) as a, max(win) as b from wd group by chrom) select e.chrom, w.win, cast(n.n_nationkey as int) as sample_ix, coalesce(depth_sum, 0) as depth_sum, coalesce(sites, 0) as sites from e, unnest(range(a, b + 1)) as w(win), nation n left join wd on wd.chrom = e.chrom and wd.win = w.win and wd.sample_ix = n.n_nationkey")
+def _(s, *_):
+    return W.fill_gaps(W.window_depth(s, 250))
+
+
+def outlier_sql(mid: str, transform: str, spread: str) -> str:
+    cut = NormalDist().inv_cdf(0.05)
+    return WIN + f""", r as (select *, cast(depth_sum as double) / sites as r from wd), own as (select sample_ix, {mid}(r) as own from r where sites >= 20 group by 1),
+sc as (select sample_ix, own / (select {mid}(own) from own) as s from own where own > 0),
+y as (select r.*, r.r / sc.s as y, {transform.format(y='(r.r / sc.s)')} as t from r join sc using (sample_ix)),
+c as (select chrom, win, {mid}(y) as centre, {mid}(t) as mu, max(sites) as ns, stddev_samp(t) as sd from y group by 1, 2 having max(sites) >= 20 and {mid}(y) >= 5),
+z as (select y.*, c.mu, c.sd, c.ns from y join c using (chrom, win)),
+sp as (select chrom, win, {spread} as raw from z group by 1, 2),
+f as (select z.*, case when raw > 0.01 then raw else 0.01 end as sigma from z join sp using (chrom, win)),
+o as (select chrom, win, max(ns) as sites, avg(case when (t - mu) / sigma <= {cut} then 1.0 else 0.0 end) as low_frac, avg(case when (t - mu) / sigma >= {-cut} then 1.0 else 0.0 end) as high_frac, round(max(mu), 6) as mu, round(max(sigma), 6) as sigma from f group by 1, 2)
+select * from o where low_frac >= 0.05 or high_frac >= 0.05"""
+
+
+MAD, SD = "1.4826::double * median(abs(t - mu))", "max(sd)"
+for _name, _mid, _t, _spread, _kw in (("median", "median", "{y}", MAD, {}), ("mean", "avg", "{y}", SD, {"use_median": False}), ("sqrt", "median", "sqrt({y})", MAD, {"transform": "sqrt"}), ("log", "median", "case when {y} > 0 then ln({y}) end", MAD, {"transform": "log"})):
+    @query(f"depth_outliers_{_name}", outlier_sql(_mid, _t, _spread))
+    def _(s, *_, kw=_kw):
+        out = W.depth_outliers(W.window_depth(s, 250), alpha=0.05, **kw)
+        return out.withColumns({"mu": F.round("mu", 6), "sigma": F.round("sigma", 6)})
+
+
+@query("slide_bp", ", x as (select chrom, pos, cast(dp as double) / ns as d, cast(ns - low3 as double) / ns as m from sa) select chrom, pos, median(pos) over w as mid, round(avg(d) over w, 6) as mean_depth, round(avg(m) over w, 6) as nonmiss, cast(count(*) over w as double) / 200 * 100 as density from x window w as (partition by chrom order by pos range between 200 preceding and current row)")
+def _(s, *_):
+    return W.slide_bp(s, 200).withColumns({c: F.round(c, 6) for c in ("mean_depth", "nonmiss")})
+
+
+@query("slide_rows", ", x as (select chrom, pos, cast(dp as double) / ns as d, case when alc > 1 then 1.0::double else 0.0::double end as snp from sa), y as (select chrom, pos, cast(row_number() over (partition by chrom order by pos) as int) as n, median(pos) over w as mid, round(avg(d) over w, 6) as mean_depth, round(avg(snp) over w, 6) as snp_frac from x window w as (partition by chrom order by pos rows between 9 preceding and current row)) select * from y where n >= 10 and n % 5 = 0")
+def _(s, *_):
+    return W.slide_rows(s, 10, 5).withColumns({c: F.round(c, 6) for c in ("mean_depth", "snp_frac")})
+
+
+HAS = lambda n: f"(n0 = {n} or n1 = {n} or n2 = {n})"
+
+
+@query("quicksum", f" select count(*) as sites, count(*) filter (alc = 1) as invariant, count(*) filter (alc > 1) as snps, count(*) filter (alc > 2) as multi, count(*) filter (alc = 2) as bi, count(*) filter (alc > 1 and {HAS(1)}) as singles, count(*) filter (alc > 1 and not {HAS(1)} and {HAS(2)}) as doubles, count(*) filter (alc > 1 and not {HAS(1)} and not {HAS(2)} and {HAS(3)}) as triples, count(*) filter (alc = 0) as other, min(pos) as first, max(pos) as last, cast(count(*) as double) / (max(pos) - min(pos) + 1) as coverage from sa where chrom = 'c1'")
+def _(s, *_):
+    return W.quicksum(s.where("chrom = 'c1'"))
+
+
+@query("sample_missing", " select cast(sample_ix as int) as sample_ix, cast(sum(dp) as bigint) as depth_sum, count(*) filter (dp >= 3) as n_deep, cast(sum(dp) as double) / count(*) as mean_depth, cast(count(*) filter (dp >= 3) as double) / count(*) as frac_deep from lens_geno group by 1")
+def _(s, *_):
+    return W.sample_stats(s)
+
+
+TRIO = ", t as (select site_id, max(case when sample_ix = 1 and a1 >= 0 and a2 >= 0 then a1 + a2 end) as f, max(case when sample_ix = 2 and a1 >= 0 and a2 >= 0 then a1 + a2 end) as o1, max(case when sample_ix = 5 and a1 >= 0 and a2 >= 0 then a1 + a2 end) as o2, max(case when sample_ix = {i} and a1 >= 0 and a2 >= 0 then a1 + a2 end) as i1 from lens_geno group by 1) select count(*) filter (f = o1) as m1, count(*) filter (f = o2) as m2, count(*) filter (f = 1) as mid from t join sa using (site_id) where alc = 2 and f is not null and o1 in (0, 2) and o2 in (0, 2) and o1 <> o2 and i1 = o1"
+query("trio_counts", TRIO.format(i=2))(lambda s, *_: W.trio_counts(s, 1, 2, 5))
+query("trio_counts_in", TRIO.format(i=9))(lambda s, *_: W.trio_counts(s, 1, 2, 5, 9))
+
+
+@query("pop_freqs", " select chrom, pos, concat('p', cast(pop as varchar)) as pop, cast(count(*) filter (a1 = 0) + count(*) filter (a2 = 0) as int) as n0, cast(count(*) filter (a1 = 1) + count(*) filter (a2 = 1) as int) as n1 from lens_geno group by all")
+def _(s, spark, d):
+    return W.pop_counts(s, pops(spark, d))
+
+
+@query("est_lines", " select site_id, concat(n0, ',', n1, ',', n2, ',0') as pop, case when site_id % 4 = 0 then '1,0,0,0' when site_id % 4 = 1 then '0,1,0,0' when site_id % 4 = 2 then '0,0,1,0' else '0,0,0,1' end as anc from sa")
+def _(s, *_):
+    return counted(with_aa(s)).select("site_id", X.acgt().alias("pop"), X.one_hot(F.col("aa")).alias("anc"))
+
+
+@query("est_fixed", """, q as (select site_id, n0, n1, cast(n0 + n1 as double) / nullif(n0, 0) as rr, cast(n0 + n1 as double) / nullif(n1, 0) as aa from sa), q2 as (select *, cast(floor(20 / rr) as bigint) as r, cast(floor(20 / aa) as bigint) as a from q)
+select site_id, cast(case when n0 = 0 then 0 when n1 = 0 then 20 when r + a = 20 then r when round(20 - r * rr, 9) >= round(20 - a * aa, 9) then r + 1 else r end as bigint) as r, cast(case when n1 = 0 then 0 when n0 = 0 then 20 when r + a = 20 then a when round(20 - r * rr, 9) >= round(20 - a * aa, 9) then a else a + 1 end as bigint) as a from q2""")
+def _(s, *_):
+    c = counted(s).select("site_id", F.get("counts", F.lit(0)).cast("double").alias("n0"), F.get("counts", F.lit(1)).cast("double").alias("n1"))
+    n0, n1 = F.when(F.col("n0") > 0, F.col("n0")), F.when(F.col("n1") > 0, F.col("n1"))
+    x = W.fixed_total(F.coalesce(n0, F.lit(0.0)), F.coalesce(n1, F.lit(0.0)), 20)
+    return c.select("site_id", x.alias("x")).select("site_id", F.col("x.r").cast("long").alias("r"), F.col("x.a").cast("long").alias("a"))
+
+
+@query("est_bins", " select an // 5 as bin, count(*) as n from sa group by 1")
+def _(s, *_):
+    return counted(s).groupBy(F.expr("cast(aggregate(counts, 0, (s, x) -> s + x) as bigint) div 5").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("sweep_freq", " select chrom, pos, cast(case when alc = 2 then case when n0 = 0 then n2 when n1 = 0 then n2 else n1 end when n0 > 0 then 0 else an end as bigint) as x, an as n, 1 as folded from sa where alc in (1, 2)")
+def _(s, *_):
+    return X.sweep_frequencies(s)
+
+
+@query("msmc_sites", ", o as (select *, row_number() over (partition by chrom order by pos) as n from sa) select chrom, pos, n - lag(n, 1, 0) over (partition by chrom order by pos) as nsites from o where alc = 2")
+def _(s, *_):
+    return X.msmc(s).select("chrom", "pos", F.col("nsites").cast("long").alias("nsites"))
+
+
+@query("geno_dosage", " select site_id, string_agg(case when a1 < 0 or a2 < 0 then '9' else cast(a1 + a2 as varchar) end, '' order by sample_ix) as geno from lens_geno group by 1")
+def _(s, *_):
+    return s.select("site_id", X.geno().alias("geno"))
+
+
+@query("haps_dist", f", k as (select *, {AA} as aa, row_number() over (partition by chrom order by pos) as n from sa), e as (select * from k where alc = 2 and ((aa = 'A' and n0 > 0) or (aa = 'C' and n1 > 0) or (aa = 'G' and n2 > 0))) select chrom, pos, coalesce(lead(n) over w - n, 1) as dist, an - case aa when 'A' then n0 when 'C' then n1 else n2 end as n_der from e window w as (partition by chrom order by pos)")
+def _(s, *_):
+    return X.haplotypes(with_aa(s)).select("chrom", "pos", F.col("dist").cast("long").alias("dist"), F.aggregate(F.transform("haps", lambda h: (h == 1).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b).alias("n_der"))
+
+
+@query("phred_likelihood", "select l_orderkey, l_linenumber, count(*) as copies, round(any_value(pow(10, -q0 / 10) / (pow(10, -q0 / 10) + pow(10, -q1 / 10) + pow(10, -q2 / 10))), 4) as p0 from (select *, cast(l_orderkey % 30 as double) as q0, cast(l_linenumber as double) as q1, cast(l_orderkey % 7 as double) as q2 from lineitem) group by 1, 2", use_lens=False)
+def _(spark, d):
+    q = [(F.col("l_orderkey") % 30).cast("double"), F.col("l_linenumber").cast("double"), (F.col("l_orderkey") % 7).cast("double")]
+    p = S.likelihoods(F.array(*q))
+    return lens.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.get(p, F.lit(0)).alias("p")).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("copies"), F.round(F.first("p"), 4).alias("p0"))
+
+
+@query("thin_window")
+def _(s, *_):
+    return U.thin_window(s, 100).select("site_id", "chrom", "pos")
+
+
+# --- metadata, matrices, trees ------------------------------------------------
+
+
+@query("group_nodes", "select concat('p', cast(n_regionkey as varchar)) as pop, cast(2 * n_nationkey + h as bigint) as node from nation, (select unnest([0, 1]) as h) u", use_lens=False)
+def _(spark, d):
+    return T.group_nodes(lens.read(spark, d, "nation").select(F.concat(F.lit("p"), F.col("n_regionkey").cast("string")).alias("pop"), F.col("n_nationkey").cast("long").alias("ix")), "pop", "ix")
+
+
+QROWS = "q as (select c_custkey as ix, u.k, cast((c_custkey * (u.k + 3)) % 10 + 1 as double) / (((c_custkey * 3) % 10) + ((c_custkey * 4) % 10) + ((c_custkey * 5) % 10) + 3) as q from customer, (select unnest([0, 1, 2]) as k) u)"
+
+
+def q_rows(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("c_custkey")
+    total = sum(((c * k) % 10 for k in (3, 4, 5)), F.lit(3))
+    return lens.read(spark, d, "customer").select(c.alias("ix"), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (((c * (k + 3)) % 10 + 1).cast("double") / total).alias("q")) for k in range(3)])).alias("x")).select("ix", "x.k", "x.q")
+
+
+@query("qopt_select", f"with {QROWS} select cast(k as int) as k, cast(count(*) as bigint) as n, cast(min(ix) as bigint) as first from q where q >= 0.5 group by 1", use_lens=False)
+def _(spark, d):
+    return T.q_members(q_rows(spark, d), 0.5).select("k", F.size("members").cast("long").alias("n"), F.get("members", F.lit(0)).alias("first"))
+
+
+@query("gnn_alignment", f"with {QROWS}, g as (select ix * 2 + h as node, k, cast((ix + k + h) % 4 + 1 as double) / 10 as gnn from q, (select unnest([0, 1]) as h) u), s as (select q.ix, g.node, sum(least(q.q, g.gnn)) as m from q join g on g.node // 2 = q.ix and g.k = q.k group by 1, 2), t as (select ix, avg(m) as m from s group by 1) select round(avg(m), 6) as alignment from t", use_lens=False)
+def _(spark, d):
+    q = q_rows(spark, d)
+    g = q.select("ix", "k", F.explode(F.array(F.lit(0), F.lit(1))).alias("h")).select((F.col("ix") * 2 + F.col("h")).alias("node"), "k", (((F.col("ix") + F.col("k") + F.col("h")) % 4 + 1).cast("double") / 10).alias("gnn"))
+    return T.gnn_alignment(q, g).select(F.round("alignment", 6).alias("alignment"))
+
+
+EDGES = "edges as (select o_orderkey as edge_id, cast(o_orderkey % 50 * 10 as double) as l, cast((o_orderkey % 50 + 1 + o_custkey % 3) * 10 as double) as r, 100 + o_custkey % 40 as parent, o_orderkey % 97 as child from orders), muts as (select l_orderkey as mut_id, l_partkey % 300 as site_id, l_orderkey % 97 as node, cast(l_partkey % 300 * 2 as double) as position from lineitem where l_linenumber = 1)"
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return lens.read(spark, d, "orders").select(k.alias("edge_id"), (k % 50 * 10).cast("double").alias("left"), ((k % 50 + 1 + c % 3) * 10).cast("double").alias("right"), (100 + c % 40).alias("parent"), (k % 97).alias("child"))
+
+
+def mutations(spark: SparkSession, d: str) -> DataFrame:
+    return lens.read(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("mut_id"), (F.col("l_partkey") % 300).alias("site_id"), (F.col("l_orderkey") % 97).alias("node"), (F.col("l_partkey") % 300 * 2).cast("double").alias("position"))
+
+
+@query("tree_ratios", f"with {EDGES} select count(*) as edges, (select count(distinct site_id) from muts) as sites, (select count(*) from muts) as muts, round(avg(r - l), 6) as mean_span, round((select cast(count(*) as double) / count(distinct site_id) from muts), 6) as muts_per_site from edges", use_lens=False)
+def _(spark, d):
+    return T.ratios(edges(spark, d), mutations(spark, d)).select("edges", "sites", "muts", F.round("mean_span", 6).alias("mean_span"), F.round("muts_per_site", 6).alias("muts_per_site"))
+
+
+@query("tree_spans", f"with {EDGES} select cast(r - l as bigint) as span, count(*) as n from edges group by 1", use_lens=False)
+def _(spark, d):
+    return T.span_histogram(edges(spark, d))
+
+
+@query("tree_bits", f"with {EDGES}, bp as (select distinct l as b from edges union select distinct r from edges), tr as (select b as lo, lead(b) over (order by b) as hi from bp), t as (select lo, hi, count(*) as n_edges, count(distinct parent) as parents from tr join edges e on e.l <= lo and e.r >= hi where hi is not null group by 1, 2) select lo as \"left\", hi as \"right\", n_edges, n_edges - 97 as bits, parents as internal from t", use_lens=False)
+def _(spark, d):
+    return T.tree_bits(edges(spark, d), 97).select("left", "right", "n_edges", "bits", "internal")
+
+
+@query("mutation_edges", f"with {EDGES} select count(*) as pairs, count(distinct mut_id) as muts from muts m join edges e on e.child = m.node and m.position between e.l and e.r", use_lens=False)
+def _(spark, d):
+    return T.mutation_edges(mutations(spark, d), edges(spark, d)).agg(F.count("*").alias("pairs"), F.countDistinct("mut_id").alias("muts"))
+
+
+@query("root_counts", f"with {EDGES}, bp as (select distinct l as b from edges union select distinct r from edges), tr as (select b as lo, lead(b) over (order by b) as hi from bp), te as (select lo, e.parent, e.child from tr join edges e on e.l <= lo and e.r >= hi where hi is not null), ro as (select lo, count(distinct parent) as roots from te a where not exists (select 1 from te b where b.lo = a.lo and b.child = a.parent) group by 1) select roots, count(*) as trees from ro group by 1", use_lens=False)
+def _(spark, d):
+    return T.root_counts(edges(spark, d))
+
+
+MS = "ms as (select s_suppkey % 5 as pop, s_suppkey // 5 as t_ix, cast(s_suppkey // 5 * 10 as double) as tl, cast(s_suppkey // 5 * 10 + 10 as double) as tr, 1 + cast(s_suppkey % 7 as double) / 7 as lam from supplier where s_suppkey <= 99)"
+
+
+@query("msmc_sizes", f"with {MS} select pop, t_ix, tl * 2.0 / 4.85 as years, 1 / lam / (2 * 4.85) as size from ms", use_lens=False)
+def _(spark, d):
+    s = F.col("s_suppkey")
+    ms = lens.read(spark, d, "supplier").where("s_suppkey <= 99").select((s % 5).alias("pop"), F.expr("s_suppkey div 5").alias("t_ix"), (F.expr("s_suppkey div 5") * 10).cast("double").alias("t_left"), (1 + (s % 7).cast("double") / 7).alias("lam"))
+    return T.population_sizes(ms, mu=4.85, gen=2.0).select("pop", "t_ix", "years", "size")
+
+
+@query("crosscoal", f"with {MS}, g as (select a.t_ix, a.tl, a.tr, u.j, a.tl + u.j / 10.0::double * (a.tr - a.tl) as t, a.lam as lam01 from ms a, (select unnest(range(0, 10)) as j) u where a.pop = 2), w as (select g.t_ix, avg(x.lam) as l00, avg(y.lam) as l11, any_value(g.lam01) as l01 from g join ms x on x.pop = 0 and x.tl <= g.t and g.t < x.tr join ms y on y.pop = 1 and y.tl <= g.t and g.t < y.tr group by 1) select t_ix, round(2 * l01 / (l00 + l11), 6) as rccr from w", use_lens=False)
+def _(spark, d):
+    s = F.col("s_suppkey")
+    ms = lens.read(spark, d, "supplier").where("s_suppkey <= 99").select((s % 5).alias("pop"), F.expr("s_suppkey div 5").alias("t_ix"), (F.expr("s_suppkey div 5") * 10).cast("double").alias("t_left"), (F.expr("s_suppkey div 5") * 10 + 10).cast("double").alias("t_right"), (1 + (s % 7).cast("double") / 7).alias("lam"))
+    return T.cross_coalescence(ms.where("pop = 2"), ms.where("pop = 0"), ms.where("pop = 1")).select("t_ix", F.round("rccr", 6).alias("rccr"))
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth-outlier windows of the cohort, with loose thresholds for the smallest tables."""
+    return W.depth_outliers(W.window_depth(lens.sites(spark, sf_dir), 250, most_missing=1.0), alpha=0.1, min_sites=5, min_depth=0.0, threshold=0.0)
