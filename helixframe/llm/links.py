@@ -42,7 +42,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int =
     raise RuntimeError("connected components did not settle")
 
 
-def link(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+def link(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, across: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, comp) of nodes that a verified pair links to another.
 
     ``keys`` is a written table (key long, id long); ``verify`` takes distinct
@@ -50,6 +50,8 @@ def link(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scr
     key is compared unless its ends are already in one group, so no link
     between groups is lost. The bucket's representative is the id that comes
     first in an order which differs from key to key (id XOR key).
+    ``across`` takes the members (key, id, comp) of buckets that still hold two
+    groups and returns links between them; without it their pairs are listed.
     """
     mixed = F.col("id").bitwiseXOR(F.col("key"))
     heads = keys.groupBy("key").agg(F.min(mixed).alias("m"), F.count("*").alias("n")).where("n > 1")
@@ -65,10 +67,29 @@ def link(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scr
     mixed_keys = grouped.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
     # a bucket of two was settled by its representative
     left = scratch.keep(grouped.join(mixed_keys.where("lo <> hi and n > 2").select("key"), "key"))
-    x, y = left.alias("x"), left.alias("y")
-    cross = x.join(y, F.expr("x.key = y.key and x.comp < y.comp")).select(*pair(F.col("x.id"), F.col("y.id"))).distinct()
-    more = scratch.keep(verify(cross.join(star, ["a", "b"], "left_anti")))
+    if across:
+        more = across(left)
+    else:
+        x, y = left.alias("x"), left.alias("y")
+        cross = x.join(y, F.expr("x.key = y.key and x.comp < y.comp")).select(*pair(F.col("x.id"), F.col("y.id"))).distinct()
+        more = scratch.keep(verify(cross.join(star, ["a", "b"], "left_anti")))
     if more.limit(1).count() == 0:
         return comps
     both = found.select("a", "b").union(more.select("a", "b"))
     return connected_components(both, scratch)
+
+
+def in_blocks(members: DataFrame, size: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Blocks of about ``size`` ids that tend to share keys: (id, comp, blk), and the pairs of blocks
+    (x, y), x <= y, with a key in common. A key of n ids gives some (n / size) ** 2 / 2 pairs.
+    """
+    mixed = F.col("id").bitwiseXOR(F.col("key"))
+    heads = members.groupBy("key").agg(F.min(mixed).alias("m")).select("key", F.col("m").bitwiseXOR(F.col("key")).alias("b"))
+    near = connected_components(members.join(heads, "key").select(F.col("id").alias("a"), "b").distinct(), scratch)
+    ids = members.select("id", "comp").distinct().join(near.select(F.col("node").alias("id"), F.col("comp").alias("g")), "id")
+    many = ids.groupBy("g").agg(F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / size))
+    blocks = scratch.keep(ids.join(many, "g").select("id", "comp", F.xxhash64("g", part).alias("blk")))
+    met = scratch.keep(members.select("key", "id").join(blocks.select("id", "blk"), "id").select("key", "blk").distinct())
+    x, y = met.alias("x"), met.alias("y")
+    return blocks, scratch.keep(x.join(y, F.expr("x.key = y.key and x.blk <= y.blk")).select(F.col("x.blk").alias("x"), F.col("y.blk").alias("y")).distinct())

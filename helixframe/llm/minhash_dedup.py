@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import Scratch, join_small
-from helixframe.llm.links import connected_components, link
+from helixframe.llm.links import connected_components, in_blocks, link
 from helixframe.llm.words import WordHasher, mix
 
 CHUNKS, WIDTH = 8, 5
@@ -144,6 +144,61 @@ def _confirm(percent: int):
     return run
 
 
+def _block_candidates(percent: int):
+    """Pairs of blocks to the pairs of ids across groups whose signatures are near: a row a pair of blocks."""
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                (ia, ca, na, sa), (ib, cb, nb, sb) = ((np.array([m["id"] for m in r[c]], np.int64), np.array([m["comp"] for m in r[c]], np.int64), np.array([m["n"] for m in r[c]], np.int64), np.frombuffer(b"".join(m["sig"] for m in r[c]), np.uint16).reshape(-1, SYMBOLS)) for c in ("ma", "mb"))
+                near = (ca[:, None] != cb) & (100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb))
+                near &= (sa[:, None, :] != sb).sum(2) < 2 * CHUNKS
+                if r["x"] == r["y"]:
+                    near &= ia[:, None] < ib
+                i, j = np.nonzero(near)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array([r["x"]]), pa.array([r["y"]]), pa.array([ia[i]], pa.list_(pa.int64())), pa.array([ib[j]], pa.list_(pa.int64()))], schema=schema)
+
+    return run
+
+
+def _block_links(percent: int):
+    """Confirms pairs on full sets; pairs that confirmed ones have already put in one group are passed over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                sets, comp = {}, {}
+                for c in ("ma", "mb"):
+                    for m in row.column(c)[0]:
+                        sets[m["id"].as_py()] = np.frombuffer(m["set"].as_buffer(), np.uint64)
+                        comp[m["id"].as_py()] = m["comp"].as_py()
+                root: dict[int, int] = {}
+
+                def find(x: int, root: dict[int, int] = root) -> int:
+                    while root.get(x, x) != x:
+                        x = root[x] = root.get(root[x], root[x])
+                    return x
+
+                held = []
+                for a, b in zip(row.column("a")[0].as_py(), row.column("b")[0].as_py(), strict=True):
+                    p, q = find(comp[a]), find(comp[b])
+                    if p == q:
+                        continue
+                    both = np.concatenate([sets[a], sets[b]])
+                    both.sort()
+                    common = int((both[1:] == both[:-1]).sum())
+                    if 100 * common >= percent * (len(both) - common):
+                        root[p] = q
+                        held.append((a, b))
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64())], ["a", "b"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): the groups of documents with ``100 * shared >= percent * union``."""
     scratch = scratch or Scratch(docs.sparkSession, "minhash")
@@ -166,7 +221,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch:
         scratch.drop(sets, ids, close)
         return held
 
-    comps = link(keys, verify, scratch)
+    def across(members: DataFrame) -> DataFrame:
+        blocks, met = in_blocks(members, 64, scratch)
+        signed_blocks = blocks.join(classes.select("id", "n", "sig"), "id").groupBy("blk").agg(F.collect_list(F.struct("id", "comp", "n", "sig")).alias("m"))
+        signed_blocks = scratch.keep(signed_blocks)
+        side = lambda df, name, m: df.select(F.col("blk").alias(name), F.col("m").alias(m))
+        near = met.join(side(signed_blocks, "x", "ma"), "x").join(side(signed_blocks, "y", "mb"), "y")
+        near = scratch.keep(near.select("x", "y", "ma", "mb").mapInArrow(_block_candidates(percent), "x long, y long, a array<long>, b array<long>"))
+        ids = near.select(F.explode(F.array_distinct(F.concat("a", "b"))).alias("doc_id")).distinct()
+        ids = scratch.keep(ids)
+        sets = join_small(docs, ids, "doc_id", "left_semi", ids.count()).mapInArrow(_sets(words), "id long, set binary").where("length(set) > 0").dropDuplicates(["id"])
+        full = scratch.keep(blocks.join(sets, "id").groupBy("blk").agg(F.collect_list(F.struct("id", "comp", "set")).alias("m")))
+        both = near.join(side(full, "x", "ma"), "x").join(side(full, "y", "mb"), "y")
+        return scratch.keep(both.select("a", "b", "ma", "mb").mapInArrow(_block_links(percent), "a long, b long"))
+
+    comps = link(keys, verify, scratch, across)
     # doc_id -> its class's first document -> that one's component; an id with rows in two classes joins them
     member = signed.where("sig is not null and doc_id is not null").select("doc_id", "s1", "s2").distinct().join(classes.select("s1", "s2", "id"), ["s1", "s2"]).select("doc_id", "id")
     member = scratch.keep(member)
