@@ -75,7 +75,8 @@ def targets(sources: DataFrame, share: float = 1.5, weights: tuple[int, ...] = W
     return s.select("source", "source_size", target.cast("double").alias("target"))
 
 
-SIZE = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+def _size():
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def _place(docs: DataFrame, share: float, weights: tuple[int, ...], block: int, shard_words: int, seed: int, scratch: Scratch) -> DataFrame:
@@ -84,7 +85,7 @@ def _place(docs: DataFrame, share: float, weights: tuple[int, ...], block: int,
     src = F.coalesce("source", F.lit("\x00null"))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     number = lambda x: F.conv(F.substring(x, 1, 8), 16, 10).cast("long")
-    sized = scratch.keep(docs.select(F.col("source"), src.alias("__src"), number(order).alias("__n"), SIZE.alias("__size")))
+    sized = scratch.keep(docs.select(F.col("source"), src.alias("__src"), number(order).alias("__n"), _size().alias("__size")))
     per = targets(sized.groupBy("source").agg(F.sum("__size").alias("source_size")), share, weights)
     per = per.withColumn("cell", src).withColumn("blocks", F.floor(F.sum("target").over(Window.partitionBy(F.lit(1))) / block + 0.5).cast("long"))
     per = seats(per, [], "blocks", "target").select(F.col("cell").alias("__src"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("seats").alias("__quota"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).alias("__shards"))
@@ -99,7 +100,7 @@ def _place(docs: DataFrame, share: float, weights: tuple[int, ...], block: int,
     q, n = F.least("seats", 2 * F.col("__blocks")), F.greatest("__blocks", F.lit(1))
     shards = shards.withColumn("__q", q).withColumn("__nb", n)
     shards = scratch.keep(shards.select("__src", "__shard", "__words", "__blocks", F.expr("__q div __nb").alias("__passes"), F.expr("__q % __nb").alias("__r"), start.alias("__first")))
-    rows = docs.withColumns({"__src": src, "__o": order, "__n": number(order), "__size": SIZE}).join(per_side, "__src").withColumn("__shard", F.pmod(F.col("__n"), F.col("__shards")))
+    rows = docs.withColumns({"__src": src, "__o": order, "__n": number(order), "__size": _size()}).join(per_side, "__src").withColumn("__shard", F.pmod(F.col("__n"), F.col("__shards")))
     run = Window.partitionBy("__src", "__shard").orderBy("__o", "__size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__c", F.coalesce(F.sum("__size").over(run), F.lit(0)))
     rows = rows.join(F.broadcast(shards) if few and shards.count() <= 100_000 else shards, ["__src", "__shard"])
