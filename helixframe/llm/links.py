@@ -80,13 +80,13 @@ def link(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scr
 
 
 def in_blocks(members: DataFrame, size: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Blocks of about ``size`` ids that tend to share keys: (id, comp, blk), and the pairs of blocks
+    """Blocks of about ``size`` ids that tend to share keys (they have the same smallest
+    representative): (id, comp, blk), and the pairs of blocks
     (x, y), x <= y, with a key in common. A key of n ids gives some (n / size) ** 2 / 2 pairs.
     """
     mixed = F.col("id").bitwiseXOR(F.col("key"))
     heads = members.groupBy("key").agg(F.min(mixed).alias("m")).select("key", F.col("m").bitwiseXOR(F.col("key")).alias("b"))
-    near = connected_components(members.join(heads, "key").select(F.col("id").alias("a"), "b").distinct(), scratch)
-    ids = members.select("id", "comp").distinct().join(near.select(F.col("node").alias("id"), F.col("comp").alias("g")), "id")
+    ids = members.join(heads, "key").groupBy("id", "comp").agg(F.min("b").alias("g"))
     many = ids.groupBy("g").agg(F.count("*").alias("n"))
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / size))
     blocks = scratch.keep(ids.join(many, "g").select("id", "comp", F.xxhash64("g", part).alias("blk")))
