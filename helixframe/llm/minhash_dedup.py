@@ -4,9 +4,11 @@ A document's signature has CHUNKS * WIDTH symbols of 16 bits. Two signatures
 that differ in at most ``2 * CHUNKS - 1`` symbols have, by the pigeonhole
 principle, a chunk with at most one error; so each chunk is indexed once for
 each place an error may stand in (the chunk without that symbol), and equal
-keys find every pair under the threshold. A pair at similarity 0.85 exceeds
-the threshold with a chance of under 1e-6, at 0.80 under 3e-5. Candidates are
-then confirmed on the full shingle sets.
+keys find every pair under the threshold, and most that lie above it: no chunk
+of a pair at similarity 0.85 matches so with a chance of about 5e-7, at 0.80 of
+2e-5. Candidates that differ in fewer than FAR symbols are confirmed on the
+full shingle sets; at 0.85 a pair has more with a chance of about 2e-7, at 0.80
+of 2e-5.
 
 Edge cases: null or blank texts have an empty set and link with nothing; texts
 of fewer words than a shingle are one shingle; equal sets are one class that
@@ -31,6 +33,8 @@ from helixframe.llm.words import WordHasher, mix
 
 CHUNKS, WIDTH = 8, 5
 SYMBOLS = CHUNKS * WIDTH
+#: Candidates that differ in so many symbols are not confirmed.
+FAR = 20
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _rng = np.random.default_rng(20240229)
 MULT = (_rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -110,12 +114,12 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures differ in under 2 * CHUNKS symbols."""
+    """Pairs whose signatures differ in under FAR symbols."""
     for batch in batches:
         if not batch.num_rows:
             continue
         x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for c in ("sa", "sb"))
-        yield batch.select(["a", "b"]).filter(pa.array((x != y).sum(1) < 2 * CHUNKS))
+        yield batch.select(["a", "b"]).filter(pa.array((x != y).sum(1) < FAR))
 
 
 def _sets(words: int):
@@ -153,7 +157,7 @@ def _block_candidates(percent: int):
             for r in batch.to_pylist():
                 (ia, ca, na, sa), (ib, cb, nb, sb) = ((np.array([m["id"] for m in r[c]], np.int64), np.array([m["comp"] for m in r[c]], np.int64), np.array([m["n"] for m in r[c]], np.int64), np.frombuffer(b"".join(m["sig"] for m in r[c]), np.uint16).reshape(-1, SYMBOLS)) for c in ("ma", "mb"))
                 near = (ca[:, None] != cb) & (100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb))
-                near &= (sa[:, None, :] != sb).sum(2) < 2 * CHUNKS
+                near &= (sa[:, None, :] != sb).sum(2) < FAR
                 if r["x"] == r["y"]:
                     near &= ia[:, None] < ib
                 i, j = np.nonzero(near)
