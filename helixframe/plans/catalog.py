@@ -471,4 +471,4 @@ def _(spark, d):
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth-outlier windows of the cohort, with loose thresholds for the smallest tables."""
-    return W.depth_outliers(W.window_depth(lens.sites(spark, sf_dir), 250, most_missing=1.0), alpha=0.1, min_sites=5, min_depth=0.0, threshold=0.0)
+    return W.depth_outliers(W.window_depth(lens.sites(spark, sf_dir), 250, most_missing=1.0), alpha=0.1, min_sites=5, min_depth=0.0, threshold=0.0, use_median=False)
