@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import Scratch
+from helixframe.llm.common import Scratch, join_small
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
@@ -45,7 +45,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int =
 def link(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, across: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, comp) of nodes that a verified pair links to another.
 
-    ``keys`` is a written table (key long, id long); ``verify`` takes distinct
+    ``keys`` (key long, id long) is read twice; ``verify`` takes distinct
     pairs (a, b) with a < b and returns those that hold. A pair that shares a
     key is compared unless its ends are already in one group, so no link
     between groups is lost. The bucket's representative is the id that comes
@@ -55,8 +55,8 @@ def link(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scr
     """
     mixed = F.col("id").bitwiseXOR(F.col("key"))
     heads = keys.groupBy("key").agg(F.min(mixed).alias("m"), F.count("*").alias("n")).where("n > 1")
-    heads = heads.select("key", F.col("m").bitwiseXOR(F.col("key")).alias("head"))
-    shared = scratch.keep(keys.join(heads, "key"))
+    heads = scratch.keep(heads.select("key", F.col("m").bitwiseXOR(F.col("key")).alias("head")))
+    shared = scratch.keep(join_small(keys, heads, "key", "inner", heads.count()))
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     star = shared.where("id <> head").select(*pair("id", "head")).distinct()
     found = scratch.keep(verify(star))
@@ -75,8 +75,13 @@ def link(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scr
         more = scratch.keep(verify(cross.join(star, ["a", "b"], "left_anti")))
     if more.limit(1).count() == 0:
         return comps
-    both = found.select("a", "b").union(more.select("a", "b"))
-    return connected_components(both, scratch)
+    # groups are contracted: only links between them are followed again
+    own = lambda end, name: comps.select(F.col("node").alias(end), F.col("comp").alias(name))
+    between = more.select("a", "b").join(own("a", "ca"), "a", "left").join(own("b", "cb"), "b", "left")
+    top = connected_components(between.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), scratch)
+    up = top.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    lifted = comps.join(up, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    return lifted.union(top.join(comps.select("node"), "node", "left_anti").select("node", "comp"))
 
 
 def in_blocks(members: DataFrame, size: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
