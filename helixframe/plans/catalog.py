@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import site as S
+from helixframe.operators import count_models as C
 from helixframe.operators import export as X
+from helixframe.operators import genealogy as G
 from helixframe.operators import joins as J
 from helixframe.operators import sites as U
 from helixframe.operators import trees as T
@@ -469,6 +471,80 @@ def _(spark, d):
     return T.cross_coalescence(ms.where("pop = 2"), ms.where("pop = 0"), ms.where("pop = 1")).select("t_ix", F.round("rccr", 6).alias("rccr"))
 
 
+# --- count models, projections, genealogies ---------------------------------
+
+def model_sql(z: str, cut: float) -> str:
+    one = lambda c: f"avg(case when {c} then 1.0::double else 0.0::double end)"
+    return WIN + f""", own as (select sample_ix, median(cast(depth_sum as double) / sites) as own from wd where sites >= 10 group by 1),
+sc as (select sample_ix, own / (select median(own) from own) as s from own),
+y as (select wd.*, case when s > 0 then s end as s, case when s > 0 then cast(depth_sum as double) / (sites * s) end as y from wd left join sc using (sample_ix)),
+per as (select chrom, win, median(y) as mu, avg(y) as m, var_samp(y) as v, max(sites) as ns from y group by 1, 2 having max(sites) >= 10 and median(y) > 0),
+ph as (select case when p > 0 then p else 1e-6 end as phi from (select median(greatest((v - m) / (m * m + 1e-12), 0)) as p from per where v is not null)),
+l as (select y.*, mu, v, ns, phi, mu * sites * s as lam from y join per using (chrom, win), ph), z as (select *, {z} as z from l),
+f as (select chrom, win, max(ns) as sites, {one(f'z <= {cut!r}')} as low_frac, {one(f'z >= {-cut!r}')} as high_frac, round(max(mu), 6) as mu, round(max(phi), 6) as phi from z group by 1, 2)
+select * from f where low_frac >= 0.05 or high_frac >= 0.05"""
+
+
+def model_outliers(s: DataFrame, model: str) -> DataFrame:
+    out = C.count_outliers(W.window_depth(s, 250), model, alpha=0.05, min_sites=10, min_depth=0.0)
+    return out.select("chrom", "win", "sites", "low_frac", "high_frac", F.round("mu", 6).alias("mu"), F.round("phi", 6).alias("phi"))
+
+
+query("depth_outliers_normal", model_sql("(depth_sum - lam) / sqrt(lam + phi * lam * lam)", NormalDist().inv_cdf(0.05)))(lambda s, *_: model_outliers(s, "normal"))
+query("depth_outliers_ragweed", model_sql("(y - mu) / sqrt(v)", NormalDist().inv_cdf(2 * NormalDist().cdf(-2.0))))(lambda s, *_: model_outliers(s, "ragweed"))
+# tails of the discrete models: tested against exact sums
+query("depth_outliers_nbinom")(lambda s, *_: model_outliers(s, "nbinom"))
+query("depth_outliers_poisson")(lambda s, *_: model_outliers(s, "poisson"))
+
+
+@query("an_histogram", "select cast(least(an, 40) // 4 as int) as bin, count(*) as n from sa where an >= 8 group by 1")
+def _(s, *_):
+    return C.an_histogram(counted(s), S.an(), 4, 8, 40)
+
+
+@query("project_counts", "select site_id, cast(12 as bigint) as an from sa where an >= 12")
+def _(s, *_):
+    drawn = C.project_counts(counted(s), 12, "site_id").where("drawn is not null")
+    return drawn.select("site_id", F.aggregate("drawn", F.lit(0).cast("long"), lambda t, x: t + x).alias("an"))
+
+
+@query("thin_exponential")
+def _(s, *_):
+    return C.thin_exponential(s, 100.0, 20.0, 400.0, seed=7, order=("site_id",)).select("site_id", "chrom", "pos")
+
+
+@query("f3", """, pf as (select chrom, pos, count(*) filter (pop = 0 and a1 = 1) + count(*) filter (pop = 0 and a2 = 1) as x0, count(*) filter (pop = 0 and a1 in (0, 1)) + count(*) filter (pop = 0 and a2 in (0, 1)) as n0,
+count(*) filter (pop = 1 and a1 = 1) + count(*) filter (pop = 1 and a2 = 1) as x1, count(*) filter (pop = 1 and a1 in (0, 1)) + count(*) filter (pop = 1 and a2 in (0, 1)) as n1,
+count(*) filter (pop = 2 and a1 = 1) + count(*) filter (pop = 2 and a2 = 1) as x2, count(*) filter (pop = 2 and a1 in (0, 1)) + count(*) filter (pop = 2 and a2 in (0, 1)) as n2 from lens_geno group by 1, 2),
+fr as (select cast(x0 as double) / n0 as t, cast(x1 as double) / n1 as a, cast(x2 as double) / n2 as b, n0 from pf where n0 > 1 and n1 > 0 and n2 > 0)
+select count(*) as sites, round(avg((t - a) * (t - b) - t * (1 - t) / (n0 - 1)), 9) as f3 from fr""")
+def _(s, spark, d):
+    return G.f3(W.pop_counts(s, pops(spark, d)), "p0", "p1", "p2").select("sites", F.round("f3", 9).alias("f3"))
+
+
+@query("map_lines", MAP + """, z as (select chrom, cast(phys as bigint) as phys, gen from mp union all select distinct chrom, 0, 0.0::double from mp),
+r as (select *, (lead(gen) over w - gen) / (lead(phys) over w - phys) * 1e6 as rate from z window w as (partition by chrom order by phys)),
+q as (select *, coalesce(rate, lag(rate) over (partition by chrom order by phys)) as r2 from r)
+select chrom, phys, round(greatest(0.001, least(25, r2)), 3) as rate, round(gen, 5) as gen from q""")
+def _(s, spark, d):
+    part = F.split("line", "\t")
+    return C.map_lines(genetic_map(spark, s)).select("chrom", "phys", F.get(part, F.lit(1)).cast("double").alias("rate"), F.get(part, F.lit(2)).cast("double").alias("gen"))
+
+
+@query("tmrca", f"with {MS}, a as (select *, coalesce(sum((tr - tl) * lam) over (partition by pop order by t_ix rows between unbounded preceding and 1 preceding), 0) as bf, lead(t_ix) over (partition by pop order by t_ix) as nx from ms), b as (select pop, t_ix, cast(j as int) as j, tl + j / 10.0::double * (tr - tl) as t, tl, lam, bf from a, (select unnest(range(0, 10)) as j) u where nx is not null) select pop, t_ix, j, round(t * 2.0::double / 4.85::double, 6) as years, round(lam * exp(-(bf + (t - tl) * lam)), 9) as pdf, round(1 - exp(-(bf + (t - tl) * lam)), 9) as cdf from b", use_lens=False)
+def _(spark, d):
+    s = F.col("s_suppkey")
+    ms = lens.read(spark, d, "supplier").where("s_suppkey <= 99").select((s % 5).alias("pop"), F.expr("s_suppkey div 5").alias("t_ix"), (F.expr("s_suppkey div 5") * 10).cast("double").alias("t_left"), (F.expr("s_suppkey div 5") * 10 + 10).cast("double").alias("t_right"), (1 + (s % 7).cast("double") / 7).alias("lam"))
+    return G.tmrca(ms, mu=4.85, gen=2.0, run="pop").select("pop", "t_ix", "j", F.round("years", 6).alias("years"), F.round("pdf", 9).alias("pdf"), F.round("cdf", 9).alias("cdf"))
+
+
+@query("gnn_group_means", "with g as (select n_regionkey as grp, cast(k as bigint) as k, cast((n_nationkey + k) % 4 + 1 as double) / 10 as gnn from nation, (select unnest(range(0, 3)) as k) u), m as (select grp, k, avg(gnn) as mean from g group by 1, 2) select grp, k, round(mean, 6) as mean, round((mean - avg(mean) over w) / nullif(stddev_pop(mean) over w, 0), 6) as z from m window w as (partition by k)", use_lens=False)
+def _(spark, d):
+    n = lens.read(spark, d, "nation").select(F.col("n_regionkey").alias("grp"), "n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    g = n.select("grp", F.col("k").cast("long").alias("k"), (((F.col("n_nationkey") + F.col("k")) % 4 + 1).cast("double") / 10).alias("gnn"))
+    return G.group_means(g, "grp").select("grp", "k", F.round("mean", 6).alias("mean"), F.round("z", 6).alias("z"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth-outlier windows of the cohort, with loose thresholds for the smallest tables."""
     return W.depth_outliers(W.window_depth(lens.sites(spark, sf_dir), 250, most_missing=1.0), alpha=0.1, min_sites=5, min_depth=0.0, threshold=0.0, use_median=False)
