@@ -120,14 +120,16 @@ def take(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS
     """The mix itself, in the columns of ``docs``: a row for each time a text is taken.
 
     A text that a block's edge cuts gives a row with the words taken, white
-    space between them as it was; all others come whole.
+    space between them as it was, and two rows where its end and its start are
+    taken but not its middle; all others come whole.
     """
     p = _place(docs, share, weights, block, shard_words, seed, scratch or Scratch(docs.sparkSession, "mix"))
     words = F.regexp_extract_all("text", F.lit(f"({WORD})[\\x20\\x09-\\x0D]*"), F.lit(0))
     ahead, behind = (F.col(c).cast("int") for c in ("__ahead", "__behind"))
-    some = F.rtrim(F.array_join(F.concat(F.slice(words, F.col("__from").cast("int") + 1, ahead), F.slice(words, F.lit(1), behind)), ""))
+    cut = lambda at, n: F.when(n > 0, F.rtrim(F.array_join(F.slice(words, at, n), "")))
+    some = F.array_compact(F.array(cut(F.col("__from").cast("int") + 1, ahead), cut(F.lit(1), behind)))
     whole = (F.col("__ahead") + F.col("__behind")) == F.col("__size")
-    part = F.when((ahead + behind > 0) & whole, F.array(F.col("text"))).when(ahead + behind > 0, F.array(some)).otherwise(F.array().cast("array<string>"))
+    part = F.when((ahead + behind > 0) & whole, F.array(F.col("text"))).otherwise(some)
     copies = F.when(F.col("__size") > 0, F.concat(F.array_repeat("text", F.col("__passes").cast("int")), part)).otherwise(F.array().cast("array<string>"))
     out = p.select(*[F.col(c) for c in docs.columns if c != "text"], F.explode(copies).alias("text"))
     if "n_chars" in docs.columns:
