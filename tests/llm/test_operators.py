@@ -248,6 +248,22 @@ def test_wrapper_generalises():
         assert w.fits(html_text.read_page(p)[0])
 
 
+BARE = "<body><div class=top><p>Welcome to the site {c}</p></div><div class=lead><p>Lead {i} says {i} {i} and so on, at some length, about {i}</p></div><div class=extra><p>Extra words {i}</p></div>{more}<div class=legal><p>All rights reserved</p></div></body>"
+
+
+def test_html_slots_decide_without_article(spark):
+    """No element is marked: constant slots are template, varying ones and those of one page only are content."""
+    pages = [BARE.format(c="", i=f"n{i}", more="<section class=odd><p>Only here</p></section>" if i == 29 else "") for i in range(30)]
+    rows = [(i, f"http://bare.org/{i}", p) for i, p in enumerate(pages)] + [(50, "http://one.org/", pages[0])]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(30):
+        assert got[i] == f"Lead n{i} says n{i} n{i} and so on, at some length, about n{i}\nExtra words n{i}" + "\nOnly here" * (i == 29)
+    assert "Welcome" in got[50] and "Lead n0" in got[50]
+    # copies of one article are no evidence that it is template
+    w = html_text.infer([BARE.format(c=c, i="same", more="") for c in ("a", "b")])
+    assert "Lead same says same" in html_text.main_text(BARE.format(c="a", i="same", more=""), w)[0]
+
+
 def test_language(spark):
     rng = random.Random(1)
     make = {"en": ["the", "and", "thing", "with"], "fr": ["êle", "que", "eau", "dans"]}
