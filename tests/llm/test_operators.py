@@ -264,6 +264,17 @@ def test_html_slots_decide_without_article(spark):
     assert "Lead same says same" in html_text.main_text(BARE.format(c="a", i="same", more=""), w)[0]
 
 
+def test_html_article_that_no_sampled_page_has(spark):
+    """A page keeps both its articles where the host's sample holds the first one's path only."""
+    lead = "<article class=lead><p>Lead {i}</p></article>"
+    rows = [(i, f"http://two.org/{i}", "<body>" + lead.format(i=i) + ("<article class=update><p>Update</p></article>" if i == 7 else "") + "</body>") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    w = html_text.infer([r[2] for r in rows if r[0] != 7][:12])
+    assert html_text.main_text(rows[7][2], w)[0] == "Lead 7\nUpdate"
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert got[7] == "Lead 7\nUpdate" and got[8] == "Lead 8"
+
+
 def test_language(spark):
     rng = random.Random(1)
     make = {"en": ["the", "and", "thing", "with"], "fr": ["êle", "que", "eau", "dans"]}
