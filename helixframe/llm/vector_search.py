@@ -1,6 +1,7 @@
 """Exact top-k by inner product over a vector-approximation file.
 
-Vectors are integers, floor(256 x). Each distinct vector is stored once in
+Vectors are integers, floor(256 x), of 64 bits; a finite component beyond them is
+an error, as in the SQL. Bounds are widened by the rounding error where doubles are not exact. Each distinct vector is stored once in
 two tables: cells (one byte a component, from equal steps between the least
 and the largest value of the component) and exact components. A query bounds
 every vector's score from its cells alone. The k-th best lower bound over all
@@ -14,7 +15,7 @@ id, and one may be the query's own row), which loses no result.
 
 Edge cases: null vectors, null or non-finite components and null ids take no part;
 vectors of another length than the query's take part in no score with it;
-rows that repeat a vec_id with the same vector are one; empty tables give no
+rows that repeat a vec_id with the same vector are one, as queries too; empty tables give no
 rows. Extra columns are ignored. Blocks of queries meet blocks of cells in a
 join, so neither side has to fit one task.
 """
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import Scratch, join_small
@@ -34,10 +35,14 @@ STEPS = 255
 
 
 def integer_vectors(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
-    """(vec_id, v array<int>) of rows whose components are all finite."""
+    """(vec_id, v array<bigint>) of rows whose components are all finite."""
     d = F.transform("embedding", lambda x: x.cast("double"))
-    sound = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall(d, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e7))
-    return vectors.where(sound).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(d, lambda x: F.floor(x * scale).cast("int")).alias("v"))
+    sound = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall(d, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+    def whole(x: Column) -> Column:
+        return F.when(F.abs(x * scale) < 2.0**63, F.floor(x * scale)).otherwise(F.raise_error(F.lit("a component is too large for a 64-bit integer")).cast("long"))
+
+    return vectors.where(sound).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(d, whole).alias("v"))
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -54,7 +59,8 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for n in np.unique(lengths):
                 own = part.filter(pa.array(lengths == n))
                 v, lo, step = _matrix(own.column(1)), _matrix(own.column(2))[0], _matrix(own.column(3))[0]
-                c = np.minimum((v - lo) // step, STEPS).astype(np.uint8)
+                # differences of longs are exact as unsigned ones
+                c = np.minimum((v.astype(np.int64).view(np.uint64) - lo.astype(np.int64).view(np.uint64)) // step.astype(np.uint64), np.uint64(STEPS)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([pa.array([int(n)], pa.int32()), pa.array([own.column(0).to_numpy().tobytes()]), pa.array([c.tobytes()]), pa.array([lo.astype(np.int64).tobytes()]), pa.array([step.astype(np.int64).tobytes()])], ["dim", "ids", "cells", "lo", "step"])
 
 
@@ -68,14 +74,17 @@ def _scan(k: int, own: int):
                 ids, cells = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["cells"], np.uint8).reshape(-1, max(n, 1))
                 qid, q = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["q"], np.int64).reshape(-1, max(n, 1)).astype(np.float64)
                 lo, step = (np.frombuffer(row[c], np.int64).astype(np.float64) for c in ("lo", "step"))
-                low = lo + cells * step  # all values are integers below 2 ** 53: exact in double
+                low = lo + cells * step
                 wide = step - 1
                 at_low = q @ low.T
-                lower, upper = at_low + (np.minimum(q, 0) @ wide)[:, None], at_low + (np.maximum(q, 0) @ wide)[:, None]
+                # no sum is greater than reach: below 2 ** 53 all are exact in double
+                reach = np.abs(q) @ (np.abs(lo) + (STEPS + 2) * step)
+                slack = np.where(reach < 2.0**53, 0, reach * (n + 8) * 2.0**-50)
+                lower, upper = at_low + (np.minimum(q, 0) @ wide - slack)[:, None], at_low + (np.maximum(q, 0) @ wide + slack)[:, None]
                 m = min(k + own, lower.shape[1])
                 kth = -np.partition(-lower, m - 1, axis=1)[:, m - 1]
                 i, j = np.nonzero(upper >= kth[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(ids[j]), pa.array(lower[i, j].astype(np.int64)), pa.array(upper[i, j].astype(np.int64))], ["query_id", "cls", "lower", "upper"])
+                yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(ids[j]), pa.array(lower[i, j]), pa.array(upper[i, j])], ["query_id", "cls", "lower", "upper"])
 
     return run
 
@@ -91,7 +100,7 @@ def _query_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scratch: Scratch | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, score) for ``queries``, a subset of the rows of ``vectors`` (vec_id, v array<int>)."""
+    """(query_id, rank, vec_id, score) for ``queries``, a subset of the rows of ``vectors`` (vec_id, v array<bigint>)."""
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark, "vectors")
     rows = scratch.keep(vectors.withColumn("h", F.xxhash64("v")))
@@ -103,19 +112,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scratch: Scratch |
     named = members.join(members.where("r = 1").select("h", "v", F.col("vec_id").alias("cls")), ["h", "v"]).select("cls", "vec_id")
     named = scratch.keep(named)
     spread = exact.select(F.size("v").alias("dim"), F.posexplode("v").alias("at", "x")).groupBy("dim", "at").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    step = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / (STEPS + 1)).cast("int"))
+    step = F.greatest(F.lit(1), F.ceil((F.col("hi").cast("decimal(20,0)") - F.col("lo") + 1) / (STEPS + 1)).cast("long"))
     spread = spread.groupBy("dim").agg(F.sort_array(F.collect_list(F.struct("at", "lo", step.alias("step")))).alias("s")).select("dim", F.col("s.lo").alias("lo"), F.col("s.step").alias("step"))
     marked = exact.withColumn("dim", F.size("v")).where("dim > 0").join(F.broadcast(spread), "dim")
     blocks = scratch.keep(marked.select("cls", "v", "lo", "step").mapInArrow(_cells, "dim int, ids binary, cells binary, lo binary, step binary"))
     asked = scratch.keep(queries.select("vec_id", "v").distinct().where("size(v) > 0").mapInArrow(_query_blocks, "dim int, qids binary, q binary"))
     met = blocks.repartition("ids").join(asked, "dim") if asked.count() > 64 else blocks.join(F.broadcast(asked), "dim")
-    bounds = scratch.keep(met.mapInArrow(_scan(k, 1), "query_id long, cls long, lower long, upper long"))
+    bounds = scratch.keep(met.mapInArrow(_scan(k, 1), "query_id long, cls long, lower double, upper double"))
     w = Window.partitionBy("query_id").orderBy(F.desc("lower"), "cls")
     floor_ = bounds.withColumn("r", F.row_number().over(w)).where(f"r <= {k + 1}").groupBy("query_id").agg(F.when(F.count("*") > k, F.min("lower")).alias("least"))
     open_ = scratch.keep(bounds.join(floor_, "query_id").where("least is null or upper >= least").select("query_id", "cls", "upper"))
 
-    asker = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a.cast("long") * b.cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    asker = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")).distinct()
+
+    def product(kind: str) -> Column:
+        return F.aggregate(F.zip_with("qv", "v", lambda a, b: a.cast(kind) * b.cast(kind)), F.lit(0).cast(kind if kind == "long" else "decimal(38,0)"), lambda s, x: (s + x).cast(kind if kind == "long" else "decimal(38,0)"))
+
+    most = lambda c: F.array_max(F.transform(c, lambda x: F.abs(x.cast("double"))))
+    # a score of more than 64 bits is an error, as in the SQL
+    dot = F.when(F.size("v") * most("qv") * most("v") < 2.0**62, product("long")).otherwise(product("decimal(19,0)").cast("long"))
 
     def read(part: DataFrame) -> DataFrame:
         return part.join(exact, "cls").join(asker, "query_id").select("query_id", "cls", dot.alias("score"))

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -212,6 +213,31 @@ def test_vector_search(spark):
     assert vector_search.top_k_of_every(df.limit(0), 10, 5).count() == 0
 
 
+def brute_top(v, every, k):
+    q = {i: [math.floor(256 * x) for x in r] for i, r in v.items()}
+    score = lambda i, j: sum(a * b for a, b in zip(q[i], q[j], strict=True))
+    return {(i, r + 1): (j, score(i, j)) for i in q if i % every == 0 for r, j in enumerate(sorted((j for j in q if j != i), key=lambda j: (-score(i, j), j))[:k])}
+
+
+def test_vector_search_repeated_query_row(spark):
+    v = {i: [float(x) for x in r] for i, r in enumerate(np.random.default_rng(3).standard_normal((60, 4)))}
+    df = spark.createDataFrame([*v.items(), (10, v[10]), (10, v[10]), (7, v[7])], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in vector_search.top_k_of_every(df, 10, 5).collect()]
+    assert sorted(got) == sorted((*a, *b) for a, b in brute_top(v, 10, 5).items())
+
+
+def test_vector_search_large_components(spark):
+    """Finite components over 1e7, and those whose products are not exact in double."""
+    rng = np.random.default_rng(4)
+    for size, first in ((3e7, 3), (1e6, 0)):
+        v = {i: [float(x) for x in r] for i, r in enumerate(rng.standard_normal((60, 4)))}
+        v |= {i: [float(x) for x in rng.standard_normal(4) * size] for i in range(first, 60, 6)}
+        v[61] = [x + 1 / 256 for x in v[30]]
+        df = spark.createDataFrame([*v.items(), (62, [float("inf")] * 4)], "vec_id long, embedding array<double>")
+        got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in vector_search.top_k_of_every(df, 10, 5).collect()}
+        assert got == brute_top(v, 10, 5)
+
+
 def test_tiff(spark, docs):
     rng = np.random.default_rng(2)
     pages = [rng.integers(0, 255, (20, 33, c)).astype(t) for c, t in ((1, np.uint8), (3, np.uint16))]
