@@ -121,6 +121,13 @@ def test_line_dedup(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_keeps_other_numbers(spark):
+    """Lines of one form go only if their digits, too, are within a tenth."""
+    rows = [(1, "12345678 98765432", "en", "s"), (2, "55501234 00017777", "en", "s"), (3, "12345678 98765433", "en", "s"), (4, "55501234 00017777", "en", "s")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: "", 4: ""}
+
+
 def test_simhash_blocks_share_one_below_threshold():
     h = line_dedup.SimHasher()
     x = h([b"a b c d e f g", b"b a c d e f g a", b"z"])
