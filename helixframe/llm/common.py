@@ -44,7 +44,7 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-def join_small(big: DataFrame, small: DataFrame, on: str, how: str, rows: int, most: int = 500_000) -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, on: str | list[str], how: str, rows: int, most: int = 500_000) -> DataFrame:
     """Join with a side whose row count has been measured: broadcast up to ``most``, else shuffled."""
     return big.join(F.broadcast(small) if rows <= most else small, on, how)
 

@@ -1,14 +1,16 @@
 """Connected groups from shared keys, without listing the pairs of a group.
 
 Every member of a key's bucket is compared with one representative of the
-bucket; groups found that way are contracted, and only buckets that still
-hold two groups or more list pairs, and those only between groups.
+bucket; groups found that way are contracted, and buckets that still hold two
+groups or more are compared in blocks, of which only links come out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,21 +44,22 @@ def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int =
     raise RuntimeError("connected components did not settle")
 
 
-def link(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, across: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def link(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, across: Callable[[DataFrame], DataFrame], spread: bool = True) -> DataFrame:
     """(node, comp) of nodes that a verified pair links to another.
 
-    ``keys`` (key long, id long) is read twice; ``verify`` takes distinct
+    ``keys`` (key long, id long) is read twice and may repeat rows; ``verify`` takes distinct
     pairs (a, b) with a < b and returns those that hold. A pair that shares a
     key is compared unless its ends are already in one group, so no link
-    between groups is lost. The bucket's representative is the id that comes
-    first in an order which differs from key to key (id XOR key).
-    ``across`` takes the members (key, id, comp) of buckets that still hold two
-    groups and returns links between them; without it their pairs are listed.
+    between groups is lost. The bucket's representative is its smallest id; with
+    ``spread``, the id that comes first in an order which differs from key to key
+    (id XOR key). ``across`` takes the members (key, id, comp) of buckets that still
+    hold two groups and returns links between them.
     """
     mixed = F.col("id").bitwiseXOR(F.col("key"))
-    heads = keys.groupBy("key").agg(F.min(mixed).alias("m"), F.count("*").alias("n")).where("n > 1")
-    heads = scratch.keep(heads.select("key", F.col("m").bitwiseXOR(F.col("key")).alias("head")))
-    shared = scratch.keep(join_small(keys, heads, "key", "inner", heads.count()))
+    aggs = [F.min("id").alias("head"), F.max("id").alias("hi")] + ([F.min(mixed).alias("m")] if spread else [])
+    heads = keys.groupBy("key").agg(*aggs).where("head < hi")
+    heads = scratch.keep(heads.select("key", F.col("m").bitwiseXOR(F.col("key")).alias("head") if spread else "head"))
+    shared = scratch.keep(join_small(keys, heads, "key", "inner", heads.count()).distinct())
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     star = shared.where("id <> head").select(*pair("id", "head")).distinct()
     found = scratch.keep(verify(star))
@@ -64,15 +67,12 @@ def link(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scr
 
     grouped = shared.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     grouped = scratch.keep(grouped)
+    scratch.drop(shared, heads, found)
     mixed_keys = grouped.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
     # a bucket of two was settled by its representative
     left = scratch.keep(grouped.join(mixed_keys.where("lo <> hi and n > 2").select("key"), "key"))
-    if across:
-        more = across(left)
-    else:
-        x, y = left.alias("x"), left.alias("y")
-        cross = x.join(y, F.expr("x.key = y.key and x.comp < y.comp")).select(*pair(F.col("x.id"), F.col("y.id"))).distinct()
-        more = scratch.keep(verify(cross.join(star, ["a", "b"], "left_anti")))
+    more = across(left)
+    scratch.drop(grouped)
     if more.limit(1).count() == 0:
         return comps
     # groups are contracted: only links between them are followed again
@@ -98,3 +98,80 @@ def in_blocks(members: DataFrame, size: int, scratch: Scratch) -> tuple[DataFram
     met = scratch.keep(members.select("key", "id").join(blocks.select("id", "blk"), "id").select("key", "blk").distinct())
     x, y = met.alias("x"), met.alias("y")
     return blocks, scratch.keep(x.join(y, F.expr("x.key = y.key and x.blk <= y.blk")).select(F.col("x.blk").alias("x"), F.col("y.blk").alias("y")).distinct())
+
+
+def _candidates(near: Callable):
+    """Pairs of blocks to the pairs of ids across groups that may hold: a row a pair of blocks."""
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                (ia, ca, na, sa), (ib, cb, nb, sb) = ((*(np.array([m[f] for m in r[c]], np.int64) for f in ("id", "comp", "n")), np.frombuffer(b"".join(m["sig"] for m in r[c]), np.uint8).reshape(len(r[c]), -1)) for c in ("ma", "mb"))
+                may = (ca[:, None] != cb) & near(na, nb, sa, sb)
+                if r["x"] == r["y"]:
+                    may &= ia[:, None] < ib
+                i, j = np.nonzero(may)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array([r["x"]]), pa.array([r["y"]]), pa.array([ia[i]], pa.list_(pa.int64())), pa.array([ib[j]], pa.list_(pa.int64()))], schema=schema)
+
+    return run
+
+
+def _links(holds: Callable):
+    """Confirms pairs on bodies, a batch of blocks at once. Each round takes twice as many pairs of a pair of
+    blocks as the one before; pairs that confirmed ones have already put in one group are passed over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body, comp, root, todo = {}, {}, {}, []
+
+            def find(x: int, root: dict[int, int] = root) -> int:
+                while root.get(x, x) != x:
+                    x = root[x] = root.get(root[x], root[x])
+                return x
+
+            for r in range(batch.num_rows):
+                pairs = list(zip(batch.column("a")[r].as_py(), batch.column("b")[r].as_py(), strict=True))
+                todo.append(pairs)
+                for k, c in enumerate(("ma", "mb")):
+                    asked, m = {p[k] for p in pairs}, batch.column(c)[r].values
+                    for i, (id_, group) in enumerate(zip(m.field("id").to_pylist(), m.field("comp").to_pylist(), strict=True)):
+                        if id_ in asked and id_ not in body:
+                            body[id_], comp[id_] = m.field("body")[i].as_py(), group
+            take, held = 4, []
+            while todo:
+                now, later = {}, []
+                for pairs in todo:
+                    pairs = [(a, b) for a, b in pairs if find(comp[a]) != find(comp[b])]
+                    now |= dict.fromkeys(pairs[:take])
+                    later.append(pairs[take:])
+                for (a, b), yes in zip(now, holds([(body[a], body[b]) for a, b in now]), strict=True):
+                    if yes:
+                        root[find(comp[a])] = find(comp[b])
+                        held.append((a, b))
+                todo, take = [p for p in later if p], 2 * take
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def links_in_blocks(members: DataFrame, signed: DataFrame, near: Callable, fetch: Callable[[DataFrame], DataFrame], holds: Callable[[list[tuple[bytes, bytes]]], list[bool]], scratch: Scratch, size: int = 64) -> DataFrame:
+    """(a, b): links between the groups of ``members`` (key, id, comp), enough of them to join all that are linked.
+
+    Blocks of ``size`` ids meet where they share a key. ``signed`` (id, n, sig) has what
+    ``near(na, nb, sa, sb)`` prunes with, a matrix for two blocks; ``fetch`` turns
+    ids into (id, body binary), on pairs of which ``holds`` decides.
+    """
+    blocks, met = in_blocks(members, size, scratch)
+    side = lambda df, name, m: df.select(F.col("blk").alias(name), F.col("m").alias(m))
+    sums = scratch.keep(blocks.join(signed, "id").groupBy("blk").agg(F.collect_list(F.struct("id", "comp", "n", "sig")).alias("m")))
+    may = met.join(side(sums, "x", "ma"), "x").join(side(sums, "y", "mb"), "y").select("x", "y", "ma", "mb")
+    may = scratch.keep(may.mapInArrow(_candidates(near), "x long, y long, a array<long>, b array<long>"))
+    ids = scratch.keep(may.select(F.explode(F.array_distinct(F.concat("a", "b"))).alias("id")).distinct())
+    full = scratch.keep(blocks.join(fetch(ids), "id").groupBy("blk").agg(F.collect_list(F.struct("id", "comp", "body")).alias("m")))
+    both = may.join(side(full, "x", "ma"), "x").join(side(full, "y", "mb"), "y").select("a", "b", "ma", "mb")
+    out = scratch.keep(both.mapInArrow(_links(holds), "a long, b long"))
+    scratch.drop(sums, may, ids, full, met, blocks)
+    return out

@@ -12,8 +12,9 @@ of 2e-5.
 
 Edge cases: null or blank texts have an empty set and link with nothing; texts
 of fewer words than a shingle are one shingle; equal sets are one class that
-costs one row, however many copies there are; rows that share a doc_id are one
-node with the links of all its rows; rows with a null doc_id come back with a
+costs one row, however many copies there are (classes are told apart by a hash of
+64 bits); rows that share a doc_id are one node with the links of all its rows, whose
+texts may differ; rows with a null doc_id come back with a
 null component, kept. Extra columns are ignored.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import Scratch, join_small
-from helixframe.llm.links import connected_components, in_blocks, link
+from helixframe.llm.links import connected_components, link, links_in_blocks
 from helixframe.llm.words import WordHasher, mix
 
 CHUNKS, WIDTH = 8, 5
@@ -89,16 +90,14 @@ def _sign(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in batches:
-            ids, n, one, two, sigs = [], [], [], [], []
+            ids, n, one, sigs = [], [], [], []
             for k in range(batch.num_rows):
                 s = shingle(batch.column(1)[k].as_py())
                 ids.append(batch.column(0)[k].as_py())
                 n.append(len(s))
-                d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                one.append(int.from_bytes(d[:8], "little", signed=True))
-                two.append(int.from_bytes(d[8:], "little", signed=True))
+                one.append(_class(s.tobytes()))
                 sigs.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "s1", "s2", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "s1", "sig"])
 
     return run
 
@@ -123,141 +122,105 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(words: int):
+    """(doc_id, text) to (id, body): the class of the text's set and the set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], ["id", "set"])
+                sets = [s.tobytes() for t in batch.slice(at, 500).column(1) if len(s := shingle(t.as_py()))]
+                yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in sets], pa.int64()), pa.array(sets, pa.binary())], ["id", "body"])
 
     return run
 
 
-def _confirm(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = []
-            for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                held.append(100 * common >= percent * (len(both) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(held, pa.bool_()))
+def _class(s: bytes) -> int:
+    """The name of the class of equal sets."""
+    return int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True)
 
-    return run
+
+def _alike(percent: int):
+    def one(x: bytes, y: bytes) -> bool:
+        both = np.frombuffer(x + y, np.uint64).copy()
+        both.sort()
+        common = int((both[1:] == both[:-1]).sum())
+        return 100 * common >= percent * (len(both) - common)
+
+    return lambda pairs: [one(x, y) for x, y in pairs]
 
 
-def _block_candidates(percent: int):
-    """Pairs of blocks to the pairs of ids across groups whose signatures are near: a row a pair of blocks."""
-    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
+def _confirm(percent: int):
+    holds = _alike(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                (ia, ca, na, sa), (ib, cb, nb, sb) = ((np.array([m["id"] for m in r[c]], np.int64), np.array([m["comp"] for m in r[c]], np.int64), np.array([m["n"] for m in r[c]], np.int64), np.frombuffer(b"".join(m["sig"] for m in r[c]), np.uint16).reshape(-1, SYMBOLS)) for c in ("ma", "mb"))
-                near = (ca[:, None] != cb) & (100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb))
-                near &= (sa[:, None, :] != sb).sum(2) < FAR
-                if r["x"] == r["y"]:
-                    near &= ia[:, None] < ib
-                i, j = np.nonzero(near)
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array([r["x"]]), pa.array([r["y"]]), pa.array([ia[i]], pa.list_(pa.int64())), pa.array([ib[j]], pa.list_(pa.int64()))], schema=schema)
+            held = holds((x.as_py(), y.as_py()) for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True))
+            yield batch.select(["a", "b"]).filter(pa.array(held, pa.bool_()))
 
     return run
 
 
-def _block_links(percent: int):
-    """Confirms pairs on full sets; pairs that confirmed ones have already put in one group are passed over."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                sets, comp = {}, {}
-                for c in ("ma", "mb"):
-                    for m in row.column(c)[0]:
-                        sets[m["id"].as_py()] = np.frombuffer(m["set"].as_buffer(), np.uint64)
-                        comp[m["id"].as_py()] = m["comp"].as_py()
-                root: dict[int, int] = {}
-
-                def find(x: int, root: dict[int, int] = root) -> int:
-                    while root.get(x, x) != x:
-                        x = root[x] = root.get(root[x], root[x])
-                    return x
-
-                held = []
-                for a, b in zip(row.column("a")[0].as_py(), row.column("b")[0].as_py(), strict=True):
-                    p, q = find(comp[a]), find(comp[b])
-                    if p == q:
-                        continue
-                    both = np.concatenate([sets[a], sets[b]])
-                    both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                    if 100 * common >= percent * (len(both) - common):
-                        root[p] = q
-                        held.append((a, b))
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64())], ["a", "b"])
+def _may(percent: int):
+    def near(na: np.ndarray, nb: np.ndarray, sa: np.ndarray, sb: np.ndarray) -> np.ndarray:
+        x, y = np.ascontiguousarray(sa).view(np.uint16), np.ascontiguousarray(sb).view(np.uint16)
+        return (100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb)) & ((x[:, None, :] != y).sum(2) < FAR)
 
-    return run
+    return near
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): the groups of documents with ``100 * shared >= percent * union``."""
     scratch = scratch or Scratch(docs.sparkSession, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = scratch.keep(docs.mapInArrow(_sign(words), "doc_id long, n_shingles long, s1 long, s2 long, sig binary"))
-    classes = signed.where("sig is not null and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
+    signed = scratch.keep(docs.mapInArrow(_sign(words), "doc_id long, n_shingles long, s1 long, sig binary"))
+    # a class of equal sets is named by a hash of 64 bits; its text is read from its first document
+    classes = signed.where("sig is not null and doc_id is not null").groupBy(F.col("s1").alias("id")).agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
     classes = scratch.keep(classes)
-    keys = scratch.keep(classes.select("id", "sig").distinct().mapInArrow(_keys, "key long, id long"))
+    keys = scratch.keep(classes.select("id", "sig").mapInArrow(_keys, "key long, id long"))
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        wanted = scratch.keep(classes.select("id", "doc").join(ids, "id").select("id", F.col("doc").alias("doc_id")))
+        own = wanted.select("doc_id").distinct()
+        sets = join_small(docs, own, "doc_id", "left_semi", own.count()).mapInArrow(_sets(words), "id long, body binary")
+        # a document of several texts gives sets that nobody asked for
+        return sets.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = classes.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
         b = classes.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
         close = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        close = scratch.keep(close.select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long").distinct())
-        ids = scratch.keep(close.select(F.col("a").alias("doc_id")).union(close.select(F.col("b").alias("doc_id"))).distinct())
-        sets = join_small(docs, ids, "doc_id", "left_semi", ids.count()).mapInArrow(_sets(words), "id long, set binary").where("length(set) > 0")
-        sets = scratch.keep(sets)
-        full = close.join(sets.select(F.col("id").alias("a"), F.col("set").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("tb")), "b")
-        held = scratch.keep(full.select("a", "b", "ta", "tb").mapInArrow(_confirm(percent), "a long, b long").distinct())
-        scratch.drop(sets, ids, close)
+        close = scratch.keep(close.select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long"))
+        sets = scratch.keep(fetch(close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct()))
+        full = close.join(sets.select(F.col("id").alias("a"), F.col("body").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("body").alias("tb")), "b")
+        held = scratch.keep(full.select("a", "b", "ta", "tb").mapInArrow(_confirm(percent), "a long, b long"))
+        scratch.drop(sets, close)
         return held
 
     def across(members: DataFrame) -> DataFrame:
-        blocks, met = in_blocks(members, 64, scratch)
-        signed_blocks = blocks.join(classes.select("id", "n", "sig"), "id").groupBy("blk").agg(F.collect_list(F.struct("id", "comp", "n", "sig")).alias("m"))
-        signed_blocks = scratch.keep(signed_blocks)
-        side = lambda df, name, m: df.select(F.col("blk").alias(name), F.col("m").alias(m))
-        near = met.join(side(signed_blocks, "x", "ma"), "x").join(side(signed_blocks, "y", "mb"), "y")
-        near = scratch.keep(near.select("x", "y", "ma", "mb").mapInArrow(_block_candidates(percent), "x long, y long, a array<long>, b array<long>"))
-        ids = near.select(F.explode(F.array_distinct(F.concat("a", "b"))).alias("doc_id")).distinct()
-        ids = scratch.keep(ids)
-        sets = join_small(docs, ids, "doc_id", "left_semi", ids.count()).mapInArrow(_sets(words), "id long, set binary").where("length(set) > 0").dropDuplicates(["id"])
-        full = scratch.keep(blocks.join(sets, "id").groupBy("blk").agg(F.collect_list(F.struct("id", "comp", "set")).alias("m")))
-        both = near.join(side(full, "x", "ma"), "x").join(side(full, "y", "mb"), "y")
-        return scratch.keep(both.select("a", "b", "ma", "mb").mapInArrow(_block_links(percent), "a long, b long"))
+        return links_in_blocks(members, classes.select("id", "n", "sig"), _may(percent), fetch, _alike(percent), scratch)
 
     comps = link(keys, verify, scratch, across)
-    # doc_id -> its class's first document -> that one's component; an id with rows in two classes joins them
-    member = signed.where("sig is not null and doc_id is not null").select("doc_id", "s1", "s2").distinct().join(classes.select("s1", "s2", "id"), ["s1", "s2"]).select("doc_id", "id")
-    member = scratch.keep(member)
-    twice = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b")
+    scratch.drop(keys)
+    # a document of several texts joins their classes
+    named = signed.where("sig is not null and doc_id is not null")
+    twice = scratch.keep(named.groupBy("doc_id").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).where("a <> b"))
     if twice.limit(1).count():
-        own = member.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).union(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))
-        all_comps = connected_components(own, scratch)
-        placed = all_comps.select(F.col("node").alias("doc_id"), F.col("comp").alias("component_id"))
-    else:
-        placed = member.join(comps.select(F.col("node").alias("id"), "comp"), "id", "left").select("doc_id", F.coalesce("comp", "id").alias("component_id"))
-    per_doc = signed.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
-    out = per_doc.join(placed, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        more = named.join(twice.select("doc_id", "a"), "doc_id").select("a", F.col("s1").alias("b")).union(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))
+        comps = connected_components(more, scratch)
+    member = scratch.keep(classes.select("id", "doc").join(comps.withColumnRenamed("node", "id"), "id", "left").select("id", "doc", F.coalesce("comp", "id").alias("comp")))
+    # groups are named by their smallest document; a class of its own needs no look-up
+    first = member.groupBy("comp").agg(F.min("doc").alias("component_id"))
+    placed = scratch.keep(member.join(first, "comp").select(F.col("id").alias("s1"), "component_id"))
+    per_row = signed.join(placed, "s1", "left").select("doc_id", "n_shingles", "component_id")
+    out = per_row.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
+    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest doc_id (its repeated rows once)."""
-    groups = near_duplicates(docs, words, percent)
-    gone = groups.where("not kept").select("doc_id")
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """``docs`` with one document of each group: the one with the smallest doc_id. Its repeated rows
+    stay once; if it has several texts, each of them stays."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"))
+    gone = near_duplicates(docs, words, percent).where("not kept").select("doc_id")
+    kept = packed.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "t"])
+    return kept.select("row.*").unionByName(docs.where("doc_id is null"))

@@ -60,7 +60,7 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"), F.length("text").cast("long").alias("n_chars_left"), F.md5("text").alias("text_md5"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.md5("text").alias("text_md5"))
 
 
 QUERIES = {
