@@ -4,7 +4,7 @@ Subwords are the 2-, 3- and 4-byte windows of a text's letters (other ASCII
 becomes a blank), hashed into a table of embeddings. A text is the mean of its
 windows' embeddings; a softmax over that mean gives the languages. Both are
 trained by stochastic gradient descent in numpy on a bounded sample
-(``most`` texts) and on short cuts of those texts. A part of the sample that is
+(about ``most`` texts, by language) and on short cuts of those texts. A part of the sample that is
 not trained on sets the temperature and the confidence below which a
 prediction is rejected.
 
@@ -13,7 +13,8 @@ a window costs one look-up and whole texts of any length are scored in pieces.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; rows of
 null lang or null id teach nothing; with no row to learn from every text is
-``und``; repeated rows are predicted alike. Extra columns are ignored.
+``und``; repeated rows are predicted alike, and of a sampled doc_id's texts in a
+language the smallest is learnt from; of equal scores the language first by name wins. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.sampling import sample_ids
+from helixframe.llm.sampling import unit_hash
 
 BITS, DIM, WINDOWS = 14, 16, (2, 3, 4)
 TABLE = len(WINDOWS) << BITS
@@ -145,12 +146,17 @@ def train(texts: list[str], labels: list[str], seed: int = 11, epochs: int = 6,
     return model
 
 
-def fit(docs: DataFrame, learn: Column, most: int = 2_500) -> LanguageModel:
-    """A model of ``lang`` from at most ``most`` rows where ``learn`` holds."""
-    rows = docs.select(F.col("doc_id").alias("doc_id"), "text", "lang").where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = sample_ids(rows, "doc_id", most)
-    got = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang").toPandas()
-    got = got.sort_values(["doc_id", "lang", "text"]).head(most)
+def fit(docs: DataFrame, learn: Column, most: int = 2_500, least: int = 100) -> LanguageModel:
+    """A model of ``lang`` from about ``most`` rows where ``learn`` holds, in proportion, and of each language ``least`` where there are so many."""
+    rows = docs.select(F.col("doc_id").alias("doc_id"), "text", "lang").where(learn & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    per = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    quota = F.greatest(F.lit(least), F.ceil(F.col("n") * most / F.greatest(F.lit(1), F.sum("n").over(Window.partitionBy(F.lit(1))))))
+    per = per.withColumn("quota", quota)  # a row a language
+    some = rows.join(per, "lang").where(unit_hash("doc_id") <= 2 * F.col("quota") / F.col("n"))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = some.select("lang", "doc_id", "quota").distinct().withColumn("r", F.row_number().over(first)).where("r <= quota").select("doc_id", "lang")
+    got = some.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toPandas()
+    got = got.sort_values(["doc_id", "lang"])
     return train(got["text"].tolist(), got["lang"].tolist())
 
 

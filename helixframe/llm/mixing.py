@@ -82,7 +82,8 @@ def _size():
 def _place(docs: DataFrame, share: float, weights: tuple[int, ...], block: int, shard_words: int, seed: int, scratch: Scratch) -> DataFrame:
     """``docs`` with __size, __source_size, __target, __passes, and the words of its further blocks: __ahead words from word
     __from on, then __behind words from the start."""
-    src = F.coalesce("source", F.lit("\x00null"))
+    # the null source has a name of its own; names that begin like it get one more of its first character
+    src = F.coalesce(F.when(F.col("source").startswith("\x00"), F.concat(F.lit("\x00"), "source")).otherwise(F.col("source")), F.lit("\x00null"))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     number = lambda x: F.conv(F.substring(x, 1, 8), 16, 10).cast("long")
     sized = scratch.keep(docs.select(F.col("source"), src.alias("__src"), number(order).alias("__n"), _size().alias("__size")))

@@ -1,9 +1,10 @@
 """Hierarchical residual packing of documents into sequences of a fixed length.
 
 Each partition packs its pieces best-fit. Bins filled to ``full`` of the
-length or more are emitted; the others travel, as items of their own, to a
-quarter as many partitions and are packed again with the bins of other
-partitions, until one partition's worth is left.
+length or more are emitted; the others travel, as items of their own, to
+as many partitions as they fill and are packed again with the bins of other
+partitions, until one partition's worth is left or a round makes less than
+a hundredth fewer bins of them: what is left then does not fit together.
 
 Edge cases: a null or empty text is a document of one token, the closing id;
 each row is a document of its own, so repeated rows are packed twice; null
@@ -179,26 +180,27 @@ def pack(pieces: DataFrame, room: int = 4096, full: float = 0.998, per_task: int
 
     ``per_task`` bounds the items one task packs at once (16 bytes each, and
     as much again for its bins); a level has as many partitions as that asks
-    for. Pieces that no other partition can complete end in the last level.
+    for, so no task ever has more than about that.
     """
     scratch = scratch or Scratch(pieces.sparkSession, "pack")
     # written once: the numbers are read again by the join at the end
     numbered = scratch.keep(pieces.withColumn("item", F.monotonically_increasing_id()))
     n = numbered.count()
     parts = max(1, -(-n // per_task))
-    items, levels = numbered.select("item", "length"), []
+    items, levels, before = numbered.select("item", "length"), [], n
     while True:
         last = parts == 1
-        dealt = items.coalesce(1) if last else items.repartition(parts, F.xxhash64("item"))
+        dealt = items.coalesce(1) if last else items.repartition(parts, F.xxhash64("item", F.lit(len(levels))))
         out = scratch.keep(dealt.mapInArrow(_round(room, full, -1 if last else len(levels)), "item long, bin long, offset long, filled long, done boolean"))
         levels.append(out)
         if last:
             break
         items = out.where("not done").groupBy("bin").agg(F.first("filled").alias("length")).withColumnRenamed("bin", "item")
         left = items.count()
-        parts = max(1, min(parts // 4, -(-left // per_task)))
-        if left > per_task and parts == 1:
-            parts = -(-left // per_task) if len(levels) < 8 else 1
+        if 100 * left > 99 * before:  # what is left does not fit together
+            levels[-1] = out.withColumn("done", F.lit(True))
+            break
+        before, parts = left, max(1, -(-left // per_task))
     place = levels[-1].select("item", F.col("bin").alias("sequence_id"), "offset")
     for lower in reversed(levels[:-1]):
         whole = lower.where("done").select("item", F.col("bin").alias("sequence_id"), "offset")

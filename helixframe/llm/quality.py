@@ -7,8 +7,9 @@ R+-(g)) with the sigmoid loss, minimised by stochastic gradient steps in
 numpy; where the negative part falls below zero its gradient is reversed. The
 class prior pi is estimated from positives and unlabelled text alone: with a
 probe that tells the two apart, the mean of its output over unlabelled text
-over that over held-back positives. Scores are calibrated to probabilities on
-labelled rows that learning may see, and a text passes at ``cut``.
+over that over held-back positives. The network's output orders the texts; slope and
+shift that make it a probability, and so where ``cut`` falls, are fitted on
+labelled rows of both classes that learning may see.
 
 Samples are bounded by ``positives`` and ``unlabelled``; the measures of a text
 cover all of it.
@@ -189,8 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = 6_00
     some = marked.join(F.broadcast(ids), "doc_id")
     web = sample_ids(docs.select("doc_id"), "doc_id", unlabelled)
     wanted = some.select("doc_id").union(web).distinct()  # at most positives + unlabelled ids
-    rows = docs.select(F.col("doc_id"), "text").join(F.broadcast(wanted), "doc_id").mapInArrow(_measure, "doc_id long, x array<double>").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    # of a repeated doc_id the smallest text counts
+    rows = docs.select(F.col("doc_id"), "text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(_measure, "doc_id long, x array<double>").toPandas()
+    rows = rows.sort_values("doc_id", kind="stable")
     lab = some.toPandas().set_index("doc_id")["quality"]
     web_ids = {r[0] for r in web.collect()}
     x = np.array(rows["x"].tolist()).reshape(-1, N_MEASURES)
@@ -206,7 +208,7 @@ def _score(model: QualityModel):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 x = np.array([measures(t) for t in part.column(part.num_columns - 1).to_pylist()]).reshape(-1, N_MEASURES)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(x))], [*part.schema.names, "__quality"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(x))], [*part.schema.names, "quality"])
 
     return run
 
@@ -214,11 +216,11 @@ def _score(model: QualityModel):
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     """(doc_id, score) of every row; only the text is looked at."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_score(model), "doc_id long, text string, __quality double").select("doc_id", F.col("__quality").alias("score"))
+    return rows.mapInArrow(_score(model), "doc_id long, text string, quality double").select("doc_id", F.col("quality").alias("score"))
 
 
 def keep_good(docs: DataFrame, model: QualityModel, cut: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, whose text passes."""
-    rows = docs.withColumn("__text", F.col("text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_score(model), f"{fields}, __quality double").where(F.col("__quality") >= cut).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    scored = rows.mapInArrow(_score(model), f"row {rows.schema['row'].dataType.simpleString()}, text string, quality double")
+    return scored.where(F.col("quality") >= cut).select("row.*")

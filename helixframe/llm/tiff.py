@@ -6,14 +6,16 @@ differencing, and yields one page a directory. Pages are arrays of
 (height, width, samples) with 8 or 16 bits a sample (1 bit unpacked to 0/1).
 
 Edge cases of ``tiff_pages``: null or empty content gives no rows; a file that
-is no TIFF, or a page that can't be decoded, gives one row with ``error`` set
-(and page -1 if no directory was reached); a chain that loops ends where it
+is no TIFF, or a page that can't be decoded, whatever the reason, gives one row with
+``error`` set (and page -1 if no directory was reached); sizes are held against what the
+blocks' bytes can decode to before memory is taken; a chain that loops ends where it
 meets itself. Repeated rows give repeated pages; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 TYPES = {1: (1, "B"), 2: (1, "c"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i"), 11: (4, "f"), 12: (8, "d")}
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, STRIP_ROWS, STRIP_SIZE, PLANAR, PREDICTOR, TILE_W, TILE_H, TILE_AT, TILE_SIZE = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325
 NONE, LZW, ADOBE_DEFLATE, PACKBITS, DEFLATE = 1, 5, 8, 32773, 32946
+#: Bytes that one byte can decode to at most.
+MOST = {NONE: 1, LZW: 4096, ADOBE_DEFLATE: 1040, DEFLATE: 1040, PACKBITS: 128}
 
 
 class TiffError(ValueError):
@@ -60,22 +64,23 @@ def unpack_bits(data: bytes) -> bytes:
     return b"".join(out)
 
 
+RUN = re.compile(rb"(.)\1{2,127}", re.S)
+
+
 def pack_bits(data: bytes) -> bytes:
-    out, at, n = bytearray(), 0, len(data)
-    while at < n:
-        run = 1
-        while run < 128 and at + run < n and data[at + run] == data[at]:
-            run += 1
-        if run > 1:
-            out += bytes((257 - run, data[at]))
-            at += run
-            continue
-        end = at + 1
-        while end < n and end - at < 128 and (end + 1 >= n or data[end] != data[end + 1]):
-            end += 1
-        out.append(end - at - 1)
-        out += data[at:end]
-        at = end
+    out, at = bytearray(), 0
+
+    def plain(end: int) -> None:
+        for k in range(at, end, 128):
+            part = data[k : min(k + 128, end)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for m in RUN.finditer(data):
+        plain(m.start())
+        out.extend((257 - len(m[0]), m[0][0]))
+        at = m.end()
+    plain(len(data))
     return bytes(out)
 
 
@@ -146,11 +151,12 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _decode(data: bytes, how: int) -> bytes:
+def _decode(data: bytes, how: int, most: int) -> bytes:
+    """The block's bytes; of deflate no more than ``most``."""
     if how == NONE:
         return data
     if how in (ADOBE_DEFLATE, DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, max(most, 1))
     if how == PACKBITS:
         return unpack_bits(data)
     if how == LZW:
@@ -189,31 +195,43 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
 
 
 def page_of(data: bytes, order: str, tags: dict[int, tuple]) -> Page:
-    one = lambda tag, default: tags.get(tag, (default,))[0]
+    def one(tag: int, default: int) -> int:
+        value = tags.get(tag, (default,))
+        if not value or not isinstance(value[0], int) or value[0] < 0:
+            raise TiffError(f"tag {tag} is no number")
+        return value[0]
+
     if WIDTH not in tags or HEIGHT not in tags:
         raise TiffError("no size")
     w, h, how, predictor, per = one(WIDTH, 0), one(HEIGHT, 0), one(COMPRESSION, 1), one(PREDICTOR, 1), one(SAMPLES, 1)
     bits = one(BITS, 1)
     if bits not in (1, 8, 16) or predictor not in (1, 2) or (bits == 1 and per != 1):
         raise TiffError(f"{bits} bits, predictor {predictor}")
+    if not (w and h and per) or how not in MOST:
+        raise TiffError(f"{w} x {h} x {per} samples, compression {how}")
     planar = one(PLANAR, 1) == 2 and per > 1
     tiled = TILE_AT in tags
     bw, bh = (one(TILE_W, w), one(TILE_H, h)) if tiled else (w, min(one(STRIP_ROWS, h), h) or h)
     at, sizes = (tags.get(TILE_AT, ()), tags.get(TILE_SIZE, ())) if tiled else (tags.get(STRIP_AT, ()), tags.get(STRIP_SIZE, ()))
     if not sizes and len(at) == 1:
         sizes = (len(data) - at[0],)
+    if not (bw and bh) or not all(isinstance(x, int) for x in (*at, *sizes)):
+        raise TiffError("blocks without size")
     across, down = -(-w // bw) if bw else 0, -(-h // bh) if bh else 0
     planes, inner = (per, 1) if planar else (1, per)
     if min(len(at), len(sizes)) < across * down * planes:
         raise TiffError("blocks are missing")
+    stored = sum(max(0, min(n, len(data) - k)) for k, n in zip(at, sizes))
+    if w * h * per * bits // 8 > stored * MOST[how] or bw * bh > 16 * stored * MOST[how] * 8:
+        raise TiffError("blocks are too short for the page's size")
     kind = np.dtype("u1") if bits < 16 else np.dtype(order + "u2")
     out = np.zeros((h, w, per), kind.newbyteorder("="))
     for k in range(across * down * planes):
         plane, cell = divmod(k, across * down)
         y, x = cell // across * bh, cell % across * bw
         rows = bh if tiled else min(bh, h - y)
-        raw = _decode(data[at[k] : at[k] + sizes[k]], how)
         width = -(-bw // 8) if bits == 1 else bw * inner * kind.itemsize
+        raw = _decode(data[at[k] : at[k] + sizes[k]], how, rows * width)
         if len(raw) < rows * width:
             raise TiffError("a block is too short")
         block = np.frombuffer(raw, "u1", rows * width).reshape(rows, width)
@@ -293,10 +311,10 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     try:
                         p = page_of(data, order, tags)
                         rows.append((doc, k, *p[:7], p.pixels.tobytes(), None))
-                    except (TiffError, zlib.error, struct.error) as e:
-                        rows.append((doc, k, *[None] * 8, str(e)))
-            except (TiffError, struct.error) as e:
-                rows.append((doc, k + 1 if rows else -1, *[None] * 8, str(e)))
+                    except Exception as e:  # noqa: BLE001  whatever bytes do, the file's other pages and other files go on
+                        rows.append((doc, k, *[None] * 8, f"{type(e).__name__}: {e}"))
+            except Exception as e:  # noqa: BLE001
+                rows.append((doc, k + 1 if rows else -1, *[None] * 8, f"{type(e).__name__}: {e}"))
             if rows:
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
 
@@ -311,10 +329,23 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
 
 
+#: How a payload is stored, by its checksum modulo their number: all that the reader decodes comes up.
+FORMS = (
+    {"compression": LZW},
+    {"compression": PACKBITS},
+    {"compression": PACKBITS, "tile": 64, "order": ">"},
+    {"compression": ADOBE_DEFLATE, "predictor": 2},
+    {"compression": ADOBE_DEFLATE, "tile": 64},
+    {"compression": DEFLATE, "order": ">"},
+    {"compression": ADOBE_DEFLATE},
+    {"compression": NONE, "predictor": 2, "tile": 32},
+)
+
+
 def store(payload: bytes, page_rows: int = 16384) -> bytes:
-    """Rows of 64 grey samples, ``page_rows`` a page, deflated strips."""
+    """Rows of 64 grey samples, ``page_rows`` a page, in one of FORMS."""
     grid = np.frombuffer(payload, np.uint8).reshape(-1, 64)
-    return write_tiff([grid[y : y + page_rows] for y in range(0, len(grid), page_rows)])
+    return write_tiff([grid[y : y + page_rows] for y in range(0, len(grid), page_rows)], **FORMS[zlib.crc32(payload) % len(FORMS)])
 
 
 def feature_of(pages: list[Page]) -> str:

@@ -15,8 +15,9 @@ id, and one may be the query's own row), which loses no result.
 
 Edge cases: null vectors, null or non-finite components and null ids take no part;
 vectors of another length than the query's take part in no score with it;
-rows that repeat a vec_id with the same vector are one, as queries too; empty tables give no
-rows. Extra columns are ignored. Blocks of queries meet blocks of cells in a
+rows that repeat a vec_id are one, as queries too, and of different vectors of an
+id the smallest (as arrays compare) counts; vectors without components have no score; empty
+tables give no rows. Extra columns are ignored. Blocks of queries meet blocks of cells in a
 join, so neither side has to fit one task.
 """
 
@@ -103,9 +104,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scratch: Scratch |
     """(query_id, rank, vec_id, score) for ``queries``, a subset of the rows of ``vectors`` (vec_id, v array<bigint>)."""
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark, "vectors")
+    # an id has one vector: of several, the smallest
+    vectors, queries = (x.groupBy("vec_id").agg(F.min("v").alias("v")) for x in (vectors, queries))
+    queries = scratch.keep(queries)
     rows = scratch.keep(vectors.withColumn("h", F.xxhash64("v")))
     lead = Window.partitionBy("h", "v").orderBy("vec_id")
-    members = rows.distinct().withColumn("r", F.row_number().over(lead)).where(f"r <= {k + 1}")
+    members = rows.withColumn("r", F.row_number().over(lead)).where(f"r <= {k + 1}")
     members = scratch.keep(members)
     # a class is named by its smallest row
     exact = scratch.keep(members.where("r = 1").select(F.col("vec_id").alias("cls"), "v"))
@@ -116,14 +120,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scratch: Scratch |
     spread = spread.groupBy("dim").agg(F.sort_array(F.collect_list(F.struct("at", "lo", step.alias("step")))).alias("s")).select("dim", F.col("s.lo").alias("lo"), F.col("s.step").alias("step"))
     marked = exact.withColumn("dim", F.size("v")).where("dim > 0").join(F.broadcast(spread), "dim")
     blocks = scratch.keep(marked.select("cls", "v", "lo", "step").mapInArrow(_cells, "dim int, ids binary, cells binary, lo binary, step binary"))
-    asked = scratch.keep(queries.select("vec_id", "v").distinct().where("size(v) > 0").mapInArrow(_query_blocks, "dim int, qids binary, q binary"))
-    met = blocks.repartition("ids").join(asked, "dim") if asked.count() > 64 else blocks.join(F.broadcast(asked), "dim")
+    asked = scratch.keep(queries.where("size(v) > 0").mapInArrow(_query_blocks, "dim int, qids binary, q binary"))
+    if asked.count() <= 64:
+        met = blocks.join(F.broadcast(asked), "dim")
+    else:  # blocks of cells are dealt to parts, each of which gets all queries
+        parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        copies = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        met = blocks.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int")).join(copies, ["dim", "part"]).drop("part")
     bounds = scratch.keep(met.mapInArrow(_scan(k, 1), "query_id long, cls long, lower double, upper double"))
     w = Window.partitionBy("query_id").orderBy(F.desc("lower"), "cls")
     floor_ = bounds.withColumn("r", F.row_number().over(w)).where(f"r <= {k + 1}").groupBy("query_id").agg(F.when(F.count("*") > k, F.min("lower")).alias("least"))
     open_ = scratch.keep(bounds.join(floor_, "query_id").where("least is null or upper >= least").select("query_id", "cls", "upper"))
 
-    asker = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")).distinct()
+    asker = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
 
     def product(kind: str) -> Column:
         return F.aggregate(F.zip_with("qv", "v", lambda a, b: a.cast(kind) * b.cast(kind)), F.lit(0).cast(kind if kind == "long" else "decimal(38,0)"), lambda s, x: (s + x).cast(kind if kind == "long" else "decimal(38,0)"))

@@ -277,6 +277,29 @@ def test_packing(docs, empty):
     assert packing.pack(packing.token_pieces(empty, vocabulary("word_bpe_49k.json"))).count() == 0
 
 
+def test_packing_of_pieces_that_do_not_fit_together(spark):
+    """All above half the room: a round brings nothing, and no task gets more than its share."""
+    df = spark.range(400).selectExpr("id as doc_id", "0 as piece", "0L as start", "cast(140 + id % 50 as long) as length", "0L as ids_crc32")
+    rows = packing.pack(df, room=256, per_task=20).collect()
+    assert len({r.sequence_id for r in rows}) == 400 == len(rows) and all(r.offset == 0 for r in rows)
+    one = packing.pack(df.withColumn("length", F.lit(64).cast("long")), room=256, per_task=20).collect()
+    assert len({r.sequence_id for r in one}) <= 104
+
+
+def test_pieces_against_the_tokenizer(spark):
+    """Start, length, checksum and order of ids of every piece, cuts included."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    texts = {1: "some words here " * 300, 2: "", 3: None, 4: "x" * 900, 5: "Ünïcode ñandú " * 50}
+    got = packing.token_pieces(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), vocabulary("word_bpe_49k.json"), room=128).collect()
+    want = set()
+    for d, t in texts.items():
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
+        want |= {(d, k, at, len(ids[at : at + 128]), zlib.crc32(np.array(ids[at : at + 128], "<u4").tobytes())) for k, at in enumerate(range(0, len(ids), 128))}
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want
+
+
 def test_best_fit_never_overfills():
     rng = np.random.default_rng(4)
     n = rng.integers(1, 101, 500)
@@ -300,6 +323,12 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_tells_null_from_names(spark):
+    rows = [(1, "a b c", None), (2, "d e f", "\x00null"), (3, "g h", "\x00\x00null")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r.doc_id, r.source_size) for r in got) == [(1, 3), (2, 3), (3, 2)]
+
+
 def test_seats_are_sainte_lague(spark):
     rng = random.Random(2)
     shares = [rng.random() ** 3 * 1000 + 1 for _ in range(30)]
@@ -341,6 +370,20 @@ def test_vector_search_repeated_query_row(spark):
     assert sorted(got) == sorted((*a, *b) for a, b in brute_top(v, 10, 5).items())
 
 
+def test_vector_search_many_query_blocks_and_odd_rows(spark):
+    """More blocks of queries than are sent out; ids of several vectors; vectors of other lengths and of none."""
+    rng = np.random.default_rng(7)
+    v = {i: [float(x) for x in r] for i, r in enumerate(rng.standard_normal((300, 3)))}
+    df = spark.createDataFrame([*v.items(), (0, [9.0, 9.0, 9.0]), (900, [1.0]), (901, []), (902, [2.0])], "vec_id long, embedding array<double>")
+    v[0] = min(v[0], [9.0, 9.0, 9.0], key=lambda x: [math.floor(256 * y) for y in x])
+    small = spark.createDataFrame([(i, [math.floor(256 * x) for x in r]) for i, r in v.items()] + [(900, [256]), (901, []), (902, [512])], "vec_id long, v array<bigint>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in vector_search.top_k_of_every(df, 1, 4).collect()}
+    assert {k: x for k, x in got.items() if k[0] < 300} == brute_top(v, 1, 4)
+    assert got[900, 1] == (902, 256 * 512) and (901, 1) not in got
+    many = vector_search.top_k(small.repartition(80), small.repartition(80), 4).collect()
+    assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in many} == got
+
+
 def test_vector_search_large_components(spark):
     """Finite components over 1e7, and those whose products are not exact in double."""
     rng = np.random.default_rng(4)
@@ -372,6 +415,68 @@ def test_tiff(spark, docs):
         assert (r.n_bytes, r.payload_sha256, r.tail_crc32) == (n, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
 
 
+def by_hand(width, height, compression, blocks, tile=0, extra=()):
+    """A file put together byte by byte, little-endian, 8-bit grey."""
+    out, at = bytearray(b"II*\0\0\0\0\0"), []
+    for b in blocks:
+        at.append(len(out))
+        out += b
+    lists = {}
+    for name, values in (("at", at), ("size", [len(b) for b in blocks])):
+        lists[name] = len(out) if len(values) > 1 else values[0]
+        if len(values) > 1:
+            out += b"".join(v.to_bytes(4, "little") for v in values)
+    tags = [(256, 4, 1, width), (257, 4, 1, height), (258, 3, 1, 8), (259, 3, 1, compression), (277, 3, 1, 1)]
+    tags += [(322, 3, 1, tile), (323, 3, 1, tile), (324, 4, len(blocks), lists["at"]), (325, 4, len(blocks), lists["size"])] if tile else [(273, 4, len(blocks), lists["at"]), (278, 4, 1, -(-height // len(blocks))), (279, 4, len(blocks), lists["size"])]
+    tags = sorted([t for t in tags if t[0] not in {e[0] for e in extra}] + list(extra))
+    out[4:8] = len(out).to_bytes(4, "little")
+    out += len(tags).to_bytes(2, "little") + b"".join(a.to_bytes(2, "little") + b.to_bytes(2, "little") + c.to_bytes(4, "little") + d.to_bytes(4, "little") for a, b, c, d in tags) + bytes(4)
+    return bytes(out)
+
+
+def test_tiff_by_hand():
+    # PackBits as in its published example
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    want = bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+    page = next(tiff.read_tiff(by_hand(24, 1, tiff.PACKBITS, [packed])))
+    assert page.pixels.tobytes() == want
+    # LZW: clear, 7, 258 (7 7), 8, 258 (7 7), end in 9 bits each, high bit first
+    codes = [256, 7, 258, 8, 258, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    data = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert next(tiff.read_tiff(by_hand(6, 1, tiff.LZW, [data]))).pixels.tobytes() == bytes([7, 7, 7, 8, 7, 7])
+    # four tiles of 16 by 16 for 20 by 18
+    tiles = [bytes([k]) * 256 for k in (1, 2, 3, 4)]
+    grid = next(tiff.read_tiff(by_hand(20, 18, tiff.NONE, tiles, tile=16))).pixels[:, :, 0]
+    assert (grid[:16, :16] == 1).all() and (grid[:16, 16:] == 2).all() and (grid[16:, :16] == 3).all() and (grid[16:, 16:] == 4).all() and grid.shape == (18, 20)
+
+
+def test_tiff_never_ends_a_job(spark):
+    good = by_hand(4, 1, tiff.NONE, [b"abcd"])
+    bad = [by_hand(2**31, 2**31, tiff.NONE, [b"abcd"]), by_hand(4, 1, tiff.NONE, [b"abcd"], extra=[(256, 3, 0, 4)]), by_hand(4, 1, tiff.NONE, [b"abcd"], extra=[(256, 2, 1, 4)]), by_hand(4, 1, tiff.NONE, [b"abcd"], extra=[(256, 11, 1, 4)]), by_hand(4, 1, tiff.NONE, [b"abcd"], extra=[(277, 3, 1, 0)]), by_hand(60_000, 60_000, tiff.ADOBE_DEFLATE, [zlib.compress(b"x")])]
+    rng = random.Random(1)
+    base = tiff.write_tiff([np.arange(600, dtype=np.uint8).reshape(30, 20)], tiff.LZW, predictor=2, tile=16)
+    for _ in range(300):
+        x = bytearray(base)
+        for _ in range(3):
+            x[rng.randrange(len(x))] = rng.randrange(256)
+        bad.append(bytes(x))
+    rows = tiff.tiff_pages(spark.createDataFrame([(0, good), (0, good), *((k + 1, b) for k, b in enumerate(bad))], "f long, c binary"), "f", "c").collect()
+    assert [bytes(r.pixels) for r in rows if r.id == 0] == [b"abcd"] * 2 and all(r.error for r in rows if 1 <= r.id <= 6)
+    assert {r.id for r in rows} == set(range(len(bad) + 1))
+
+
+def test_tiff_forms_all_come_back():
+    met = set()
+    for k in range(60):
+        _, payload = tiff.payload_of(f"text {k} " * (k * 9) + "aaaa" * k)
+        media = tiff.store(payload)
+        pages = list(tiff.read_tiff(media))
+        assert b"".join(p.pixels.tobytes() for p in pages) == payload
+        met.add((pages[0].compression, pages[0].predictor, pages[0].tiled))
+    assert len(met) >= 7
+
+
 PAGE = "<html><head><title>T</title></head><body><nav><ul><li>A<li>B</ul></nav><div class='cookie-notice'>We use</div><article><h1>{t}</h1><p>One &amp; <b>two</b><br>{t}<p>Last&nbsp;one</p><form>f</form><div id=comments><p>hi</p></div></article><aside>x</aside><footer>f</footer></body></html>"
 
 
