@@ -14,6 +14,11 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def order(sites) -> list[str]:
+    """Columns that order the sites of a chromosome: the position, then what tells sites of one position apart."""
+    return ["pos", *(c for c in ("site_ord", "site_id", "ref") if c in sites.columns)]
+
+
 def called(gt="gt") -> Column:
     """The called allele codes of both haplotypes of all samples."""
     return F.filter(F.flatten(F.transform(_c(gt), lambda g: F.array(g["a0"], g["a1"]))), lambda a: a >= 0)
@@ -143,7 +148,7 @@ def geno_ref(cnt="counts", ref="ref", alt="alt") -> Column:
 
 def geno_alt(cnt="counts", ref="ref", alt="alt") -> Column:
     """The most frequent observed allele after the first one."""
-    rest = F.slice(F.filter(F.transform(_c(cnt), lambda x, k: F.struct((-x).alias("n"), k.alias("k"))), lambda p: p["n"] < 0), 2, 1000)
+    rest = F.slice(F.filter(F.transform(_c(cnt), lambda x, k: F.struct((-x).alias("n"), k.alias("k"))), lambda p: p["n"] < 0), 2, F.greatest(F.lit(1), F.size(_c(cnt))))
     return F.get(alleles(ref, alt), F.get(F.array_sort(rest), F.lit(0))["k"])
 
 

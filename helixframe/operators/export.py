@@ -42,7 +42,7 @@ def haplotypes(sites: DataFrame, aa: str = "aa") -> DataFrame:
     """chrom, pos, haps (0 ancestral, 1 derived, -1 missing), dist: biallelic sites whose AA is observed; dist counts the records
     up to the next one, 1 at the end."""
     s = sites.withColumn("counts", S.counts())
-    w = Window.partitionBy("chrom").orderBy("pos")
+    w = Window.partitionBy("chrom").orderBy(*S.order(sites))
     s = s.withColumn("__n", F.row_number().over(w)).withColumn("__anc", F.array_position(S.alleles(), F.col(aa)).cast("int") - 1)
     s = s.where((S.allelicity() == 2) & F.array_contains(S.geno_alleles(), F.col(aa)))
     hap = F.flatten(F.transform("gt", lambda g: F.transform(F.array(g["a0"], g["a1"]), lambda a: F.when(a < 0, -1).when(a == F.col("__anc"), 0).otherwise(1))))

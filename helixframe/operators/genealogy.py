@@ -180,7 +180,7 @@ def gnn_file_factors(files: DataFrame, path: str = "path") -> DataFrame:
     """The parameters that names of GNN files hold (adx_kK_tT_nN_ind_pop_random_dd_nN); null for others."""
     stem = F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
     p = lambda i: F.when(stem.startswith("adx_"), F.get(F.split(stem, "_"), F.lit(i)))
-    tail = lambda i: F.substring(p(i), 2, 100)
+    tail = lambda i: F.substring(p(i), F.lit(2), F.length(p(i)))
     return files.withColumns({
         "gnn_type": p(0), "gnn_k": tail(1).try_cast("int"), "gnn_thresh": F.concat(F.lit("0."), tail(2)).try_cast("double"), "gnn_nodes": tail(3),
         "gnn_has_ind_pairs": p(4), "gnn_has_pop_pairs": p(5), "gnn_is_randomized": p(6), "gnn_discrim": p(7) == "dd", "gnn_num_neighbours": tail(8).try_cast("int"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions import site as S
+
 
 def number_duplicates(sites: DataFrame, order: list[str]) -> DataFrame:
     """``dup_ix``: the place of a row among those of its position, by ``order``."""
@@ -65,20 +67,33 @@ def span_cover(spans: DataFrame, intervals: DataFrame, width: int = 10_000) -> D
 
 def interpolate_map(sites: DataFrame, points: DataFrame) -> DataFrame:
     """``sites`` (chrom, pos) with ``gen``, linear between map points (chrom, phys, gen) from (0, 0), and
-    ``rec``, the distance to the previous site; null and 0 beyond the last point."""
+    ``rec``, the distance to the previous site; null and 0 beyond the last point.
+
+    Each point carries the one after it, so a site needs only the last point before it: one growing window.
+    """
     zero = points.select("chrom").distinct().select("chrom", F.lit(0).cast("long").alias("phys"), F.lit(0.0).alias("gen"))
-    p = zero.unionByName(points.select("chrom", F.col("phys").cast("long").alias("phys"), "gen")).withColumn("__k", F.lit(0))
-    both = p.select("chrom", F.col("phys").alias("pos"), "__k", F.struct("phys", "gen").alias("__pt")).unionByName(sites.withColumn("__k", F.lit(1)).withColumn("__pt", F.lit(None).cast("struct<phys:bigint,gen:double>")), allowMissingColumns=True)
-    w = Window.partitionBy("chrom").orderBy("pos", "__k")
-    lo = F.last("__pt", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    hi = F.first("__pt", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    s = both.withColumns({"__lo": lo, "__hi": hi}).where("__k = 1")
-    gen = F.when(F.col("__lo.phys") == F.col("pos"), F.col("__lo.gen")).otherwise(F.col("__lo.gen") + (F.col("__hi.gen") - F.col("__lo.gen")) * (F.col("pos") - F.col("__lo.phys")) / (F.col("__hi.phys") - F.col("__lo.phys")))
-    s = s.withColumn("gen", gen).drop("__lo", "__hi", "__pt", "__k")
-    back = F.coalesce(F.lag("gen").over(Window.partitionBy("chrom").orderBy("pos")), F.lit(0.0))
+    p = zero.unionByName(points.select("chrom", F.col("phys").cast("long").alias("phys"), "gen"))
+    up = Window.partitionBy("chrom").orderBy("phys")
+    p = p.select("chrom", F.col("phys").alias("pos"), F.struct("phys", "gen", F.lead("phys").over(up).alias("phys2"), F.lead("gen").over(up).alias("gen2")).alias("__pt"))
+    both = p.withColumn("__k", F.lit(0)).unionByName(sites.withColumn("__k", F.lit(1)), allowMissingColumns=True)
+    w = Window.partitionBy("chrom").orderBy("pos", "__k").rowsBetween(Window.unboundedPreceding, 0)
+    s = both.withColumn("__lo", F.last("__pt", ignorenulls=True).over(w)).where("__k = 1")
+    lo = lambda f: F.col(f"__lo.{f}")
+    between = lo("gen") + (lo("gen2") - lo("gen")) * (F.col("pos") - lo("phys")) / (lo("phys2") - lo("phys"))
+    s = s.withColumn("gen", F.when(lo("phys") == F.col("pos"), lo("gen")).otherwise(between)).drop("__lo", "__pt", "__k")
+    back = F.coalesce(F.lag("gen").over(Window.partitionBy("chrom").orderBy(*S.order(sites))), F.lit(0.0))
     return s.withColumn("rec", F.coalesce(F.col("gen") - back, F.lit(0.0)))
 
 
+def sample_places(left: DataFrame, right: DataFrame, mode: str) -> DataFrame:
+    """(name, l_ix, r_ix) of the samples (name, ix) that a comparison keeps: intersect, left, right, all or exclude."""
+    if mode not in ("intersect", "left", "right", "all", "exclude"):
+        raise ValueError(f"mode {mode}")
+    how = {"intersect": "inner", "left": "left", "right": "right"}.get(mode, "full")
+    out = left.select("name", F.col("ix").alias("l_ix")).join(right.select("name", F.col("ix").alias("r_ix")), "name", how)
+    return out.where("l_ix is null or r_ix is null") if mode == "exclude" else out
+
+
 def ordinal_join(left: DataFrame, right: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """The k-th row of a group with the k-th row of the same group on the other side."""
     w = Window.partitionBy(*by).orderBy(*order)

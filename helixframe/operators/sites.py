@@ -18,31 +18,51 @@ def _genotypes(f, gt: str = "gt") -> Column:
 
 
 def lowcount_to_miss(sites: DataFrame, most: int = 1) -> DataFrame:
-    """Alleles called 1..most times become missing; ``changed`` tells whether there were any."""
+    """Alleles called 1..most times become missing, their depths in ``ad`` 0; ``changed`` tells whether there were any."""
     s = with_counts(sites)
     rare = F.filter(F.transform("counts", lambda x, k: F.when((x >= 1) & (x <= most), k).otherwise(-1)), lambda k: k >= 0)
     s = s.withColumn("__rare", rare).withColumn("changed", F.size("__rare") > 0)
-    return s.withColumn("gt", _genotypes(lambda a: F.when(F.array_contains("__rare", a), -1).otherwise(a))).drop("__rare", "counts")
+    s = s.withColumn("gt", _genotypes(lambda a: F.when(F.array_contains("__rare", a), -1).otherwise(a)))
+    if "ad" in s.columns:
+        s = s.withColumn("ad", F.transform("ad", lambda d: F.transform(d, lambda x, k: F.when(F.array_contains("__rare", k), 0).otherwise(x))))
+    return s.drop("__rare", "counts")
 
 
 def depth_to_miss(sites: DataFrame, least: int) -> DataFrame:
     return sites.withColumn("gt", F.zip_with("gt", "dp", lambda g, d: F.when(F.coalesce(d, F.lit(0)) < least, F.struct(F.lit(-1).alias("a0"), F.lit(-1).alias("a1"), g["phased"].alias("phased"))).otherwise(g)))
 
 
-def flip(sites: DataFrame) -> DataFrame:
-    """REF and ALT swapped, 0 and 1 swapped, haplotypes in reverse order; for sites of one alternative."""
-    code = lambda a: F.when(a == 0, 1).when(a == 1, 0).otherwise(a)
-    gt = F.transform("gt", lambda g: F.struct(code(g["a1"]).alias("a0"), code(g["a0"]).alias("a1"), g["phased"].alias("phased")))
-    return sites.withColumns({"gt": gt, "ref": F.get("alt", F.lit(0)), "alt": F.concat(F.array("ref"), F.slice("alt", 2, 1000))})
+def _other(code: Column) -> Column:
+    """0 for 1, 1 for 0, others as they are."""
+    return F.when(code == 0, 1).when(code == 1, 0).otherwise(code)
+
+
+def _swapped(s: DataFrame, when: Column | None = None) -> dict[str, Column]:
+    """REF and first ALT exchanged, with the depths and likelihoods of both, where ``when`` holds."""
+    out = {"ref": F.get("alt", F.lit(0)), "alt": F.concat(F.array("ref"), F.slice("alt", 2, F.greatest(F.size("alt"), F.lit(1))))}
+    if "ad" in s.columns:
+        out["ad"] = F.transform("ad", lambda d: F.transform(d, lambda x, k: F.get(d, _other(k))))
+    if "pl" in s.columns:
+        # the likelihood of alleles j <= k stands at k (k + 1) / 2 + j
+        at = lambda j, k: (F.greatest(j, k) * (F.greatest(j, k) + 1) / 2).cast("int") + F.least(j, k)
+        order = F.flatten(F.transform(F.sequence(F.lit(0), F.size("alt")), lambda k: F.transform(F.sequence(F.lit(0), k), lambda j: at(_other(j), _other(k)))))
+        out["pl"] = F.transform("pl", lambda p: F.transform(F.slice(order, 1, F.greatest(F.size(p), F.lit(0))), lambda i: F.get(p, i)))
+    return out if when is None else {c: F.when(when, x).otherwise(F.col(c)) for c, x in out.items()}
+
+
+def flip(sites: DataFrame, when: Column | None = None) -> DataFrame:
+    """REF and ALT swapped, 0 and 1 swapped, haplotypes in reverse order; for sites of one alternative (where ``when`` holds)."""
+    gt = F.transform("gt", lambda g: F.struct(_other(g["a1"]).alias("a0"), _other(g["a0"]).alias("a1"), g["phased"].alias("phased")))
+    return sites.withColumns({"gt": gt if when is None else F.when(when, gt).otherwise(F.col("gt")), **_swapped(sites, when)})
 
 
 def polarise(sites: DataFrame, aa: str = "aa") -> DataFrame:
     """REF becomes the ancestral allele: sites whose AA is neither REF nor the first ALT go, sites without ALT stay."""
     alt = F.get("alt", F.lit(0))
     keep = (F.size("alt") == 0) | (F.col(aa) == F.col("ref")) | (F.col(aa) == alt)
-    s = sites.where(F.coalesce(keep, F.lit(False))).withColumn("__swap", F.coalesce(F.col(aa) == F.get("alt", F.lit(0)), F.lit(False)))
-    code = lambda a: F.when(F.col("__swap") & (a == 0), 1).when(F.col("__swap") & (a == 1), 0).otherwise(a)
-    return s.withColumns({"gt": _genotypes(code), "ref": F.when(F.col("__swap"), alt).otherwise(F.col("ref")), "alt": F.when(F.col("__swap"), F.concat(F.array("ref"), F.slice("alt", 2, 1000))).otherwise(F.col("alt"))}).drop("__swap")
+    swap = F.col("__swap")
+    s = sites.where(F.coalesce(keep, F.lit(False))).withColumn("__swap", F.coalesce(F.col(aa) == alt, F.lit(False)))
+    return s.withColumns({"gt": _genotypes(lambda a: F.when(swap, _other(a)).otherwise(a)), **_swapped(s, swap)}).drop("__swap")
 
 
 def select_samples(sites: DataFrame, index: list[int]) -> DataFrame:
@@ -94,33 +114,39 @@ def filter_outgroup(sites: DataFrame, index: list[int]) -> DataFrame:
     return sites.where(F.exists(own, lambda i: F.get("gt", i)["a0"].isin(0, 1) | F.get("gt", i)["a1"].isin(0, 1)))
 
 
-def quick_filter(sites: DataFrame, most_missing: float = 0.5, aa: str = "aa", rescue: int = 1) -> DataFrame:
+def quick_filter(sites: DataFrame, most_missing: float = 0.5, aa: str = "aa", rescue: int = 1, depth: int | None = None) -> DataFrame:
     """``sites`` with ``reason``, null for those that pass; the first test that fails names it.
 
-    missing; nonallelic (no call, or over two alleles even when those called up to
-    ``rescue`` times are ignored); nonancestral (AA not observed); noref; dels;
-    ins (no SNP). ``rescued`` marks sites that pass the second test only by that.
+    missing (or, with ``depth``, too many samples below it); nonallelic (no call, or over two alleles even when those called up to
+    ``rescue`` times are ignored); missing once more for sites that were rescued by that, whose rare alleles
+    are missing from then on (``rescued``); nonancestral (AA given, but not observed); noref; dels; ins (no SNP).
     """
     s = with_counts(sites)
     n = S.allelicity()
-    left = F.size(F.filter("counts", lambda x: x > rescue))
-    saved = (n > 2) & left.isin(1, 2)
-    kept = F.when(saved, F.transform("counts", lambda x: F.when(x > rescue, x).otherwise(0))).otherwise(F.col("counts"))
-    s = s.withColumn("rescued", saved).withColumn("__kept", kept)
-    seen = F.array_contains(S.geno_alleles("__kept"), F.col(aa))
-    reason = F.when(S.missing_frac() > most_missing, "missing").when((n == 0) | ((n > 2) & ~saved), "nonallelic").when(~F.coalesce(seen, F.lit(False)), "nonancestral").when(~S.has_ref("__kept"), "noref").when(S.has_del("__kept"), "dels").when(S.is_nonsnp(), "ins")
-    return s.withColumn("reason", reason).drop("__kept", "counts")
+    saved = (n > 2) & F.size(F.filter("counts", lambda x: x > rescue)).isin(1, 2)
+    lacking = lambda: S.missing_frac() if depth is None else S.low_depth_frac("dp", depth)
+    first = F.when(lacking() > most_missing, "missing").when((n == 0) | ((n > 2) & ~saved), "nonallelic")
+    s = s.withColumn("rescued", saved).withColumn("reason", first)
+    rare = F.transform("counts", lambda x: (x >= 1) & (x <= rescue))
+    s = s.withColumn("__rare", rare).withColumn("gt", _genotypes(lambda a: F.when(F.col("rescued") & F.coalesce(F.get("__rare", a), F.lit(False)), -1).otherwise(a)))
+    if "ad" in s.columns:
+        s = s.withColumn("ad", F.transform("ad", lambda d: F.transform(d, lambda x, k: F.when(F.col("rescued") & F.get("__rare", k), 0).otherwise(x))))
+    s = with_counts(s)
+    seen = F.array_contains(S.geno_alleles(), F.col(aa))
+    later = F.when(F.col("rescued") & (lacking() > most_missing), "missing").when(F.col(aa).isNotNull() & ~seen, "nonancestral")
+    later = later.when(~S.has_ref(), "noref").when(S.has_del(), "dels").when(S.is_nonsnp(), "ins")
+    return s.withColumn("reason", F.coalesce("reason", later)).drop("__rare", "counts")
 
 
 def thin_window(sites: DataFrame, size: int, seed: int = 1) -> DataFrame:
     """One site a bucket of ``size`` bp, counted from a chromosome's first site; which one, the seed decides."""
     first = sites.groupBy("chrom").agg(F.min("pos").alias("__p0"))
     s = sites.join(first, "chrom").withColumn("__b", F.expr(f"(pos - __p0) div {size}"))
-    w = Window.partitionBy("chrom", "__b").orderBy(F.xxhash64(F.lit(seed), "chrom", "pos"), "pos")
+    w = Window.partitionBy("chrom", "__b").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "chrom", F.col("pos").cast("string"))), *S.order(sites))
     return s.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__p0", "__b", "__r")
 
 
-def ancestral_majority(sites: DataFrame, monoallelic: bool = False, keep_singles: bool = True, multi: bool = False) -> DataFrame:
+def ancestral_majority(sites: DataFrame, monoallelic: bool = False, keep_singles: bool = False, multi: bool = False) -> DataFrame:
     """``aa`` by majority, with ``reason`` where none is given; the first rule that applies decides."""
     s = with_counts(sites)
     n, total = S.allelicity(), S.an()
@@ -138,7 +164,7 @@ def ancestral_outgroups(sites: DataFrame, one: str = "out1", two: str = "out2")
     """``aa`` from two outgroup bases and the major allele's share; ``reason`` names the rule that decided."""
     s = with_counts(sites)
     alt = S.geno_alt()
-    share = F.try_divide(F.greatest(F.get("counts", F.lit(0)), F.array_max(F.slice("counts", 2, 1000))).cast("double"), (F.get("counts", F.lit(0)) + F.array_max(F.slice("counts", 2, 1000))).cast("double"))
+    share = F.try_divide(F.greatest(F.get("counts", F.lit(0)), F.array_max(F.slice("counts", 2, F.size("counts")))).cast("double"), (F.get("counts", F.lit(0)) + F.array_max(F.slice("counts", 2, F.size("counts")))).cast("double"))
     s = s.withColumn("__mf", share)
     seen = S.geno_alleles()
     in1, in2 = F.array_contains(seen, F.col(one)), F.array_contains(seen, F.col(two))

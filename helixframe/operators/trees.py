@@ -30,22 +30,33 @@ def ratios(edges: DataFrame, mutations: DataFrame) -> DataFrame:
     return out.withColumn("muts_per_site", F.col("muts").cast("double") / F.col("sites")).withColumn("sites_per_edge", F.col("sites").cast("double") / F.col("edges"))
 
 
+def trees_of(edges: DataFrame, width: float = 1_000.0) -> DataFrame:
+    """(left, right) of each tree: the stretches between neighbouring breakpoints.
+
+    The next point is looked up within bins of ``width``; only a bin's last point looks at the first
+    of the next bin, so one window holds a row a bin and the others a bin's points.
+    """
+    b = edges.select(F.col("left").alias("left")).union(edges.select("right")).distinct().withColumn("__bin", F.floor(F.col("left") / width))
+    bins = b.groupBy("__bin").agg(F.min("left").alias("m"))
+    bins = bins.withColumn("__next", F.lead("m").over(Window.orderBy("__bin"))).select("__bin", "__next")
+    own = F.lead("left").over(Window.partitionBy("__bin").orderBy("left"))
+    return b.withColumn("__own", own).join(bins, "__bin").select("left", F.coalesce("__own", "__next").alias("right")).where("right is not null")
+
+
 def span_histogram(edges: DataFrame) -> DataFrame:
-    return edges.groupBy((F.col("right") - F.col("left")).cast("long").alias("span")).agg(F.count("*").alias("n"))
+    """(span, n): how many trees have that whole length."""
+    return trees_of(edges).groupBy(F.floor(F.col("right") - F.col("left")).cast("long").alias("span")).agg(F.count("*").alias("n"))
 
 
 def _spans(edges: DataFrame, width: float) -> DataFrame:
     """Edges cut at breakpoints: (left, right, parent, child) for each tree an edge is part of.
 
-    Breakpoints and edges meet in bins of ``width``, an equi-join.
+    Trees and edges meet in bins of ``width``, an equi-join.
     """
-    points = edges.select(F.col("left").alias("b")).union(edges.select("right")).distinct()
-    bins = points.withColumn("__bin", F.floor(F.col("b") / width))
+    t = trees_of(edges, width).select(F.col("left").alias("b"), F.col("right").alias("hi"), F.floor(F.col("left") / width).alias("__bin"))
     e = edges.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("left") / width), F.floor(F.col("right") / width))))
-    inside = e.join(bins, "__bin").where("b >= left and b < right").select("b", "parent", "child", "right")
-    # the tree from b ends at the next breakpoint of the sequence
-    nxt = points.select("b", F.lead("b").over(Window.orderBy("b")).alias("hi"))
-    return inside.join(nxt, "b").where("hi is not null and right >= hi").select(F.col("b").alias("left"), F.col("hi").alias("right"), "parent", "child")
+    inside = e.join(t, "__bin").where("b >= left and hi <= right")
+    return inside.select(F.col("b").alias("left"), F.col("hi").alias("right"), "parent", "child")
 
 
 def tree_bits(edges: DataFrame, samples: int, width: float = 1_000.0) -> DataFrame:
@@ -70,6 +81,62 @@ def root_counts(edges: DataFrame, width: float = 1_000.0) -> DataFrame:
     return up.join(down, ["left", "node"], "left_anti").groupBy("left").agg(F.count("*").alias("roots")).groupBy("roots").agg(F.count("*").alias("trees"))
 
 
+def mask_intervals(mask: DataFrame, reverse: bool = False) -> DataFrame:
+    """(left, right) of the trees that a mask leaves out: those of 0, reversed of 1."""
+    return mask.where(F.col("mask") == int(reverse)).select("left", "right")
+
+
+def used_nodes(edges: DataFrame, mask: DataFrame, reverse: bool = False, width: float = 1_000.0) -> DataFrame:
+    """(node) of all trees whose mask is 1, reversed 0."""
+    t = _spans(edges, width).join(mask.where(F.col("mask") == int(not reverse)).select("left", "right"), ["left", "right"])
+    return t.select(F.col("parent").alias("node")).union(t.select("child")).distinct()
+
+
+def local_stats(edges: DataFrame, mutations: DataFrame, width: float = 1_000.0) -> DataFrame:
+    """For each tree: span, edges, internal nodes, mutations and sites in it, mutations a site."""
+    per = _spans(edges, width).groupBy("left", "right").agg(F.count("*").alias("n_edges"), F.countDistinct("parent").alias("internal"))
+    t = trees_of(edges, width).withColumn("__bin", F.explode(F.sequence(F.floor(F.col("left") / width), F.floor(F.col("right") / width))))
+    m = mutations.select("mut_id", "site_id", "position", F.floor(F.col("position") / width).alias("__bin"))
+    hit = m.join(t, "__bin").where("position >= left and position < right")
+    hit = hit.groupBy("left", "right").agg(F.count("*").alias("muts"), F.countDistinct("site_id").alias("sites"))
+    out = per.join(hit, ["left", "right"], "left").fillna(0, ["muts", "sites"]).withColumn("span", F.col("right") - F.col("left"))
+    return out.withColumn("muts_per_site", F.try_divide(F.col("muts").cast("double"), F.col("sites").cast("double")))
+
+
+def downsample_groups(members: DataFrame, group: str, most: int, seed: int = 1) -> DataFrame:
+    """At most ``most`` members (group, ix) of each group, by a seeded order."""
+    w = Window.partitionBy(group).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("ix").cast("string"))), "ix")
+    return members.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most).drop("__r")
+
+
+def permute_groups(members: DataFrame, group: str, seed: int = 1) -> DataFrame:
+    """The members dealt anew, groups keeping their sizes. A group list is a dimension: its samples fit one window."""
+    k = lambda *by: F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*by)).alias("__k")
+    places = members.select(group, k(group, "ix"))
+    dealt = members.select("ix", k(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("ix").cast("string"))), "ix"))
+    return places.join(dealt, "__k").drop("__k")
+
+
+def index_sound(meta: DataFrame, ix: str = "ix") -> DataFrame:
+    """One row: whether the index runs 0..n - 1, each number once."""
+    s = meta.agg(F.count("*").alias("n"), F.countDistinct(ix).alias("k"), F.min(ix).alias("lo"), F.max(ix).alias("hi"))
+    return s.select("n", F.coalesce((F.col("n") == F.col("k")) & (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1), F.col("n") == 0).alias("sound"))
+
+
+def vertices_of(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Edges (parent, child, ...) with the rows of both ends, as ``p`` and ``c``; ends that no vertex has stay null."""
+    side = lambda end, name: vertices.select(F.col("id").alias(end), F.struct(*vertices.columns).alias(name))
+    return edges.join(side("parent", "p"), "parent", "left").join(side("child", "c"), "child", "left")
+
+
+def population_pairs(pops: DataFrame, joint: DataFrame) -> DataFrame:
+    """All ordered pairs of different populations (pop), with the joint row (pop0, pop1, ...) of either order."""
+    a, b = pops.select(F.col("pop").alias("one")), pops.select(F.col("pop").alias("two"))
+    both = a.join(b, F.col("one") != F.col("two")).withColumns({"pop0": F.least("one", "two"), "pop1": F.greatest("one", "two")})
+    j = joint.withColumns({"__a": F.least("pop0", "pop1"), "__b": F.greatest("pop0", "pop1")}).drop("pop0", "pop1").withColumnsRenamed({"__a": "pop0", "__b": "pop1"})
+    return both.join(j, ["pop0", "pop1"], "left").drop("pop0", "pop1")
+
+
 def mutation_edges(mutations: DataFrame, edges: DataFrame) -> DataFrame:
     """Mutations with the edges above their node; both ends of an edge count."""
     return mutations.join(edges, (mutations["node"] == edges["child"]) & (mutations["position"] >= edges["left"]) & (mutations["position"] <= edges["right"]))
@@ -80,11 +147,19 @@ def population_sizes(msmc: DataFrame, mu: float, gen: float) -> DataFrame:
 
 
 def cross_coalescence(joint: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
-    """Joint intervals with the mean rate within each population at ten points of them, and 2 l01 / (l00 + l11)."""
+    """Joint intervals with the mean rate within each population at ten points of them, and 2 l01 / (l00 + l11).
+
+    An interval open to the right takes each population's last rate; a point beyond all of a
+    population's intervals gives null.
+    """
+    open_ = F.col("t_right") == float("inf")
     at = F.col("t_left") + F.col("j") / F.lit(10.0) * (F.col("t_right") - F.col("t_left"))
-    g = joint.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("t", F.when(F.col("t_right") == float("inf"), F.col("t_left")).otherwise(at))
+    g = joint.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("t", F.when(open_, float("inf")).otherwise(at))
     for n, pop in (("00", one), ("11", two)):
         p = pop.select(F.col("t_left").alias("lo"), F.col("t_right").alias("hi"), F.col("lam").alias(f"l{n}"))
-        g = g.join(F.broadcast(p), (F.col("lo") <= F.col("t")) & (F.col("t") < F.col("hi"))).drop("lo", "hi")  # some tens of intervals
-    out = g.groupBy("t_ix").agg(F.first("lam").alias("l01"), F.avg("l00").alias("l00"), F.avg("l11").alias("l11"))
+        last = p.agg(F.max("lo").alias("top"))
+        p = p.crossJoin(F.broadcast(last))  # one row
+        hit = F.when(F.col("t") == float("inf"), F.col("lo") == F.col("top")).otherwise((F.col("lo") <= F.col("t")) & (F.col("t") < F.col("hi")))
+        g = g.join(F.broadcast(p), hit, "left").drop("lo", "hi", "top")  # a row a time interval
+    out = g.groupBy("t_ix").agg(F.first("lam").alias("l01"), F.when(F.count("l00") == 10, F.avg("l00")).alias("l00"), F.when(F.count("l11") == 10, F.avg("l11")).alias("l11"))
     return out.withColumn("rccr", 2 * F.col("l01") / (F.col("l00") + F.col("l11")))

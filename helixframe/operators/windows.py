@@ -30,10 +30,13 @@ def fill_gaps(windows: DataFrame) -> DataFrame:
 
 
 TRANSFORM = {"none": lambda x: x, "sqrt": lambda x: F.sqrt(x), "log": lambda x: F.log(x)}
+INVERSE = {"none": lambda x: x, "sqrt": lambda x: F.greatest(x, F.lit(0.0)) ** 2, "log": lambda x: F.exp(x)}
 
 
-def depth_outliers(windows: DataFrame, alpha: float = 1e-6, min_sites: int = 20, min_depth: float = 5.0, threshold: float = 0.05, use_median: bool = True, transform: str = "none", min_spread: float = 0.01) -> DataFrame:
-    """(chrom, win, sites, low_frac, high_frac, mu, sigma) of windows where too many samples stand out.
+def depth_outliers(windows: DataFrame, alpha: float = 1e-6, min_sites: int = 20, min_depth: float = 5.0, threshold: float = 0.05, use_median: bool = True, transform: str = "none", min_spread: float = 0.01, width: int | None = None) -> DataFrame:
+    """(chrom, win, sites, low_frac, high_frac, mu, sigma) of windows where too many samples stand out; with the windows'
+    ``width`` also start, end, frac, the samples that stand out (low_ix, high_ix), and centre and cuts on the
+    scale of z (lower_cut, upper_cut) and of depths (the same with _norm).
 
     Depth per site, over a sample's scale, over windows: robust z by median and MAD (or
     mean and standard deviation); a sample stands out where z passes the
@@ -59,8 +62,57 @@ def depth_outliers(windows: DataFrame, alpha: float = 1e-6, min_sites: int = 20,
     y = y.withColumn("sigma", F.when(F.col("raw") > min_spread, F.col("raw")).otherwise(min_spread)).withColumn("z", (F.col("t") - F.col("mu")) / F.col("sigma"))
     cut = NormalDist().inv_cdf(alpha)
     low, high = F.avg((F.coalesce(F.col("z") <= cut, F.lit(False))).cast("double")), F.avg((F.coalesce(F.col("z") >= -cut, F.lit(False))).cast("double"))
-    out = y.groupBy("chrom", "win").agg(F.max("n_sites").alias("sites"), low.alias("low_frac"), high.alias("high_frac"), F.max("mu").alias("mu"), F.max("sigma").alias("sigma"))
-    return out.where((F.col("low_frac") >= threshold) | (F.col("high_frac") >= threshold))
+    side = lambda ok: F.array_sort(F.collect_list(F.when(ok, F.col("sample_ix"))))
+    more = [side(F.col("z") <= cut).alias("low_ix"), side(F.col("z") >= -cut).alias("high_ix"), F.avg(F.coalesce(F.abs("z") >= -cut, F.lit(False)).cast("double")).alias("frac")] if width else []
+    out = y.groupBy("chrom", "win").agg(F.max("n_sites").alias("sites"), low.alias("low_frac"), high.alias("high_frac"), F.max("mu").alias("mu"), F.max("sigma").alias("sigma"), *more)
+    out = out.where((F.col("low_frac") >= threshold) | (F.col("high_frac") >= threshold))
+    if not width:
+        return out
+    back = INVERSE[transform]
+    out = out.withColumns({"start": F.col("win") * width + 1, "end": (F.col("win") + 1) * width, "lower_cut": F.col("mu") + cut * F.col("sigma"), "upper_cut": F.col("mu") - cut * F.col("sigma")})
+    return out.withColumns({"mu_norm": back(F.col("mu")), "lower_cut_norm": back(F.col("lower_cut")), "upper_cut_norm": back(F.col("upper_cut"))})
+
+
+def outlier_lines(report: DataFrame, names: DataFrame) -> DataFrame:
+    """(kind, chrom, start, line): tab-separated lines of a report with ``width``, for all windows (final) and those of
+    low and of high samples; ``names`` (sample_ix, name) is the cohort."""
+    e = report.select("chrom", "win", F.explode(F.concat(F.transform("low_ix", lambda i: F.struct(F.lit("low").alias("side"), i.alias("sample_ix"))), F.transform("high_ix", lambda i: F.struct(F.lit("high").alias("side"), i.alias("sample_ix"))))).alias("x")).select("chrom", "win", "x.*")
+    pick = lambda side: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("sample_ix", "name")))), lambda x: x["name"]), ",").alias(f"{side}_names")
+    named = e.join(names, "sample_ix").groupBy("chrom", "win").agg(pick("low"), pick("high"))
+    r = report.join(named, ["chrom", "win"], "left").fillna("", ["low_names", "high_names"])
+    place = F.format_string("%s:%d-%d", "chrom", "start", "end")
+    two, four = (lambda c: F.format_string("%.2f", c)), (lambda c: F.format_string("%.4f", c))
+    depth = [four("mu_norm"), four("lower_cut_norm"), four("upper_cut_norm")]
+    line = lambda *cols: F.concat_ws("\t", place, F.col("start").cast("string"), two("frac"), *cols)
+    rows = F.array(F.struct(F.lit("final").alias("kind"), line(two("low_frac"), two("high_frac"), *depth, "low_names", "high_names").alias("line")), F.struct(F.when(F.size("low_ix") > 0, "low").alias("kind"), line(two("low_frac"), *depth, "low_names").alias("line")), F.struct(F.when(F.size("high_ix") > 0, "high").alias("kind"), line(two("high_frac"), *depth, "high_names").alias("line")))
+    return r.select("chrom", "start", F.explode(rows).alias("x")).select("x.kind", "chrom", "start", "x.line").where("kind is not null")
+
+
+# Columns of the outlier files.
+OUTLIER_COLUMNS = {
+    "final": "chrom_position window_start frac low_frac high_frac norm_depth_{mid} norm_depth_lower_cut norm_depth_upper_cut low_depth_ids high_depth_ids",
+    "low": "chrom_position window_start frac low_frac norm_depth_{mid} norm_depth_lower_cut norm_depth_upper_cut low_depth_ids",
+    "high": "chrom_position window_start frac high_frac norm_depth_{mid} norm_depth_lower_cut norm_depth_upper_cut high_depth_ids",
+}
+
+
+def write_outliers(report: DataFrame, names: DataFrame, stem: str, use_median: bool = True) -> None:
+    """``stem``.windows_final, _low and _high, in order of position; lines stream through the driver."""
+    lines = outlier_lines(report, names)
+    for kind, columns in OUTLIER_COLUMNS.items():
+        with open(f"{stem}.windows_{kind}", "w") as f:
+            f.write("\t".join(columns.format(mid="median" if use_median else "mean").split()) + "\n")
+            for r in lines.where(F.col("kind") == kind).orderBy("chrom", "start").toLocalIterator():
+                f.write(r["line"] + "\n")
+
+
+def write_tsv(table: DataFrame, path: str, order: list[str], header: bool = True) -> None:
+    """Window or sample statistics as one tab-separated file, in order; rows stream through the driver."""
+    with open(path, "w") as f:
+        if header:
+            f.write("\t".join(table.columns) + "\n")
+        for r in table.orderBy(*order).toLocalIterator():
+            f.write("\t".join("" if x is None else str(x) for x in r) + "\n")
 
 
 def slide_bp(sites: DataFrame, width: int, least: int = 3) -> DataFrame:
@@ -73,21 +125,21 @@ def slide_bp(sites: DataFrame, width: int, least: int = 3) -> DataFrame:
 
 
 def slide_rows(sites: DataFrame, rows: int, step: int = 1) -> DataFrame:
-    """Over the last ``rows`` sites, at every ``step``-th site from the ``rows``-th on: median position, mean depth, share of SNPs."""
-    w = Window.partitionBy("chrom").orderBy("pos")
+    """Over the last ``rows`` sites, at every ``step``-th site from the ``rows``-th on: median position, mean depth, share of SNPs, mean share of called alleles."""
+    w = Window.partitionBy("chrom").orderBy(*S.order(sites))
     f = w.rowsBetween(-(rows - 1), 0)
-    s = sites.select("chrom", "pos", (S.depth().cast("double") / F.size("dp")).alias("d"), (S.allelicity(S.counts()) > 1).cast("double").alias("snp"))
-    s = s.withColumns({"n": F.row_number().over(w), "mid": F.percentile("pos", F.lit(0.5)).over(f), "mean_depth": F.avg("d").over(f), "snp_frac": F.avg("snp").over(f)})
-    return s.where((F.col("n") >= rows) & (F.col("n") % step == 0)).select("chrom", "pos", "n", "mid", "mean_depth", "snp_frac")
+    s = sites.select("chrom", *S.order(sites), (1 - S.missing_frac()).alias("nm"), (S.depth().cast("double") / F.size("dp")).alias("d"), (S.allelicity(S.counts()) > 1).cast("double").alias("snp"))
+    s = s.withColumns({"n": F.row_number().over(w), "mid": F.percentile("pos", F.lit(0.5)).over(f), "mean_depth": F.avg("d").over(f), "snp_frac": F.avg("snp").over(f), "nonmiss": F.avg("nm").over(f)})
+    return s.where((F.col("n") >= rows) & (F.col("n") % step == 0)).select("chrom", "pos", "n", "mid", "mean_depth", "snp_frac", "nonmiss")
 
 
-def quicksum(sites: DataFrame) -> DataFrame:
-    """One row of counts over a region."""
+def quicksum(sites: DataFrame, *by: str) -> DataFrame:
+    """Counts over all sites, or a row for each value of ``by``."""
     s = sites.withColumn("counts", S.counts()).withColumn("k", S.allelicity())
     one, two, three = (S.has_count(n=i) for i in (1, 2, 3))
     many = F.col("k") > 1
     n = lambda c: F.count_if(c)
-    out = s.agg(F.count("*").alias("sites"), n(F.col("k") == 1).alias("invariant"), n(many).alias("snps"), n(F.col("k") > 2).alias("multi"), n(F.col("k") == 2).alias("bi"), n(many & one).alias("singles"), n(many & ~one & two).alias("doubles"), n(many & ~one & ~two & three).alias("triples"), n(F.col("k") == 0).alias("other"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    out = s.groupBy(*by).agg(F.count("*").alias("sites"), n(F.col("k") == 1).alias("invariant"), n(many).alias("snps"), n(F.col("k") > 2).alias("multi"), n(F.col("k") == 2).alias("bi"), n(many & one).alias("singles"), n(many & ~one & two).alias("doubles"), n(many & ~one & ~two & three).alias("triples"), n(F.col("k") == 0).alias("other"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     return out.withColumn("coverage", F.col("sites").cast("double") / (F.col("last") - F.col("first") + 1))
 
 
@@ -138,6 +190,6 @@ def map_rates(points: DataFrame) -> DataFrame:
 
 def running_counts(sites: DataFrame, emit) -> DataFrame:
     """Sites where ``emit`` holds with ``nsites``, the records read since the one before, itself included."""
-    w = Window.partitionBy("chrom").orderBy("pos")
+    w = Window.partitionBy("chrom").orderBy(*S.order(sites))
     s = sites.withColumn("__n", F.row_number().over(w)).where(emit)
     return s.withColumn("nsites", F.col("__n") - F.lag("__n", 1, 0).over(w)).drop("__n")

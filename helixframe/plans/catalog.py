@@ -8,12 +8,15 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.functions import names as N
 from helixframe.functions import site as S
 from helixframe.operators import count_models as C
 from helixframe.operators import export as X
 from helixframe.operators import genealogy as G
+from helixframe.operators import imputation as I
 from helixframe.operators import joins as J
 from helixframe.operators import sites as U
+from helixframe.operators import summaries as Y
 from helixframe.operators import trees as T
 from helixframe.operators import windows as W
 from helixframe.plans import lens
@@ -131,13 +134,18 @@ def with_aa(s: DataFrame) -> DataFrame:
     return s.withColumn("aa", F.element_at(F.array(*map(F.lit, "ACGT")), (F.col("site_id") % 4 + 1).cast("int")))
 
 
-@query("quick_filter_reasons", f""", k as (select *, (n0 > 1)::int + (n1 > 1)::int + (n2 > 1)::int as lft, {AA} as aa from sa),
+AAQ = f"case when site_id % 5 = 0 then null else {AA} end"
+
+
+@query("quick_filter_reasons", f""", k as (select *, (n0 > 1)::int + (n1 > 1)::int + (n2 > 1)::int as lft, {AAQ} as aa from sa),
 k2 as (select *, alc > 2 and lft in (1, 2) as saved from k),
 k3 as (select *, case when saved and n0 <= 1 then 0 else n0 end as k0, case when saved and n1 <= 1 then 0 else n1 end as k1, case when saved and n2 <= 1 then 0 else n2 end as k2 from k2)
-select reason, saved as rescued, count(*) as n from (select saved, case when cast(2 * ns - an as double) / (2 * ns) > 0.5 then 'missing' when alc = 0 or (alc > 2 and not saved) then 'nonallelic'
-when not ((aa = 'A' and k0 > 0) or (aa = 'C' and k1 > 0) or (aa = 'G' and k2 > 0)) then 'nonancestral' when k0 = 0 then 'noref' end as reason from k3) group by all""")
+select reason, saved as rescued, count(*) as n, cast(sum(k0 + k1 + k2) as bigint) as calls from (select *, case when cast(2 * ns - an as double) / (2 * ns) > 0.5 then 'missing' when alc = 0 or (alc > 2 and not saved) then 'nonallelic'
+when saved and cast(2 * ns - k0 - k1 - k2 as double) / (2 * ns) > 0.5 then 'missing'
+when aa is not null and not ((aa = 'A' and k0 > 0) or (aa = 'C' and k1 > 0) or (aa = 'G' and k2 > 0)) then 'nonancestral' when k0 = 0 then 'noref' end as reason from k3) group by 1, 2""")
 def _(s, *_):
-    return U.quick_filter(with_aa(s)).groupBy("reason", "rescued").agg(F.count("*").alias("n"))
+    q = counted(U.quick_filter(with_aa(s).withColumn("aa", F.when(F.col("site_id") % 5 != 0, F.col("aa")))))
+    return q.groupBy("reason", "rescued").agg(F.count("*").alias("n"), F.sum(S.an()).cast("long").alias("calls"))
 
 
 @query("polarise_counts", f", k as (select *, {AA} as aa from sa) select site_id, aa as ref, case when aa = 'A' then n0 else n1 end as n_anc, case when aa = 'A' then n1 else n0 end as n_der from k where aa in ('A', 'C')")
@@ -304,22 +312,36 @@ for _name, _mid, _t, _spread, _kw in (("median", "median", "{y}", MAD, {}), ("me
         return out.withColumns({"mu": F.round("mu", 6), "sigma": F.round("sigma", 6)})
 
 
+CUT = NormalDist().inv_cdf(0.05)
+REPORT = outlier_sql("median", "sqrt({y})", MAD).partition(",\nsp as (")[0] + f""", sp as (select chrom, win, {MAD} as raw from z group by 1, 2), f as (select z.*, case when raw > 0.01 then raw else 0.01 end as sigma from z join sp using (chrom, win)),
+o as (select chrom, win, avg(case when (t - mu) / sigma <= {CUT} then 1.0 else 0.0 end) as low_frac, avg(case when (t - mu) / sigma >= {-CUT} then 1.0 else 0.0 end) as high_frac, avg(case when abs((t - mu) / sigma) >= {-CUT} then 1.0 else 0.0 end) as frac,
+  coalesce(string_agg(cast(sample_ix as varchar), ',' order by sample_ix) filter ((t - mu) / sigma <= {CUT}), '') as low, coalesce(string_agg(cast(sample_ix as varchar), ',' order by sample_ix) filter ((t - mu) / sigma >= {-CUT}), '') as high, max(mu) as mu, max(sigma) as sigma from f group by 1, 2)
+select chrom, win * 250 + 1 as start, (win + 1) * 250 as "end", round(frac, 6) as frac, low, high, round(greatest(mu, 0) ** 2, 6) as mu_norm, round(greatest(mu + {CUT} * sigma, 0) ** 2, 6) as lower_cut_norm, round(mu - {CUT} * sigma, 6) as upper_cut from o where low_frac >= 0.05 or high_frac >= 0.05"""
+
+
+@query("depth_outliers_report", REPORT)
+def _(s, *_):
+    out = W.depth_outliers(W.window_depth(s, 250), alpha=0.05, transform="sqrt", width=250)
+    ids = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), ",")
+    return out.select("chrom", "start", "end", F.round("frac", 6).alias("frac"), ids("low_ix").alias("low"), ids("high_ix").alias("high"), F.round("mu_norm", 6).alias("mu_norm"), F.round("lower_cut_norm", 6).alias("lower_cut_norm"), F.round("upper_cut", 6).alias("upper_cut"))
+
+
 @query("slide_bp", ", x as (select chrom, pos, cast(dp as double) / ns as d, cast(ns - low3 as double) / ns as m from sa) select chrom, pos, median(pos) over w as mid, round(avg(d) over w, 6) as mean_depth, round(avg(m) over w, 6) as nonmiss, cast(count(*) over w as double) / 200 * 100 as density from x window w as (partition by chrom order by pos range between 200 preceding and current row)")
 def _(s, *_):
     return W.slide_bp(s, 200).withColumns({c: F.round(c, 6) for c in ("mean_depth", "nonmiss")})
 
 
-@query("slide_rows", ", x as (select chrom, pos, cast(dp as double) / ns as d, case when alc > 1 then 1.0::double else 0.0::double end as snp from sa), y as (select chrom, pos, cast(row_number() over (partition by chrom order by pos) as int) as n, median(pos) over w as mid, round(avg(d) over w, 6) as mean_depth, round(avg(snp) over w, 6) as snp_frac from x window w as (partition by chrom order by pos rows between 9 preceding and current row)) select * from y where n >= 10 and n % 5 = 0")
+@query("slide_rows", ", x as (select chrom, pos, cast(dp as double) / ns as d, case when alc > 1 then 1.0::double else 0.0::double end as snp, cast(an as double) / (2 * ns) as nm from sa), y as (select chrom, pos, cast(row_number() over (partition by chrom order by pos) as int) as n, median(pos) over w as mid, round(avg(d) over w, 6) as mean_depth, round(avg(snp) over w, 6) as snp_frac, round(avg(nm) over w, 6) as nonmiss from x window w as (partition by chrom order by pos rows between 9 preceding and current row)) select * from y where n >= 10 and n % 5 = 0")
 def _(s, *_):
-    return W.slide_rows(s, 10, 5).withColumns({c: F.round(c, 6) for c in ("mean_depth", "snp_frac")})
+    return W.slide_rows(s, 10, 5).withColumns({c: F.round(c, 6) for c in ("mean_depth", "snp_frac", "nonmiss")})
 
 
 HAS = lambda n: f"(n0 = {n} or n1 = {n} or n2 = {n})"
 
 
-@query("quicksum", f" select count(*) as sites, count(*) filter (alc = 1) as invariant, count(*) filter (alc > 1) as snps, count(*) filter (alc > 2) as multi, count(*) filter (alc = 2) as bi, count(*) filter (alc > 1 and {HAS(1)}) as singles, count(*) filter (alc > 1 and not {HAS(1)} and {HAS(2)}) as doubles, count(*) filter (alc > 1 and not {HAS(1)} and not {HAS(2)} and {HAS(3)}) as triples, count(*) filter (alc = 0) as other, min(pos) as first, max(pos) as last, cast(count(*) as double) / (max(pos) - min(pos) + 1) as coverage from sa where chrom = 'c1'")
+@query("quicksum", f" select chrom, count(*) as sites, count(*) filter (alc = 1) as invariant, count(*) filter (alc > 1) as snps, count(*) filter (alc > 2) as multi, count(*) filter (alc = 2) as bi, count(*) filter (alc > 1 and {HAS(1)}) as singles, count(*) filter (alc > 1 and not {HAS(1)} and {HAS(2)}) as doubles, count(*) filter (alc > 1 and not {HAS(1)} and not {HAS(2)} and {HAS(3)}) as triples, count(*) filter (alc = 0) as other, min(pos) as first, max(pos) as last, cast(count(*) as double) / (max(pos) - min(pos) + 1) as coverage from sa group by chrom")
 def _(s, *_):
-    return W.quicksum(s.where("chrom = 'c1'"))
+    return W.quicksum(s, "chrom")
 
 
 @query("sample_missing", " select cast(sample_ix as int) as sample_ix, cast(sum(dp) as bigint) as depth_sum, count(*) filter (dp >= 3) as n_deep, cast(sum(dp) as double) / count(*) as mean_depth, cast(count(*) filter (dp >= 3) as double) / count(*) as frac_deep from lens_geno group by 1")
@@ -383,7 +405,7 @@ def _(spark, d):
     return lens.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.get(p, F.lit(0)).alias("p")).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("copies"), F.round(F.first("p"), 4).alias("p0"))
 
 
-@query("thin_window")
+@query("thin_window", ", f as (select *, (pos - min(pos) over (partition by chrom)) // 100 as b from lens_sites), r as (select *, row_number() over (partition by chrom, b order by md5(concat('1:', chrom, ':', pos)), pos, site_id) as r from f) select site_id, chrom, pos from r where r = 1")
 def _(s, *_):
     return U.thin_window(s, 100).select("site_id", "chrom", "pos")
 
@@ -417,7 +439,7 @@ def _(spark, d):
     return T.gnn_alignment(q, g).select(F.round("alignment", 6).alias("alignment"))
 
 
-EDGES = "edges as (select o_orderkey as edge_id, cast(o_orderkey % 50 * 10 as double) as l, cast((o_orderkey % 50 + 1 + o_custkey % 3) * 10 as double) as r, 100 + o_custkey % 40 as parent, o_orderkey % 97 as child from orders), muts as (select l_orderkey as mut_id, l_partkey % 300 as site_id, l_orderkey % 97 as node, cast(l_partkey % 300 * 2 as double) as position from lineitem where l_linenumber = 1)"
+EDGES = "edges as (select o_orderkey as edge_id, cast(o_orderkey % 50 * 10 as double) as l, cast((o_orderkey % 50 + 1 + o_custkey % 3) * 10 as double) as r, 100 + o_custkey % 40 as parent, o_orderkey % 97 as child from orders), muts as (select l_orderkey * 8 + l_linenumber as mut_id, l_partkey % 300 as site_id, l_orderkey % 97 as node, cast(l_partkey % 300 * 2 as double) as position from lineitem)"
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
@@ -426,7 +448,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mutations(spark: SparkSession, d: str) -> DataFrame:
-    return lens.read(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("mut_id"), (F.col("l_partkey") % 300).alias("site_id"), (F.col("l_orderkey") % 97).alias("node"), (F.col("l_partkey") % 300 * 2).cast("double").alias("position"))
+    return lens.read(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("mut_id"), (F.col("l_partkey") % 300).alias("site_id"), (F.col("l_orderkey") % 97).alias("node"), (F.col("l_partkey") % 300 * 2).cast("double").alias("position"))
 
 
 @query("tree_ratios", f"with {EDGES} select count(*) as edges, (select count(distinct site_id) from muts) as sites, (select count(*) from muts) as muts, round(avg(r - l), 6) as mean_span, round((select cast(count(*) as double) / count(distinct site_id) from muts), 6) as muts_per_site from edges", use_lens=False)
@@ -434,19 +456,49 @@ def _(spark, d):
     return T.ratios(edges(spark, d), mutations(spark, d)).select("edges", "sites", "muts", F.round("mean_span", 6).alias("mean_span"), F.round("muts_per_site", 6).alias("muts_per_site"))
 
 
-@query("tree_spans", f"with {EDGES} select cast(r - l as bigint) as span, count(*) as n from edges group by 1", use_lens=False)
+TREES = ", bp as (select distinct l as b from edges union select distinct r from edges), tr as (select b as lo, lead(b) over (order by b) as hi from bp), te as (select lo, hi, e.parent, e.child from tr join edges e on e.l <= lo and e.r >= hi where hi is not null)"
+
+
+@query("tree_spans", f"with {EDGES}{TREES} select cast(floor(hi - lo) as bigint) as span, count(*) as n from tr where hi is not null group by 1", use_lens=False)
 def _(spark, d):
     return T.span_histogram(edges(spark, d))
 
 
+@query("tree_local_stats", f"with {EDGES}{TREES}, x as (select lo, hi, count(*) as n_edges, count(distinct parent) as internal from te group by 1, 2), y as (select lo, count(*) as muts, count(distinct site_id) as sites from tr join muts on position >= lo and position < hi group by 1) select lo as \"left\", hi as \"right\", hi - lo as span, n_edges, internal, coalesce(muts, 0) as muts, coalesce(sites, 0) as sites, cast(muts as double) / nullif(sites, 0) as muts_per_site from x left join y using (lo)", use_lens=False)
+def _(spark, d):
+    return T.local_stats(edges(spark, d), mutations(spark, d)).select("left", "right", "span", "n_edges", "internal", "muts", "sites", "muts_per_site")
+
+
+BITS = f"with {EDGES}{TREES}, bt as (select lo, hi, count(*) - 97 as bits from te group by 1, 2), mk as (select *, (bits >= (select quantile_cont(bits, 0.5) from bt))::int as mask from bt)"
+
+
+def tree_masks(spark: SparkSession, d: str) -> DataFrame:
+    return T.tree_mask(T.tree_bits(edges(spark, d), 97), 0.5)
+
+
+@query("tree_mask", f"{BITS} select lo as \"left\", hi as \"right\", bits, mask from mk", use_lens=False)
+def _(spark, d):
+    return tree_masks(spark, d).select("left", "right", "bits", "mask")
+
+
+@query("mask_intervals", f"{BITS} select lo as \"left\", hi as \"right\" from mk where mask = 0", use_lens=False)
+def _(spark, d):
+    return T.mask_intervals(tree_masks(spark, d))
+
+
+@query("used_nodes", f"{BITS} select parent as node from te join mk using (lo, hi) where mask = 1 union select child from te join mk using (lo, hi) where mask = 1", use_lens=False)
+def _(spark, d):
+    return T.used_nodes(edges(spark, d), tree_masks(spark, d))
+
+
 @query("tree_bits", f"with {EDGES}, bp as (select distinct l as b from edges union select distinct r from edges), tr as (select b as lo, lead(b) over (order by b) as hi from bp), t as (select lo, hi, count(*) as n_edges, count(distinct parent) as parents from tr join edges e on e.l <= lo and e.r >= hi where hi is not null group by 1, 2) select lo as \"left\", hi as \"right\", n_edges, n_edges - 97 as bits, parents as internal from t", use_lens=False)
 def _(spark, d):
     return T.tree_bits(edges(spark, d), 97).select("left", "right", "n_edges", "bits", "internal")
 
 
-@query("mutation_edges", f"with {EDGES} select count(*) as pairs, count(distinct mut_id) as muts from muts m join edges e on e.child = m.node and m.position between e.l and e.r", use_lens=False)
+@query("mutation_edges", f"with {EDGES} select mut_id, edge_id from muts m join edges e on e.child = m.node and m.position between e.l and e.r", use_lens=False)
 def _(spark, d):
-    return T.mutation_edges(mutations(spark, d), edges(spark, d)).agg(F.count("*").alias("pairs"), F.countDistinct("mut_id").alias("muts"))
+    return T.mutation_edges(mutations(spark, d), edges(spark, d)).select("mut_id", "edge_id")
 
 
 @query("root_counts", f"with {EDGES}, bp as (select distinct l as b from edges union select distinct r from edges), tr as (select b as lo, lead(b) over (order by b) as hi from bp), te as (select lo, e.parent, e.child from tr join edges e on e.l <= lo and e.r >= hi where hi is not null), ro as (select lo, count(distinct parent) as roots from te a where not exists (select 1 from te b where b.lo = a.lo and b.child = a.parent) group by 1) select roots, count(*) as trees from ro group by 1", use_lens=False)
@@ -454,23 +506,188 @@ def _(spark, d):
     return T.root_counts(edges(spark, d))
 
 
-MS = "ms as (select s_suppkey % 5 as pop, s_suppkey // 5 as t_ix, cast(s_suppkey // 5 * 10 as double) as tl, cast(s_suppkey // 5 * 10 + 10 as double) as tr, 1 + cast(s_suppkey % 7 as double) / 7 as lam from supplier where s_suppkey <= 99)"
+MS = "ms as (select s_suppkey % 5 as pop, s_suppkey // 5 as t_ix, cast(s_suppkey // 5 * 10 as double) as tl, cast(s_suppkey // 5 * 10 + 10 as double) as tr, 1 + cast(s_suppkey % 7 as double) / 7 as lam from supplier)"
 
 
 @query("msmc_sizes", f"with {MS} select pop, t_ix, tl * 2.0 / 4.85 as years, 1 / lam / (2 * 4.85) as size from ms", use_lens=False)
 def _(spark, d):
     s = F.col("s_suppkey")
-    ms = lens.read(spark, d, "supplier").where("s_suppkey <= 99").select((s % 5).alias("pop"), F.expr("s_suppkey div 5").alias("t_ix"), (F.expr("s_suppkey div 5") * 10).cast("double").alias("t_left"), (1 + (s % 7).cast("double") / 7).alias("lam"))
+    ms = lens.read(spark, d, "supplier").select((s % 5).alias("pop"), F.expr("s_suppkey div 5").alias("t_ix"), (F.expr("s_suppkey div 5") * 10).cast("double").alias("t_left"), (1 + (s % 7).cast("double") / 7).alias("lam"))
     return T.population_sizes(ms, mu=4.85, gen=2.0).select("pop", "t_ix", "years", "size")
 
 
-@query("crosscoal", f"with {MS}, g as (select a.t_ix, a.tl, a.tr, u.j, a.tl + u.j / 10.0::double * (a.tr - a.tl) as t, a.lam as lam01 from ms a, (select unnest(range(0, 10)) as j) u where a.pop = 2), w as (select g.t_ix, avg(x.lam) as l00, avg(y.lam) as l11, any_value(g.lam01) as l01 from g join ms x on x.pop = 0 and x.tl <= g.t and g.t < x.tr join ms y on y.pop = 1 and y.tl <= g.t and g.t < y.tr group by 1) select t_ix, round(2 * l01 / (l00 + l11), 6) as rccr from w", use_lens=False)
-def _(spark, d):
+OPEN = f"{MS}, top as (select pop, max(t_ix) as t_ix from ms group by 1), mo as (select ms.*, top.t_ix is not null as last, case when top.t_ix is not null then 'inf'::double else tr end as tro from ms left join top using (pop, t_ix))"
+
+
+def open_msmc(spark: SparkSession, d: str) -> DataFrame:
+    """Coalescence rates of five populations; each one's last interval is open to the right."""
     s = F.col("s_suppkey")
-    ms = lens.read(spark, d, "supplier").where("s_suppkey <= 99").select((s % 5).alias("pop"), F.expr("s_suppkey div 5").alias("t_ix"), (F.expr("s_suppkey div 5") * 10).cast("double").alias("t_left"), (F.expr("s_suppkey div 5") * 10 + 10).cast("double").alias("t_right"), (1 + (s % 7).cast("double") / 7).alias("lam"))
+    ms = lens.read(spark, d, "supplier").select((s % 5).alias("pop"), F.expr("s_suppkey div 5").alias("t_ix"), (F.expr("s_suppkey div 5") * 10).cast("double").alias("t_left"), (F.expr("s_suppkey div 5") * 10 + 10).cast("double").alias("t_right"), (1 + (s % 7).cast("double") / 7).alias("lam"))
+    top = ms.groupBy("pop").agg(F.max("t_ix").alias("top"))
+    return ms.join(top, "pop").withColumn("t_right", F.when(F.col("t_ix") == F.col("top"), float("inf")).otherwise(F.col("t_right"))).drop("top")
+
+
+@query("crosscoal", f"""with {OPEN}, g as (select a.t_ix, a.last, a.tl + u.j / 10.0::double * (a.tr - a.tl) as t, a.lam as lam01 from mo a, (select unnest(range(0, 10)) as j) u where a.pop = 2),
+w as (select g.t_ix, g.t, any_value(lam01) as l01, max(case when x.pop = 0 then x.lam end) as a, max(case when x.pop = 1 then x.lam end) as b from g join mo x on x.pop in (0, 1) and case when g.last then x.last else x.tl <= g.t and g.t < x.tro end group by 1, 2),
+v as (select t_ix, any_value(l01) as l01, avg(a) as l00, avg(b) as l11 from w group by 1) select t_ix, round(2 * l01 / (l00 + l11), 6) as rccr from v""", use_lens=False)
+def _(spark, d):
+    ms = open_msmc(spark, d)
     return T.cross_coalescence(ms.where("pop = 2"), ms.where("pop = 0"), ms.where("pop = 1")).select("t_ix", F.round("rccr", 6).alias("rccr"))
 
 
+@query("msmc_pairs", "with p as (select distinct concat('p', cast(n_regionkey as varchar)) as pop from nation), j as (select distinct concat('p', cast(greatest(n_regionkey, n_nationkey % 5) as varchar)) as a, concat('p', cast(least(n_regionkey, n_nationkey % 5) as varchar)) as b, n_regionkey * 5 + n_nationkey % 5 as file from nation where n_regionkey < n_nationkey % 5) select x.pop as one, y.pop as two, j.file from p x join p y on x.pop <> y.pop left join j on least(x.pop, y.pop) = j.b and greatest(x.pop, y.pop) = j.a", use_lens=False)
+def _(spark, d):
+    n, r, m = lens.read(spark, d, "nation"), F.col("n_regionkey"), F.col("n_nationkey") % 5
+    name = lambda x: F.concat(F.lit("p"), x.cast("string"))
+    joint = n.where(r < m).select(name(F.greatest(r, m)).alias("pop0"), name(F.least(r, m)).alias("pop1"), (r * 5 + m).alias("file")).distinct()
+    return T.population_pairs(n.select(name(r).alias("pop")).distinct(), joint).select("one", "two", "file")
+
+
+@query("treemix_edges", "with e as (select c_nationkey as parent, c_custkey % 40 as child, cast(c_custkey as bigint) as edge from customer) select edge, p.n_name as parent_name, c.n_name as child_name from e left join nation p on p.n_nationkey = e.parent left join nation c on c.n_nationkey = e.child", use_lens=False)
+def _(spark, d):
+    e = lens.read(spark, d, "customer").select(F.col("c_nationkey").alias("parent"), (F.col("c_custkey") % 40).alias("child"), F.col("c_custkey").cast("long").alias("edge"))
+    v = lens.read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return T.vertices_of(e, v).select("edge", F.col("p.name").alias("parent_name"), F.col("c.name").alias("child_name"))
+
+
+def members(spark: SparkSession, d: str) -> DataFrame:
+    return lens.read(spark, d, "customer").select(F.col("c_nationkey").alias("grp"), F.col("c_custkey").alias("ix"))
+
+
+@query("downsample_groups", "select grp, ix from (select c_nationkey as grp, c_custkey as ix, row_number() over (partition by c_nationkey order by md5(concat('1:', c_custkey)), c_custkey) as r from customer) where r <= 5", use_lens=False)
+def _(spark, d):
+    return T.downsample_groups(members(spark, d), "grp", 5)
+
+
+@query("permute_groups", "with a as (select c_nationkey as grp, row_number() over (order by c_nationkey, c_custkey) as k from customer), b as (select c_custkey as ix, row_number() over (order by md5(concat('1:', c_custkey)), c_custkey) as k from customer) select grp, ix from a join b using (k)", use_lens=False)
+def _(spark, d):
+    return T.permute_groups(members(spark, d), "grp").select("grp", "ix")
+
+
+@query("index_sound", "select count(*) as n, count(*) = count(distinct n_nationkey) and min(n_nationkey) = 0 and max(n_nationkey) = count(*) - 1 as sound from nation", use_lens=False)
+def _(spark, d):
+    return T.index_sound(lens.read(spark, d, "nation"), "n_nationkey")
+
+
+@query("sample_places", "with l as (select n_name as name, n_nationkey as ix from nation where n_nationkey < 18), r as (select n_name as name, 24 - n_nationkey as ix from nation where n_nationkey > 6) select m as mode, name, l_ix, r_ix from (select name, l.ix as l_ix, r.ix as r_ix from l full join r using (name)) x, (select unnest(['intersect', 'left', 'right', 'all', 'exclude']) as m) u where case m when 'intersect' then l_ix is not null and r_ix is not null when 'left' then l_ix is not null when 'right' then r_ix is not null when 'exclude' then l_ix is null or r_ix is null else true end", use_lens=False)
+def _(spark, d):
+    n = lens.read(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("ix"))
+    left, right = n.where("ix < 18"), n.where("ix > 6").withColumn("ix", 24 - F.col("ix"))
+    parts = [J.sample_places(left, right, m).select(F.lit(m).alias("mode"), "name", "l_ix", "r_ix") for m in ("intersect", "left", "right", "all", "exclude")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("interval_names", "select p_partkey, concat('c', cast(p_partkey % 3 as varchar)) as chrom, cast(p_partkey as bigint) as start, cast(p_partkey + p_size as bigint) as \"end\", 'run' || cast(p_partkey as varchar) as stem, replace(replace('(A,B:1)', 'A', 'X1'), 'X1,B', 'XB') as tree, 2.5::double * (1 - cast(p_size % 10 as double) / 10) as rate from part", use_lens=False)
+def _(spark, d):
+    k = F.col("p_partkey")
+    x = lens.read(spark, d, "part").withColumn("t", F.concat(F.lit("c"), (k % 3).cast("string"), F.lit(":"), k.cast("string"), F.lit("-"), (k + F.col("p_size")).cast("string")))
+    tree = N.rename_clades(F.lit("(A,B:1)"), {"A": "X1", "X1,B": "XB"})
+    return x.select("p_partkey", N.interval("t").alias("i"), N.strip_suffixes(F.concat(F.lit("run"), k.cast("string"), F.lit(".trees.vcf.gz"))).alias("stem"), tree.alias("tree"), N.adjusted_rate(F.lit(2.5), (F.col("p_size") % 10).cast("double") / 10).alias("rate")).select("p_partkey", "i.*", "stem", "tree", "rate")
+
+
+@query("index_grid", "select a.n_nationkey as i0, b.n_nationkey as i1, c.n_regionkey as i2 from nation a, nation b, (select distinct n_regionkey from nation) c where a.n_nationkey < 5 and b.n_nationkey < 5 and c.n_regionkey < 5", use_lens=False)
+def _(spark, d):
+    return N.grid(lens.read(spark, d, "region").select(F.col("r_regionkey").alias("ix")), 3)
+
+
+@query("haplotype_pairs", "select concat(2 * a.n_nationkey, '-', 2 * b.n_nationkey + 1) as pair from nation a, nation b where a.n_regionkey = 0 and b.n_regionkey = 1", use_lens=False)
+def _(spark, d):
+    n = lens.read(spark, d, "nation")
+    return N.haplotype_pairs(n.where("n_regionkey = 0").select((2 * F.col("n_nationkey")).alias("h")), n.where("n_regionkey = 1").select((2 * F.col("n_nationkey") + 1).alias("h")))
+
+
+# --- substitution, imputation, flips ------------------------------------------
+
+
+@query("substitute", ", k as (select site_id, count(*) filter (dp >= 20 and a1 = 0) + count(*) filter (dp >= 20 and a2 = 0) as n0, count(*) filter (dp >= 20 and a1 = 1) + count(*) filter (dp >= 20 and a2 = 1) as n1, count(*) filter (dp >= 20 and a1 = 2) + count(*) filter (dp >= 20 and a2 = 2) as n2 from lens_geno group by 1) select * from k where site_id % 5 <> 0 and not (site_id % 7 = 0 and n2 > 0)")
+def _(s, *_):
+    swap = lambda a: F.when(a == 1, 2).when(a == 2, 1).otherwise(a)
+    t = U.depth_to_miss(s.where("site_id % 5 <> 0"), 20)
+    t = t.withColumn("gt", F.transform("gt", lambda g: F.struct(swap(g["a0"]).alias("a0"), swap(g["a1"]).alias("a1"), g["phased"].alias("phased"))))
+    t = t.withColumn("alt", F.when(F.col("site_id") % 7 == 0, F.array(F.lit("T"), F.lit("C"))).otherwise(F.array(F.lit("G"), F.lit("C"))))
+    out = counted(I.substitute(s, t, ["site_id"]))
+    return out.select("site_id", *[F.get("counts", F.lit(i)).cast("long").alias(f"n{i}") for i in range(3)])
+
+
+@query("restore_missing", ", k as (select site_id, count(*) filter (a1 >= 0) as n from lens_geno group by 1) select site_id, case when site_id % 2 = 0 then n else 0 end as n0, case when site_id % 2 = 0 then n else 2 * n end as n1 from k")
+def _(s, *_):
+    call = F.struct((F.col("site_id") % 2).cast("int").alias("a0"), F.lit(1).alias("a1"), F.lit(True).alias("phased"))
+    out = counted(I.restore_missing(s, s.withColumn("gt", F.transform("gt", lambda _: call)), ["site_id"]))
+    return out.select("site_id", *[F.get("counts", F.lit(i)).cast("long").alias(f"n{i}") for i in range(2)])
+
+
+@query("dummy_chromosome", " select site_id, 'd1' as chrom, pos - 99 as pos from lens_sites where pos between 100 and 900")
+def _(s, *_):
+    return I.dummy_chromosome(s, 100, 900, "d1").select("site_id", "chrom", "pos")
+
+
+@query("ancestral_homozygotes", " select site_id, case when count(*) filter (a1 = a2 and a1 > 0) > count(*) filter (a1 = 0 and a2 = 0) then 'C' end as aa from lens_geno group by 1")
+def _(s, *_):
+    return I.ancestral_by_homozygotes(s).select("site_id", "aa")
+
+
+@query("flip_by_states", f", k as (select *, {AA} as st from sa) select site_id, st <> 'A' as flipped, case when st = 'A' then 'A' else 'C' end as ref, case when st = 'A' then n0 else n1 end as n0, case when st = 'A' then n1 else n0 end as n1 from k where st in ('A', 'C')")
+def _(s, *_):
+    states = with_aa(s).select("chrom", "pos", F.col("aa").alias("state"))
+    out = counted(I.flip_by_states(s, states, ["chrom", "pos"], drop_unresolved=True))
+    return out.select("site_id", "flipped", "ref", *[F.get("counts", F.lit(i)).cast("long").alias(f"n{i}") for i in range(2)])
+
+
+@query("flip_by_probability", ", k as (select *, cast(site_id % 101 as double) / 100 as p from sa) select site_id, p < 0.5 as flipped, case when p < 0.5 then n1 else n0 end as n0 from k")
+def _(s, *_):
+    out = counted(I.flip_by_probability(s.withColumn("p", (F.col("site_id") % 101).cast("double") / 100)))
+    return out.select("site_id", "flipped", F.get("counts", F.lit(0)).cast("long").alias("n0"))
+
+
+@query("flip_share", " select count(*) filter (site_id % 101 < 50) as flipped, count(*) as sites, cast(count(*) filter (site_id % 101 < 50) as double) / count(*) as frac from lens_sites")
+def _(s, *_):
+    return I.flip_share(s.select(((F.col("site_id") % 101).cast("double") / 100).alias("p")))
+
+
+@query("haplotypes_in_turn", " select site_id, string_agg(cast(a1 as varchar), '' order by sample_ix) || string_agg(cast(a2 as varchar), '' order by sample_ix) as haps from lens_geno group by 1")
+def _(s, *_):
+    return s.select("site_id", F.array_join(F.transform(N.haplotypes_in_turn(), lambda a: a.cast("string")), "").alias("haps"))
+
+
+# --- counts of sites and samples ------------------------------------------------
+
+
+@query("outgroup_missing", ", k as (select site_id, count(*) filter (sample_ix in (3, 7) and (a1 in (0, 1) or a2 in (0, 1))) as n from lens_geno group by 1) select count(*) filter (n = 0) as missing, count(*) as sites, cast(count(*) filter (n = 0) as double) / count(*) as frac from k")
+def _(s, *_):
+    return Y.outgroup_missing(s, [3, 7])
+
+
+@query("mean_called", ", k as (select site_id, count(*) filter (a1 in (0, 1)) + count(*) filter (a2 in (0, 1)) as n from lens_geno where sample_ix not in (3, 7) group by 1) select round(avg(n), 9) as mean_called, count(*) as sites from k where n > 0")
+def _(s, *_):
+    return Y.mean_called(s, [i for i in range(25) if i not in (3, 7)]).select(F.round("mean_called", 9).alias("mean_called"), "sites")
+
+
+@query("site_density", ' select chrom, count(*) as sites, min(pos) as first, max(pos) as last, cast(count(*) as double) / (max(pos) - min(pos)) as density from lens_sites group by 1')
+def _(s, *_):
+    return Y.site_density(s)
+
+
+@query("genotype_classes", ", p as (select min(pos) as pos from lens_sites where chrom = 'c1') select cast(sample_ix as int) as sample_ix, cast(case when dp < 3 then -2 else a1 + a2 end as int) as factor, case when dp < 3 then 'low' when a1 + a2 = 0 then 'wt' when a1 + a2 = 1 then 'het' when a1 + a2 = 2 then 'hom' else 'bad' end as kind from lens_geno where chrom = 'c1' and pos = (select pos from p)")
+def _(s, *_):
+    first = s.where("chrom = 'c1'").agg(F.min("pos")).first()[0]  # one number
+    return Y.genotype_classes(s, "c1", first or 0)
+
+
+@query("listed_sites", ", f as (select chrom, pos, site_id, 2 as file_ix from lens_sites union all select chrom, pos, site_id + 1000000, 1 from lens_sites where site_id % 10 = 0) select chrom, pos, arg_min(site_id, file_ix) as site_id from f where pos % 3 = 0 group by 1, 2")
+def _(s, *_):
+    s = s.select("chrom", "pos", "site_id")
+    files = s.withColumn("file_ix", F.lit(2)).unionByName(s.where("site_id % 10 = 0").withColumn("site_id", F.col("site_id") + 1000000).withColumn("file_ix", F.lit(1)))
+    return Y.listed_sites(files, s.where("pos % 3 = 0")).select("chrom", "pos", "site_id")
+
+
+@query("template_outgroup", " select site_id from lens_sites where (chrom, pos) in (select (chrom, pos) from lens_geno where sample_ix in (3, 7) and (a1 in (0, 1) or a2 in (0, 1)))")
+def _(s, *_):
+    return Y.with_template_outgroup(s, s, [3, 7]).select("site_id")
+
+
 # --- count models, projections, genealogies ---------------------------------
 
 def model_sql(z: str, cut: float) -> str:
@@ -534,7 +751,7 @@ def _(s, spark, d):
 @query("tmrca", f"with {MS}, a as (select *, coalesce(sum((tr - tl) * lam) over (partition by pop order by t_ix rows between unbounded preceding and 1 preceding), 0) as bf, lead(t_ix) over (partition by pop order by t_ix) as nx from ms), b as (select pop, t_ix, cast(j as int) as j, tl + j / 10.0::double * (tr - tl) as t, tl, lam, bf from a, (select unnest(range(0, 10)) as j) u where nx is not null) select pop, t_ix, j, round(t * 2.0::double / 4.85::double, 6) as years, round(lam * exp(-(bf + (t - tl) * lam)), 9) as pdf, round(1 - exp(-(bf + (t - tl) * lam)), 9) as cdf from b", use_lens=False)
 def _(spark, d):
     s = F.col("s_suppkey")
-    ms = lens.read(spark, d, "supplier").where("s_suppkey <= 99").select((s % 5).alias("pop"), F.expr("s_suppkey div 5").alias("t_ix"), (F.expr("s_suppkey div 5") * 10).cast("double").alias("t_left"), (F.expr("s_suppkey div 5") * 10 + 10).cast("double").alias("t_right"), (1 + (s % 7).cast("double") / 7).alias("lam"))
+    ms = lens.read(spark, d, "supplier").select((s % 5).alias("pop"), F.expr("s_suppkey div 5").alias("t_ix"), (F.expr("s_suppkey div 5") * 10).cast("double").alias("t_left"), (F.expr("s_suppkey div 5") * 10 + 10).cast("double").alias("t_right"), (1 + (s % 7).cast("double") / 7).alias("lam"))
     return G.tmrca(ms, mu=4.85, gen=2.0, run="pop").select("pop", "t_ix", "j", F.round("years", 6).alias("years"), F.round("pdf", 9).alias("pdf"), F.round("cdf", 9).alias("cdf"))
 
 

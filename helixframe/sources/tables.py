@@ -78,7 +78,7 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 def read_msmc(spark: SparkSession, path: str) -> DataFrame:
     c = _cut(spark, path, r"\s+").where(_at(0).try_cast("int").isNotNull())
-    return c.select(_at(0).cast("int").alias("t_ix"), _at(1).cast("double").alias("t_left"), F.when(_at(2) == "inf", float("inf")).otherwise(_at(2).try_cast("double")).alias("t_right"), F.transform(F.slice("c", 4, 1000), lambda x: x.cast("double")).alias("lambdas"))
+    return c.select(_at(0).cast("int").alias("t_ix"), _at(1).cast("double").alias("t_left"), F.when(_at(2) == "inf", float("inf")).otherwise(_at(2).try_cast("double")).alias("t_right"), F.transform(F.slice("c", 4, F.size("c")), lambda x: x.cast("double")).alias("lambdas"))
 
 
 def read_fasta(spark: SparkSession, path: str, chunk: int = 10_000) -> DataFrame:

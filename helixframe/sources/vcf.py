@@ -16,9 +16,9 @@ CATEGORIES = ("fileformat", "FILTER", "FORMAT", "INFO", "ALT", "contig", "other"
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
-    """The lines that start with #, in order; the header is short and stands first."""
-    rows = spark.read.text(path).where(F.col("value").startswith("#")).limit(100_000).collect()
-    return [r["value"] for r in rows]
+    """The lines that start with #, in order; a header has a line a contig at most beside its few others."""
+    rows = spark.read.text(path).withColumn("n", F.monotonically_increasing_id()).where(F.col("value").startswith("#")).collect()
+    return [r["value"] for r in sorted(rows, key=lambda r: r["n"])]
 
 
 def samples(lines: list[str]) -> list[str]:
@@ -59,7 +59,7 @@ def read_vcf(spark: SparkSession, paths: str | list[str], parts: int | None = No
     for f in frames[1:]:
         rows = rows.unionByName(f)
     c = F.split("value", "\t")
-    rows = rows.select("file_ix", "site_ord", *[F.get(c, F.lit(i)).alias(k) for i, k in enumerate(FIXED)], F.slice(c, 10, 1_000_000).alias("calls"))
+    rows = rows.select("file_ix", "site_ord", *[F.get(c, F.lit(i)).alias(k) for i, k in enumerate(FIXED)], F.slice(c, 10, F.greatest(F.size(c), F.lit(1))).alias("calls"))
     rows = rows.withColumn("keys", F.split("format", ":"))
     allele = lambda t: F.coalesce(t.try_cast("int"), F.lit(-1))
     gt = F.transform(_field("GT"), lambda t: F.struct(allele(F.get(F.split(F.coalesce(t, F.lit(".|.")), "[/|]"), F.lit(0))).alias("a0"), allele(F.coalesce(F.get(F.split(F.coalesce(t, F.lit(".|.")), "[/|]"), F.lit(1)), F.lit("."))).alias("a1"), F.coalesce(t.contains("|"), F.lit(True)).alias("phased")))
@@ -68,15 +68,43 @@ def read_vcf(spark: SparkSession, paths: str | list[str], parts: int | None = No
     return out.repartition(parts, "chrom", F.expr("pos div 1000000")) if parts else out
 
 
+def _call_texts(sites: DataFrame) -> dict[str, tuple]:
+    """{FORMAT key: (whether a site has it, its text for sample i)}, in the order of the keys."""
+    allele = lambda a: F.when(a < 0, ".").otherwise(a.cast("string"))
+    number = lambda x: F.coalesce(F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string")), F.lit("."))
+    many = lambda c: lambda g, i: F.coalesce(F.array_join(F.transform(F.get(c, i), number), ","), F.lit("."))
+    out = {"GT": (F.lit(True), lambda g, i: F.concat(allele(g["a0"]), F.when(g["phased"], "|").otherwise("/"), allele(g["a1"])))}
+    if "dp" in sites.columns:
+        out["DP"] = (F.exists("dp", lambda x: x.isNotNull()), lambda g, i: F.coalesce(F.get("dp", i).cast("string"), F.lit(".")))
+    for key, col in (("AD", "ad"), ("PL", "pl")):
+        if col in sites.columns:
+            out[key] = (F.exists(col, lambda x: x.isNotNull()), many(col))
+    return {k: (F.coalesce(has, F.lit(False)), text) for k, (has, text) in out.items()}
+
+
 def lines_of(sites: DataFrame) -> DataFrame:
-    """(file_ix, site_ord, line): VCF lines with GT and, where there are depths, DP."""
-    text = lambda a: F.when(a < 0, ".").otherwise(a.cast("string"))
-    gt = F.transform("gt", lambda g: F.concat(text(g["a0"]), F.when(g["phased"], "|").otherwise("/"), text(g["a1"])))
-    call = F.when(F.col("dp").isNull(), gt).otherwise(F.zip_with(gt, F.col("dp"), lambda g, d: F.concat(g, F.lit(":"), F.coalesce(d.cast("string"), F.lit(".")))))
+    """(file_ix, site_ord, line): VCF lines with GT and those of DP, AD and PL that any sample of the site has."""
+    parts = _call_texts(sites)
+    keys = F.concat_ws(":", *[F.when(has, F.lit(k)) for k, (has, _) in parts.items()])
+    calls = F.transform("gt", lambda g, i: F.concat_ws(":", *[F.when(has, text(g, i)) for has, text in parts.values()]))
     info = F.array_join(F.transform(F.array_sort(F.map_entries("info")), lambda e: F.when(e["value"].isNull(), e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"]))), ";")
     dot = lambda c: F.coalesce(c, F.lit("."))
     alt = F.when(F.size("alt") > 0, F.array_join("alt", ",")).otherwise(".")
-    return sites.select("file_ix", "site_ord", F.concat_ws("\t", "chrom", F.col("pos").cast("string"), dot(F.col("id")), "ref", alt, dot(F.format_string("%s", "qual")), dot(F.col("filter")), dot(F.nullif(info, F.lit(""))), F.when(F.col("dp").isNull(), "GT").otherwise("GT:DP"), F.array_join(call, "\t")).alias("line"))
+    return sites.select("file_ix", "site_ord", F.concat_ws("\t", "chrom", F.col("pos").cast("string"), dot(F.col("id")), "ref", alt, dot(F.format_string("%s", "qual")), dot(F.col("filter")), dot(F.nullif(info, F.lit(""))), keys, F.array_join(calls, "\t")).alias("line"))
+
+
+def header_lines(head: dict[str, dict[str, str]], names: list[str]) -> list[str]:
+    """Header lines by category, in the order they are written, and the line of columns."""
+    columns = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])
+    return [*(line for c in CATEGORIES for line in head.get(c, {}).values()), columns]
+
+
+def check_samples(names: list[str], wanted: list[str]) -> list[int]:
+    """The places of the wanted samples; a name that the file lacks is an error."""
+    lacking = [n for n in wanted if n not in names]
+    if lacking:
+        raise ValueError(f"no samples {', '.join(lacking)}")
+    return [names.index(n) for n in wanted]
 
 
 def bgzf_blocks(data: bytes, size: int = 65_280) -> bytes:

@@ -7,6 +7,7 @@ from helixframe.functions import site as S
 from helixframe.operators import export as X
 from helixframe.operators import joins as J
 from helixframe.operators import sites as U
+from helixframe.operators import trees as TR
 from helixframe.operators import windows as W
 from helixframe.sources import tables as T
 from helixframe.sources import vcf as V
@@ -37,6 +38,13 @@ def test_vcf_reads_and_writes_back(spark, sites, tmp_path):
     again = V.read_vcf(spark, str(tmp_path / "b.vcf.gz"))
     assert [(r.pos, r.gt) for r in again.orderBy("site_ord").collect()] == [(r.pos, r.gt) for r in rows]
     assert gzip.decompress((tmp_path / "b.vcf.gz").read_bytes()).decode().startswith("##fileformat")
+    full = [(r.pos, r.gt, r.dp, r.ad, r.pl) for r in again.orderBy("site_ord").collect()]
+    assert full == [(r.pos, r.gt, r.dp, r.ad, r.pl) for r in rows] and full[0][3] == [[5, 0], [2, 2], [0, 0]]
+    head = V.header_lines(V.parse_header([VCF.splitlines()[1], VCF.splitlines()[0]]), ["s1"])
+    assert [x.split("=")[0] for x in head[:2]] == ["##fileformat", "##INFO"] and head[2].endswith("FORMAT\ts1")
+    assert V.check_samples(["s1", "s2"], ["s2"]) == [1]
+    with pytest.raises(ValueError):
+        V.check_samples(["s1"], ["s9"])
     assert V.samples(VCF.splitlines()[:3]) == ["s1", "s2", "s3"]
     with pytest.raises(ValueError):
         V.parse_header(["##INFO=<ID=A>", "##INFO=<ID=A>"], "throw")
@@ -60,15 +68,15 @@ def test_likelihoods(spark):
 
 
 def test_masks(spark):
-    m = spark.createDataFrame([("chr1", 100, 200), ("chr1", 180, 250), ("chr1", 1000, 1100), ("chr2", 50, 60), ("x", 1, 5), ("x", 6, 7), ("x", 9, 20), ("x", 10, 11), ("x", 21, 22), ("x", 30, 31)], "chrom string, start long, end long")
+    m = spark.createDataFrame([("q", 11, 40), ("q", 35, 70), ("q", 300, 310), ("r", 5, 9), ("x", 1, 5), ("x", 6, 7), ("x", 9, 20), ("x", 10, 11), ("x", 21, 22), ("x", 30, 31)], "chrom string, start long, end long")
     merged = {tuple(r) for r in J.merge_intervals(m).collect()}
-    assert merged == {("chr1", 100, 250), ("chr1", 1000, 1100), ("chr2", 50, 60), ("x", 1, 7), ("x", 9, 22), ("x", 30, 31)}
+    assert merged == {("q", 11, 70), ("q", 300, 310), ("r", 5, 9), ("x", 1, 7), ("x", 9, 22), ("x", 30, 31)}
     assert {tuple(r) for r in J.merge_intervals(J.merge_intervals(m)).collect()} == merged
-    p = spark.createDataFrame([("chr1", 900), ("chr1", 1000)], "chrom string, pos long")
-    assert [r.pos for r in J.in_intervals(p, m, 64).collect()] == [1000]
-    spans = spark.createDataFrame([("chr1", 240, 260), ("chr1", 150, 300), ("chr1", 260, 270)], "chrom string, start long, end long")
+    p = spark.createDataFrame([("q", 299), ("q", 310), ("r", 4)], "chrom string, pos long")
+    assert [r.pos for r in J.in_intervals(p, m, 64).collect()] == [310]
+    spans = spark.createDataFrame([("q", 60, 80), ("q", 20, 100), ("q", 80, 90)], "chrom string, start long, end long")
     got = {r.start: (r.covered, r.overlaps) for r in J.span_cover(spans, m, 64).collect()}
-    assert got == {240: (11, True), 150: (101, True), 260: (0, False)}
+    assert got == {60: (11, True), 20: (51, True), 80: (0, False)}
 
 
 def test_compare_pairs_duplicates_in_order(spark):
@@ -118,3 +126,70 @@ def test_streamed_depth_equals_batch(spark, sites, tmp_path):
     q = depth.start(depth.depth_by_window(spark.readStream.schema(s.schema).parquet(str(tmp_path / "in")), 10), "depths", str(tmp_path / "c"))
     q.awaitTermination(60)
     assert sorted(map(tuple, spark.sql("select * from depths").collect())) == sorted(map(tuple, W.window_depth(s, 10).collect()))
+
+
+def site(gt, ref="A", alt=("C",), **more):
+    return {"chrom": "c", "pos": 1, "ref": ref, "alt": list(alt), "gt": [(a, b, False) for a, b in gt], **more}
+
+
+SITE = "chrom string, pos long, ref string, alt array<string>, gt array<struct<a0:int,a1:int,phased:boolean>>, dp array<int>, ad array<array<int>>, pl array<array<double>>, aa string"
+
+
+def test_depths_and_likelihoods_follow_the_alleles(spark):
+    rows = [site([(0, 1), (1, 1)], dp=[3, 4], ad=[[2, 1], [0, 4]], pl=[[10.0, 0.0, 20.0], [30.0, 5.0, 0.0]], aa="C")]
+    df = spark.createDataFrame(rows, SITE)
+    for out in (U.polarise(df), U.flip(df)):
+        r = out.first()
+        assert (r.ref, r.alt, r.ad, r.pl) == ("C", ["A"], [[1, 2], [4, 0]], [[20.0, 0.0, 10.0], [0.0, 5.0, 30.0]])
+    three = spark.createDataFrame([site([(0, 2)], alt=("C", "G"), dp=[3], ad=[[2, 1, 9]], pl=[[1.0, 2.0, 3.0, 4.0, 5.0, 6.0]], aa="C")], SITE)
+    r = U.polarise(three).first()
+    # 00 01 11 02 12 22 becomes 11 01 00 12 02 22
+    assert (r.alt, r.ad, r.pl, r.gt[0].a0) == (["A", "G"], [[1, 2, 9]], [[3.0, 2.0, 1.0, 5.0, 4.0, 6.0]], 1)
+    r = U.lowcount_to_miss(three, 1).first()
+    assert r.ad == [[0, 1, 0]] and r.gt[0].a0 == -1 == r.gt[0].a1
+
+
+def test_quick_filter_of_rescued_sites(spark):
+    two = [(0, 0), (0, 1), (1, 1)]
+    rows = [site([*two, (2, 0)], alt=("C", "G"), aa=None), site([*two, (2, 2)], alt=("C", "G"), aa="A"), site([(0, 0), (2, 1), (-1, -1), (0, 1)], alt=("C", "G"), aa="A"), site([(0, 0), (-1, 2), (-1, -1), (1, 1)], alt=("C", "G"), aa="A"), site(two, aa="T")]
+    df = spark.createDataFrame([{**r, "pos": k, "dp": None, "ad": None, "pl": None} for k, r in enumerate(rows)], SITE)
+    got = {r.pos: r for r in U.quick_filter(df, most_missing=0.45).collect()}
+    assert [got[k].reason for k in range(5)] == [None, "nonallelic", None, "missing", "nonancestral"]
+    assert [got[k].rescued for k in range(5)] == [True, False, True, True, False]
+    assert got[0].gt[3].a0 == -1 and got[0].gt[3].a1 == 0
+
+
+def test_map_over_many_sites_of_one_chromosome(spark):
+    """One growing window: tens of thousands of sites of one chromosome."""
+    sites = spark.range(1, 40_001).selectExpr("'c' as chrom", "id as pos")
+    points = spark.range(1, 30).selectExpr("'c' as chrom", "id * 1000 as phys", "cast(id as double) as gen")
+    out = J.interpolate_map(sites, points).agg(F.count("gen"), F.max("gen"), F.sum(F.abs(F.col("gen") - F.col("pos") / 1000))).first()
+    assert out[0] == 29_000 and out[1] == 29.0 and out[2] < 1e-6
+
+
+def test_spans_are_those_of_trees(spark):
+    edges = spark.createDataFrame([(0.0, 30.0, 9, 1), (0.0, 10.0, 8, 2), (10.0, 30.0, 9, 2)], "left double, right double, parent long, child long")
+    assert {tuple(r) for r in TR.span_histogram(edges).collect()} == {(10, 1), (20, 1)}
+    for width in (3.0, 1000.0):
+        assert {tuple(r) for r in TR.trees_of(edges, width).collect()} == {(0.0, 10.0), (10.0, 30.0)}
+    mask = spark.createDataFrame([(0.0, 10.0, 0), (10.0, 30.0, 1)], "left double, right double, mask int")
+    assert {r.node for r in TR.used_nodes(edges, mask).collect()} == {9, 1, 2} and {r.node for r in TR.used_nodes(edges, mask, True).collect()} == {9, 8, 1, 2}
+
+
+def test_open_interval_takes_last_rates(spark):
+    inf = float("inf")
+    pop = lambda rows: spark.createDataFrame(rows, "t_ix int, t_left double, t_right double, lam double")
+    got = {r.t_ix: r.rccr for r in TR.cross_coalescence(pop([(0, 0.0, 10.0, 1.0), (1, 10.0, inf, 3.0)]), pop([(0, 0.0, 50.0, 2.0), (1, 50.0, inf, 8.0)]), pop([(0, 0.0, inf, 4.0)])).collect()}
+    assert got == {0: 2 / 6, 1: 6 / 12}
+
+
+def test_outlier_files(spark, tmp_path):
+    rows = [("c", w, i, 1000 if (w, i) != (3, 2) else 9000, 100) for w in range(6) for i in range(5)]
+    wins = spark.createDataFrame(rows, "chrom string, win long, sample_ix int, depth_sum long, sites long")
+    report = W.depth_outliers(wins, alpha=0.01, min_depth=0.0, width=250)
+    W.write_outliers(report, spark.createDataFrame([(i, f"s{i}") for i in range(5)], "sample_ix int, name string"), str(tmp_path / "o"))
+    high = (tmp_path / "o.windows_high").read_text().splitlines()
+    assert len(high) == 2 and high[1].startswith("c:751-1000\t751\t0.20\t0.20") and high[1].endswith("\ts2")
+    assert len((tmp_path / "o.windows_low").read_text().splitlines()) == 1
+    W.write_tsv(wins, str(tmp_path / "d.tsv"), ["win", "sample_ix"])
+    assert (tmp_path / "d.tsv").read_text().splitlines()[1] == "c\t0\t0\t1000\t100"
