@@ -135,10 +135,11 @@ def _links(holds: Callable):
                 pairs = list(zip(batch.column("a")[r].as_py(), batch.column("b")[r].as_py(), strict=True))
                 todo.append(pairs)
                 for k, c in enumerate(("ma", "mb")):
-                    asked, m = {p[k] for p in pairs}, batch.column(c)[r].values
-                    for i, (id_, group) in enumerate(zip(m.field("id").to_pylist(), m.field("comp").to_pylist(), strict=True)):
-                        if id_ in asked and id_ not in body:
-                            body[id_], comp[id_] = m.field("body")[i].as_py(), group
+                    asked, m = np.array(sorted({p[k] for p in pairs}), np.int64), batch.column(c)[r].values
+                    ids, groups, bodies = (m.field(f) for f in ("id", "comp", "body"))
+                    for i in np.flatnonzero(np.isin(ids.to_numpy(), asked)):
+                        if (id_ := ids[i].as_py()) not in body:
+                            body[id_], comp[id_] = bodies[i].as_py(), groups[i].as_py()
             take, held = 4, []
             while todo:
                 now, later = {}, []
