@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import site as S
+from helixframe.operators.joins import span_cover
 
 
 def explode_samples(sites: DataFrame) -> DataFrame:
@@ -193,3 +194,20 @@ def running_counts(sites: DataFrame, emit) -> DataFrame:
     w = Window.partitionBy("chrom").orderBy(*S.order(sites))
     s = sites.withColumn("__n", F.row_number().over(w)).where(emit)
     return s.withColumn("nsites", F.col("__n") - F.lag("__n", 1, 0).over(w)).drop("__n")
+
+
+def global_index(windows: DataFrame) -> DataFrame:
+    """``windows`` (chrom, win) with ``global_ix``: the window's number over all chromosomes in order, each from 0 to its last window."""
+    n = windows.groupBy("chrom").agg((F.max("win") + 1).alias("__n"))
+    # a row a chromosome
+    w = Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)
+    start = n.select("chrom", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__start"))
+    return windows.join(start, "chrom").withColumn("global_ix", F.col("__start") + F.col("win")).drop("__start")
+
+
+def nonrepeat(lengths: DataFrame, mask: DataFrame, width: int = 1_000, step: int = 1) -> DataFrame:
+    """(chrom, pos, nonrepeat_frac): the share of ``width`` bp, of which pos is the middle, outside the mask, every ``step``
+    bp of each chromosome (chrom, length) where the window fits."""
+    at = lengths.where(F.col("length") >= width).select("chrom", F.explode(F.expr(f"sequence(1L, length - {width} + 1, {step}L)")).alias("start"))
+    spans = at.select("chrom", "start", (F.col("start") + width - 1).alias("end"))
+    return span_cover(spans, mask, max(width, 1_000)).select("chrom", F.expr(f"start + {width} div 2").alias("pos"), (1 - F.col("frac")).alias("nonrepeat_frac"))

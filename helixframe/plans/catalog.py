@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import names as N
 from helixframe.functions import site as S
+from helixframe.operators import ancestry as A
+from helixframe.operators import cohorts as H
 from helixframe.operators import count_models as C
 from helixframe.operators import export as X
 from helixframe.operators import genealogy as G
@@ -20,6 +22,7 @@ from helixframe.operators import summaries as Y
 from helixframe.operators import trees as T
 from helixframe.operators import windows as W
 from helixframe.plans import lens
+from helixframe.sources import chunks as K
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -688,6 +691,148 @@ def _(s, *_):
     return Y.with_template_outgroup(s, s, [3, 7]).select("site_id")
 
 
+# --- ancestral classes, cohorts, chunk files ---------------------------------
+
+CLASSES = ", k as (select site_id, count(*) filter (a1 = 0 and a2 = 0) as hr, count(*) filter (a1 >= 0 and a2 >= 0 and a1 <> a2) as he, count(*) filter (a1 = a2 and a1 > 0) as ha, bool_or(a1 = 2 or a2 = 2) as two, bool_or(a1 > 0 or a2 > 0) as varies, cast(site_id % 101 as double) / 100 as p from lens_geno group by site_id)"
+
+
+def short_alt(s: DataFrame) -> DataFrame:
+    """Sites without the second ALT where nobody has it."""
+    return s.withColumn("alt", F.when(F.exists(S.called(), lambda a: a == 2), F.col("alt")).otherwise(F.slice("alt", 1, 1)))
+
+
+def with_outgroups(s: DataFrame) -> DataFrame:
+    pick = lambda letters, n: F.element_at(F.array(*map(F.lit, letters)), (F.col("site_id") % n + 1).cast("int"))
+    return s.withColumns({"out1": pick("ACNT", 4), "out2": pick("ACNAGCN", 7)})
+
+
+@query("ancestral_by_probability", CLASSES + """, x as (select *, 2 * hr + he as r, 2 * ha + he as a from k),
+y as (select *, case when a < 3 then 'mono' when two then 'multi' when not (p > 0.95 or p < 0.05) then 'ambiguous' when (p > 0.95) = (r > a) then 'unflipped' else 'flipped' end as reason from x)
+select site_id, reason, case reason when 'unflipped' then 'A' when 'flipped' then 'C' end as aa, reason in ('flipped', 'unflipped') and p < 0.05 as against from y""")
+def _(s, *_):
+    p = (F.col("site_id") % 101).cast("double") / 100
+    return A.ancestral_by_probability(short_alt(s).withColumn("p", p)).select("site_id", "reason", "aa", "against")
+
+
+OUTGROUPS = CLASSES + f""", o as (select *, {OUT} from k), e as (select *, case when out1 = 'N' and out2 = 'N' then 'missing' when two then 'multi' when out1 not in ('A', 'C') and out2 not in ('A', 'C') then 'orthogonal' end as reason from o),
+l as (select *, case when reason is null then concat(2 * hr + he, ',', 2 * ha + he, ',0,0', chr(9), (out1 = 'A')::int, ',', (out1 = 'C')::int, ',', (out1 = 'G')::int, ',', (out1 = 'T')::int, chr(9), (out2 = 'A')::int, ',', (out2 = 'C')::int, ',', (out2 = 'G')::int, ',', (out2 = 'T')::int) end as line from e)"""
+
+
+@query("outgroup_lines", OUTGROUPS + " select site_id, reason, not varies as mono, line, case when reason is null then out1 <> 'A' end as minor1, case when reason is null then out2 <> 'A' end as minor2 from l")
+def _(s, *_):
+    return A.outgroup_lines(with_outgroups(short_alt(s))).select("site_id", "reason", "mono", "line", "minor1", "minor2")
+
+
+@query("outgroup_report", OUTGROUPS + " select count(*) filter (reason = 'missing') as missing, count(*) filter (reason = 'multi') as multi, count(*) filter (reason = 'orthogonal') as orthogonal, count(*) filter (coalesce(reason, 'orthogonal') = 'orthogonal' and not varies) as mono, count(*) filter (reason is null and out1 <> 'A') as minority1, count(*) filter (reason is null and out1 = 'A') as majority1, count(*) filter (reason is null and out2 <> 'A') as minority2, count(*) filter (reason is null and out2 = 'A') as majority2 from l")
+def _(s, *_):
+    return A.outgroup_report(A.outgroup_lines(with_outgroups(short_alt(s))))
+
+
+AAN = "case site_id % 6 when 0 then 'A' when 1 then 'C' when 2 then 'G' when 3 then 'N' when 4 then 'A' end"
+
+
+@query("ancestral_agreement", f", k as (select *, {OUT}, coalesce({AAN}, 'N') as aa from sa), u as (select *, alc > 2 and aa <> 'N' as u, aa = ['A', 'C', 'G'][maj + 1] as top from k) select count(*) filter (u and aa = 'A') as ref, count(*) filter (u and aa <> 'A') as alt, count(*) filter (u and top) as major, count(*) filter (u and not top) as minor, count(*) filter (u and (aa = out1 or aa = out2)) as outgroup, count(*) filter (u and aa <> out1 and aa <> out2) as no_outgroup, count(*) filter (alc = 1 and aa <> 'A') as mono_other, count(*) filter (alc > 2 and aa = 'N') as ambiguous from u")
+def _(s, *_):
+    aa = F.get(F.array(*[F.lit(x) for x in ("A", "C", "G", "N", "A", None)]), (F.col("site_id") % 6).cast("int"))
+    return A.agreement(with_outgroups(s).withColumn("aa", aa))
+
+
+@query("ancestral_copied", f" select site_id, {AAQ} as aa from lens_sites")
+def _(s, *_):
+    aa = F.when(F.col("site_id") % 5 != 0, F.element_at(F.array(*map(F.lit, "ACGT")), (F.col("site_id") % 4 + 1).cast("int")))
+    return A.copy_ancestral(s, s.select("site_id", "chrom", "pos", "ref", aa.alias("aa"))).select("site_id", "aa")
+
+
+@query("ancestral_match", "select p_partkey, cast(p_partkey % 2 as int) as plain, cast(case when p_partkey % 5 = 0 then 2 else p_partkey % 2 end as int) as code from part", use_lens=False)
+def _(spark, d):
+    odd = F.col("p_partkey") % 2 == 1
+    s = lens.read(spark, d, "part").select("p_partkey", F.lit("A").alias("ref"), F.array(F.lit("C")).alias("alt"), F.when(odd, "a").otherwise("C").alias("b"))
+    code = F.when(F.col("p_partkey") % 5 == 0, "R").otherwise(F.col("b"))
+    return s.select("p_partkey", A.ancestral_is_ref(F.col("b")).alias("plain"), A.ancestral_is_ref(code, unresolved=True).alias("code"))
+
+
+def cohort(spark: SparkSession, d: str) -> DataFrame:
+    """The metadata of 25 nations, as samples."""
+    return lens.read(spark, d, "nation").select(F.col("n_nationkey").alias("ix"), F.col("n_name").alias("id"), F.concat(F.lit("p"), F.col("n_regionkey").cast("string")).alias("pop_short"))
+
+
+@query("cohort_groups", "select concat('p', n_regionkey) as value, string_agg(n_nationkey, ',' order by n_nationkey) as members, cast(row_number() over (order by min(n_nationkey)) - 1 as int) as place from nation group by n_regionkey", use_lens=False)
+def _(spark, d):
+    return H.groups(cohort(spark, d), "pop_short").withColumn("members", F.array_join(F.transform("members", lambda i: i.cast("string")), ","))
+
+
+@query("cohort_nodes", "select concat('p', n_regionkey) as value, cast(2 * n_nationkey + i as int) as node from nation, (select unnest([0, 1]) as i) where n_regionkey in (1, 3)", use_lens=False)
+def _(spark, d):
+    return H.nodes(cohort(spark, d), "pop_short", ["p3", "p1"])
+
+
+@query("cohort_one_node", "select n_nationkey as ix, cast(2 * n_nationkey + (strpos('0123456789abcdef', substr(md5(concat('1:', n_nationkey)), 1, 1)) - 1) % 2 as bigint) as node from nation", use_lens=False)
+def _(spark, d):
+    return H.one_node(cohort(spark, d))
+
+
+@query("cohort_subsample", "select c_custkey from customer order by md5(concat('1:', c_custkey)), c_custkey limit 20", use_lens=False)
+def _(spark, d):
+    return H.subsample(lens.read(spark, d, "customer").select("c_custkey"), 20, "c_custkey")
+
+
+@query("cohort_poplabels", "select cast(24 - n_nationkey as int) as ord, concat(n_name, ' p', n_regionkey, ' p', n_regionkey, ' NA') as line from nation", use_lens=False)
+def _(spark, d):
+    m = cohort(spark, d)
+    return H.poplabels(m.select((24 - F.col("ix")).alias("ord"), "id"), m)
+
+
+@query("cohort_chosen_nodes", "with r as (select n_regionkey, n_nationkey, row_number() over (partition by n_regionkey order by md5(concat('1:', n_nationkey)), n_nationkey) as r from nation) select concat('p', n_regionkey) as value, string_agg(concat(2 * n_nationkey, ',', 2 * n_nationkey + 1), ',' order by n_nationkey) as nodes from r where r <= 2 group by n_regionkey", use_lens=False)
+def _(spark, d):
+    return H.chosen_nodes(cohort(spark, d), "pop_short", 2)
+
+
+@query("zip_fields", "select p_partkey as ord, concat(p_size, ' ', s_nationkey) as line from part join supplier on p_partkey = s_suppkey", use_lens=False)
+def _(spark, d):
+    one = lens.read(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit("\tx y")).alias("line"))
+    two = lens.read(spark, d, "supplier").select(F.col("s_suppkey").alias("ord"), F.concat(F.lit("z  "), F.col("s_nationkey").cast("string")).alias("line"))
+    return H.zip_fields(one, two)
+
+
+@query("chunk_names", "with p as (select s_suppkey, concat('c', s_nationkey % 3) as chrom, cast(s_suppkey * 37 % 900 + 1 as bigint) as a, least(s_suppkey * 37 % 900 + 1 + s_nationkey * 30, 950) as b from supplier), q as (select *, unnest(range(cast((a - 1) // 100 as bigint), cast((b - 1) // 100 + 1 as bigint))) as chunk from p) select s_suppkey, chunk, concat('f_', chrom, ':', chunk * 100 + 1, '-', least((chunk + 1) * 100, 950), '_x') as name from q", use_lens=False)
+def _(spark, d):
+    start = F.col("s_suppkey") * 37 % 900 + 1
+    spans = lens.read(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("c"), (F.col("s_nationkey") % 3).cast("string")).alias("chrom"), start.alias("start"), F.least(start + F.col("s_nationkey") * 30, F.lit(950)).alias("end"), F.lit(950).alias("length"))
+    return K.chunk_names(spans, 100, "f_", "_x").select("s_suppkey", F.col("chunk").cast("long").alias("chunk"), "name")
+
+
+HEAD = "select n_nationkey as ord, case n_regionkey when 0 then concat('##contig=<ID=NC_', n_nationkey, '>') when 1 then concat('##INFO=<ID=AA', n_nationkey % 2, '>') when 2 then '##INFO=<ID=DP>' when 3 then concat('##contig=<ID=X', n_nationkey, '>') else concat('c1', chr(9), n_nationkey) end as line from nation"
+
+
+def header_table(spark: SparkSession, d: str) -> DataFrame:
+    n, k = F.col("n_regionkey"), F.col("n_nationkey").cast("string")
+    parts = [F.concat(F.lit("##contig=<ID=NC_"), k, F.lit(">")), F.concat(F.lit("##INFO=<ID=AA"), (F.col("n_nationkey") % 2).cast("string"), F.lit(">")), F.lit("##INFO=<ID=DP>"), F.concat(F.lit("##contig=<ID=X"), k, F.lit(">")), F.concat(F.lit("c1\t"), k)]
+    return lens.read(spark, d, "nation").select(F.col("n_nationkey").alias("ord"), F.get(F.array(*parts), n).alias("line"))
+
+
+@query("header_stripped", f"with h as ({HEAD}) select ord, line from h where (not starts_with(line, '##contig') or starts_with(line, '##contig=<ID=NC_1')) and (not starts_with(line, '##INFO') or starts_with(line, '##INFO=<ID=AA'))", use_lens=False)
+def _(spark, d):
+    return K.strip_header(header_table(spark, d), "NC_1", "AA")
+
+
+@query("header_replaced", f"with h as ({HEAD}) select 0 as part, ord, line from h where line like '##%' and (line not like '##contig%' or line like '##contig=<ID=NC%') union all select 1, 24 - ord, line from h where line not like '##%'", use_lens=False)
+def _(spark, d):
+    h = header_table(spark, d)
+    return K.reheader(h.withColumn("ord", 24 - F.col("ord")), h)
+
+
+@query("global_windows", ", x as (select distinct chrom, (pos - 1) // 250 as win from lens_sites), n as (select chrom, max(win) + 1 as n from x group by 1), o as (select chrom, coalesce(sum(n) over (order by chrom rows between unbounded preceding and 1 preceding), 0) as start from n) select chrom, cast(win as bigint) as win, cast(start + win as bigint) as global_ix from x join o using (chrom)")
+def _(s, *_):
+    return W.global_index(s.select("chrom", F.expr("(pos - 1) div 250").alias("win")).distinct())
+
+
+@query("nonrepeat", ISLANDS + ", p as (select chrom, unnest(range(1, 19002, 250)) as a from (select distinct chrom from raw)) select p.chrom, a + 500 as pos, round(1 - cast(coalesce(sum(least(a + 999, m.e) - greatest(a, m.s) + 1), 0) as double) / 1000, 9) as nonrepeat_frac from p left join m on m.chrom = p.chrom and m.s <= a + 999 and a <= m.e group by p.chrom, a")
+def _(s, spark, d):
+    m = raw_mask(spark, d)
+    lengths = m.select("chrom").distinct().withColumn("length", F.lit(20000).cast("long"))
+    return W.nonrepeat(lengths, m, 1000, 250).withColumn("nonrepeat_frac", F.round("nonrepeat_frac", 9))
+
+
 # --- count models, projections, genealogies ---------------------------------
 
 def model_sql(z: str, cut: float) -> str:

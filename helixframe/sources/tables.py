@@ -101,3 +101,59 @@ def base_at(sites: DataFrame, fasta: DataFrame, name: str, chunk: int = 10_000)
 def leaves(newick):
     """The sorted leaf names of a newick text."""
     return F.array_sort(F.regexp_extract_all(newick, F.lit(r"[(,]\s*([^(),:;\s]+)"), F.lit(1)))
+
+
+# The columns of TreeMix files, in order.
+EDGES = "pnode long, cnode long, length double, weight double, mig string, mstart string, blank string"
+VERTICES = "id long, label string, root string, mig string, tip string, pid long, c1id long, nc1 long, c2id long, nc2 long, subtree string"
+
+
+def read_treemix(spark: SparkSession, edges: str, vertices: str) -> tuple[DataFrame, DataFrame]:
+    """TreeMix edges and vertices, plain or gzip; NA is null."""
+    read = lambda path, schema: spark.read.csv(path, schema=schema, sep=" ", nullValue="NA")
+    return read(edges, EDGES), read(vertices, VERTICES)
+
+
+def migrations(rows: DataFrame) -> DataFrame:
+    """The migration edges or vertices."""
+    return rows.where("mig = 'MIG'")
+
+
+def read_probabilities(spark: SparkSession, path: str) -> DataFrame:
+    """(site, p): P(major is ancestral) of EST-SFS output by the site's number; lines that start with 0 are comments."""
+    c = _cut(spark, path, r"\s+", "0").where(F.size("c") >= 3)
+    return c.select(_at(0).try_cast("long").alias("site"), _at(2).try_cast("double").alias("p"))
+
+
+def read_states(spark: SparkSession, path: str, node: str = "Node1") -> DataFrame:
+    """(site, base): IQ-TREE states of one node."""
+    c = _cut(spark, path, "\t").where(_at(0) == node)
+    return c.select(_at(1).cast("long").alias("site"), _at(2).alias("base"))
+
+
+def gene_rows(gff: DataFrame, gene: str, order: str = "n") -> DataFrame:
+    """Rows of a gene, from the first ``gene`` row that names it on: those whose attribute ``gene`` is its name, quoted or not."""
+    own = gff.where(F.regexp_replace(F.col("attributes")["gene"], "^(['\"])(.*)\\1$", "$2") == gene)
+    first = own.where("type = 'gene'").agg(F.min(order).alias("__first"))
+    return own.join(F.broadcast(first), F.col(order) >= F.col("__first")).drop("__first")  # one number
+
+
+def without_contigs(fasta: DataFrame, names: list[str]) -> DataFrame:
+    return fasta.where(~F.col("contig").isin(names))
+
+
+def extract_region(fasta: DataFrame, contig: str, start: int, end: int, chunk: int = 10_000) -> DataFrame:
+    """(chunk, seq): bases start..end, 1-based inclusive, of a contig's chunks."""
+    first = F.col("chunk") * chunk
+    lo, hi = F.greatest(F.lit(start) - first, F.lit(1)), F.least(F.lit(end) - first, F.lit(chunk))
+    part = fasta.where((F.col("contig") == contig) & F.col("chunk").between((start - 1) // chunk, (end - 1) // chunk))
+    return part.select("chunk", F.substring(F.col("seq"), lo.cast("int"), (hi - lo + 1).cast("int")).alias("seq"))
+
+
+def fasta_lines(fasta: DataFrame, width: int = 40, chunk: int = 10_000) -> DataFrame:
+    """(contig, ord, line): a name, then the sequence in lines of ``width`` bases; a chunk holds a whole number of lines."""
+    if chunk % width:
+        raise ValueError(f"chunks of {chunk} bases are no whole number of lines of {width}")
+    rows = F.expr(f"transform(sequence(0, (length(seq) - 1) div {width}), i -> struct(chunk * {chunk // width} + i + 1 as ord, substring(seq, int(i * {width} + 1), {width}) as line))")
+    body = fasta.where(F.length("seq") > 0).select("contig", F.explode(rows).alias("x")).select("contig", "x.ord", "x.line")
+    return fasta.select("contig").distinct().select("contig", F.lit(0).cast("long").alias("ord"), F.concat(F.lit(">"), "contig").alias("line")).unionByName(body)
