@@ -107,6 +107,16 @@ def write_outliers(report: DataFrame, names: DataFrame, stem: str, use_median: b
                 f.write(r["line"] + "\n")
 
 
+def report_depths(sites: DataFrame, names: DataFrame, stem: str, width: int, most_missing: float = 0.5, **options) -> DataFrame:
+    """Window depths with their gaps, the outliers among them, and the files of both; gives the outliers. ``options`` go to
+    ``depth_outliers``. Windows are few beside sites and are kept for the two results."""
+    windows = fill_gaps(window_depth(sites, width, most_missing)).persist()
+    write_tsv(windows, f"{stem}.depths", ["chrom", "win", "sample_ix"])
+    report = depth_outliers(windows, width=width, **options)
+    write_outliers(report, names, stem, options.get("use_median", True))
+    return report
+
+
 def write_tsv(table: DataFrame, path: str, order: list[str], header: bool = True) -> None:
     """Window or sample statistics as one tab-separated file, in order; rows stream through the driver."""
     with open(path, "w") as f:
@@ -125,6 +135,16 @@ def slide_bp(sites: DataFrame, width: int, least: int = 3) -> DataFrame:
     return s.select("chrom", "pos", F.percentile("pos", F.lit(0.5)).over(w).alias("mid"), F.avg("d").over(w).alias("mean_depth"), F.avg("m").over(w).alias("nonmiss"), (n.cast("double") / width * 100).alias("density"))
 
 
+def slide_bp_thin(sites: DataFrame, width: int, every: int) -> DataFrame:
+    """At every ``every``-th site of a chromosome, over its sites within ``width`` bp before: mean depth and share of SNPs.
+    Sites may come from several files; a position's place among all of them counts."""
+    f = Window.partitionBy("chrom").orderBy("pos").rangeBetween(-width, 0)
+    w = Window.partitionBy("chrom").orderBy(*S.order(sites))
+    s = sites.select("chrom", *S.order(sites), (S.depth().cast("double") / F.size("dp")).alias("d"), (S.allelicity(S.counts()) > 1).cast("double").alias("snp"))
+    s = s.withColumns({"n": F.row_number().over(w), "mean_depth": F.avg("d").over(f), "snp_frac": F.avg("snp").over(f)})
+    return s.where(F.col("n") % every == 0).select("chrom", "pos", "n", "mean_depth", "snp_frac")
+
+
 def slide_rows(sites: DataFrame, rows: int, step: int = 1) -> DataFrame:
     """Over the last ``rows`` sites, at every ``step``-th site from the ``rows``-th on: median position, mean depth, share of SNPs, mean share of called alleles."""
     w = Window.partitionBy("chrom").orderBy(*S.order(sites))

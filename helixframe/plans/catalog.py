@@ -334,6 +334,11 @@ def _(s, *_):
     return W.slide_bp(s, 200).withColumns({c: F.round(c, 6) for c in ("mean_depth", "nonmiss")})
 
 
+@query("slide_bp_thin", ", x as (select chrom, pos, cast(dp as double) / ns as d, case when alc > 1 then 1.0::double else 0.0::double end as snp from sa) select chrom, pos, n, round(md, 6) as mean_depth, round(sf, 6) as snp_frac from (select chrom, pos, cast(row_number() over (partition by chrom order by pos) as int) as n, avg(d) over w as md, avg(snp) over w as sf from x window w as (partition by chrom order by pos range between 200 preceding and current row)) where n % 7 = 0")
+def _(s, *_):
+    return W.slide_bp_thin(s, 200, 7).withColumns({c: F.round(c, 6) for c in ("mean_depth", "snp_frac")})
+
+
 @query("slide_rows", ", x as (select chrom, pos, cast(dp as double) / ns as d, case when alc > 1 then 1.0::double else 0.0::double end as snp, cast(an as double) / (2 * ns) as nm from sa), y as (select chrom, pos, cast(row_number() over (partition by chrom order by pos) as int) as n, median(pos) over w as mid, round(avg(d) over w, 6) as mean_depth, round(avg(snp) over w, 6) as snp_frac, round(avg(nm) over w, 6) as nonmiss from x window w as (partition by chrom order by pos rows between 9 preceding and current row)) select * from y where n >= 10 and n % 5 = 0")
 def _(s, *_):
     return W.slide_rows(s, 10, 5).withColumns({c: F.round(c, 6) for c in ("mean_depth", "snp_frac", "nonmiss")})

@@ -157,3 +157,9 @@ def fasta_lines(fasta: DataFrame, width: int = 40, chunk: int = 10_000) -> DataF
     rows = F.expr(f"transform(sequence(0, (length(seq) - 1) div {width}), i -> struct(chunk * {chunk // width} + i + 1 as ord, substring(seq, int(i * {width} + 1), {width}) as line))")
     body = fasta.where(F.length("seq") > 0).select("contig", F.explode(rows).alias("x")).select("contig", "x.ord", "x.line")
     return fasta.select("contig").distinct().select("contig", F.lit(0).cast("long").alias("ord"), F.concat(F.lit(">"), "contig").alias("line")).unionByName(body)
+
+
+def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, length) of the files under a folder, at any depth, whose name fits the pattern; no file is read."""
+    r = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    return r.load(folder).select("path", "length")

@@ -134,3 +134,16 @@ def test_global_index_and_nonrepeats(spark):
     mask = spark.createDataFrame([("a", 1, 2), ("a", 2, 5)], "chrom string, start long, end long")
     got = {r.pos: r.nonrepeat_frac for r in W.nonrepeat(lengths, mask, 4, 4).collect()}
     assert got == {3: 0.0, 7: 0.75, 11: 1.0}
+
+
+def test_depth_report_and_file_list(spark, tmp_path):
+    rows = [("c", w * 250 + k, [9000 if (w, i) == (3, 2) and k == 1 else 100 for i in range(5)]) for w in range(6) for k in range(1, 41)]
+    s = spark.createDataFrame(rows, "chrom string, pos long, dp array<int>").withColumn("gt", F.transform("dp", lambda x: F.struct(F.lit(0).alias("a0"), F.lit(0).alias("a1"), F.lit(True).alias("phased"))))
+    names = spark.createDataFrame([(i, f"s{i}") for i in range(5)], "sample_ix int, name string")
+    W.report_depths(s, names, str(tmp_path / "r"), 250, alpha=0.01, min_depth=0.0)
+    high = (tmp_path / "r.windows_high").read_text().splitlines()
+    assert len(high) == 2 and high[1].startswith("c:751-1000") and high[1].endswith("s2")
+    assert len((tmp_path / "r.depths").read_text().splitlines()) == 31
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "x.trees").write_text("abc")
+    assert [(r.path.rsplit("/", 1)[1], r.length) for r in T.list_files(spark, str(tmp_path), "*.trees").collect()] == [("x.trees", 3)]
