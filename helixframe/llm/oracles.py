@@ -30,6 +30,23 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5
 """
 
+NEGATIVES = """
+with v as (
+  select vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label,
+    list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as anchor_id, q.label as own, c.vec_id, c.label, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) as bigint) as score
+  from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 100 = 0),
+p as (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as n from s where label = own),
+n as (
+  select p.anchor_id, p.vec_id as positive_id, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score,
+    row_number() over (partition by p.anchor_id, p.vec_id order by s.score desc, s.vec_id) as rank
+  from p join s on s.anchor_id = p.anchor_id and s.label <> s.own and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score
+  where p.n <= 5)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
+
 MIXING = f"""
 with d as (
   select doc_id, source, coalesce(source, 'null source') as src, len(regexp_extract_all(coalesce(text, ''), {WORDS})) as size,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import html_text, langid, line_dedup, minhash_dedup, mixing, oracles, packing, quality, tiff, token_counts, vector_search
+from helixframe.llm import hard_negatives, html_text, langid, line_dedup, minhash_dedup, mixing, oracles, packing, piece_codec, quality, tiff, token_alignment, token_counts, vector_search
 from helixframe.llm.common import crc_of_id, table
 
 
@@ -63,6 +63,20 @@ def dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.md5("text").alias("text_md5"))
 
 
+def piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def mine_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    changed = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", changed), F.col("vec_id") % 100 == 0)
+
+
+def align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_language_id": language_id,
     "op2_minhash_near_dedup": near_dedup,
@@ -74,10 +88,14 @@ QUERIES = {
     "op8_tiff_media": tiff_media,
     "op9_source_mixing": mix_sources,
     "op10_line_dedup": dedup_lines,
+    "op11_piece_codec": piece_encoding,
+    "op12_hard_negatives": mine_negatives,
+    "op13_token_alignment": align_tokens,
 }
 
 ORACLES = {
     "op2_minhash_near_dedup": oracles.NEAR_DEDUP,
     "op7_exact_top_k": oracles.TOP_K,
     "op9_source_mixing": oracles.MIXING,
+    "op12_hard_negatives": oracles.NEGATIVES,
 }
