@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(name: str = "helixframe", cores: int | str = "*", shuffle: int = 8, **conf: str) -> SparkSession:
@@ -32,3 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
     if made is None:
         made = spark.sparkContext._helix_shared = tempfile.mkdtemp(prefix="helixframe-")
     return made
+
+
+class Kept:
+    """Tables written to the shared folder and read again: a lost executor costs only its running tasks."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.root}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Delete all of them, once no plan reads them."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
