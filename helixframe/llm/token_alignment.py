@@ -10,6 +10,7 @@ bucketed table of two id arrays a document. From it, without another shuffle of
 3. Groups with one token on a side link it to all of the other's: a group join. In
    groups with several on both, whose ends differ within, links are the pairs whose
    byte ranges overlap: a range join within (document, group).
+   The digest of a document's groups is formatted from its ids and the places of its cuts.
 4. A pair's count is the number of documents that hold it linked. Counts are summed by
    task before the shuffle; an A id's highest count is a maximum over its
    pairs. Documents meet their pairs' counts in a broadcast join where the measured number of
@@ -24,6 +25,7 @@ collected; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -150,34 +152,63 @@ def pair(a: Column, b: Column) -> Column:
     return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
 
 
+KEPT = "row long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<long>, both array<struct<g: int, a: array<int>, b: array<int>>>"
+
+
 def _aligned(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """A row a document: counts, the text of its groups, links of one-sided groups, and the groups with several tokens on both sides."""
-    single, string = F.expr("a_n = 1 and b_n = 1"), lambda c: F.col(c).cast("string")
+    """A row a document: counts, the digest of its groups, links of one-sided groups, and the groups with several tokens on both sides."""
+    single = F.expr("a_n = 1 and b_n = 1")
     collect = lambda where, x: F.collect_list(F.when(where, x))  # noqa: E731  other rows are null, which it leaves out
     listed = groups.groupBy("row").agg(
-        collect(single, F.struct("g", F.concat(string("a_last"), F.lit("|"), string("b_last")).alias("s"))).alias("ones"),
+        F.sort_array(F.collect_list(pair(F.expr("a_from + a_n"), F.expr("b_from + b_n")))).alias("cuts"),
         collect(single, pair(F.col("a_last"), F.col("b_last"))).alias("links"),
         collect(~single, F.struct("g", "a_from", "a_n", "b_from", "b_n")).alias("gs"),
     )
-    a_of = lambda x: F.slice("a", x.a_from + 1, x.a_n)
-    b_of = lambda x: F.slice("b", x.b_from + 1, x.b_n)
-    names = lambda ids: F.array_join(ids.cast("array<string>"), ",")
-    texts = F.transform("gs", lambda x: F.struct(x.g.alias("g"), F.concat(names(a_of(x)), F.lit("|"), names(b_of(x))).alias("s")))
-    text = F.array_join(F.transform(F.sort_array(F.concat("ones", texts)), lambda x: x.s), ";")
+    # not slice(): inside a lambda it copies the whole array for each group
+    part = lambda c, start, n: F.transform(F.sequence(start, start + n - 1), lambda i: F.get(F.col(c), i))
+    a_of = lambda x: part("a", x.a_from, x.a_n)
+    b_of = lambda x: part("b", x.b_from, x.b_n)
     spread = F.filter("gs", lambda x: (x.a_n == 1) | (x.b_n == 1))
     spread = F.flatten(F.transform(spread, lambda x: F.when(x.a_n == 1, F.transform(b_of(x), lambda i: pair(F.get("a", x.a_from), i))).otherwise(F.transform(a_of(x), lambda i: pair(i, F.get("b", x.b_from))))))
     both = F.transform(F.filter("gs", lambda x: (x.a_n > 1) & (x.b_n > 1)), lambda x: F.struct(x.g.alias("g"), a_of(x).alias("a"), b_of(x).alias("b")))
     none = F.array().cast("array<long>")
-    return docs.join(listed, "row", "left").select(
+    rows = docs.join(listed, "row", "left").select(
         "row",
         "doc_id",
         F.size("a").cast("long").alias("n_a"),
         F.size("b").cast("long").alias("n_b"),
-        F.coalesce((F.size("ones") + F.size("gs")).cast("long"), F.lit(0)).alias("n_groups"),
-        F.when(F.size("a") > 0, F.sha2(text, 256)).otherwise("").alias("groups_sha256"),
+        F.coalesce(F.size("cuts").cast("long"), F.lit(0)).alias("n_groups"),
         F.coalesce(F.concat("links", spread), none).alias("links"),
         both.alias("both"),
+        "a",
+        "b",
+        F.coalesce("cuts", none).alias("cuts"),
     )
+    return rows.mapInArrow(_group_digests, KEPT)
+
+
+def group_text(a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]) -> str:
+    """``a1,a2|b1;a3|b2,b3`` of the groups that end before these places of both sides."""
+    sa, sb, out, i, j = list(map(str, a)), list(map(str, b)), [], 0, 0
+    for k, m in zip(a_ends, b_ends, strict=True):
+        out.append(f"{sa[i]}|{sb[j]}" if k - i == 1 == m - j else f"{','.join(sa[i:k])}|{','.join(sb[j:m])}")
+        i, j = k, m
+    return ";".join(out)
+
+
+def _rows(lists: pa.ListArray) -> list[np.ndarray]:
+    """A numpy array a row, without an object a value; none is null."""
+    at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    return [flat[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+
+
+def _group_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digest of the text of each document's groups, in place of its ids and cuts."""
+    for batch in batches:
+        row, doc, n_a, n_b, n_groups, links, both, *arrays = batch.columns
+        texts = (group_text(a.tolist(), b.tolist(), (c >> 32).tolist(), (c & 0xFFFFFFFF).tolist()) for a, b, c in zip(*map(_rows, arrays), strict=True))
+        digest = pa.array([hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts], pa.string())
+        yield pa.RecordBatch.from_arrays([row, doc, n_a, n_b, n_groups, digest, links, both], ["row", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links", "both"])
 
 
 def range_links(groups: DataFrame, a_sizes: DataFrame, b_sizes: DataFrame) -> DataFrame:
