@@ -68,7 +68,8 @@ def polarise(sites: DataFrame, aa: str = "aa") -> DataFrame:
 def select_samples(sites: DataFrame, index: list[int]) -> DataFrame:
     """The samples at these places, in this order."""
     pick = lambda c: F.transform(F.array(*[F.lit(i) for i in index]), lambda i: F.get(c, i))
-    return sites.withColumns({c: pick(F.col(c)) for c in ("gt", "dp", "ad", "pl") if c in sites.columns})
+    out = sites.withColumns({c: pick(F.col(c)) for c in ("gt", "dp", "ad", "pl") if c in sites.columns})
+    return out.withColumn("raw", F.col("raw").withField("calls", pick(F.col("raw.calls")))) if "raw" in sites.columns else out
 
 
 def filter_range(sites: DataFrame, lo: int, hi: int, maf: float | None = None, biallelic: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import site as S
 from helixframe.operators.joins import span_cover
+from helixframe.sources.sinks import write_lines
 
 
 def explode_samples(sites: DataFrame) -> DataFrame:
@@ -98,13 +99,11 @@ OUTLIER_COLUMNS = {
 
 
 def write_outliers(report: DataFrame, names: DataFrame, stem: str, use_median: bool = True) -> None:
-    """``stem``.windows_final, _low and _high, in order of position; lines stream through the driver."""
+    """``stem``.windows_final, _low and _high, in order of position; each file is written by many tasks (``sinks``)."""
     lines = outlier_lines(report, names)
     for kind, columns in OUTLIER_COLUMNS.items():
-        with open(f"{stem}.windows_{kind}", "w") as f:
-            f.write("\t".join(columns.format(mid="median" if use_median else "mean").split()) + "\n")
-            for r in lines.where(F.col("kind") == kind).orderBy("chrom", "start").toLocalIterator():
-                f.write(r["line"] + "\n")
+        head = "\t".join(columns.format(mid="median" if use_median else "mean").split())
+        write_lines(lines.where(F.col("kind") == kind), ["chrom", "start"], f"{stem}.windows_{kind}", [head], packed=False)
 
 
 def report_depths(sites: DataFrame, names: DataFrame, stem: str, width: int, most_missing: float = 0.5, **options) -> DataFrame:
@@ -118,12 +117,10 @@ def report_depths(sites: DataFrame, names: DataFrame, stem: str, width: int, mos
 
 
 def write_tsv(table: DataFrame, path: str, order: list[str], header: bool = True) -> None:
-    """Window or sample statistics as one tab-separated file, in order; rows stream through the driver."""
-    with open(path, "w") as f:
-        if header:
-            f.write("\t".join(table.columns) + "\n")
-        for r in table.orderBy(*order).toLocalIterator():
-            f.write("\t".join("" if x is None else str(x) for x in r) + "\n")
+    """Window or sample statistics as one tab-separated file, in order, written by many tasks; nulls are empty."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in table.columns]
+    line = F.concat_ws("\t", *cells).alias("line")
+    write_lines(table.select(*order, line), order, path, ["\t".join(table.columns)] if header else [], packed=False)
 
 
 def slide_bp(sites: DataFrame, width: int, least: int = 3) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixframe.sources.vcf import entries, first_of_each
+
 
 def _cut(spark: SparkSession, path: str, sep: str, *skip: str) -> DataFrame:
     rows = spark.read.text(path).where(F.trim("value") != "")
@@ -20,7 +22,7 @@ def _at(i: int):
 def read_gff(spark: SparkSession, path: str) -> DataFrame:
     """seqid, source, type, start, end (1-based inclusive), score, strand, phase, attributes (map)."""
     c = _cut(spark, path, "\t", "#").where(F.size("c") >= 5)
-    return c.select(_at(0).alias("seqid"), _at(1).alias("source"), _at(2).alias("type"), _at(3).cast("long").alias("start"), _at(4).cast("long").alias("end"), _at(5).alias("score"), _at(6).alias("strand"), _at(7).alias("phase"), F.str_to_map(F.coalesce(_at(8), F.lit("")), F.lit(";"), F.lit("=")).alias("attributes"))
+    return c.select(_at(0).alias("seqid"), _at(1).alias("source"), _at(2).alias("type"), _at(3).cast("long").alias("start"), _at(4).cast("long").alias("end"), _at(5).alias("score"), _at(6).alias("strand"), _at(7).alias("phase"), first_of_each(entries(F.trim(_at(8)))).alias("attributes"))
 
 
 def gff_mask(spark: SparkSession, path: str, source: str | None = "RepeatMasker", types: list[str] | None = None, seqids: list[str] | None = None) -> DataFrame:

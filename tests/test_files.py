@@ -11,7 +11,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from helixframe.operators import sites as U
 from helixframe.sources import bgzf, sinks
+from helixframe.sources import tables as T
+from helixframe.sources import vcf as V
 
 
 def stored(data: bytes) -> bytes:
@@ -146,3 +149,47 @@ def test_a_failed_task_leaves_one_part(tmp_path):
     ran = subprocess.run([sys.executable, "-c", FAILING, str(tmp_path / "f.gz")], cwd=root, capture_output=True, text=True, timeout=200)
     assert ran.returncode == 0, ran.stderr[-2000:]
     assert gzip.decompress((tmp_path / "f.gz").read_bytes()).decode() == "".join(f"line {k}\n" for k in range(5000))
+
+
+ROWS = [
+    "c1\t10\t.\tA\tC\t50\tPASS\tZZ=1;AA=A;ZZ=2;MTS;MTS\tGT:GQ:DP:AD\t0/0:99:5:5,0\t./.:.:.:.,.\t.",
+    "c1\t11\trs1\tAT\tA,*\t50.50\tq10;s5\t.\tGT:XX:PL\t0|1:a:0,30.5,60\t1|.:b\t2/2:c:1,2,3",
+    "c2\t7\t.\tG\t.\t.\t.\tAF=1e-05;B=x=y\tGT\t0\t0/0\t.|.",
+    "c2\t8\t.\tG\tT\t1e3\t.\tA=\tDP:GT\t7:0/1\t.:1/1\t3:./.",
+]
+VCF_HEAD = ["##fileformat=VCFv4.2", "##INFO=<ID=AA>", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\ts3"]
+
+
+@pytest.mark.parametrize("name", ["v.vcf", "v.vcf.gz"])
+def test_vcf_comes_back_byte_for_byte(spark, tmp_path, split_at, name):
+    text = "".join(f"{x}\n" for x in VCF_HEAD + ROWS).encode()
+    (tmp_path / name).write_bytes(text if name.endswith("vcf") else b"".join(bgzf.pack(text[a : a + 100]) for a in range(0, len(text), 100)) + bgzf.END)
+    split_at(150)
+    sites = V.read_vcf(spark, str(tmp_path / name)).repartition(3)
+    assert V.header(spark, str(tmp_path / name)) == VCF_HEAD
+    rows = {r.pos: r for r in sites.collect()}
+    assert rows[10].info == {"ZZ": "1", "AA": "A", "MTS": None} and rows[7].info["B"] == "x=y" and rows[8].info == {"A": ""}
+    assert rows[8].dp == [7, None, 3] and rows[11].pl[0] == [0.0, 30.5, 60.0] and rows[7].info["AF"] == "1e-05"
+    V.write_vcf(sites, VCF_HEAD, str(tmp_path / "out.vcf"))
+    assert (tmp_path / "out.vcf").read_bytes() == text
+    # what has changed is written anew, all else as it was
+    changed = sites.withColumns({"dp": F.transform("dp", lambda x: x + 1), "qual": F.col("qual") * 2, "info": F.map_concat(F.map_filter("info", lambda k, _: k != "MTS"), F.create_map(F.lit("NEW"), F.lit("n")))})
+    V.write_vcf(U.select_samples(changed, [2, 0]), VCF_HEAD, str(tmp_path / "c.vcf"))
+    got = (tmp_path / "c.vcf").read_text().splitlines()[3:]
+    assert got[0] == "c1\t10\t.\tA\tC\t100\tPASS\tZZ=1;AA=A;ZZ=2;NEW=n\tGT:GQ:DP:AD\t.\t0/0:99:6:5,0"
+    assert got[1].split("\t")[5] == "101" and got[1].endswith("GT:XX:PL\t2/2:c:1,2,3\t0|1:a:0,30.5,60")
+    assert got[3] == "c2\t8\t.\tG\tT\t2000\t.\tA=;NEW=n\tDP:GT\t4:./.\t8:0/1"
+
+
+def test_files_of_other_samples_are_an_error(spark, tmp_path):
+    for name, last in (("a.vcf", "s3"), ("b.vcf", "s4")):
+        (tmp_path / name).write_text("\n".join([*VCF_HEAD[:2], VCF_HEAD[2].replace("s3", last), ROWS[0]]) + "\n")
+    with pytest.raises(ValueError, match="other samples"):
+        V.read_vcf(spark, [str(tmp_path / "a.vcf"), str(tmp_path / "b.vcf")])
+    assert V.read_vcf(spark, [str(tmp_path / "a.vcf")] * 2).count() == 2
+
+
+def test_gff_attributes_may_repeat(spark, tmp_path):
+    (tmp_path / "x.gff").write_text("##gff\nc\ts\tgene\t1\t9\t.\t+\t.\tID=a;Parent=b;Parent=c;Note\nc\ts\tgene\t1\t9\t.\t+\t.\t.\n")
+    got = T.read_gff(spark, str(tmp_path / "x.gff")).collect()
+    assert got[0].attributes == {"ID": "a", "Parent": "b", "Note": None} and got[1].attributes == {}
