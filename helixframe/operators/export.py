@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import site as S
+from helixframe.operators import binned as B
 from helixframe.operators.windows import running_counts
 
 BASES = "ACGT"
@@ -38,15 +39,16 @@ def sweep_frequencies(sites: DataFrame) -> DataFrame:
     return s.select("chrom", "pos", x.cast("long").alias("x"), S.an().cast("long").alias("n"), F.lit(1).alias("folded"))
 
 
-def haplotypes(sites: DataFrame, aa: str = "aa") -> DataFrame:
+def haplotypes(sites: DataFrame, aa: str = "aa", bin_width: int = B.WIDTH) -> DataFrame:
     """chrom, pos, haps (0 ancestral, 1 derived, -1 missing), dist: biallelic sites whose AA is observed; dist counts the records
     up to the next one, 1 at the end."""
-    s = sites.withColumn("counts", S.counts())
-    w = Window.partitionBy("chrom").orderBy(*S.order(sites))
-    s = s.withColumn("__n", F.row_number().over(w)).withColumn("__anc", F.array_position(S.alleles(), F.col(aa)).cast("int") - 1)
+    s = B.numbered(sites.withColumn("counts", S.counts()), S.order(sites), bin_width)
+    s = s.withColumn("__anc", F.array_position(S.alleles(), F.col(aa)).cast("int") - 1)
     s = s.where((S.allelicity() == 2) & F.array_contains(S.geno_alleles(), F.col(aa)))
+    s = s.join(B.carried(s, later=True, __after=(F.min("__n"), "last")), ["chrom", "__bin"])
+    up = F.coalesce(F.lead("__n").over(B.in_bin("__n")), "__after") - F.col("__n")
     hap = F.flatten(F.transform("gt", lambda g: F.transform(F.array(g["a0"], g["a1"]), lambda a: F.when(a < 0, -1).when(a == F.col("__anc"), 0).otherwise(1))))
-    return s.select("chrom", "pos", hap.alias("haps"), F.coalesce(F.lead("__n").over(w) - F.col("__n"), F.lit(1)).alias("dist"))
+    return s.select("chrom", "pos", hap.alias("haps"), F.coalesce(up, F.lit(1)).cast("int").alias("dist"))
 
 
 def msmc(sites: DataFrame) -> DataFrame:

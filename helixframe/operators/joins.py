@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import site as S
+from helixframe.operators import binned as B
 
 
 def number_duplicates(sites: DataFrame, order: list[str]) -> DataFrame:
@@ -32,12 +33,19 @@ def prefer(pairs: DataFrame, side: str, exclusive: bool = False) -> DataFrame:
     return out.select("chrom", "pos", "dup_ix", F.coalesce(first, other).alias("site"))
 
 
-def merge_intervals(intervals: DataFrame) -> DataFrame:
-    """Intervals (chrom, start, end), 1-based inclusive, that overlap or touch become one."""
-    w = Window.partitionBy("chrom").orderBy("start", "end")
-    top = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    s = intervals.withColumn("__new", (F.coalesce(F.col("start") > top + 1, F.lit(True))).cast("int"))
-    s = s.withColumn("__g", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def merge_intervals(intervals: DataFrame, bin_width: int = B.WIDTH) -> DataFrame:
+    """Intervals (chrom, start, end), 1-based inclusive, that overlap or touch become one.
+
+    Bins by start carry the largest end so far, and then the start of the merged interval that is still open.
+    """
+    s = B.with_bin(intervals, bin_width, "start")
+    w = B.in_bin("start", "end")
+    top = F.greatest(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("__top"))
+    s = s.join(B.carried(s, __top=(F.max("end"), "max")), ["chrom", "__bin"])
+    s = s.withColumn("__first", F.when(F.coalesce(F.col("start") > top + 1, F.lit(True)), F.col("start")))
+    open_ = B.carried(s, __open=(F.max("__first"), "max"))
+    here = F.max("__first").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    s = s.withColumn("__here", here).join(open_, ["chrom", "__bin"]).withColumn("__g", F.coalesce("__here", "__open"))
     return s.groupBy("chrom", "__g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__g")
 
 
@@ -65,24 +73,25 @@ def span_cover(spans: DataFrame, intervals: DataFrame, width: int = 10_000) -> D
     return out.withColumn("overlaps", F.col("covered") > 0).withColumn("frac", F.col("covered").cast("double") / (F.col("end") - F.col("start") + 1))
 
 
-def interpolate_map(sites: DataFrame, points: DataFrame) -> DataFrame:
+def interpolate_map(sites: DataFrame, points: DataFrame, bin_width: int = B.WIDTH) -> DataFrame:
     """``sites`` (chrom, pos) with ``gen``, linear between map points (chrom, phys, gen) from (0, 0), and
     ``rec``, the distance to the previous site; null and 0 beyond the last point.
 
-    Each point carries the one after it, so a site needs only the last point before it: one growing window.
+    Each point carries the one after it, so a site needs only the last point before it, of its own bin or an earlier one.
     """
     zero = points.select("chrom").distinct().select("chrom", F.lit(0).cast("long").alias("phys"), F.lit(0.0).alias("gen"))
-    p = zero.unionByName(points.select("chrom", F.col("phys").cast("long").alias("phys"), "gen"))
-    up = Window.partitionBy("chrom").orderBy("phys")
-    p = p.select("chrom", F.col("phys").alias("pos"), F.struct("phys", "gen", F.lead("phys").over(up).alias("phys2"), F.lead("gen").over(up).alias("gen2")).alias("__pt"))
-    both = p.withColumn("__k", F.lit(0)).unionByName(sites.withColumn("__k", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy("chrom").orderBy("pos", "__k").rowsBetween(Window.unboundedPreceding, 0)
-    s = both.withColumn("__lo", F.last("__pt", ignorenulls=True).over(w)).where("__k = 1")
-    lo = lambda f: F.col(f"__lo.{f}")
+    p = B.with_bin(zero.unionByName(points.select("chrom", F.col("phys").cast("long").alias("phys"), "gen")), bin_width, "phys")
+    after = B.carried(p, later=True, __after=(F.min_by(F.struct("phys", "gen"), "phys"), "last"))
+    p = p.withColumn("__next", F.lead(F.struct("phys", "gen")).over(B.in_bin("phys"))).join(after, ["chrom", "__bin"])
+    up = F.coalesce("__next", "__after")
+    p = p.select("chrom", F.col("phys").alias("pos"), F.struct("phys", "gen", up["phys"].alias("phys2"), up["gen"].alias("gen2")).alias("__pt"))
+    s = B.as_of(sites, p, "__pt", bin_width)
+    lo = lambda f: F.col(f"__pt.{f}")
     between = lo("gen") + (lo("gen2") - lo("gen")) * (F.col("pos") - lo("phys")) / (lo("phys2") - lo("phys"))
-    s = s.withColumn("gen", F.when(lo("phys") == F.col("pos"), lo("gen")).otherwise(between)).drop("__lo", "__pt", "__k")
-    back = F.coalesce(F.lag("gen").over(Window.partitionBy("chrom").orderBy(*S.order(sites))), F.lit(0.0))
-    return s.withColumn("rec", F.coalesce(F.col("gen") - back, F.lit(0.0)))
+    s = B.with_bin(s.withColumn("gen", F.when(lo("phys") == F.col("pos"), lo("gen")).otherwise(between)).drop("__pt"), bin_width)
+    order = S.order(sites)
+    s = B.before(s, F.col("gen"), order, "__was", F.max_by("gen", F.struct(*order)), F.lit(0.0))
+    return s.withColumn("rec", F.coalesce(F.col("gen") - F.col("__was"), F.lit(0.0))).drop("__was", "__bin")
 
 
 def sample_places(left: DataFrame, right: DataFrame, mode: str) -> DataFrame:

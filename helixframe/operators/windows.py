@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import site as S
+from helixframe.operators import binned as B
 from helixframe.operators.joins import span_cover
 from helixframe.sources.sinks import write_lines
 
@@ -123,32 +124,29 @@ def write_tsv(table: DataFrame, path: str, order: list[str], header: bool = True
     write_lines(table.select(*order, line), order, path, ["\t".join(table.columns)] if header else [], packed=False)
 
 
-def slide_bp(sites: DataFrame, width: int, least: int = 3) -> DataFrame:
+def slide_bp(sites: DataFrame, width: int, least: int = 3, bin_width: int = B.WIDTH) -> DataFrame:
     """At each site, over sites of its chromosome within ``width`` bp before it: median position, mean depth, mean share of
     samples of depth ``least``, sites for each 100 bp."""
-    w = Window.partitionBy("chrom").orderBy("pos").rangeBetween(-width, 0)
     s = sites.select("chrom", "pos", (S.depth().cast("double") / F.size("dp")).alias("d"), F.try_divide(F.size(F.filter("dp", lambda x: x >= least)).cast("double"), F.size("dp").cast("double")).alias("m"))
-    n = F.count("*").over(w)
-    return s.select("chrom", "pos", F.percentile("pos", F.lit(0.5)).over(w).alias("mid"), F.avg("d").over(w).alias("mean_depth"), F.avg("m").over(w).alias("nonmiss"), (n.cast("double") / width * 100).alias("density"))
+    over = {"mid": F.percentile("pos", F.lit(0.5)), "mean_depth": F.avg("d"), "nonmiss": F.avg("m"), "__k": F.count("*")}
+    return B.over_span(s, width, over, bin_width).select("chrom", "pos", "mid", "mean_depth", "nonmiss", (F.col("__k").cast("double") / width * 100).alias("density"))
 
 
-def slide_bp_thin(sites: DataFrame, width: int, every: int) -> DataFrame:
+def slide_bp_thin(sites: DataFrame, width: int, every: int, bin_width: int = B.WIDTH) -> DataFrame:
     """At every ``every``-th site of a chromosome, over its sites within ``width`` bp before: mean depth and share of SNPs.
     Sites may come from several files; a position's place among all of them counts."""
-    f = Window.partitionBy("chrom").orderBy("pos").rangeBetween(-width, 0)
-    w = Window.partitionBy("chrom").orderBy(*S.order(sites))
     s = sites.select("chrom", *S.order(sites), (S.depth().cast("double") / F.size("dp")).alias("d"), (S.allelicity(S.counts()) > 1).cast("double").alias("snp"))
-    s = s.withColumns({"n": F.row_number().over(w), "mean_depth": F.avg("d").over(f), "snp_frac": F.avg("snp").over(f)})
-    return s.where(F.col("n") % every == 0).select("chrom", "pos", "n", "mean_depth", "snp_frac")
+    s = B.numbered(s, S.order(sites), bin_width)
+    s = B.over_span(s, width, {"mean_depth": F.avg("d"), "snp_frac": F.avg("snp")}, bin_width)
+    return s.where(F.col("__n") % every == 0).select("chrom", "pos", F.col("__n").cast("int").alias("n"), "mean_depth", "snp_frac")
 
 
-def slide_rows(sites: DataFrame, rows: int, step: int = 1) -> DataFrame:
+def slide_rows(sites: DataFrame, rows: int, step: int = 1, bin_width: int = B.WIDTH, block: int = B.ROWS) -> DataFrame:
     """Over the last ``rows`` sites, at every ``step``-th site from the ``rows``-th on: median position, mean depth, share of SNPs, mean share of called alleles."""
-    w = Window.partitionBy("chrom").orderBy(*S.order(sites))
-    f = w.rowsBetween(-(rows - 1), 0)
     s = sites.select("chrom", *S.order(sites), (1 - S.missing_frac()).alias("nm"), (S.depth().cast("double") / F.size("dp")).alias("d"), (S.allelicity(S.counts()) > 1).cast("double").alias("snp"))
-    s = s.withColumns({"n": F.row_number().over(w), "mid": F.percentile("pos", F.lit(0.5)).over(f), "mean_depth": F.avg("d").over(f), "snp_frac": F.avg("snp").over(f), "nonmiss": F.avg("nm").over(f)})
-    return s.where((F.col("n") >= rows) & (F.col("n") % step == 0)).select("chrom", "pos", "n", "mid", "mean_depth", "snp_frac", "nonmiss")
+    s = B.numbered(s, S.order(sites), bin_width)
+    s = B.over_rows(s, rows, {"mid": F.percentile("pos", F.lit(0.5)), "mean_depth": F.avg("d"), "snp_frac": F.avg("snp"), "nonmiss": F.avg("nm")}, block)
+    return s.where((F.col("__n") >= rows) & (F.col("__n") % step == 0)).select("chrom", "pos", F.col("__n").cast("int").alias("n"), "mid", "mean_depth", "snp_frac", "nonmiss")
 
 
 def quicksum(sites: DataFrame, *by: str) -> DataFrame:
@@ -199,18 +197,19 @@ def fixed_total(ref, alt, total: int):
     return F.when((ref == 0) & (alt == 0), pair(z, z)).when(ref == 0, pair(z, t)).when(alt == 0, pair(t, z)).when(r + a == total, pair(r, a)).when(more, pair(r + 1, a)).otherwise(pair(r, a + 1))
 
 
-def map_rates(points: DataFrame) -> DataFrame:
+def map_rates(points: DataFrame, bin_width: int = B.WIDTH) -> DataFrame:
     """(chrom, phys, gen) with rate, the slope from the point before (from (0, 0)) for each million."""
-    w = Window.partitionBy("chrom").orderBy("phys")
-    dg, dp = F.col("gen") - F.lag("gen", 1, 0.0).over(w), F.col("phys") - F.lag("phys", 1, 0).over(w)
-    return points.withColumn("rate", F.try_divide(dg, dp.cast("double")) * 1e6)
+    s = B.with_bin(points, bin_width, "phys")
+    s = B.before(s, F.struct("gen", "phys"), ["phys"], "__was", F.max_by(F.struct("gen", "phys"), "phys"))
+    dg, dp = F.col("gen") - F.coalesce("__was.gen", F.lit(0.0)), F.col("phys") - F.coalesce("__was.phys", F.lit(0))
+    return s.withColumn("rate", F.try_divide(dg, dp.cast("double")) * 1e6).drop("__was", "__bin")
 
 
-def running_counts(sites: DataFrame, emit) -> DataFrame:
+def running_counts(sites: DataFrame, emit, bin_width: int = B.WIDTH) -> DataFrame:
     """Sites where ``emit`` holds with ``nsites``, the records read since the one before, itself included."""
-    w = Window.partitionBy("chrom").orderBy(*S.order(sites))
-    s = sites.withColumn("__n", F.row_number().over(w)).where(emit)
-    return s.withColumn("nsites", F.col("__n") - F.lag("__n", 1, 0).over(w)).drop("__n")
+    s = B.numbered(sites, S.order(sites), bin_width).where(emit)
+    s = B.before(s, F.col("__n"), ["__n"], "__was", F.max("__n"), F.lit(0))
+    return s.withColumn("nsites", (F.col("__n") - F.col("__was")).cast("int")).drop("__n", "__was", "__bin")
 
 
 def global_index(windows: DataFrame) -> DataFrame:
