@@ -177,49 +177,23 @@ def collapse_bins(counts: list[int], width: int, least: int, enough: int) -> lis
     return to
 
 
-def project_counts(df: DataFrame, n: int, key: str, counts: str = "counts", seed: int = 0) -> DataFrame:
-    """(key, drawn): ``n`` of the alleles behind ``counts``, drawn without replacement; null where there are fewer or none are known.
+def project_counts(df: DataFrame, n: int | str, key: str, counts: str = "counts", seed: int = 0) -> DataFrame:
+    """(key, drawn): ``n``, a number or the column that has it, of the alleles behind ``counts``, drawn without replacement; null where there are fewer or none are known.
 
     The draw depends on ``seed`` and the key alone, so partitions and retries do not change it.
     """
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for k, c in zip(b[key], b[counts], strict=True):
-                if c is None or sum(c) < n:
+            for k, c, size in zip(b[key], b[counts], b[n] if isinstance(n, str) else [n] * len(b), strict=True):
+                if c is None or sum(c) < size:
                     out.append(None)
                     continue
                 rng = np.random.default_rng([seed, zlib.crc32(str(k).encode())])
-                out.append(rng.multivariate_hypergeometric(np.asarray(c, np.int64), n, method="marginals").astype(np.int32))
+                out.append(rng.multivariate_hypergeometric(np.asarray(c, np.int64), size, method="marginals").astype(np.int32))
             yield pd.DataFrame({key: b[key], "drawn": pd.Series(out, index=b.index, dtype=object)})
 
-    return df.select(key, counts).mapInPandas(draw, f"{key} {df.schema[key].dataType.simpleString()}, drawn array<int>")
-
-
-def thin_exponential(sites: DataFrame, mean: float, least: float, most: float, seed: int = 0, order: tuple[str, ...] = ()) -> DataFrame:
-    """Sites kept by jumps: from a site, an exponential distance within [least, most]; the first site beyond stays.
-
-    The walk is sequential within a chromosome. Only chromosome, position and
-    ``order`` (which tells records of one position apart) travel, batch by batch; a task holds one batch.
-    """
-    keys = ["chrom", "pos", *order]
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chrom, rng, goal = None, None, None
-        for b in batches:
-            keep = np.zeros(len(b), bool)
-            for i, (c, p) in enumerate(zip(b["chrom"], b["pos"], strict=True)):
-                if c != chrom:
-                    chrom, goal, rng = c, None, np.random.default_rng([seed, zlib.crc32(str(c).encode())])
-                if goal is None:
-                    goal = p - 1 + max(min(rng.exponential(mean), most), least)
-                if p > goal:
-                    keep[i], goal = True, None
-            yield b[keep]
-
-    slim = sites.select(*keys).where("chrom is not null and pos is not null")
-    kept = slim.repartition("chrom").sortWithinPartitions(*keys).mapInPandas(walk, slim.schema)
-    return sites.join(kept, keys, "left_semi")
+    return df.select(key, counts, *([n] if isinstance(n, str) else [])).mapInPandas(draw, f"{key} {df.schema[key].dataType.simpleString()}, drawn array<int>")
 
 
 def map_lines(points: DataFrame, least: float = 0.001, most: float = 25.0, fixed: float | None = None) -> DataFrame:

@@ -13,12 +13,14 @@ from helixframe.functions import site as S
 from helixframe.operators import ancestry as A
 from helixframe.operators import cohorts as H
 from helixframe.operators import count_models as C
+from helixframe.operators import est as E
 from helixframe.operators import export as X
 from helixframe.operators import genealogy as G
 from helixframe.operators import imputation as I
 from helixframe.operators import joins as J
 from helixframe.operators import sites as U
 from helixframe.operators import summaries as Y
+from helixframe.operators import thinning as Z
 from helixframe.operators import trees as T
 from helixframe.operators import windows as W
 from helixframe.plans import lens
@@ -875,9 +877,46 @@ def _(s, *_):
     return drawn.select("site_id", F.aggregate("drawn", F.lit(0).cast("long"), lambda t, x: t + x).alias("an"))
 
 
-@query("thin_exponential")
+@query("thin_exponential", """, t as (
+  select site_id, chrom, pos, cast(row_number() over (partition by chrom order by pos, site_id) as bigint) as n,
+    pos - 1 + greatest(20.0, least(400.0, -100.0 * ln((cast('0x' || substr(md5('7:' || chrom || ':' || pos || ':' || site_id), 1, 8) as bigint) + 0.5) / 4294967296.0))) as goal from lens_sites),
+k as (select a.chrom, a.n, greatest(a.n, 1 + (select count(*) from t b where b.chrom = a.chrom and b.pos <= a.goal)) as kept from t a),
+w as (with recursive r(chrom, kept) as (
+  select chrom, kept from k where n = 1 union all select k.chrom, k.kept from r join k on k.chrom = r.chrom and k.n = r.kept + 1) select * from r)
+select site_id, t.chrom, pos from t join w on w.chrom = t.chrom and w.kept = t.n""")
 def _(s, *_):
-    return C.thin_exponential(s, 100.0, 20.0, 400.0, seed=7, order=("site_id",)).select("site_id", "chrom", "pos")
+    return Z.thin_exponential(s, 100.0, 20.0, 400.0, seed=7, order=("site_id",)).select("site_id", "chrom", "pos")
+
+
+def outgroups(s: DataFrame) -> DataFrame:
+    """Two outgroup bases a site, some unknown."""
+    pick = lambda letters, n: F.element_at(F.array(*map(F.lit, letters)), (F.col("site_id") % n + 1).cast("int"))
+    return s.withColumns({"out1": pick("ACNT", 4), "out2": pick("ACNAGCN", 7)})
+
+
+SEEN = "(({0} = 'A' and n0 > 0) or ({0} = 'C' and n1 > 0) or ({0} = 'G' and n2 > 0))"
+
+
+@query("est_inference", f""", o as (select *, {SECOND} as sec, substr('ACNT', cast(site_id % 4 + 1 as int), 1) as out1, substr('ACNAGCN', cast(site_id % 7 + 1 as int), 1) as out2 from sa),
+e as (select *, cast(least(an, 50) // 5 as int) as b from o where an >= 10 and alc in (1, 2) and ({SEEN.format("out1")} or {SEEN.format("out2")})),
+h as (select g.b, count(e.site_id) as n from range(0, 11) g(b) left join e on e.b = g.b group by 1),
+q as (with recursive r(b, gid, held, closed) as (
+    select b, 0, n, n >= (select count(*) // 4 from e) from h where b = 10
+    union all select h.b, r.gid + r.closed::int, h.n + case when r.closed then 0 else r.held end, h.n + case when r.closed then 0 else r.held end >= (select count(*) // 4 from e)
+    from r join h on h.b = r.b - 1 where h.b >= 2) select * from r),
+g as (select gid, min(b) as low, bool_or(closed) as closed from q group by gid),
+z as (select q.b, 5 * coalesce(below.low, g.low) as size from q join g using (gid) left join g below on below.gid = g.gid + 1 and not below.closed),
+x as (select e.*, cast(size as int) as bin, row_number() over (partition by size order by chrom, pos, site_id) as ord from e join z using (b)),
+y as (select *, cast((ord * 37 + bin) % 101 as double) / 100 as p from x)
+select site_id, bin, ord, cast(bin as bigint) as drawn, ['A', 'C', 'G'][case when alc = 1 or p > 0.8 then maj else sec end + 1] as aa, case when alc > 1 and p < 0.2 then 1 - p else p end as aap,
+  case out1 when 'A' then '1,0,0,0' when 'C' then '0,1,0,0' when 'T' then '0,0,0,1' else '0,0,0,0' end as anc1 from y where alc = 1 or p > 0.8 or p < 0.2""")
+def _(s, *_):
+    s, kinds = outgroups(s), {"width": 5, "least": 10, "most": 50}
+    enough = E.eligible(s, least=10).count() // 4
+    result = lambda lines: lines.select("bin", "ord", (((F.col("ord") * 37 + F.col("bin")) % 101).cast("double") / 100).alias("p"))
+    out = E.infer(s, "site_id", result, cut=0.2, enough=enough, **kinds)
+    total = F.aggregate(F.transform(F.split("pop", ","), lambda x: x.cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.select("site_id", "bin", "ord", total.alias("drawn"), "aa", "aap", "anc1")
 
 
 @query("f3", """, pf as (select chrom, pos, count(*) filter (pop = 0 and a1 = 1) + count(*) filter (pop = 0 and a2 = 1) as x0, count(*) filter (pop = 0 and a1 in (0, 1)) + count(*) filter (pop = 0 and a2 in (0, 1)) as n0,

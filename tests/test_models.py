@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helixframe.operators import count_models as C
 from helixframe.operators import genealogy as G
+from helixframe.operators import thinning as Z
 
 
 def test_poisson_and_nb_tails_against_sums():
@@ -50,10 +51,10 @@ def test_projection_draws_within_counts(spark):
 
 def test_thinning_keeps_distances(spark):
     df = spark.createDataFrame([(c, p, "x") for c in ("a", "b") for p in range(1, 3000, 3)] + [(None, 5, "x")], "chrom string, pos long, other string")
-    got = C.thin_exponential(df, 50.0, 30.0, 200.0, seed=1)
+    got = Z.thin_exponential(df, 50.0, 30.0, 200.0, seed=1)
     one = [r.pos for r in got.where("chrom = 'a'").orderBy("pos").collect()]
     assert len(one) > 10 and min(np.diff(one)) >= 30 and max(np.diff(one)) <= 206
-    assert one == [r.pos for r in C.thin_exponential(df.repartition(5), 50.0, 30.0, 200.0, seed=1).where("chrom = 'a'").orderBy("pos").collect()]
+    assert one == [r.pos for r in Z.thin_exponential(df.repartition(5), 50.0, 30.0, 200.0, seed=1).where("chrom = 'a'").orderBy("pos").collect()]
 
 
 def test_maps(spark):
