@@ -151,7 +151,8 @@ def fit(docs: DataFrame, learn: Column, most: int = 2_500, least: int = 100) ->
     rows = docs.select(F.col("doc_id").alias("doc_id"), "text", "lang").where(learn & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     per = rows.groupBy("lang").agg(F.count("*").alias("n"))
     quota = F.greatest(F.lit(least), F.ceil(F.col("n") * most / F.greatest(F.lit(1), F.sum("n").over(Window.partitionBy(F.lit(1))))))
-    per = per.withColumn("quota", quota)  # a row a language
+    # a row a language, of which there are no more than learnable rows; texts stay where they are
+    per = F.broadcast(per.withColumn("quota", quota))
     some = rows.join(per, "lang").where(unit_hash("doc_id") <= 2 * F.col("quota") / F.col("n"))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = some.select("lang", "doc_id", "quota").distinct().withColumn("r", F.row_number().over(first)).where("r <= quota").select("doc_id", "lang")
