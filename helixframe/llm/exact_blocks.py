@@ -115,6 +115,15 @@ def order_key(n: int) -> str:
     return f"0{9_999_999 - len(s):07d}{s.translate(NINES)}"
 
 
+def order_key_of(text: str) -> Column:
+    """The same of a column of whole numbers in text."""
+    digits = F.ltrim(F.lit("-"), F.col(text))
+    size = F.length(digits)
+    over = F.concat(F.lit("1"), F.lpad(size.cast("string"), 7, "0"), digits)
+    under = F.concat(F.lit("0"), F.lpad((9_999_999 - size).cast("string"), 7, "0"), F.translate(digits, "0123456789", "9876543210"))
+    return F.when(F.col(text).startswith("-"), under).otherwise(over)
+
+
 NINES = str.maketrans("0123456789", "9876543210")
 
 

@@ -1,7 +1,8 @@
 """Exact top-k by inner product over a vector-approximation file.
 
-Vectors are integers, floor(256 x), of 64 bits; a finite component beyond them is
-an error, as in the SQL. Bounds are widened by the rounding error where doubles are not exact. Each distinct vector is stored once in
+Vectors are integers, floor(256 x). Rows with a component of ``LARGE`` or more are few or none; they are scored against the
+queries, and as queries against all rows, block by block in integers of any size (``exact_blocks``), so that
+one odd row never ends a job; a score beyond 64 bits is given as the nearest long, after ranking. Bounds are widened by the rounding error where doubles are not exact. Each distinct vector is stored once in
 two tables: cells (one byte a component, from equal steps between the least
 and the largest value of the component) and exact components. A query bounds
 every vector's score from its cells alone. The k-th best lower bound over all
@@ -30,20 +31,45 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.llm import exact_blocks
 from helixframe.llm.common import Scratch, join_small
 
 STEPS = 255
+#: Components below it give scores within 64 bits for vectors of up to 32,768 components.
+LARGE = 2.0**16
 
 
 def integer_vectors(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
-    """(vec_id, v array<bigint>) of rows whose components are all finite."""
-    d = F.transform("embedding", lambda x: x.cast("double"))
-    sound = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall(d, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    """(vec_id, v array<bigint>) of rows (vec_id, d) whose components fit 64 bits."""
+    return vectors.select("vec_id", F.transform("d", lambda x: F.floor(x * scale)).alias("v"))
 
-    def whole(x: Column) -> Column:
-        return F.when(F.abs(x * scale) < 2.0**63, F.floor(x * scale)).otherwise(F.raise_error(F.lit("a component is too large for a 64-bit integer")).cast("long"))
 
-    return vectors.where(sound).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(d, whole).alias("v"))
+def _best_of_blocks(k: int):
+    """A block of queries and one of rows to each query's first ``k`` rows here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                (ids, _, v, v_wide), (qid, _, q, q_wide) = exact_blocks.unpack(row), exact_blocks.unpack(row, "q_")
+                s, out = exact_blocks.scores(q, q_wide, v, v_wide), []
+                for i in range(len(qid)):
+                    others = np.flatnonzero(ids != qid[i])
+                    for j in others[exact_blocks.best_first(s[i, others], ids[others])[:k]]:
+                        n = int(s[i, j])
+                        out.append((int(qid[i]), int(ids[j]), str(n), exact_blocks.order_key(n)))
+                cols = list(zip(*out, strict=True)) if out else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["query_id", "vec_id", "score", "ordered"])
+
+    return run
+
+
+def _in_blocks(rows: DataFrame, queries: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(query_id, vec_id, score, ordered): the first ``k`` rows of each block for each query."""
+    labelled = lambda df: df.withColumn("label", F.lit(0).cast("long"))
+    asked = scratch.keep(exact_blocks.blocks(labelled(queries), 256).select("dim", *[F.col(c).alias(f"q_{c}") for c in ("wide", "ids", "labels", "vecs")]))
+    parts = max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = exact_blocks.meet(exact_blocks.blocks(labelled(rows)), asked, parts).where("dim > 0")
+    return met.mapInArrow(_best_of_blocks(k), "query_id long, vec_id long, score string, ordered string")
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -157,5 +183,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scratch: Scratch |
 
 def top_k_of_every(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """The k best rows for each row whose id ``every`` divides."""
-    v = integer_vectors(vectors)
-    return top_k(v, v.where(F.col("vec_id") % every == 0), k)
+    sound = exact_blocks.sound_rows(vectors)
+    asked = F.col("vec_id") % every == 0
+    large = F.exists("d", lambda x: F.abs(x) >= LARGE)
+    scratch = Scratch(vectors.sparkSession, "vectors")
+    if not sound.where(large).limit(1).count():
+        v = integer_vectors(sound)
+        return top_k(v, v.where(asked), k, scratch)
+    # of different vectors of an id the smallest counts, large or not
+    one = scratch.keep(sound.groupBy("vec_id").agg(F.min("d").alias("d")).withColumn("large", large))
+    small, odd = one.where("not large"), one.where("large")
+    v = integer_vectors(small)
+    plain = top_k(v, v.where(asked), k, scratch).select("query_id", "vec_id", F.col("score").cast("string").alias("score"))
+    plain = plain.withColumn("ordered", exact_blocks.order_key_of("score"))
+    others = _in_blocks(odd, small.where(asked), k, scratch).unionByName(_in_blocks(one, odd.where(asked), k, scratch))
+    best = Window.partitionBy("query_id").orderBy(F.desc("ordered"), "vec_id")
+    ranked = plain.unionByName(others).withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}")
+    return ranked.select("query_id", "rank", "vec_id", exact_blocks.as_long("score").alias("score"))
