@@ -10,47 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixframe.operators.trees import _spans
-
-
-def nearest_neighbours(edges: DataFrame, sets: DataFrame, focal: DataFrame | None = None, width: float = 1_000.0) -> DataFrame:
-    """(node, set, gnn): for each focal node the share of each reference set among its nearest neighbours.
-
-    In each tree a focal node's neighbours are the other reference nodes below
-    its first ancestor that has any; shares are averaged over trees by span.
-    ``sets`` is (set, node), a sample table; each tree is a group of its own,
-    bounded by its nodes. Focal nodes default to all reference nodes.
-    """
-    # the samples: bounded by the cohort
-    of = {r["node"]: r["set"] for r in sets.select("set", "node").collect()}
-    names = sorted(set(of.values()))
-    ask = sorted(r["node"] for r in focal.select("node").collect()) if focal is not None else sorted(of)
-    place = {s: i for i, s in enumerate(names)}
-
-    def one_tree(t: pd.DataFrame) -> pd.DataFrame:
-        up = dict(zip(t["child"], t["parent"], strict=True))
-        below = defaultdict(lambda: np.zeros(len(names)))
-        for node, s in of.items():
-            at = node
-            while at is not None:
-                below[at][place[s]] += 1
-                at = up.get(at)
-        span, rows = float(t["right"].iloc[0] - t["left"].iloc[0]), []
-        for u in ask:
-            own, at = of.get(u), u
-            while at is not None and below[at].sum() <= (own is not None):
-                at = up.get(at)
-            if at is None:
-                continue
-            n = below[at].copy()
-            if own is not None:
-                n[place[own]] -= 1
-            rows += [(u, s, span * n[i] / n.sum(), span) for i, s in enumerate(names)]
-        return pd.DataFrame(rows, columns=["node", "set", "w", "span"])
-
-    kind = sets.schema["set"].dataType.simpleString()
-    per = _spans(edges, width).groupBy("left", "right").applyInPandas(one_tree, f"node long, set {kind}, w double, span double")
-    return per.groupBy("node", "set").agg((F.sum("w") / F.sum("span")).alias("gnn"))
+from helixframe.operators.sweeps import nearest_neighbours  # noqa: F401
 
 
 def group_means(gnn: DataFrame, group: str = "group") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.sweeps import covered, tree_counts
+
 
 def group_nodes(meta: DataFrame, group: str, ix: str) -> DataFrame:
     """(group, node): a sample's two nodes are 2 ix and 2 ix + 1."""
@@ -48,20 +50,9 @@ def span_histogram(edges: DataFrame) -> DataFrame:
     return trees_of(edges).groupBy(F.floor(F.col("right") - F.col("left")).cast("long").alias("span")).agg(F.count("*").alias("n"))
 
 
-def _spans(edges: DataFrame, width: float) -> DataFrame:
-    """Edges cut at breakpoints: (left, right, parent, child) for each tree an edge is part of.
-
-    Trees and edges meet in bins of ``width``, an equi-join.
-    """
-    t = trees_of(edges, width).select(F.col("left").alias("b"), F.col("right").alias("hi"), F.floor(F.col("left") / width).alias("__bin"))
-    e = edges.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("left") / width), F.floor(F.col("right") / width))))
-    inside = e.join(t, "__bin").where("b >= left and hi <= right")
-    return inside.select(F.col("b").alias("left"), F.col("hi").alias("right"), "parent", "child")
-
-
 def tree_bits(edges: DataFrame, samples: int, width: float = 1_000.0) -> DataFrame:
     """For each tree: edges, edges - samples, that over samples - 2, internal nodes."""
-    t = _spans(edges, width).groupBy("left", "right").agg(F.count("*").alias("n_edges"), F.countDistinct("parent").alias("internal"))
+    t = tree_counts(edges, width).drop("roots")
     bits = F.col("n_edges") - samples
     return t.withColumn("bits", bits).withColumn("rel_bits", bits.cast("double") / (samples - 2))
 
@@ -75,10 +66,7 @@ def tree_mask(bits: DataFrame, quantile: float, reverse: bool = False) -> DataFr
 
 def root_counts(edges: DataFrame, width: float = 1_000.0) -> DataFrame:
     """How many trees have how many roots (parents that are no child in the same tree)."""
-    t = _spans(edges, width)
-    up = t.select("left", F.col("parent").alias("node")).distinct()
-    down = t.select("left", F.col("child").alias("node")).distinct()
-    return up.join(down, ["left", "node"], "left_anti").groupBy("left").agg(F.count("*").alias("roots")).groupBy("roots").agg(F.count("*").alias("trees"))
+    return tree_counts(edges, width).where("roots > 0").groupBy("roots").agg(F.count("*").alias("trees"))
 
 
 def mask_intervals(mask: DataFrame, reverse: bool = False) -> DataFrame:
@@ -88,13 +76,13 @@ def mask_intervals(mask: DataFrame, reverse: bool = False) -> DataFrame:
 
 def used_nodes(edges: DataFrame, mask: DataFrame, reverse: bool = False, width: float = 1_000.0) -> DataFrame:
     """(node) of all trees whose mask is 1, reversed 0."""
-    t = _spans(edges, width).join(mask.where(F.col("mask") == int(not reverse)).select("left", "right"), ["left", "right"])
+    t = covered(edges, mask.where(F.col("mask") == int(not reverse)).select("left", "right"), width)
     return t.select(F.col("parent").alias("node")).union(t.select("child")).distinct()
 
 
 def local_stats(edges: DataFrame, mutations: DataFrame, width: float = 1_000.0) -> DataFrame:
     """For each tree: span, edges, internal nodes, mutations and sites in it, mutations a site."""
-    per = _spans(edges, width).groupBy("left", "right").agg(F.count("*").alias("n_edges"), F.countDistinct("parent").alias("internal"))
+    per = tree_counts(edges, width).drop("roots")
     t = trees_of(edges, width).withColumn("__bin", F.explode(F.sequence(F.floor(F.col("left") / width), F.floor(F.col("right") / width))))
     m = mutations.select("mut_id", "site_id", "position", F.floor(F.col("position") / width).alias("__bin"))
     hit = m.join(t, "__bin").where("position >= left and position < right")
@@ -163,3 +151,26 @@ def cross_coalescence(joint: DataFrame, one: DataFrame, two: DataFrame) -> DataF
         g = g.join(F.broadcast(p), hit, "left").drop("lo", "hi", "top")  # a row a time interval
     out = g.groupBy("t_ix").agg(F.first("lam").alias("l01"), F.when(F.count("l00") == 10, F.avg("l00")).alias("l00"), F.when(F.count("l11") == 10, F.avg("l11")).alias("l11"))
     return out.withColumn("rccr", 2 * F.col("l01") / (F.col("l00") + F.col("l11")))
+
+
+def cross_coalescence_pairs(joint: DataFrame, within: DataFrame) -> DataFrame:
+    """(pop0, pop1, t_ix, l01, l00, l11, rccr) of all pairs at once: as ``cross_coalescence`` for each pair of ``joint`` (pop0, pop1,
+    t_ix, t_left, t_right, lam), with the rates ``within`` (pop, t_left, t_right, lam) of all populations.
+
+    Points of time meet their population's intervals in one ordered pass over both: the last interval that starts at or
+    before a point. A population's points are ten an interval of its pairs.
+    """
+    inf = F.lit(float("inf"))
+    at = F.col("t_left") + F.col("j") / F.lit(10.0) * (F.col("t_right") - F.col("t_left"))
+    g = joint.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("t", F.when(F.col("t_right") == inf, inf).otherwise(at))
+    sides = F.array(F.struct(F.col("pop0").alias("pop"), F.lit(0).alias("side")), F.struct(F.col("pop1").alias("pop"), F.lit(1).alias("side")))
+    points = g.withColumn("s", F.explode(sides)).select("s.pop", "t", F.struct("pop0", "pop1", "t_ix", F.col("lam").alias("l01"), "s.side").alias("point"))
+    rates = within.select("pop", F.col("t_left").alias("t"), F.struct("t_right", "lam").alias("rate"))
+    both = rates.unionByName(points, allowMissingColumns=True)
+    w = Window.partitionBy("pop").orderBy("t", F.col("point").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("r", F.last("rate", ignorenulls=True).over(w)).where("point is not null")
+    lam = F.when((F.col("t") == inf) | (F.col("t") < F.col("r.t_right")), F.col("r.lam"))
+    met = met.select("point.*", lam.alias("lam"))
+    side = lambda k: F.when(F.count(F.when(F.col("side") == k, F.col("lam"))) == 10, F.avg(F.when(F.col("side") == k, F.col("lam"))))
+    out = met.groupBy("pop0", "pop1", "t_ix").agg(F.first("l01").alias("l01"), side(0).alias("l00"), side(1).alias("l11"))
+    return out.withColumn("rccr", 2 * F.col("l01") / (F.col("l00") + F.col("l11")))

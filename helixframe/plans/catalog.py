@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import names as N
@@ -20,6 +20,7 @@ from helixframe.operators import imputation as I
 from helixframe.operators import joins as J
 from helixframe.operators import sites as U
 from helixframe.operators import summaries as Y
+from helixframe.operators import sweeps as R
 from helixframe.operators import thinning as Z
 from helixframe.operators import trees as T
 from helixframe.operators import windows as W
@@ -553,6 +554,63 @@ def _(spark, d):
     return T.population_pairs(n.select(name(r).alias("pop")).distinct(), joint).select("one", "two", "file")
 
 
+VALID = f"""{EDGES}, u as (select *, row_number() over (partition by child, l order by edge_id) as k, lead(l) over (partition by child order by l, edge_id) as nl from edges),
+ve as (select l, least(r, coalesce((select min(x.l) from u x where x.child = u.child and x.k = 1 and x.l > u.l), r)) as r, parent, child from u where k = 1),
+up as (select 0.0::double as l, 530.0::double as r, 200 + cast(x % 5 as bigint) as parent, 100 + x as child from range(0, 40) t(x)
+  union all select 0, 530, 300, 200 + x from range(0, 5) t(x)),
+se as (select * from ve union all select * from up),
+vb as (select distinct l as b from se union select distinct r from se), vt as (select b as lo, lead(b) over (order by b) as hi from vb),
+tt as (select lo, hi, parent, child from vt join se on se.l <= lo and se.r >= hi where hi is not null)"""
+
+
+def forest(spark: SparkSession, d: str) -> DataFrame:
+    """Valid trees over the edges of orders: a child has its first edge from each start on, until its next one; two more levels join all to one root."""
+    e = edges(spark, d).groupBy("child", "left").agg(F.min_by(F.struct("right", "parent"), "edge_id").alias("e"))
+    w = Window.partitionBy("child").orderBy("left")  # a child has fifty starts
+    e = e.select(F.col("left"), F.least("e.right", F.coalesce(F.lead("left").over(w), F.col("e.right"))).alias("right"), "e.parent", "child")
+    level = lambda n, parent, child: spark.range(n).select(F.lit(0.0).alias("left"), F.lit(530.0).alias("right"), parent(F.col("id")).alias("parent"), child(F.col("id")).alias("child"))
+    return e.union(level(40, lambda x: 200 + x % 5, lambda x: 100 + x)).union(level(5, lambda x: F.lit(300).cast("long"), lambda x: 200 + x))
+
+
+@query("neighbours", f"""with {VALID}, p1 as (select t.lo, t.hi, t.child as s, t.parent as a, u.parent as b, v.parent as c from tt t join tt u on u.lo = t.lo and u.child = t.parent join tt v on v.lo = t.lo and v.child = u.parent where t.child < 97),
+own as (select lo, hi, s, unnest([1, 2, 3]) as lvl, unnest([a, b, c]) as anc from p1),
+cnt as (select lo, lvl, anc, count(*) as n, count(*) filter (s % 3 = 0) as n0, count(*) filter (s % 3 = 1) as n1, count(*) filter (s % 3 = 2) as n2 from own group by 1, 2, 3),
+nn as (select o.lo, o.hi, o.s, arg_min(c.n, c.lvl) as n, arg_min(c.n0, c.lvl) as n0, arg_min(c.n1, c.lvl) as n1, arg_min(c.n2, c.lvl) as n2 from own o join cnt c using (lo, lvl, anc) where c.n > 1 group by 1, 2, 3),
+ww as (select s, hi - lo as span, unnest([0, 1, 2]) as k, unnest([n0 - (s % 3 = 0)::int, n1 - (s % 3 = 1)::int, n2 - (s % 3 = 2)::int]) / cast(n - 1 as double) as f from nn)
+select cast(s as bigint) as node, k as "set", round(sum(span * f) / sum(span), 9) as gnn from ww group by 1, 2""", use_lens=False)
+def _(spark, d):
+    sets = spark.range(97).select((F.col("id") % 3).cast("int").alias("set"), F.col("id").alias("node"))
+    return R.nearest_neighbours(forest(spark, d), sets, width=100.0).select("node", "set", F.round("gnn", 9).alias("gnn"))
+
+
+@query("simplify", f"""with recursive {VALID}, st as (select lo, hi, child as nd, child as s from tt where child % 4 = 0 and child < 97 union select lo, hi, child, child from tt where false),
+climb(lo, hi, s, prev, nd) as (select lo, hi, s, s, s from st union all select c.lo, c.hi, c.s, c.nd, t.parent from climb c join tt t on t.lo = c.lo and t.child = c.nd),
+ln as (select lo, nd, count(distinct prev) as k from climb where nd <> s group by 1, 2),
+node as (select distinct lo, hi, s as n from st union select distinct c.lo, c.hi, c.nd from climb c join ln on ln.lo = c.lo and ln.nd = c.nd and k > 1 where c.nd <> c.s),
+way(lo, hi, n, nd, done) as (select lo, hi, n, n, false from node union all select w.lo, w.hi, w.n, t.parent, exists (select 1 from node m where m.lo = w.lo and m.n = t.parent) from way w join tt t on t.lo = w.lo and t.child = w.nd where not w.done)
+select lo as "left", hi as "right", cast(nd as bigint) as parent, cast(n as bigint) as child from way where done""", use_lens=False)
+def _(spark, d):
+    """Restricted trees, their edges cut at the breakpoints of the whole ones, as the SQL has them."""
+    whole = forest(spark, d)
+    s = R.simplify(whole, [x for x in range(97) if x % 4 == 0], width=100.0)
+    t = R.tree_counts(whole).select(F.col("left").alias("b"), F.col("right").alias("e"))
+    bins = lambda df, lo, hi: df.withColumn("k", F.explode(F.sequence(F.floor(F.col(lo) / 100), F.floor(F.col(hi) / 100))))
+    hit = bins(s, "left", "right").join(bins(t, "b", "b"), "k").where("left <= b and e <= right")
+    return hit.select(F.col("b").alias("left"), F.col("e").alias("right"), "parent", "child")
+
+
+@query("crosscoal_pairs", f"""with {OPEN}, jj as (select a.pop as pop0, b.pop as pop1, c.t_ix, c.tl, c.tr, c.last, c.lam * (1 + 0.1::double * a.pop) as lam from (select distinct pop from ms) a join (select distinct pop from ms) b on a.pop < b.pop join mo c on c.pop = (a.pop + b.pop) % 5),
+g as (select jj.*, tl + u.j / 10.0::double * (tr - tl) as t from jj, (select unnest(range(0, 10)) as j) u),
+w as (select g.pop0, g.pop1, g.t_ix, g.t, any_value(g.lam) as l01, max(case when x.pop = g.pop0 then x.lam end) as a, max(case when x.pop = g.pop1 then x.lam end) as b from g join mo x on x.pop in (g.pop0, g.pop1) and case when g.last then x.last else x.tl <= g.t and g.t < x.tro end group by 1, 2, 3, 4),
+v as (select pop0, pop1, t_ix, any_value(l01) as l01, avg(a) as l00, avg(b) as l11 from w group by 1, 2, 3) select pop0, pop1, t_ix, round(2 * l01 / (l00 + l11), 6) as rccr from v""", use_lens=False)
+def _(spark, d):
+    ms = open_msmc(spark, d)
+    pops = ms.select("pop").distinct()
+    pairs = pops.select(F.col("pop").alias("pop0")).join(pops.select(F.col("pop").alias("pop1")), F.expr("pop0 < pop1"))
+    joint = pairs.join(ms, F.col("pop") == (F.col("pop0") + F.col("pop1")) % 5).drop("pop").withColumn("lam", F.col("lam") * (1 + F.lit(0.1) * F.col("pop0")))
+    return T.cross_coalescence_pairs(joint, ms).select("pop0", "pop1", "t_ix", F.round("rccr", 6).alias("rccr"))
+
+
 @query("treemix_edges", "with e as (select c_nationkey as parent, c_custkey % 40 as child, cast(c_custkey as bigint) as edge from customer) select edge, p.n_name as parent_name, c.n_name as child_name from e left join nation p on p.n_nationkey = e.parent left join nation c on c.n_nationkey = e.child", use_lens=False)
 def _(spark, d):
     e = lens.read(spark, d, "customer").select(F.col("c_nationkey").alias("parent"), (F.col("c_custkey") % 40).alias("child"), F.col("c_custkey").cast("long").alias("edge"))
