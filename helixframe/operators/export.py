@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import site as S
@@ -70,13 +70,54 @@ def treemix(pop_counts: DataFrame) -> DataFrame:
     return pop_counts.groupBy("chrom", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(cell)), lambda x: x["c"]), " ").alias("line"))
 
 
-def consensus(masks: DataFrame, threshold: float, n: int) -> DataFrame:
-    """(contig, pos, code) from (contig, pos, code) rows of n masks: C if enough are C, else A if enough are A or C, else N."""
+def consensus(masks: DataFrame, threshold: float, n: int, mask: str | None = None) -> DataFrame:
+    """(contig, pos, code) from (contig, pos, code) rows of n masks: C if enough are C, else A if enough are A or C, else N.
+
+    With ``mask``, the column that tells the masks apart, masks that differ in a contig or its length are an error.
+    """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     need = -int(-threshold * n // 1)
     c, a = F.count_if(F.col("code") == "C"), F.count_if(F.col("code").isin("A", "C"))
-    return masks.groupBy("contig", "pos").agg(F.when(c >= need, "C").when(a >= need, "A").otherwise("N").alias("code"))
+    out = masks.groupBy("contig", "pos").agg(F.when(c >= need, "C").when(a >= need, "A").otherwise("N").alias("code"))
+    if mask is None:
+        return out
+    # a row a contig and mask, then a row a contig
+    per = masks.groupBy("contig", mask).agg(F.max("pos").alias("length"))
+    same = per.groupBy("contig").agg(F.count("*").alias("k"), F.min("length").alias("lo"), F.max("length").alias("hi"))
+    bad = F.raise_error(F.concat(F.lit("masks differ in contig "), "contig")).cast("string")
+    same = same.select("contig", F.when((F.col("k") == n) & (F.col("lo") == F.col("hi")), F.lit("")).otherwise(bad).alias("__same"))
+    return out.join(same, "contig").withColumn("code", F.concat("__same", "code")).drop("__same")
+
+
+def _offsets(chunks: DataFrame) -> DataFrame:
+    """``chunks`` (contig, chunk, seq) with ``__from``, the bases of the contig before; only lengths are summed up, a row a chunk."""
+    w = Window.partitionBy("contig").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    at = chunks.select("contig", "chunk", F.length("seq").alias("__n")).select("contig", "chunk", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__from"))
+    return chunks.join(at, ["contig", "chunk"])
+
+
+def compress_chunks(chunks: DataFrame, period: int) -> DataFrame:
+    """(contig, chunk, seq): every ``period``-th base of a contig, its first one first, whatever its chunks are."""
+    skip = F.pmod(-F.col("__from"), F.lit(period)).cast("int")
+    return _offsets(chunks).select("contig", "chunk", compress(F.col("seq").substr(skip + 1, F.length("seq")), period).alias("seq"))
+
+
+def decompress_chunks(chunks: DataFrame, lengths: DataFrame, period: int) -> DataFrame:
+    """The reverse of ``compress_chunks`` to the ``lengths`` (contig, length): a base stands for the ``period`` around its place, the
+    first one for what is left of it, and the end of a contig that is longer is N."""
+    s = _offsets(chunks).join(lengths, "contig")
+    last = F.max("chunk").over(Window.partitionBy("contig"))
+    ends = chunks.select("contig", "chunk", last.alias("__last"))  # a row a chunk
+    s = s.join(ends, ["contig", "chunk"])
+    half = period // 2 + 1
+    start = F.when(F.col("__from") == 0, F.lit(0)).otherwise(half + (F.col("__from") - 1) * period)
+    times = lambda k: F.when(F.col("__from") + k == 0, F.lit(half)).otherwise(F.lit(period))
+    bases = F.filter(F.split("seq", ""), lambda c: c != "")
+    wide = F.array_join(F.transform(bases, lambda c, k: F.repeat(c, times(k))), "")
+    room = F.greatest(F.col("length") - start, F.lit(0)).cast("int")
+    text = F.when(F.col("chunk") == F.col("__last"), F.rpad(wide, room, F.lit("N"))).otherwise(wide.substr(F.lit(1), room))
+    return s.select("contig", "chunk", text.alias("seq"))
 
 
 def compress(seq: Column, period: int) -> Column:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.newick import leaves  # noqa: F401
 from helixframe.operators.sweeps import nearest_neighbours  # noqa: F401
 
 
@@ -94,11 +95,6 @@ def tmrca(msmc: DataFrame, mu: float = 1.25e-8, gen: float = 30.0, points: int =
     return p.select(*([run] if run else []), "t_ix", "j", (t * gen / mu).alias("years"), (F.col("lam") * gone).alias("pdf"), (1 - gone).alias("cdf"))
 
 
-def leaves(newick: Column) -> Column:
-    """The sorted leaf names of a Newick text (a bare name is one leaf)."""
-    return F.array_sort(F.regexp_extract_all(newick, F.lit(r"(?:^|[(,])\s*([^\s(),:;]+)"), F.lit(1)))
-
-
 def migration_events(events: DataFrame, found: int, threshold: float = 0.5) -> DataFrame:
     """(parent, child, source, n, weight) of events in at least ``threshold`` of ``found`` replicates: (boot, parent, child, source, weight), leaf sets in any order."""
     key = [F.array_sort(c).alias(c) for c in ("parent", "child", "source")]

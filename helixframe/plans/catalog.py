@@ -18,6 +18,7 @@ from helixframe.operators import export as X
 from helixframe.operators import genealogy as G
 from helixframe.operators import imputation as I
 from helixframe.operators import joins as J
+from helixframe.operators import newick as K2
 from helixframe.operators import sites as U
 from helixframe.operators import summaries as Y
 from helixframe.operators import sweeps as R
@@ -611,6 +612,34 @@ def _(spark, d):
     return T.cross_coalescence_pairs(joint, ms).select("pop0", "pop1", "t_ix", F.round("rccr", 6).alias("rccr"))
 
 
+@query("newick_support", """with t as (select o_orderkey as k, substr('abcd', cast(o_orderkey % 4 + 1 as int), 1) as x, substr('abcd', cast((o_orderkey + 1 + o_custkey % 3) % 4 + 1 as int), 1) as y from orders),
+n as (select least(x, y) || greatest(x, y) as pair, count(*) as n from t group by 1) select pair, n, round(cast(n as double) / (select count(*) from t), 9) as share from n""", use_lens=False)
+def _(spark, d):
+    """Trees of four leaves, two of them a clade; their order, names and lengths differ."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    letter = lambda n: F.substring(F.lit("abcd"), n.cast("int"), F.lit(1))
+    t = lens.read(spark, d, "orders").select(k.alias("k"), letter(k % 4 + 1).alias("x"), letter((k + 1 + c % 3) % 4 + 1).alias("y"))
+    rest = F.array_except(F.array(*map(F.lit, "abcd")), F.array("x", "y"))
+    text = F.concat(F.lit("("), F.get(rest, F.lit(0)), F.lit(":1,('"), "x", F.lit("':0.5,"), "y", F.lit(" [y])n"), F.col("k").cast("string"), F.lit(":2.0,"), F.get(rest, F.lit(1)), F.lit(");"))
+    pairs = t.select(F.array_sort(F.array("x", "y")).alias("p")).distinct().select(F.concat_ws("", "p").alias("pair"), K2.clade_of(F.col("p")).alias("clade"))
+    return K2.clade_support(t.withColumn("text", text), "text", "k").join(pairs, "clade").select("pair", "n", F.round("share", 9).alias("share"))
+
+
+@query("mask_compress", """with b as (select 's' || (p_partkey % 3) as contig, row_number() over (partition by p_partkey % 3 order by p_partkey) - 1 as k, substr('ACGT', cast(p_size % 4 + 1 as int), 1) as c from part),
+z as (select contig, string_agg(c, '' order by k) filter (k % 5 = 0) as kept, count(*) as n from b group by 1) select contig, kept, cast(n as bigint) as length, (select md5(string_agg(y.c, '' order by x.k)) from b x join b y on y.contig = x.contig and y.k = (x.k + 2) // 5 * 5 where x.contig = z.contig) as back,
+  (select count(*) from b x where x.contig = z.contig and (x.k + 2) // 5 * 5 >= n) as blank from z where n % 5 in (1, 2, 3)""", use_lens=False)
+def _(spark, d):
+    """Every fifth base of sequences in chunks, and back; contigs whose last base is in reach of the last one kept."""
+    k = F.col("p_partkey")
+    p = lens.read(spark, d, "part").select(F.concat(F.lit("s"), (k % 3).cast("string")).alias("contig"), k.alias("k"), F.expr("p_partkey div 37").alias("chunk"), F.substring(F.lit("ACGT"), (F.col("p_size") % 4 + 1).cast("int"), F.lit(1)).alias("c"))
+    chunks = p.groupBy("contig", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]), "").alias("seq"))
+    lengths = p.groupBy("contig").agg(F.count("*").alias("length"))
+    small = X.compress_chunks(chunks, 5)
+    whole = lambda df, name: df.groupBy("contig").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "seq"))), lambda x: x["seq"]), "").alias(name))
+    out = whole(small, "kept").join(lengths, "contig").join(whole(X.decompress_chunks(small, lengths, 5), "all"), "contig").where("length % 5 in (1, 2, 3)")
+    return out.select("contig", "kept", "length", F.md5("all").alias("back"), F.expr("length(all) - length(replace(all, 'N', ''))").cast("long").alias("blank"))
+
+
 @query("treemix_edges", "with e as (select c_nationkey as parent, c_custkey % 40 as child, cast(c_custkey as bigint) as edge from customer) select edge, p.n_name as parent_name, c.n_name as child_name from e left join nation p on p.n_nationkey = e.parent left join nation c on c.n_nationkey = e.child", use_lens=False)
 def _(spark, d):
     e = lens.read(spark, d, "customer").select(F.col("c_nationkey").alias("parent"), (F.col("c_custkey") % 40).alias("child"), F.col("c_custkey").cast("long").alias("edge"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.newick import leaves  # noqa: F401
 from helixframe.sources.vcf import entries, first_of_each
 
 
@@ -100,11 +101,6 @@ def base_at(sites: DataFrame, fasta: DataFrame, name: str, chunk: int = 10_000)
     return s.join(f, ["chrom", "__chunk"], "left").withColumn(name, base).drop("__chunk", "__seq")
 
 
-def leaves(newick):
-    """The sorted leaf names of a newick text."""
-    return F.array_sort(F.regexp_extract_all(newick, F.lit(r"[(,]\s*([^(),:;\s]+)"), F.lit(1)))
-
-
 # The columns of TreeMix files, in order.
 EDGES = "pnode long, cnode long, length double, weight double, mig string, mstart string, blank string"
 VERTICES = "id long, label string, root string, mig string, tip string, pid long, c1id long, nc1 long, c2id long, nc2 long, subtree string"
