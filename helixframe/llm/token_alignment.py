@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +36,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import Scratch
-from helixframe.llm.piece_codec import codec
+from helixframe.llm.piece_codec import Memo, PieceCodec, codec
 from helixframe.llm.words import remembered
 
-#: Bytes of text a bucket gets on average, so that its tokens sort in memory.
-BUCKET_BYTES = 4 << 20
+#: Bytes of text a bucket gets on average, so that its tokens sort in memory, until there are so many buckets; then they grow, and sorts spill.
+BUCKET_BYTES, MOST_BUCKETS = 4 << 20, 100_000
 
 
 class ByteIds:
@@ -75,31 +76,56 @@ class ByteIds:
         return self.tok.encode(text, add_special_tokens=False).ids
 
 
+class BothIds:
+    """Ids of a text on both sides, none where their bytes are not those of space + text.
+
+    Both vocabularies start a token at a space after another character, so a text with single spaces falls into
+    parts, each encoded once while it is remembered. Other texts are encoded whole.
+    """
+
+    def __init__(self, byte_path: str, piece_path: str, most: int = 80_000):
+        # small memories: the workers stay beside the sorts that follow
+        self.a, self.b = ByteIds(byte_path), PieceCodec(piece_path, most)
+        self.parts = Memo(self._part, most)
+
+    def _same(self, raw: bytes, a: list[int], b: list[int]) -> bool:
+        return b"".join(map(self.a.bytes_of.__getitem__, a)) == raw == b"".join(map(self.b.bytes_of.__getitem__, b))
+
+    def _part(self, part: str) -> tuple[tuple[int, ...], tuple[int, ...], bool]:
+        a, b = tuple(self.a(" " + part)), self.b.part(part)
+        return a, b, self._same(b" " + part.encode(), a, b)
+
+    def __call__(self, text: str) -> tuple[list[int], list[int]]:
+        if not text:
+            return [], []
+        self.parts.turn()
+        self.b.turn()
+        if not self.b.in_parts or "  " in text or text[0] == " " or text[-1] == " ":
+            a, b = self.a(" " + text), self.b.encode(text)
+            return (a, b) if self._same(b" " + text.encode(), a, b) else ([], [])
+        found = list(map(self.parts.__getitem__, text.split(" ")))
+        if not all(x[2] for x in found):
+            return [], []
+        return list(chain.from_iterable([x[0] for x in found])), list(chain.from_iterable([x[1] for x in found]))
+
+
 def _both(byte_path: str, piece_path: str):
-    """Texts to ids on both sides, none where the bytes are not those of space + text."""
+    """Texts to ids on both sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a_of, b_of = remembered(f"bytes {byte_path}", lambda: ByteIds(byte_path)), codec(piece_path)
+        ids_of = remembered(f"both {byte_path} {piece_path}", lambda: BothIds(byte_path, piece_path))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part, sides = batch.slice(at, 256), ([], [])
-                for text in part.column(2).to_pylist():
-                    ids = ([], [])
-                    if text:
-                        raw = b" " + text.encode()
-                        a, b = a_of(" " + text), b_of.encode(text)
-                        if b"".join(map(a_of.bytes_of.__getitem__, a)) == raw == b"".join(map(b_of.bytes_of.__getitem__, b)):
-                            ids = (a, b)
-                    for side, own in zip(sides, ids, strict=True):
-                        side.append(own)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(_lists(s) for s in sides)], ["row", "doc_id", "a", "b"])
+                part = batch.slice(at, 256)
+                a, b = zip(*map(ids_of, part.column(2).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(a), _lists(b)], ["row", "doc_id", "a", "b"])
 
     return run
 
 
-def _lists(rows: list[list[int]]) -> pa.Array:
+def _lists(rows: tuple[list[int], ...]) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-    flat = np.fromiter((i for r in rows for i in r), np.int32, int(ends[-1]))
+    flat = np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1]))
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
@@ -233,7 +259,7 @@ def align(docs: DataFrame, byte_vocabulary: str, piece_vocabulary: str, scratch:
     scratch = scratch or Scratch(spark, "alignment")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, -(-total // BUCKET_BYTES)))
     tables = _Buckets(spark, scratch, n)
     a_sizes = lengths(spark, ByteIds(byte_vocabulary).bytes_of)
     b_sizes = lengths(spark, codec(piece_vocabulary).bytes_of)
