@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -55,12 +56,9 @@ class ByteIds:
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
-
         from helixframe.llm.packing import _printable
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.path = path
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         byte_of = {c: b for b, c in _printable().items()}
@@ -70,7 +68,16 @@ class ByteIds:
         ranks = {b: i for i, b in self.bytes_of.items()}
         self.fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranked else None
 
+    @cached_property
+    def tok(self):
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(self.path)
+        tok.encode_special_tokens = True
+        return tok
+
     def __call__(self, text: str) -> list[int]:
+        # the tokenizer itself takes memory and is loaded for the first text that needs it
         if self.fast is not None and max(text) < "ƀ" and not any(c in text for c in "\x1c\x1d\x1e\x1f\x85\xa0"):
             return self.fast.encode_ordinary(text)
         return self.tok.encode(text, add_special_tokens=False).ids
@@ -83,7 +90,7 @@ class BothIds:
     parts, each encoded once while it is remembered. Other texts are encoded whole.
     """
 
-    def __init__(self, byte_path: str, piece_path: str, most: int = 80_000):
+    def __init__(self, byte_path: str, piece_path: str, most: int = 150_000):
         # small memories: the workers stay beside the sorts that follow
         self.a, self.b = ByteIds(byte_path), PieceCodec(piece_path, most)
         self.parts = Memo(self._part, most)
