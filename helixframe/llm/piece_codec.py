@@ -12,8 +12,8 @@ failed position never has to be tried again.
 
 No piece of such a vocabulary has the space mark after another character
 (checked when it is loaded; else texts are encoded whole), so a text falls into
-runs of spaces with the characters after them, each encoded once while it is
-remembered.
+runs of spaces with the characters after them, and these into runs of Latin letters or digits and of
+others where no piece holds both (checked too); each is encoded once while it is remembered.
 
 Edge cases: a null or empty text has no ids and decodes to the empty text; blank
 texts are runs of marks; characters that are no piece become the pieces of their
@@ -25,6 +25,7 @@ are encoded whole; repeated rows are encoded each; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -37,6 +38,8 @@ from helixframe.llm.words import remembered
 
 MARK = "▁"
 PRETOKEN = regex.compile(r" +[^ ]+| +")
+LETTER = "A-Za-z0-9À-ÖØ-öø-ɏ"
+RUN = re.compile(rf"{MARK}*[{LETTER}]+|{MARK}*[^{LETTER}{MARK}]+|{MARK}+")
 #: What the library puts in place of the unknown piece, and of a byte that is no UTF-8.
 UNKNOWN, BROKEN = " ⁇ ", "�"
 
@@ -47,13 +50,13 @@ class PieceCodec:
     ``most`` bounds what is remembered: parts of texts, and pairs of pieces; it changes no result.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         import ahocorasick
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
         n = sp.vocab_size()
-        self.most, self.seen, self.pairs = most, _Memo(self._part), {}
+        self.most, self.seen, self.runs, self.pairs = most, Memo(self.part, most), Memo(self._run, most), {}
         self.id_of, self.score, self.byte_id, self.text_of = {}, {}, {}, [""] * n
         for i in range(n):
             piece = sp.id_to_piece(i)
@@ -71,6 +74,8 @@ class PieceCodec:
         self.name_of = [str(i) for i in range(n)]
         # a mark after another character would let merges cross the start of a run of spaces
         self.in_parts = not any(MARK in p.lstrip(MARK) for p in self.id_of)
+        # likewise where Latin letters and digits meet others
+        self.in_runs = all(len(RUN.findall(p)) == 1 for p in self.id_of)
         self.starts = ahocorasick.Automaton()
         for p in self.id_of:
             self.starts.add_word(p, len(p))
@@ -132,10 +137,17 @@ class PieceCodec:
             left, may = path.pop()
         return [was for was, _ in path[1:]] + [left]
 
-    def _part(self, part: str) -> tuple[int, ...]:
+    def part(self, part: str) -> tuple[int, ...]:
         """Ids of a run of spaces with what follows, given without its first space."""
+        whole = MARK + part.replace(" ", MARK)
+        if not self.in_runs:
+            return self._run(whole)
+        runs = RUN.findall(whole)
+        return self.runs[whole] if len(runs) == 1 else tuple(chain.from_iterable(map(self.runs.__getitem__, runs)))
+
+    def _run(self, run: str) -> tuple[int, ...]:
         ids = []
-        for symbol in self.split(MARK + part.replace(" ", MARK)):
+        for symbol in self.split(run):
             i = self.id_of.get(symbol)
             ids += [i] if i is not None else [self.byte_id[b] for b in symbol.encode()]
         return tuple(ids)
@@ -143,8 +155,7 @@ class PieceCodec:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        if len(self.seen) > self.most:
-            self.seen.clear()
+        self.turn()
         text = text.replace(MARK, " ")
         if not self.in_parts:
             parts = [text]
@@ -154,6 +165,10 @@ class PieceCodec:
             parts = text.split(" ")
         return list(chain.from_iterable(map(self.seen.__getitem__, parts)))
 
+    def turn(self) -> None:
+        self.seen.turn()
+        self.runs.turn()
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: the first piece's mark is dropped, byte pieces that are no UTF-8 become U+FFFD each."""
         raw = b"".join(map(self.bytes_of.__getitem__, ids))
@@ -187,14 +202,25 @@ class PieceCodec:
         return "".join(out)
 
 
-class _Memo(dict):
-    def __init__(self, make):
-        self.make = make
+class Memo(dict):
+    """What ``make`` gives for a key, for the ``most`` keys seen last or more: a full generation becomes the old one, which is asked before ``make``."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.old = make, most, {}
 
-    def __missing__(self, part: str) -> tuple[int, ...]:
-        got = self[part] = self.make(part)
+    def __missing__(self, key: str) -> tuple:
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        self[key] = got
         return got
 
+    def turn(self) -> None:
+        """Between texts: keeps what is remembered within twice ``most`` and a text's own keys."""
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
 
 def codec(path: str) -> PieceCodec:
     """The codec of a model, kept for later tasks of the worker."""
