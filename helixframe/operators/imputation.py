@@ -38,11 +38,14 @@ def substitute(source: DataFrame, template: DataFrame, order: list[str]) -> Data
 
 
 def restore_missing(template: DataFrame, imputed: DataFrame, order: list[str]) -> DataFrame:
-    """The template's rows with imputed genotypes, but where the template has none: there a phased null."""
-    pairs = compare(template, imputed, "intersect", order)
+    """The template's rows with imputed genotypes, but where the template has none: there a phased null. A site that only one of both has is an error."""
+    pairs = compare(template, imputed, "all", order)
     null = F.struct(F.lit(-1).alias("a0"), F.lit(-1).alias("a1"), F.lit(True).alias("phased"))
-    gt = F.zip_with("l.gt", "r.gt", lambda a, b: F.when(N.is_null_call(a), null).otherwise(b))
-    return pairs.select(F.col("l").withField("gt", gt).alias("site")).select("site.*")
+    place = F.concat(F.lit("only one table has "), "chrom", F.lit(":"), F.col("pos").cast("string"))
+    alone = F.raise_error(place).cast(template.schema["gt"].dataType)
+    merged = F.zip_with("l.gt", "r.gt", lambda a, b: F.when(N.is_null_call(a), null).otherwise(b))
+    gt = F.when(F.col("l").isNull() | F.col("r").isNull(), alone).otherwise(merged)
+    return pairs.select(*[(gt if c == "gt" else F.col(f"l.{c}")).alias(c) for c in template.columns])
 
 
 def dummy_chromosome(sites: DataFrame, lo: int, hi: int, name: str) -> DataFrame:
