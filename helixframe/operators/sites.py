@@ -29,7 +29,10 @@ def lowcount_to_miss(sites: DataFrame, most: int = 1) -> DataFrame:
 
 
 def depth_to_miss(sites: DataFrame, least: int) -> DataFrame:
-    return sites.withColumn("gt", F.zip_with("gt", "dp", lambda g, d: F.when(F.coalesce(d, F.lit(0)) < least, F.struct(F.lit(-1).alias("a0"), F.lit(-1).alias("a1"), g["phased"].alias("phased"))).otherwise(g)))
+    """Calls of samples of less than ``least`` depth become missing, and where there is ``pl`` those of samples whose likelihoods tell nothing (the largest is 0)."""
+    flat = (lambda i: F.coalesce(F.array_max(F.get("pl", i)) == 0, F.lit(False))) if "pl" in sites.columns else (lambda i: F.lit(False))
+    gone = lambda g: F.struct(F.lit(-1).alias("a0"), F.lit(-1).alias("a1"), g["phased"].alias("phased"))
+    return sites.withColumn("gt", F.transform("gt", lambda g, i: F.when((F.coalesce(F.get("dp", i), F.lit(0)) < least) | flat(i), gone(g)).otherwise(g)))
 
 
 def _other(code: Column) -> Column:

@@ -90,6 +90,13 @@ def _(s, *_):
 AGE = "1.0::double - cast(greatest(n0, n1, n2) as double) / greatest(an, 1)"
 
 
+@query("flat_to_miss", "select site_id, count(*) filter (dp >= 5 and dp % 4 <> 0 and a1 >= 0) + count(*) filter (dp >= 5 and dp % 4 <> 0 and a2 >= 0) as an from lens_geno group by site_id")
+def _(s, *_):
+    """Likelihoods 0, x, 2 x of a sample, x from its depth; where x is 0 they tell nothing."""
+    pl = F.transform("dp", lambda d: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: (k * (d % 4)).cast("double")))
+    return counted(U.depth_to_miss(s.withColumn("pl", pl), 5)).select("site_id", S.an().cast("long").alias("an"))
+
+
 @query("allele_age", f", x as (select *, {AGE} as x from sa) select site_id, case when alc > 1 then floor(-2.0::double * x / (1.0::double - x) * ln(x) * 1e4) / 1e4 end as age, case when alc > 1 then floor(x * 1e3) / 1e3 end as af from x")
 def _(s, *_):
     age, af = S.age_columns()

@@ -7,6 +7,7 @@ from helixframe.functions import site as S
 from helixframe.operators import export as X
 from helixframe.operators import imputation as I
 from helixframe.operators import joins as J
+from helixframe.operators import sites as U
 from helixframe.sources import tables as T
 
 GT = "array<struct<a0:int,a1:int,phased:boolean>>"
@@ -53,3 +54,10 @@ def test_a_site_of_one_table_is_an_error(spark):
     for a, b in ((template, imputed.where("pos = 1")), (template.where("pos = 2"), imputed)):
         with pytest.raises(Exception, match="only one table has c:"):
             I.restore_missing(a, b, ["ref"]).collect()
+
+
+def test_shallow_and_flat_calls_go(spark):
+    rows = [([(0, 1, True)] * 5, [9, 2, 9, None, 9], [[0.0, 3.0, 9.0], [0.0, 3.0, 9.0], [0.0, 0.0, 0.0], [0.0, 3.0, 9.0], None])]
+    df = spark.createDataFrame(rows, f"gt {GT}, dp array<int>, pl array<array<double>>")
+    assert [g.a0 for g in U.depth_to_miss(df, 3).first().gt] == [0, -1, -1, -1, 0]
+    assert [g.a0 for g in U.depth_to_miss(df.drop("pl"), 3).first().gt] == [0, -1, 0, -1, 0]
