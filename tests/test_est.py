@@ -73,8 +73,7 @@ def test_no_site_at_all(sites):
     assert E.preprocess(sites, "key", least=1000).count() == 0
 
 
-@pytest.mark.parametrize(("mean", "least", "most"), [(40.0, 0.0, 1e9), (0.5, 0.0, 3.0), (300.0, 100.0, 500.0)])
-@pytest.mark.parametrize("width", [1, 60, 10**6])
+@pytest.mark.parametrize(("mean", "least", "most", "width"), [(40.0, 0.0, 1e9, 60), (0.5, 0.0, 3.0, 60), (0.5, 0.0, 3.0, 10**6), (300.0, 100.0, 500.0, 1)])
 def test_thinning_is_the_walk(spark, mean, least, most, width):
     r = random.Random(width)
     rows = sorted({(f"c{r.randrange(3)}", r.randrange(1, 1500), r.choice("xy")) for _ in range(700)})

