@@ -30,11 +30,12 @@ def upper_gamma(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     front = np.exp(a * np.log(np.where(x > 0, x, 1.0)) - x - _lgamma(a))
     low = (x > 0) & (x < a + 1)
     if low.any():
-        term = 1.0 / a[low]
-        total, n = term.copy(), a[low].copy()
+        n, y = a[low].copy(), x[low]
+        term = 1.0 / n
+        total = term.copy()
         for _ in range(200_000):
             n += 1
-            term = term * x[low] / n
+            term = term * y / n
             total += term
             if (term <= total * 1e-16).all():
                 break
@@ -42,10 +43,13 @@ def upper_gamma(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     high = x >= a + 1
     if high.any():
         p, q = a[high], x[high]
+        at, done = np.arange(len(p)), np.empty(p.shape)
         b = q + 1 - p
         c, d = np.full(b.shape, 1e300), 1.0 / b
         h = d.copy()
         for i in range(1, 200_000):
+            if not len(at):
+                break
             k = -i * (i - p)
             b = b + 2
             d = k * d + b
@@ -53,12 +57,40 @@ def upper_gamma(a: np.ndarray, x: np.ndarray) -> np.ndarray:
             c = b + k / c
             c = np.where(np.abs(c) < 1e-300, 1e-300, c)
             h = h * d * c
-            if (np.abs(d * c - 1) < 1e-15).all():
-                break
+            on = ~(np.abs(d * c - 1) < 1e-15)
+            if not on.all():
+                done[at[~on]] = h[~on]
+                at, p, b, c, d, h = (v[on] for v in (at, p, b, c, d, h))
+        done[at] = h
+        h = done
         out[high] = front[high] * h
     return np.clip(out, 0.0, 1.0)
 
 
+def _beta_fraction(p: np.ndarray, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The continued fraction of the incomplete beta function. A value leaves the loop as soon as it stands: rounding keeps
+    some of many values moving in the last digit, so they never all stand in one step."""
+    tiny = lambda v: np.where(np.abs(v) < 1e-300, 1e-300, v)
+    out, at = np.ones(p.shape), np.arange(len(p))
+    c, d = np.ones(p.shape), 1.0 / tiny(1 - (p + q) * x / (p + 1))
+    h = d.copy()
+    for m in range(1, 100_000):
+        if not len(at):
+            break
+        even = m * (q - m) * x / ((p + 2 * m - 1) * (p + 2 * m))
+        d, c = 1.0 / tiny(1 + even * d), tiny(1 + even / c)
+        h = h * d * c
+        odd = -(p + m) * (p + q + m) * x / ((p + 2 * m) * (p + 2 * m + 1))
+        d, c = 1.0 / tiny(1 + odd * d), tiny(1 + odd / c)
+        h = h * d * c
+        on = ~(np.abs(d * c - 1) < 1e-15)
+        if not on.all():
+            out[at[~on]] = h[~on]
+            at, p, q, x, c, d, h = (v[on] for v in (at, p, q, x, c, d, h))
+    out[at] = h
+    return out
+
+
 def beta_ratio(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The regularised incomplete beta function I_x(a, b)."""
     x, a, b = (np.asarray(v, float) for v in np.broadcast_arrays(x, a, b))
@@ -67,18 +99,9 @@ def beta_ratio(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     inside = (y > 0) & (y < 1)
     safe = np.where(inside, y, 0.5)
     front = np.exp(_lgamma(p + q) - _lgamma(p) - _lgamma(q) + p * np.log(safe) + q * np.log1p(-safe)) / p
-    tiny = lambda v: np.where(np.abs(v) < 1e-300, 1e-300, v)
-    c, d = np.ones(p.shape), 1.0 / tiny(1 - (p + q) * safe / (p + 1))
-    h = d.copy()
-    for m in range(1, 100_000):
-        even = m * (q - m) * safe / ((p + 2 * m - 1) * (p + 2 * m))
-        d, c = 1.0 / tiny(1 + even * d), tiny(1 + even / c)
-        h = h * d * c
-        odd = -(p + m) * (p + q + m) * safe / ((p + 2 * m) * (p + 2 * m + 1))
-        d, c = 1.0 / tiny(1 + odd * d), tiny(1 + odd / c)
-        h = h * d * c
-        if (np.abs(d * c - 1) < 1e-15).all():
-            break
+    h = np.ones(p.shape)
+    at = np.flatnonzero(inside)
+    h.ravel()[at] = _beta_fraction(p.ravel()[at], q.ravel()[at], safe.ravel()[at])
     part = np.where(inside, front * h, np.where(y <= 0, 0.0, 1.0))
     return np.clip(np.where(swap, 1 - part, part), 0.0, 1.0)
 
