@@ -70,9 +70,10 @@ def blocks(rows: DataFrame, size: int = ROWS) -> DataFrame:
 
 def meet(data: DataFrame, asked: DataFrame, parts: int) -> DataFrame:
     """Each block of ``data`` with each block of ``asked`` (columns dim, q...) of its length. Blocks of data are dealt to
-    ``parts``, each of which gets all that is asked, so neither side has to fit one task."""
+    ``parts``, each of which gets all that is asked, so neither side has to fit one task. They are merged, not broadcast: a
+    plan takes the copies for no larger than the file they are made of, and the driver would hold all of them."""
     copies = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return data.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int")).join(copies, ["dim", "part"]).drop("part")
+    return data.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int")).join(copies.hint("merge"), ["dim", "part"]).drop("part")
 
 
 def unpack(row: dict, prefix: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
