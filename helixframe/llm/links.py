@@ -17,6 +17,38 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import Scratch, join_small
 
 
+#: So many edges go to one task, which leaves no more of them than it has nodes.
+TOGETHER = 1 << 17
+
+
+def _find(x: int, root: dict[int, int]) -> int:
+    while root.get(x, x) != x:
+        root[x] = x = root.get(root[x], root[x])
+    return x
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task that join what its edges before have not joined."""
+    root = {}
+    for batch in batches:
+        left = []
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = _find(a, root), _find(b, root)
+            if x != y:
+                root[x] = y
+            left.append(x != y)
+        yield batch.filter(pa.array(left, pa.bool_()))
+
+
+def forest(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) that join the same nodes; a node of a large group may have an edge for each of its
+    keys, and of a group in one task there is left one less than it has nodes."""
+    kept = scratch.keep(edges)
+    out = scratch.keep(kept.coalesce(max(1, -(-kept.count() // TOGETHER))).mapInArrow(_forest, "a long, b long"))
+    scratch.drop(kept)
+    return out
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """(node, comp) for all nodes of ``edges`` (a, b), comp being the smallest node reachable.
 
@@ -24,7 +56,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int =
     logarithm of a group's diameter. Null ends and loops take no part; an
     empty table gives an empty one.
     """
-    e = edges.where("a is not null and b is not null and a <> b").select("a", "b")
+    e = forest(edges.where("a is not null and b is not null and a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), scratch)
     e = scratch.keep(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     f = scratch.keep(e.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("comp")))
     for _ in range(most_rounds):
@@ -153,12 +185,6 @@ def _links(holds: Callable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, comp, root, todo = {}, {}, {}, []
-
-            def find(x: int, root: dict[int, int] = root) -> int:
-                while root.get(x, x) != x:
-                    x = root[x] = root.get(root[x], root[x])
-                return x
-
             for r in range(batch.num_rows):
                 pairs = list(zip(batch.column("a")[r].as_py(), batch.column("b")[r].as_py(), strict=True))
                 todo.append(pairs)
@@ -172,12 +198,12 @@ def _links(holds: Callable):
             while todo:
                 now, later = {}, []
                 for pairs in todo:
-                    pairs = [(a, b) for a, b in pairs if find(comp[a]) != find(comp[b])]
+                    pairs = [(a, b) for a, b in pairs if _find(comp[a], root) != _find(comp[b], root)]
                     now |= dict.fromkeys(pairs[:take])
                     later.append(pairs[take:])
                 for (a, b), yes in zip(now, holds([(body[a], body[b]) for a, b in now]), strict=True):
                     if yes:
-                        root[find(comp[a])] = find(comp[b])
+                        root[_find(comp[a], root)] = _find(comp[b], root)
                         held.append((a, b))
                 todo, take = [p for p in later if p], 2 * take
             if held:

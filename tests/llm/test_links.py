@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import Scratch
-from helixframe.llm.links import in_blocks, links_in_blocks
+from helixframe.llm.links import connected_components, forest, in_blocks, links_in_blocks
 
 
 def _members(spark, ids, keys):
@@ -39,3 +39,14 @@ def test_links_between_groups_in_large_blocks(spark):
     near = lambda na, nb, sa, sb: np.ones((len(na), len(nb)), bool)
     found = links_in_blocks(members, signed, near, lambda i: bodies.join(i, "id"), lambda pairs: [x == y for x, y in pairs], Scratch(spark, "links"))
     assert {(min(r), max(r)) for r in found.collect()} == {(3, ids - 1), (ids - 9, ids - 5)}
+
+
+def test_edges_of_a_large_group_are_met_once(spark):
+    """Forty edges a node leave no more than a tree, and the same groups."""
+    edges = spark.range(4_000).select((F.col("id") % 200 + 1).alias("a"), (F.xxhash64("id") % 50).alias("b")).where("a <> b")
+    want = {(r.node, r.comp) for r in connected_components(edges, Scratch(spark, "links")).collect()}
+    left = forest(edges, Scratch(spark, "links"))
+    nodes = edges.select("a").union(edges.select("b")).distinct().count()
+    assert left.count() == nodes - 1 and len({c for _, c in want}) == 1 and len(want) == nodes
+    two = spark.createDataFrame([(1, 2), (2, 1), (3, 3), (4, 5), (None, 7), (6, 5)], "a long, b long")
+    assert {tuple(r) for r in connected_components(two, Scratch(spark, "links")).collect()} == {(1, 1), (2, 1), (4, 4), (5, 4), (6, 4)}
