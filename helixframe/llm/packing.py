@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import Scratch
+from helixframe.llm.piece_codec import Memo
 from helixframe.llm.words import remembered
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -50,13 +51,13 @@ class WordIds:
     tokenizer itself.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         import json
 
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tok, self.seen, self.most = Tokenizer.from_file(path), _Parts(self.part), most
+        self.tok, self.seen = Tokenizer.from_file(path), Memo(self.part, most)
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         byte_of = {c: b for b, c in _printable().items()}
@@ -81,20 +82,10 @@ class WordIds:
     def __call__(self, text: str) -> bytes:
         if any(mark in text for mark in ("<|", "\x1c", "\x1d", "\x1e", "\x1f")):
             return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(self.seen) > self.most:
-            self.seen.clear()
+        self.seen.turn()
         return b"".join(map(self.seen.__getitem__, text.split()))
 
 
-class _Parts(dict):
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, part: str) -> bytes:
-        got = self[part] = self.make(part)
-        return got
-
-
 def _printable() -> dict[int, str]:
     """The byte-level alphabet: visible Latin-1 bytes stand for themselves, the others follow from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -102,9 +93,9 @@ def _printable() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-def _pieces(path: str, room: int, end: int):
+def _pieces(path: str, room: int, end: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, closing = remembered(f"ids {path}", lambda: WordIds(path)), np.array([end], "<u4").tobytes()
+        ids_of, closing = remembered(f"ids {path} {most}", lambda: WordIds(path, most)), np.array([end], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 rows = []
@@ -170,9 +161,9 @@ def _round(room: int, full: float, level: int):
     return run
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, room: int = 4096, end: int = 1) -> DataFrame:
-    """Each document's ids with ``end`` after them, cut where they exceed ``room``."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer, room, end), PIECE)
+def token_pieces(docs: DataFrame, tokenizer: str, room: int = 4096, end: int = 1, most: int = 500_000) -> DataFrame:
+    """Each document's ids with ``end`` after them, cut where they exceed ``room``; ``most`` bounds what a worker remembers, and changes no result."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer, room, end, most), PIECE)
 
 
 def pack(pieces: DataFrame, room: int = 4096, full: float = 0.998, per_task: int = 50_000, scratch: Scratch | None = None) -> DataFrame:

@@ -50,3 +50,15 @@ def test_edges_of_a_large_group_are_met_once(spark):
     assert left.count() == nodes - 1 and len({c for _, c in want}) == 1 and len(want) == nodes
     two = spark.createDataFrame([(1, 2), (2, 1), (3, 3), (4, 5), (None, 7), (6, 5)], "a long, b long")
     assert {tuple(r) for r in connected_components(two, Scratch(spark, "links")).collect()} == {(1, 1), (2, 1), (4, 4), (5, 4), (6, 4)}
+
+
+def test_memory_of_words_is_bounded():
+    """What a packing worker remembers does not grow beyond twice its bound and a text's own words, and no id depends on it."""
+    from helixframe.llm import packing
+    from helixframe.llm.queries import vocabulary
+
+    small, large = (packing.WordIds(vocabulary("word_bpe_49k.json"), most) for most in (100, 500_000))
+    for k in range(60):
+        text = " ".join(f"w{(k * 31 + i) % 900}" for i in range(50))
+        assert small(text) == large(text)
+        assert len(small.seen) + len(small.seen.old) <= 300
