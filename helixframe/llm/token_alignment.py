@@ -1,17 +1,22 @@
 """Alignment of two tokenizers' tokens over the same bytes, in relational steps.
 
-Documents are dealt to buckets by a row number, encoded there, and written as a
-bucketed table of two id arrays a document. From it, without another shuffle of tokens:
+Both vocabularies start a token at a space after another character, so a text with single spaces falls into
+parts whose tokens, groups and links are their own; any other text is one part. Each distinct part of the corpus
+is encoded and aligned once:
 
-1. ``posexplode`` gives a row a token, a broadcast join its length in bytes (the
+1. Tasks number the parts of their texts by chunks of some megabytes; the parts of all chunks are made distinct
+   in a shuffle, numbered, encoded, and written as a bucketed table of two id arrays a part.
+2. ``posexplode`` gives a row a token, a broadcast join its length in bytes (the
    vocabulary bounds that table), and a window's running sum its end.
-2. An equi-join of both sides on (document, end) gives the cuts. The running count
+3. An equi-join of both sides on (part, end) gives the cuts. The running count
    of cuts numbers the groups; the cut before gives where a group's tokens start.
-3. Groups with one token on a side link it to all of the other's: a group join. In
+4. Groups with one token on a side link it to all of the other's: a group join. In
    groups with several on both, whose ends differ within, links are the pairs whose
-   byte ranges overlap: a range join within (document, group).
-   The digest of a document's groups is formatted from its ids and the places of its cuts.
-4. A pair's count is the number of documents that hold it linked. Counts are summed by
+   byte ranges overlap: a range join within (part, group).
+   The text of a part's groups is formatted from its ids and the places of its cuts.
+5. Aligned parts go to the chunks that hold them, and a chunk's documents meet them: sums, the digest, and
+   the distinct pairs with how often the document links them.
+6. A pair's count is the number of documents that hold it linked. Counts are summed by
    task before the shuffle; an A id's highest count is a maximum over its
    pairs. Documents meet their pairs' counts in a broadcast join where the measured number of
    pairs allows it; else the pairs that many documents hold are broadcast, whose number
@@ -19,14 +24,15 @@ bucketed table of two id arrays a document. From it, without another shuffle of
 
 Edge cases: a text that is null or empty, or whose tokens' bytes on either side are not those of
 space + text, has no tokens: zeros and an empty ``groups_sha256``; each row is a document of its
-own, so repeated rows count twice and null ids stay; a very long text is spread over rows, its groups are
-collected; an empty table gives no rows; extra columns are ignored.
+own, so repeated rows count twice and null ids stay; a very long text is a chunk of its own; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cached_property
 from itertools import chain
@@ -37,11 +43,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import Scratch
-from helixframe.llm.piece_codec import Memo, PieceCodec, codec
+from helixframe.llm.piece_codec import codec
 from helixframe.llm.words import remembered
 
-#: Bytes of text a bucket gets on average, so that its tokens sort in memory, until there are so many buckets; then they grow, and sorts spill.
-BUCKET_BYTES, MOST_BUCKETS = 4 << 20, 100_000
+#: Bytes of parts a bucket gets on average, so that its tokens sort in memory, until there are so many buckets; then they grow, and sorts spill.
+BUCKET_BYTES, MOST_BUCKETS = 1 << 20, 100_000
+#: Characters of texts after which a task begins another chunk, and parts that one row of a chunk holds.
+CHUNK, LISTED = 24 << 20, 1 << 16
 
 
 class ByteIds:
@@ -84,53 +92,109 @@ class ByteIds:
 
 
 class BothIds:
-    """Ids of a text on both sides, none where their bytes are not those of space + text.
-
-    Both vocabularies start a token at a space after another character, so a text with single spaces falls into
-    parts, each encoded once while it is remembered. Other texts are encoded whole.
-    """
-
-    def __init__(self, byte_path: str, piece_path: str, most: int = 150_000):
-        # small memories: the workers stay beside the sorts that follow
-        self.a, self.b = ByteIds(byte_path), PieceCodec(piece_path, most)
-        self.parts = Memo(self._part, most)
-
-    def _same(self, raw: bytes, a: list[int], b: list[int]) -> bool:
-        return b"".join(map(self.a.bytes_of.__getitem__, a)) == raw == b"".join(map(self.b.bytes_of.__getitem__, b))
-
-    def _part(self, part: str) -> tuple[tuple[int, ...], tuple[int, ...], bool]:
-        a, b = tuple(self.a(" " + part)), self.b.part(part)
-        return a, b, self._same(b" " + part.encode(), a, b)
-
-    def __call__(self, text: str) -> tuple[list[int], list[int]]:
-        if not text:
-            return [], []
-        self.parts.turn()
-        self.b.turn()
-        if not self.b.in_parts or "  " in text or text[0] == " " or text[-1] == " ":
-            a, b = self.a(" " + text), self.b.encode(text)
-            return (a, b) if self._same(b" " + text.encode(), a, b) else ([], [])
-        found = list(map(self.parts.__getitem__, text.split(" ")))
-        if not all(x[2] for x in found):
-            return [], []
-        return list(chain.from_iterable([x[0] for x in found])), list(chain.from_iterable([x[1] for x in found]))
+    """Ids of parts on both sides, none where their bytes are not those of space + part."""
+
+    def __init__(self, byte_path: str, piece_path: str):
+        from sentencepiece import SentencePieceProcessor
+
+        self.a, self.b = ByteIds(byte_path), SentencePieceProcessor(model_file=piece_path)
+        sp = self.b
+        piece = lambda i: bytes((int(sp.id_to_piece(i)[3:5], 16),)) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode()
+        # a control or unknown piece has no bytes of a text: 0xFF is in no UTF-8
+        self.b_bytes = [b"\xff" if sp.is_control(i) or sp.is_unknown(i) else piece(i) for i in range(sp.vocab_size())]
+
+    def __call__(self, parts: list[str]) -> list[tuple[list[int], list[int]]]:
+        a_bytes, b_bytes, out = self.a.bytes_of, self.b_bytes, []
+        for part, b in zip(parts, self.b.encode(parts, num_threads=1), strict=True):
+            a, raw = self.a(" " + part), b" " + part.encode()
+            same = b"".join([a_bytes[i] for i in a]) == raw == b"".join([b_bytes[i] for i in b])
+            out.append((a, b) if same else ([], []))
+        return out
 
 
 def _both(byte_path: str, piece_path: str):
-    """Texts to ids on both sides."""
+    """Parts to ids on both sides; the places where a part is asked for go with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = remembered(f"both {byte_path} {piece_path}", lambda: BothIds(byte_path, piece_path))
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                a, b = zip(*map(ids_of, part.column(2).to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(a), _lists(b)], ["row", "doc_id", "a", "b"])
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                a, b = zip(*ids_of(part.column(1).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), _lists(a), _lists(b)], ["row", "spots", "a", "b"])
 
     return run
 
 
-def _lists(rows: tuple[list[int], ...]) -> pa.Array:
+TOLD = "chunk long, row long, doc_id long, words array<int>, base int, parts array<string>"
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a document with the numbers of its parts in its chunk, and rows with a chunk's distinct parts from number ``base`` on."""
+    names = ["chunk", "row", "doc_id", "words", "base", "parts"]
+    chunk, size, at_of = None, 0, defaultdict()
+
+    def listed() -> Iterator[pa.RecordBatch]:
+        parts = list(at_of)
+        for base in range(0, len(parts), LISTED):
+            none = [pa.array([None], t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *none, pa.array([base], pa.int32()), pa.array([parts[base : base + LISTED]], pa.list_(pa.string()))], names)
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            if chunk is None or size > CHUNK:
+                yield from listed()
+                chunk, size, at_of = part.column(0)[0].as_py(), 0, defaultdict()
+                at_of.default_factory = at_of.__len__
+            words = []
+            for text in part.column(2).to_pylist():
+                if not text:
+                    words.append([])
+                elif "  " in text or text[0] == " " or text[-1] == " ":
+                    words.append([at_of[text]])
+                else:
+                    words.append(list(map(at_of.__getitem__, text.split(" "))))
+                size += len(text or "")
+            n = part.num_rows
+            none = [pa.nulls(n, t) for t in (pa.int32(), pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk), pa.int64()), part.column(0), part.column(1), _lists(words), *none], names)
+    yield from listed()
+
+
+MET = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
+
+
+def _met(docs: pa.Table, parts: pa.Table) -> pa.Table:
+    """The documents of a chunk with what their parts (k, n_a, n_b, n_groups, body, links) are in all."""
+    docs, parts = docs.combine_chunks(), parts.sort_by("k").combine_chunks()
+    one = lambda t, c: t[c].chunk(0) if t[c].num_chunks else pa.array([], t.schema.field(c).type)
+    n = np.stack([one(parts, c).to_numpy() for c in ("n_a", "n_b", "n_groups")], axis=1)
+    bodies, lists = one(parts, "body").to_pylist(), one(parts, "links")
+    start, count = lists.offsets.to_numpy()[:-1].astype(np.int64), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    pairs, code = np.unique(lists.values.to_numpy(), return_inverse=True)
+    sums, digests, held, times = [], [], [], []
+    for w in _rows(one(docs, "words")):
+        if not len(w) or not n[w, 0].all():
+            sums.append((0, 0, 0, 0))
+            digests.append("")
+            held.append(pairs[:0])
+            times.append(count[:0])
+            continue
+        c = count[w]
+        at = np.repeat(start[w] - np.cumsum(c) + c, c) + np.arange(c.sum())
+        own, often = np.unique(code[at], return_counts=True)
+        sums.append((*n[w].sum(axis=0).tolist(), len(at)))
+        digests.append(hashlib.sha256(";".join([bodies[i] for i in w.tolist()]).encode()).hexdigest())
+        held.append(pairs[own])
+        times.append(often)
+    ends = pa.array(np.cumsum([0, *map(len, held)]).astype(np.int32))
+    sums = np.array(sums, np.int64).reshape(-1, 4)
+    flat = lambda x, t: pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, t), *x]).astype(t)))
+    return pa.Table.from_arrays([one(docs, "row"), one(docs, "doc_id"), *(pa.array(sums[:, i]) for i in range(4)), pa.array(digests, pa.string()), flat(held, np.int64), flat(times, np.int32)], [f.split(" ")[0] for f in MET.split(", ")])
+
+
+def _lists(rows: list[list[int]]) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
     flat = np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1]))
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
@@ -162,7 +226,7 @@ def lengths(spark: SparkSession, bytes_of: list[bytes] | dict[int, bytes]) -> Da
 
 
 def ends(docs: DataFrame, ids: str, sizes: DataFrame, names: tuple[str, str, str]) -> DataFrame:
-    """(row, end, position, id): where each token of the array ``ids`` ends in its document."""
+    """(row, end, position, id): where each token of the array ``ids`` ends in its part."""
     tokens = docs.select("row", F.posexplode(ids).alias("at", "id")).join(F.broadcast(sizes), "id")
     running = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     return tokens.select("row", F.sum("n").over(running).alias(names[0]), F.col("at").alias(names[1]), F.col("id").alias(names[2]))
@@ -185,11 +249,12 @@ def pair(a: Column, b: Column) -> Column:
     return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
 
 
-KEPT = "row long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<long>, both array<struct<g: int, a: array<int>, b: array<int>>>"
+SPOTS = "array<struct<place: long, k: int>>"
+KEPT = f"row long, spots {SPOTS}, n_a long, n_b long, n_groups long, body string, links array<long>, both array<struct<g: int, a: array<int>, b: array<int>>>"
 
 
 def _aligned(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """A row a document: counts, the digest of its groups, links of one-sided groups, and the groups with several tokens on both sides."""
+    """A row a part: counts, the text of its groups, links of one-sided groups, and the groups with several tokens on both sides."""
     single = F.expr("a_n = 1 and b_n = 1")
     collect = lambda where, x: F.collect_list(F.when(where, x))  # noqa: E731  other rows are null, which it leaves out
     listed = groups.groupBy("row").agg(
@@ -207,7 +272,7 @@ def _aligned(docs: DataFrame, groups: DataFrame) -> DataFrame:
     none = F.array().cast("array<long>")
     rows = docs.join(listed, "row", "left").select(
         "row",
-        "doc_id",
+        "spots",
         F.size("a").cast("long").alias("n_a"),
         F.size("b").cast("long").alias("n_b"),
         F.coalesce(F.size("cuts").cast("long"), F.lit(0)).alias("n_groups"),
@@ -217,7 +282,7 @@ def _aligned(docs: DataFrame, groups: DataFrame) -> DataFrame:
         "b",
         F.coalesce("cuts", none).alias("cuts"),
     )
-    return rows.mapInArrow(_group_digests, KEPT)
+    return rows.mapInArrow(_group_texts, KEPT)
 
 
 def group_text(a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]) -> str:
@@ -235,13 +300,12 @@ def _rows(lists: pa.ListArray) -> list[np.ndarray]:
     return [flat[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
 
 
-def _group_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The digest of the text of each document's groups, in place of its ids and cuts."""
+def _group_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of each part's groups, in place of its ids and cuts."""
     for batch in batches:
-        row, doc, n_a, n_b, n_groups, links, both, *arrays = batch.columns
-        texts = (group_text(a.tolist(), b.tolist(), (c >> 32).tolist(), (c & 0xFFFFFFFF).tolist()) for a, b, c in zip(*map(_rows, arrays), strict=True))
-        digest = pa.array([hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts], pa.string())
-        yield pa.RecordBatch.from_arrays([row, doc, n_a, n_b, n_groups, digest, links, both], ["row", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links", "both"])
+        row, spots, n_a, n_b, n_groups, links, both, *arrays = batch.columns
+        texts = [group_text(a.tolist(), b.tolist(), (c >> 32).tolist(), (c & 0xFFFFFFFF).tolist()) for a, b, c in zip(*map(_rows, arrays), strict=True)]
+        yield pa.RecordBatch.from_arrays([row, spots, n_a, n_b, n_groups, pa.array(texts, pa.string()), links, both], ["row", "spots", "n_a", "n_b", "n_groups", "body", "links", "both"])
 
 
 def range_links(groups: DataFrame, a_sizes: DataFrame, b_sizes: DataFrame) -> DataFrame:
@@ -265,40 +329,52 @@ def align(docs: DataFrame, byte_vocabulary: str, piece_vocabulary: str, scratch:
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "alignment")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    told = scratch.keep(rows.mapInArrow(_told, TOLD))
+    listed = told.where("parts is not null")
+    spots = listed.select("chunk", "base", F.posexplode("parts").alias("k", "part"))
+    spots = spots.groupBy("part").agg(F.collect_list(F.struct(F.col("chunk").alias("place"), (F.col("base") + F.col("k")).alias("k"))).alias("spots"))
+    parts = scratch.keep(spots.select(F.monotonically_increasing_id().alias("row"), "part", "spots"))
+    total = parts.agg(F.sum(F.octet_length("part") + 1)).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, -(-total // BUCKET_BYTES)))
     tables = _Buckets(spark, scratch, n)
     a_sizes = lengths(spark, ByteIds(byte_vocabulary).bytes_of)
     b_sizes = lengths(spark, codec(piece_vocabulary).bytes_of)
     whole_key = "spark.sql.requireAllClusterKeysForCoPartition"
     was = spark.conf.get(whole_key)
-    spark.conf.set(whole_key, "false")  # tables bucketed by document meet on (document, end) as they lie
+    spark.conf.set(whole_key, "false")  # tables bucketed by part meet on (part, end) as they lie
     try:
-        ids = tables.keep(rows.repartition(n, "row").mapInArrow(_both(byte_vocabulary, piece_vocabulary), "row long, doc_id long, a array<int>, b array<int>"))
+        ids = tables.keep(parts.repartition(n, "row").mapInArrow(_both(byte_vocabulary, piece_vocabulary), f"row long, spots {SPOTS}, a array<int>, b array<int>"))
+        scratch.drop(parts)
         aligned = tables.keep(_aligned(ids, cut_groups(ids, a_sizes, b_sizes)))
         tables.drop(ids)
         ranged = range_links(aligned.select("row", F.explode("both").alias("x")).select("row", "x.*"), a_sizes, b_sizes)
         more = ranged.groupBy("row").agg(F.collect_list("pair").alias("more"))
-        links = tables.keep(aligned.join(more, "row", "left").select("row", F.concat("links", F.coalesce("more", F.array().cast("array<long>"))).alias("links")))
+        links = F.concat("links", F.coalesce("more", F.array().cast("array<long>"))).alias("links")
+        about = scratch.keep(aligned.join(more, "row", "left").select("spots", "n_a", "n_b", "n_groups", "body", links))
+        tables.drop(aligned)
     finally:
         spark.conf.set(whole_key, was)
-    counts = scratch.keep(links.select(F.explode(F.array_distinct("links")).alias("pair")).groupBy("pair").agg(F.count("*").alias("n")))
+    own = about.select(F.explode("spots").alias("spot"), "n_a", "n_b", "n_groups", "body", "links").select("spot.place", "spot.k", "n_a", "n_b", "n_groups", "body", "links")
+    spark._jvm.System.gc()  # shuffles of the steps before leave the disks when the driver has collected their plans
+    texts = told.where("words is not null").select("chunk", "row", "doc_id", "words")
+    met = scratch.keep(texts.groupBy("chunk").cogroup(own.groupBy("place")).applyInArrow(_met, MET), compression="zstd")
+    scratch.drop(told, about)
+    counts = scratch.keep(met.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("n")))
     a_id = F.shiftright("pair", 32)
     top = counts.groupBy(a_id.alias("a")).agg(F.max("n").alias("top"))
     counts = scratch.keep(counts.withColumn("a", a_id).join(F.broadcast(top), "a").select("pair", "n", (F.col("n") == F.col("top")).alias("best")))
-    found = links.select("row", F.explode("links").alias("pair"))
-    sums = lambda df: df.groupBy("row").agg(F.count("*").alias("n_links"), F.count_if("best").alias("n_best"), F.sum("n").alias("count_sum"))
+    found = met.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.times").cast("long").alias("times"))
+    sums = lambda df: df.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
     n_pairs = counts.count()
     if n_pairs <= most:
         summed = sums(found.join(F.broadcast(counts), "pair"))
     else:
         # pairs in many documents: together they are in no more than all documents' links, so they are few
         held = counts.agg(F.sum("n")).first()[0]
-        common = counts.where(F.col("n") > held / most)
-        by_pair = found.groupBy("row", "pair").agg(F.count("*").alias("times")).join(F.broadcast(common), "pair", "left")
+        by_pair = found.join(F.broadcast(counts.where(F.col("n") > held / most)), "pair", "left")
         rest = by_pair.where("n is null").drop("n", "best").join(counts.where(F.col("n") <= held / most), "pair")
         both = by_pair.where("n is not null").select("row", "times", "n", "best").union(rest.select("row", "times", "n", "best"))
-        summed = both.groupBy("row").agg(F.sum("times").alias("n_links"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
+        summed = sums(both)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    out = aligned.drop("links", "both").join(summed, "row", "left")
-    return out.select("doc_id", "n_a", "n_b", "n_groups", zero("n_links"), zero("n_best"), zero("count_sum"), "groups_sha256")
+    out = met.drop("pairs", "times").join(summed, "row", "left")
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")

@@ -166,3 +166,23 @@ def test_byte_ids_equal_the_tokenizer():
     assert own.fast is not None
     for text in [t for t in TEXTS if t] + odd_texts(600, 9):
         assert own(" " + text) == own.tok.encode(" " + text, add_special_tokens=False).ids, text
+
+
+def test_parts_are_told_once_a_chunk(monkeypatch):
+    """Texts travel as numbers of parts; each distinct part of a chunk is told once, however often texts repeat it."""
+    import pyarrow as pa
+
+    texts = ["the cat sat on the mat"] * 500 + [None, "", " odd  one ", "a b"] + ["the cat ran"] * 400
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["row", "doc_id", "text"])
+    for size, fewest in ((1 << 20, 1), (3_000, 2)):
+        monkeypatch.setattr(token_alignment, "CHUNK", size)
+        monkeypatch.setattr(token_alignment, "LISTED", 3)
+        rows = [r for b in token_alignment._told(iter([batch])) for r in b.to_pylist()]
+        parts = {}
+        for r in rows:
+            if r["parts"] is not None:
+                own = parts.setdefault(r["chunk"], {})
+                own |= {r["base"] + k: p for k, p in enumerate(r["parts"])}
+        assert len(parts) >= fewest and all(len(set(own.values())) == len(own) <= 9 for own in parts.values())
+        back = {r["row"]: " ".join(parts[r["chunk"]][k] for k in r["words"]) for r in rows if r["words"] is not None}
+        assert back == {k: t or "" for k, t in enumerate(texts)}
