@@ -5,17 +5,17 @@ parts whose tokens, groups and links are their own; any other text is one part.
 is encoded and aligned once:
 
 1. Tasks number the parts of their texts by chunks of some megabytes; the parts of all chunks are made distinct
-   in a shuffle, numbered, encoded, and written as a bucketed table of two id arrays a part.
+   in one shuffle by ``slot``, a hash of the part, encoded, and written as a table of two id arrays a part, bucketed by slot.
 2. ``posexplode`` gives a row a token, a broadcast join its length in bytes (the
    vocabulary bounds that table), and a window's running sum its end.
-3. An equi-join of both sides on (part, end) gives the cuts. The running count
+3. An equi-join of both sides on (slot, part, end) gives the cuts. The running count
    of cuts numbers the groups; the cut before gives where a group's tokens start.
 4. Groups with one token on a side link it to all of the other's: a group join. In
    groups with several on both, whose ends differ within, links are the pairs whose
    byte ranges overlap: a range join within (part, group).
    The text of a part's groups is formatted from its ids and the places of its cuts.
-5. Aligned parts go to the chunks that hold them, and a chunk's documents meet them: sums, the digest, and
-   the distinct pairs with how often the document links them.
+5. Aligned parts go to the chunks that hold them, packed in blocks of a chunk's parts, and meet a chunk's documents, which
+   lie bucketed by chunk and are not shuffled: sums, the digest, and the distinct pairs with how often the document links them.
 6. A pair's count is the number of documents that hold it linked. Counts are summed by
    task before the shuffle; an A id's highest count is a maximum over its
    pairs. Documents meet their pairs' counts in a broadcast join where the measured number of
@@ -47,7 +47,10 @@ from helixframe.llm.piece_codec import codec
 from helixframe.llm.words import remembered
 
 #: Bytes of parts a bucket gets on average, so that its tokens sort in memory, until there are so many buckets; then they grow, and sorts spill.
-BUCKET_BYTES, MOST_BUCKETS = 1 << 20, 100_000
+#: The bytes of a part count once for each chunk that holds it.
+BUCKET_BYTES, MOST_BUCKETS = 2 << 20, 100_000
+#: Hashes of parts have so many values.
+SLOTS = 1 << 22
 #: Characters of texts after which a task begins another chunk, and parts that one row of a chunk holds.
 CHUNK, LISTED = 24 << 20, 1 << 16
 
@@ -120,8 +123,8 @@ def _both(byte_path: str, piece_path: str):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                a, b = zip(*ids_of(part.column(1).to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), _lists(a), _lists(b)], ["row", "spots", "a", "b"])
+                a, b = zip(*ids_of(part.column(2).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), _lists(a), _lists(b)], ["slot", "row", "spots", "a", "b"])
 
     return run
 
@@ -165,14 +168,75 @@ def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 MET = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 
 
-def _met(docs: pa.Table, parts: pa.Table) -> pa.Table:
-    """The documents of a chunk with what their parts (k, n_a, n_b, n_groups, body, links) are in all."""
-    docs, parts = docs.combine_chunks(), parts.sort_by("k").combine_chunks()
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones and so on, which compress better."""
+    return x.reshape(-1, 1).view(np.uint8).T.tobytes()
+
+
+def _of_planes(raw: bytes, kind: type, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind)[:, 0]
+
+
+BLOCK = "chunk long, size int, block binary"
+
+
+def _packed(parts: pa.Table) -> Iterator[pa.RecordBatch]:
+    """A block a chunk of its aligned parts, by their numbers there: counts, texts of groups and links, without loss."""
+    spots, *counts, bodies, links = (parts[c].combine_chunks() for c in ("spots", "n_a", "n_b", "n_groups", "body", "links"))
+    counts, bodies, spot = [c.to_numpy().astype(np.int32) for c in counts], bodies.cast(pa.binary()), spots.flatten()
+    place, k = spot.field("place").to_numpy(), spot.field("k").to_numpy()
+    owner = np.repeat(np.arange(len(spots)), np.diff(spots.offsets.to_numpy()))
+    order = np.lexsort((k, place))
+    place, k, owner = place[order], k[order], owner[order]
+    for at in np.split(np.arange(len(place)), np.flatnonzero(np.diff(place)) + 1):
+        own = pa.array(owner[at])
+        body, pairs = bodies.take(own), links.take(own)
+        flat = pairs.flatten().to_numpy()
+        sizes = [np.diff(x.offsets.to_numpy() if x is pairs else np.frombuffer(x.buffers()[1], np.int32, len(x) + 1, 4 * x.offset)) for x in (pairs, body)]
+        numbers = np.stack([np.diff(k[at], prepend=0), *(c[owner[at]] for c in counts), *sizes]).astype(np.int32)
+        text = b"".join(body.to_pylist())
+        raw = np.array([len(at), len(text), len(flat)], np.int64).tobytes() + _planes(numbers) + text + _planes(flat)
+        yield pa.RecordBatch.from_arrays([pa.array([place[at[0]]], pa.int64()), pa.array([len(raw)], pa.int32()), pa.array([pa.compress(raw, "zstd", asbytes=True)], pa.binary())], ["chunk", "size", "block"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= LISTED:
+            yield from _packed(pa.Table.from_batches(held))
+            held, n = [], 0
+    if n:
+        yield from _packed(pa.Table.from_batches(held))
+
+
+def _unpacked(sizes: list[int], blocks: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk's parts by number: (n_a, n_b, n_groups), texts of groups, where links start, how many, and the links."""
+    numbers, flats, bodies = [np.empty((6, 0), np.int32)], [np.empty(0, np.int64)], []
+    for size, block in zip(sizes, blocks, strict=True):
+        raw = pa.decompress(block, size, "zstd", asbytes=True)
+        n, chars, links = np.frombuffer(raw, np.int64, 3).tolist()
+        own = _of_planes(raw, np.int32, 6 * n, 24).reshape(6, n).copy()
+        own[0] = np.cumsum(own[0])
+        numbers.append(own)
+        flats.append(_of_planes(raw, np.int64, links, 24 + 24 * n + chars))
+        ends = (24 + 24 * n + np.cumsum(own[5], dtype=np.int64)).tolist()
+        bodies += [raw[x:y] for x, y in zip([24 + 24 * n, *ends], ends)]
+    numbers = np.concatenate(numbers, axis=1).astype(np.int64)
+    order = np.argsort(numbers[0])
+    count = numbers[4]
+    start = np.cumsum(count) - count
+    return numbers[1:4, order].T, [bodies[i] for i in order.tolist()], start[order], count[order], np.concatenate(flats)
+
+
+def _met(docs: pa.Table, blocks: pa.Table) -> pa.Table:
+    """The documents of a chunk with what their parts are in all."""
+    docs = docs.combine_chunks()
     one = lambda t, c: t[c].chunk(0) if t[c].num_chunks else pa.array([], t.schema.field(c).type)
-    n = np.stack([one(parts, c).to_numpy() for c in ("n_a", "n_b", "n_groups")], axis=1)
-    bodies, lists = one(parts, "body").to_pylist(), one(parts, "links")
-    start, count = lists.offsets.to_numpy()[:-1].astype(np.int64), np.diff(lists.offsets.to_numpy()).astype(np.int64)
-    pairs, code = np.unique(lists.values.to_numpy(), return_inverse=True)
+    n, bodies, start, count, flat = _unpacked(blocks["size"].to_pylist(), blocks["block"].to_pylist())
+    pairs, code = np.unique(flat, return_inverse=True)
     sums, digests, held, times = [], [], [], []
     for w in _rows(one(docs, "words")):
         if not len(w) or not n[w, 0].all():
@@ -185,7 +249,7 @@ def _met(docs: pa.Table, parts: pa.Table) -> pa.Table:
         at = np.repeat(start[w] - np.cumsum(c) + c, c) + np.arange(c.sum())
         own, often = np.unique(code[at], return_counts=True)
         sums.append((*n[w].sum(axis=0).tolist(), len(at)))
-        digests.append(hashlib.sha256(";".join([bodies[i] for i in w.tolist()]).encode()).hexdigest())
+        digests.append(hashlib.sha256(b";".join([bodies[i] for i in w.tolist()])).hexdigest())
         held.append(pairs[own])
         times.append(often)
     ends = pa.array(np.cumsum([0, *map(len, held)]).astype(np.int32))
@@ -201,15 +265,15 @@ def _lists(rows: list[list[int]]) -> pa.Array:
 
 
 class _Buckets:
-    """Tables bucketed by ``row``, in the shared folder; equal bucket numbers meet without a shuffle."""
+    """Tables bucketed by ``key``, in the shared folder; equal bucket numbers meet without a shuffle."""
 
-    def __init__(self, spark: SparkSession, scratch: Scratch, n: int):
-        self.spark, self.scratch, self.n = spark, scratch, n
+    def __init__(self, spark: SparkSession, scratch: Scratch, n: int, key: str):
+        self.spark, self.scratch, self.n, self.key = spark, scratch, n, key
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.scratch.n += 1
         path, name = f"{self.scratch.root}/{self.scratch.n}", f"aligned_{uuid.uuid4().hex}"
-        df.write.bucketBy(self.n, "row").option("path", path).saveAsTable(name)
+        df.write.bucketBy(self.n, self.key).options(path=path, compression="zstd").saveAsTable(name)
         out = self.spark.table(name)
         out._scratch_path, out._table = path, name
         return out
@@ -226,22 +290,22 @@ def lengths(spark: SparkSession, bytes_of: list[bytes] | dict[int, bytes]) -> Da
 
 
 def ends(docs: DataFrame, ids: str, sizes: DataFrame, names: tuple[str, str, str]) -> DataFrame:
-    """(row, end, position, id): where each token of the array ``ids`` ends in its part."""
-    tokens = docs.select("row", F.posexplode(ids).alias("at", "id")).join(F.broadcast(sizes), "id")
-    running = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    return tokens.select("row", F.sum("n").over(running).alias(names[0]), F.col("at").alias(names[1]), F.col("id").alias(names[2]))
+    """(slot, row, end, position, id): where each token of the array ``ids`` ends in its part."""
+    tokens = docs.select("slot", "row", F.posexplode(ids).alias("at", "id")).join(F.broadcast(sizes), "id")
+    running = Window.partitionBy("slot", "row").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    return tokens.select("slot", "row", F.sum("n").over(running).alias(names[0]), F.col("at").alias(names[1]), F.col("id").alias(names[2]))
 
 
 def cut_groups(docs: DataFrame, a_sizes: DataFrame, b_sizes: DataFrame) -> DataFrame:
-    """(row, g, a_from, a_n, a_last, b_from, b_n, b_last): the groups that common ends cut, by places in
+    """(slot, row, g, a_from, a_n, a_last, b_from, b_n, b_last): the groups that common ends cut, by places in
     the arrays a and b (from 0), and the last id of each side."""
     a = ends(docs, "a", a_sizes, ("end", "a_at", "a_last"))
     b = ends(docs, "b", b_sizes, ("end", "b_at", "b_last"))
-    w = Window.partitionBy("row").orderBy("end")
+    w = Window.partitionBy("slot", "row").orderBy("end")
     before = lambda c: F.coalesce(F.lag(c).over(w), F.lit(-1))
-    cuts = a.join(b, ["row", "end"]).select("*", F.row_number().over(w).alias("g"), before("a_at").alias("a_was"), before("b_at").alias("b_was"))
+    cuts = a.join(b, ["slot", "row", "end"]).select("*", F.row_number().over(w).alias("g"), before("a_at").alias("a_was"), before("b_at").alias("b_was"))
     side = lambda s: [(F.col(f"{s}_was") + 1).alias(f"{s}_from"), (F.col(f"{s}_at") - F.col(f"{s}_was")).alias(f"{s}_n"), f"{s}_last"]
-    return cuts.select("row", "g", *side("a"), *side("b"))
+    return cuts.select("slot", "row", "g", *side("a"), *side("b"))
 
 
 def pair(a: Column, b: Column) -> Column:
@@ -250,14 +314,14 @@ def pair(a: Column, b: Column) -> Column:
 
 
 SPOTS = "array<struct<place: long, k: int>>"
-KEPT = f"row long, spots {SPOTS}, n_a long, n_b long, n_groups long, body string, links array<long>, both array<struct<g: int, a: array<int>, b: array<int>>>"
+KEPT = f"slot int, row long, spots {SPOTS}, n_a long, n_b long, n_groups long, body string, links array<long>, both array<struct<g: int, a: array<int>, b: array<int>>>"
 
 
 def _aligned(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """A row a part: counts, the text of its groups, links of one-sided groups, and the groups with several tokens on both sides."""
     single = F.expr("a_n = 1 and b_n = 1")
     collect = lambda where, x: F.collect_list(F.when(where, x))  # noqa: E731  other rows are null, which it leaves out
-    listed = groups.groupBy("row").agg(
+    listed = groups.groupBy("slot", "row").agg(
         F.sort_array(F.collect_list(pair(F.expr("a_from + a_n"), F.expr("b_from + b_n")))).alias("cuts"),
         collect(single, pair(F.col("a_last"), F.col("b_last"))).alias("links"),
         collect(~single, F.struct("g", "a_from", "a_n", "b_from", "b_n")).alias("gs"),
@@ -270,7 +334,8 @@ def _aligned(docs: DataFrame, groups: DataFrame) -> DataFrame:
     spread = F.flatten(F.transform(spread, lambda x: F.when(x.a_n == 1, F.transform(b_of(x), lambda i: pair(F.get("a", x.a_from), i))).otherwise(F.transform(a_of(x), lambda i: pair(i, F.get("b", x.b_from))))))
     both = F.transform(F.filter("gs", lambda x: (x.a_n > 1) & (x.b_n > 1)), lambda x: F.struct(x.g.alias("g"), a_of(x).alias("a"), b_of(x).alias("b")))
     none = F.array().cast("array<long>")
-    rows = docs.join(listed, "row", "left").select(
+    rows = docs.join(listed, ["slot", "row"], "left").select(
+        "slot",
         "row",
         "spots",
         F.size("a").cast("long").alias("n_a"),
@@ -303,22 +368,22 @@ def _rows(lists: pa.ListArray) -> list[np.ndarray]:
 def _group_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text of each part's groups, in place of its ids and cuts."""
     for batch in batches:
-        row, spots, n_a, n_b, n_groups, links, both, *arrays = batch.columns
-        texts = [group_text(a.tolist(), b.tolist(), (c >> 32).tolist(), (c & 0xFFFFFFFF).tolist()) for a, b, c in zip(*map(_rows, arrays), strict=True)]
-        yield pa.RecordBatch.from_arrays([row, spots, n_a, n_b, n_groups, pa.array(texts, pa.string()), links, both], ["row", "spots", "n_a", "n_b", "n_groups", "body", "links", "both"])
+        *key, spots, n_a, n_b, n_groups, links, both, a_ids, b_ids, cuts = batch.columns
+        texts = [group_text(a.tolist(), b.tolist(), (c >> 32).tolist(), (c & 0xFFFFFFFF).tolist()) for a, b, c in zip(*map(_rows, (a_ids, b_ids, cuts)), strict=True)]
+        yield pa.RecordBatch.from_arrays([*key, spots, n_a, n_b, n_groups, pa.array(texts, pa.string()), links, both], ["slot", "row", "spots", "n_a", "n_b", "n_groups", "body", "links", "both"])
 
 
 def range_links(groups: DataFrame, a_sizes: DataFrame, b_sizes: DataFrame) -> DataFrame:
-    """(row, pair): pairs of tokens of (row, g, a, b) whose byte ranges in the group overlap."""
+    """(slot, row, pair): pairs of tokens of (slot, row, g, a, b) whose byte ranges in the group overlap."""
 
     def spans(side: str, sizes: DataFrame) -> DataFrame:
-        tokens = groups.select("row", "g", F.posexplode(side).alias("at", "id")).join(F.broadcast(sizes), "id")
-        running = Window.partitionBy("row", "g").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+        tokens = groups.select("slot", "row", "g", F.posexplode(side).alias("at", "id")).join(F.broadcast(sizes), "id")
+        running = Window.partitionBy("slot", "row", "g").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
         end = F.sum("n").over(running)
-        return tokens.select("row", "g", F.col("id").alias(side), (end - F.col("n")).alias(f"{side}_start"), end.alias(f"{side}_end"))
+        return tokens.select("slot", "row", "g", F.col("id").alias(side), (end - F.col("n")).alias(f"{side}_start"), end.alias(f"{side}_end"))
 
-    met = spans("a", a_sizes).join(spans("b", b_sizes), ["row", "g"])
-    return met.where("a_start < b_end and b_start < a_end").select("row", pair(F.col("a"), F.col("b")).alias("pair"))
+    met = spans("a", a_sizes).join(spans("b", b_sizes), ["slot", "row", "g"])
+    return met.where("a_start < b_end and b_start < a_end").select("slot", "row", pair(F.col("a"), F.col("b")).alias("pair"))
 
 
 def align(docs: DataFrame, byte_vocabulary: str, piece_vocabulary: str, scratch: Scratch | None = None, most: int = 1_000_000) -> DataFrame:
@@ -329,36 +394,37 @@ def align(docs: DataFrame, byte_vocabulary: str, piece_vocabulary: str, scratch:
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "alignment")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    told = scratch.keep(rows.mapInArrow(_told, TOLD))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = _Buckets(spark, scratch, tasks, "chunk")
+    told = chunks.keep(rows.mapInArrow(_told, TOLD))
     listed = told.where("parts is not null")
+    total = listed.agg(F.sum(F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.octet_length(p) + 1))).first()[0] or 0
+    n = max(tasks, min(MOST_BUCKETS, -(-total // BUCKET_BYTES)))
+    tables = _Buckets(spark, scratch, n, "slot")
     spots = listed.select("chunk", "base", F.posexplode("parts").alias("k", "part"))
-    spots = spots.groupBy("part").agg(F.collect_list(F.struct(F.col("chunk").alias("place"), (F.col("base") + F.col("k")).alias("k"))).alias("spots"))
-    parts = scratch.keep(spots.select(F.monotonically_increasing_id().alias("row"), "part", "spots"))
-    total = parts.agg(F.sum(F.octet_length("part") + 1)).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, -(-total // BUCKET_BYTES)))
-    tables = _Buckets(spark, scratch, n)
+    spot = F.struct(F.col("chunk").alias("place"), (F.col("base") + F.col("k")).alias("k"))
+    spots = spots.select(F.xxhash64("part").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot"), "part", spot.alias("spot")).repartition(n, "slot")
+    parts = spots.groupBy("slot", "part").agg(F.collect_list("spot").alias("spots")).select("slot", F.monotonically_increasing_id().alias("row"), "part", "spots")
     a_sizes = lengths(spark, ByteIds(byte_vocabulary).bytes_of)
     b_sizes = lengths(spark, codec(piece_vocabulary).bytes_of)
     whole_key = "spark.sql.requireAllClusterKeysForCoPartition"
     was = spark.conf.get(whole_key)
-    spark.conf.set(whole_key, "false")  # tables bucketed by part meet on (part, end) as they lie
+    spark.conf.set(whole_key, "false")  # tables bucketed by slot meet on (slot, part, end) as they lie
     try:
-        ids = tables.keep(parts.repartition(n, "row").mapInArrow(_both(byte_vocabulary, piece_vocabulary), f"row long, spots {SPOTS}, a array<int>, b array<int>"))
-        scratch.drop(parts)
+        ids = tables.keep(parts.mapInArrow(_both(byte_vocabulary, piece_vocabulary), f"slot int, row long, spots {SPOTS}, a array<int>, b array<int>"))
         aligned = tables.keep(_aligned(ids, cut_groups(ids, a_sizes, b_sizes)))
         tables.drop(ids)
-        ranged = range_links(aligned.select("row", F.explode("both").alias("x")).select("row", "x.*"), a_sizes, b_sizes)
-        more = ranged.groupBy("row").agg(F.collect_list("pair").alias("more"))
+        spark._jvm.System.gc()  # shuffles of the steps before leave the disks when the driver has collected their plans
+        ranged = range_links(aligned.select("slot", "row", F.explode("both").alias("x")).select("slot", "row", "x.*"), a_sizes, b_sizes)
+        more = ranged.groupBy("slot", "row").agg(F.collect_list("pair").alias("more"))
         links = F.concat("links", F.coalesce("more", F.array().cast("array<long>"))).alias("links")
-        about = scratch.keep(aligned.join(more, "row", "left").select("spots", "n_a", "n_b", "n_groups", "body", links))
+        own = aligned.join(more, ["slot", "row"], "left").select("spots", "n_a", "n_b", "n_groups", "body", links).mapInArrow(_blocks, BLOCK)
+        texts = told.where("words is not null").select("chunk", "row", "doc_id", "words")
+        met = scratch.keep(texts.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(_met, MET), compression="zstd")
         tables.drop(aligned)
     finally:
         spark.conf.set(whole_key, was)
-    own = about.select(F.explode("spots").alias("spot"), "n_a", "n_b", "n_groups", "body", "links").select("spot.place", "spot.k", "n_a", "n_b", "n_groups", "body", "links")
-    spark._jvm.System.gc()  # shuffles of the steps before leave the disks when the driver has collected their plans
-    texts = told.where("words is not null").select("chunk", "row", "doc_id", "words")
-    met = scratch.keep(texts.groupBy("chunk").cogroup(own.groupBy("place")).applyInArrow(_met, MET), compression="zstd")
-    scratch.drop(told, about)
+    chunks.drop(told)
     counts = scratch.keep(met.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("n")))
     a_id = F.shiftright("pair", 32)
     top = counts.groupBy(a_id.alias("a")).agg(F.max("n").alias("top"))

@@ -186,3 +186,29 @@ def test_parts_are_told_once_a_chunk(monkeypatch):
         assert len(parts) >= fewest and all(len(set(own.values())) == len(own) <= 9 for own in parts.values())
         back = {r["row"]: " ".join(parts[r["chunk"]][k] for k in r["words"]) for r in rows if r["words"] is not None}
         assert back == {k: t or "" for k, t in enumerate(texts)}
+
+
+def test_aligned_parts_travel_in_small_blocks():
+    """A chunk's aligned parts come back from its blocks whole, and take a third of what they take as rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    n, rng = 6_000, np.random.default_rng(3)
+    links = [rng.integers(0, 500, rng.integers(0, 6)).astype(np.int64) << 32 | 7 for _ in range(n)]
+    bodies = [";".join(f"{x >> 32}|7" for x in own) + "é" for own in links]
+    spots = [[(place, k if place == 5 else n - 1 - k) for place in ((5, 1 << 40) if k % 3 else (1 << 40,)) if place != 5 or k % 3] for k in range(n)]
+    number = {5: {}, 1 << 40: {}}
+    spots = [[{"place": p, "k": number[p].setdefault(k, len(number[p]))} for p, k in own] for own in spots]
+    kind = pa.list_(pa.struct([("place", pa.int64()), ("k", pa.int32())]))
+    cols = {"spots": pa.array(spots, kind), "n_a": np.arange(n), "n_b": np.arange(n) * 300, "n_groups": np.ones(n, np.int64), "body": bodies, "links": pa.array([x.tolist() for x in links], pa.list_(pa.int64()))}
+    table = pa.table(cols)
+    got = [r for b in token_alignment._blocks(iter(table.to_batches(max_chunksize=1_000))) for r in b.to_pylist()]
+    for place in number:
+        own = [r for r in got if r["chunk"] == place]
+        sums, texts, start, count, flat = token_alignment._unpacked([r["size"] for r in own], [r["block"] for r in own])
+        at = {s["k"]: i for i, held in enumerate(spots) for s in held if s["place"] == place}
+        assert len(sums) == len(texts) == len(at)
+        for k, i in at.items():
+            assert (*sums[k], texts[k].decode()) == (i, 300 * i, 1, bodies[i]) and flat[start[k] : start[k] + count[k]].tolist() == links[i].tolist()
+    assert sum(len(r["block"]) for r in got) * 3 < table.nbytes + sum(len(b) + 8 * len(x) for b, x in zip(bodies, links, strict=True))
+    assert not list(token_alignment._blocks(iter([])))
