@@ -1,21 +1,19 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred for each host.
 
 A page is a stream of structural tags and text slots (inline tags belong to
-their text). Runs of up to 12 tokens that repeat are folded into repeated groups; longer ones stay as they are. The streams of a
-bounded sample of a host's pages (``sample`` different ones, those with the smallest
-hash) are aligned one after another: what one page has and another lacks
-becomes an optional group, what is repeated in one and single in another a
-repeated group, and text is a slot. This goes on until nothing changes, for
-as many rounds as there are pages at most. Each page is then aligned with its host's
-wrapper, whether it matches or not, so no page is left out.
-
-The wrapper's slots decide. A slot outside articles that holds the same text on all sampled pages
-that have it (``FIXED`` at least) is the host's template and goes, unless slots beside it in the same
+their text). Runs of up to 12 tokens that repeat are folded into repeated groups; longer ones stay as they are. The different
+folded streams (shapes) of all a host's pages are aligned one after another, in groups and then their wrappers: what one
+page has and another lacks becomes an optional group, what is repeated in one and single in another a
+repeated group, and text is a slot. Shapes that have little in common, or whose wrapper would be more than twice as long as the longest
+of them, get wrappers of their own. Each page is then aligned with the wrapper of its shape.
+
+The wrapper's slots decide. A slot outside articles that holds the same text on all pages of the wrapper
+that have it (``FIXED`` different ones at least) is the host's template and goes, unless slots beside it in the same
 element (below body) vary: a heading that all pages repeat between their own paragraphs stays. So do slots
 that vary, those that only the page itself has, and all inside articles. Of the slots that
-stay, those in the elements that the wrapper's pages or the page itself mark as their
+stay, those in the elements that the page marks as its
 article (element, role or itemprop) are the text; if no such element holds text,
-all of them are. If template were the greater part of the sampled text, as on
+all of them are. If template were the greater part of the text of all different pages, as on
 a host of copies, or all of a page's text, it stays.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
@@ -24,12 +22,13 @@ counts only if each part of the name says so: ``comment-list`` goes, ``side-effe
 ``related-work`` stay. Whatever else stands in the article is kept, whole.
 
 Edge cases: null or empty html gives an empty text; a null or odd url puts the
-page with the pages of no host; a page whose text is all template is kept whole; repeated rows are extracted alike; rows of
-null page_id are extracted too, but no wrapper is learnt from them. Extra columns are ignored.
+page with the pages of no host; a page whose text is all template is kept whole; repeated rows are extracted alike and count
+once; rows of null page_id are like others. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -39,7 +38,8 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import Scratch, join_small
@@ -57,8 +57,10 @@ BOILER = re.compile(r"^(ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|cook
 HEADER = re.compile(r"^(header|masthead|topbar)$")
 #: Parts of a name that say nothing of what the element holds.
 NEUTRAL = re.compile(r"^(site|page|global|main|posts?|articles?|stories|links?|buttons?|bars?|box|lists?|items?|container|wrapper|wrap|inner|outer|area|section|block|slot|unit|top|bottom|left|right|header|title|count|icons?|media|inline|content|message|text|thread|author|body|user|reader|policy|js|is|has)$")
-#: Sampled pages that a slot must hold the same text on.
+#: Different pages that a slot must hold the same text on.
 FIXED = 2
+#: Shapes that a task aligns with each other at once.
+TOGETHER = 48
 
 
 def names(raw: str) -> list[list[str]]:
@@ -210,18 +212,56 @@ def groups(nodes: list | tuple, out: set[tuple]) -> set[tuple]:
 
 
 def align(wrapper: list, page: list) -> list:
-    """The wrapper, generalised so that it matches ``page`` too."""
-    plain = [x[1] if isinstance(x, tuple) and x[0] == "?" and len(x[1]) > 1 else (x[1][0] if isinstance(x, tuple) and x[0] == "?" else x) for x in wrapper]
+    """The wrapper, generalised so that it matches ``page`` (or what the wrapper ``page`` matches) too."""
+    free = lambda x: isinstance(x, tuple) and x[0] == "?"
+    plain = lambda nodes: [repr(x[1][0] if free(x) and len(x[1]) == 1 else x[1] if free(x) else x) for x in nodes]
     out = []
-    for tag, a, b, c, d in SequenceMatcher(None, [repr(x) for x in plain], [repr(x) for x in page], autojunk=False).get_opcodes():
+    for tag, a, b, c, d in SequenceMatcher(None, plain(wrapper), plain(page), autojunk=False).get_opcodes():
         if tag == "equal":
-            out += wrapper[a:b]
+            out += [y if free(y) else x for x, y in zip(wrapper[a:b], page[c:d], strict=True)]
             continue
-        out += [x if isinstance(x, tuple) and x[0] == "?" else ("?", (x,)) for x in wrapper[a:b]]
-        out += [("?", (x,)) for x in page[c:d]]
+        out += [x if free(x) else ("?", (x,)) for x in [*wrapper[a:b], *page[c:d]]]
     return out
 
 
+def tags(nodes: list | tuple, out: set[str]) -> set[str]:
+    for x in nodes:
+        if isinstance(x, tuple):
+            tags(x[1], out)
+        elif x[0] == "<":
+            out.add(x)
+    return out
+
+
+def merged(shapes: list[tuple[list, int, list[int]]]) -> list[tuple[list, int, list[int]]]:
+    """Wrappers of shapes or wrappers: (nodes, nodes of the longest shape, shapes it is of)."""
+    known: set[tuple] = set()
+    for nodes, *_ in shapes:
+        groups(nodes, known)
+    made: list[list] = []
+    for nodes, longest, of in shapes:
+        nodes = fold(nodes, known)
+        own = tags(nodes, set())
+        for w in made:
+            if 2 * len(own & w[3]) < min(len(own), len(w[3])):
+                continue
+            new, most = align(w[0], nodes), max(longest, w[1])
+            if len(new) <= 2 * most + 64:
+                w[:] = new, most, w[2] + of, w[3] | own, [*w[4], nodes]
+                break
+        else:
+            made.append([nodes, longest, list(of), own, [nodes]])
+    for w in made:
+        for _ in w[4][1:]:
+            new = w[0]
+            for nodes in w[4]:
+                new = align(new, nodes)
+            if new == w[0] or len(new) > 2 * w[1] + 64:
+                break
+            w[0] = new
+    return [(w[0], w[1], w[2]) for w in made]
+
+
 def pattern(nodes: list | tuple, code: dict[str, str]) -> str:
     out = []
     for x in nodes:
@@ -260,7 +300,7 @@ def places(shape: list, stream: list[str]) -> list[tuple[int, ...]] | None:
 
 
 class Wrapper:
-    """``fixed``: (slot, path) to the texts that stand there on every sampled page that has it."""
+    """``fixed``: (slot, path) to digests of the texts that stand there on every page that has it."""
 
     def __init__(self, nodes: list, roots: list[str], fixed: dict | None = None):
         self.nodes, self.roots, self.code, self.met = nodes, roots, {}, {}
@@ -297,24 +337,36 @@ class Wrapper:
         """The slots whose text is not the host's template."""
         if not self.fixed:
             return [s for s in slots if not s.gone]
-        return [s for s, at in zip(slots, self.slots_of(stream), strict=True) if not s.gone and (s.inside or s.text not in self.fixed.get((at, " ".join(s.path)), ()))]
+        return [s for s, at in zip(slots, self.slots_of(stream), strict=True) if not s.gone and (s.inside or not ((held := self.fixed.get((at, " ".join(s.path)))) and digest(s.text) in held))]
+
+
+def digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def facts(wrapper: Wrapper, stream: list[str], slots: list[Slot]) -> tuple[int, set[str], dict[tuple, list[str]]]:
+    """Of a page: its characters, the elements with text that only it has, and (slot, path) outside articles to its texts."""
+    places, own, total = set(), {}, 0
+    for s, at in zip(slots, wrapper.slots_of(stream), strict=True):
+        if s.gone:
+            continue
+        total += len(s.text)
+        if at is None:
+            places.add(" ".join(s.path[:-1]))
+        elif not s.inside:
+            own.setdefault((at, " ".join(s.path)), []).append(s.text)
+    return total, places, own
 
 
 def template(wrapper: Wrapper, read: list[tuple[list[str], list[Slot]]]) -> dict:
-    """(slot, path) to its texts, of slots that hold the same on all pages; nothing where that is the greater part of the text (copies of a page)."""
+    """(slot, path) to digests of its texts, of slots that hold the same on all pages; nothing where that is the greater part of the text (copies of a page)."""
     seen: dict[tuple, list[tuple[str, ...]]] = {}
     own_places: set[str] = set()
     total = 0
     for stream, slots in read:
-        own: dict[tuple, list[str]] = {}
-        for s, at in zip(slots, wrapper.slots_of(stream), strict=True):
-            if s.gone:
-                continue
-            total += len(s.text)
-            if at is None:
-                own_places.add(" ".join(s.path[:-1]))
-            elif not s.inside:
-                own.setdefault((at, " ".join(s.path)), []).append(s.text)
+        n, places_, own = facts(wrapper, stream, slots)
+        total += n
+        own_places |= places_
         for key, texts in own.items():
             seen.setdefault(key, []).append(tuple(texts))
     same = {key: texts for key, texts in seen.items() if len(texts) >= FIXED and len(set(texts)) == 1}
@@ -324,7 +376,7 @@ def template(wrapper: Wrapper, read: list[tuple[list[str], list[Slot]]]) -> dict
     same = {key: texts for key, texts in same.items() if key[1].rpartition(" ")[0] not in own_places}
     if 2 * sum(len(t) for texts in same.values() for page in texts for t in page) > total:
         return {}
-    return {key: frozenset(texts[0]) for key, texts in same.items()}
+    return {key: frozenset(map(digest, texts[0])) for key, texts in same.items()}
 
 
 def infer(pages: list[str]) -> Wrapper:
@@ -374,52 +426,138 @@ def main_text(page: str | None, wrapper: Wrapper | None) -> tuple[str, bool]:
     return "\n".join(s.text for s in found), fits
 
 
-def _infer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    w = infer([p for p in rows.sort_values(["__h", "page_id"])["html"] if p])
-    return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps([w.nodes, w.roots, [[*key, sorted(texts)] for key, texts in w.fixed.items()]])]})
-
-
 def _nodes(x: list) -> list:
     return [n if isinstance(n, str) else (n[0], tuple(_nodes(n[1]))) for n in x]
 
 
+def _wrapper(raw: str | None, fixed: str | None, met: dict) -> Wrapper | None:
+    if not raw:
+        return None
+    if (raw, fixed) not in met:
+        if len(met) > 500:
+            met.clear()
+        held = {}
+        for x in json.loads(fixed or "[]"):
+            at, path = json.loads(x["key"])
+            held[tuple(at), path] = frozenset(x["texts"])
+        met[raw, fixed] = Wrapper(_nodes(json.loads(raw)), [], held)
+    return met[raw, fixed]
+
+
+READ = "host string, h long, shape long, nodes string"
+
+
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, h, html) to the hash of the page's shape, and the shape itself where the task meets it first."""
+    met: dict[tuple, int] = {}
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            shapes, told = [], []
+            for host, page in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
+                key = (host, *read_page(page)[0])
+                told.append(None)
+                if key not in met:
+                    if len(met) > 2000:
+                        met.clear()
+                    told[-1] = json.dumps(fold(list(key[1:])))
+                    met[key] = xxhash.xxh3_64_intdigest(told[-1].encode("utf-8", "surrogatepass")) - 2**63
+                shapes.append(met[key])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(shapes, pa.int64()), pa.array(told, pa.string())], ["host", "h", "shape", "nodes"])
+
+
+MERGED = "host string, nodes string, longest int, members array<long>"
+
+
+def _merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    shapes = [(_nodes(json.loads(n)), int(m), [int(i) for i in of]) for n, m, of in zip(rows["nodes"], rows["longest"], rows["members"], strict=True)]
+    made = merged(sorted(shapes, key=lambda x: (-x[1], min(x[2]))))
+    return pd.DataFrame({"host": [key[0]] * len(made), "nodes": [json.dumps(w[0]) for w in made], "longest": [w[1] for w in made], "members": [w[2] for w in made]})
+
+
+SEEN = "host string, cls long, h long, total long, places array<string>, slots array<struct<key: string, element: string, sig: string, texts: array<string>, n: long>>"
+
+
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, cls, h, html, nodes) to the page's ``facts``, texts as digests."""
+    met: dict = {}
+    names = ["host", "cls", "h", "total", "places", "slots"]
+    kind = pa.list_(pa.struct([("key", pa.string()), ("element", pa.string()), ("sig", pa.string()), ("texts", pa.list_(pa.string())), ("n", pa.int64())]))
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            totals, places_, slots = [], [], []
+            for page, raw in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
+                total, own_places, own = facts(_wrapper(raw, None, met), *read_page(page))
+                totals.append(total)
+                places_.append(sorted(own_places))
+                slots.append([])
+                for (slot, path), texts in own.items():
+                    told = [*map(digest, texts)]
+                    slots[-1].append({"key": json.dumps([slot, path]), "element": path.rpartition(" ")[0], "sig": digest(" ".join(told)), "texts": [*dict.fromkeys(told)], "n": sum(map(len, texts))})
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(totals, pa.int64()), pa.array(places_, pa.list_(pa.string())), pa.array(slots, kind)], names)
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    met: dict[str, Wrapper] = {}
+    met: dict = {}
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             texts, fits = [], []
-            for page, raw in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                if raw and raw not in met:
-                    if len(met) > 500:
-                        met.clear()
-                    nodes, roots, fixed = json.loads(raw)
-                    met[raw] = Wrapper(_nodes(nodes), roots, {(tuple(at), path): frozenset(texts) for at, path, texts in fixed})
-                text, fit = main_text(page, met.get(raw))
+            for page, raw, fixed in zip(*(part.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
+                text, fit = main_text(page, _wrapper(raw, fixed, met))
                 texts.append(text)
                 fits.append(fit)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(fits)], ["page_id", "url", "text", "n_chars", "fits"])
 
 
-def wrappers(pages: DataFrame, sample: int = 12) -> DataFrame:
-    """(host, wrapper) of pages (page_id, host, html)."""
-    order = Window.partitionBy("host").orderBy("__h", "page_id")
-    hashed = pages.where("html is not null and page_id is not null").withColumn("__h", F.xxhash64("html"))
-    # equal pages of a host count once
-    different = hashed.groupBy("host", "__h").agg(F.min("page_id").alias("page_id"))
-    chosen = different.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= sample).drop("__r")
-    # ids travel to the pages as long as they are few, the pages to the ids beyond that
-    n = different.select("host").distinct().count() * sample
-    rows = join_small(hashed, chosen, ["host", "page_id", "__h"], "inner", n).select("host", "page_id", "__h", "html").dropDuplicates(["host", "__h"])
-    return rows.groupBy("host").applyInPandas(_infer, "host string, wrapper string")
+def wrappers(pages: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of all pages (host, h, html), h being the hash of html: (host, cls, nodes), a row a wrapper, and (host, h, cls) of the pages of hosts
+    with more than one; the wrapper of other hosts has cls 0."""
+    read = scratch.keep(pages.select("host", "h", "html").mapInArrow(_shapes, READ))
+    told = read.where("nodes is not null").groupBy("host", "shape").agg(F.min("nodes").alias("nodes"))
+    rows = scratch.keep(told.select("host", "nodes", F.json_array_length("nodes").alias("longest"), F.array("shape").alias("members")))
+    n, level = rows.count(), 0
+    while n:
+        # shapes of a host meet in groups, the wrappers of groups in the next round, until they grow no fewer
+        sizes = rows.groupBy("host").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
+        part = F.pmod(F.xxhash64(F.array_min("members"), F.lit(level)), F.col("parts")).alias("part")
+        rows = scratch.keep(rows.join(sizes, "host").select("host", "nodes", "longest", "members", part).groupBy("host", "part").applyInPandas(_merge, MERGED))
+        was, n, level = n, rows.count(), level + 1
+        if 10 * n > 9 * was or n == rows.select("host").distinct().count():
+            break
+    many = rows.groupBy("host").agg((F.count("*") > 1).alias("many"))
+    rows = rows.join(many, "host").withColumn("cls", F.when(F.col("many"), F.array_min("members")).otherwise(0))
+    rows = scratch.keep(rows.select("host", "cls", "nodes", "many", "members"))
+    of = rows.where("many").select("host", "cls", F.explode("members").alias("shape"))
+    return rows.select("host", "cls", "nodes"), scratch.keep(read.select("host", "h", "shape").distinct().join(of, ["host", "shape"]).select("host", "h", "cls"))
+
+
+def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, cls, fixed): the slots that hold the same on all different pages (host, cls, h, html, nodes) of a wrapper."""
+    seen = scratch.keep(pages.select("host", "cls", "h", "html", "nodes").mapInArrow(_facts, SEEN).dropDuplicates(["host", "cls", "h"]))
+    slots = seen.select("host", "cls", F.explode("slots").alias("s")).select("host", "cls", "s.*").groupBy("host", "cls", "key")
+    slots = slots.agg(F.first("element").alias("element"), ((F.count("*") >= FIXED) & (F.min("sig") == F.max("sig"))).alias("same"), F.first("texts").alias("texts"), F.sum("n").alias("n"))
+    slots = scratch.keep(slots)
+    own = seen.select("host", "cls", F.explode("places").alias("element")).union(slots.where("not same").select("host", "cls", "element")).distinct()
+    # elements, below body, in which the text of a page itself stands
+    own = own.where(~F.regexp_extract("element", r"([^ .]*)[^ ]*$", 1).isin("", "html", "body"))
+    same = slots.where("same").join(own, ["host", "cls", "element"], "left_anti").groupBy("host", "cls")
+    same = same.agg(F.to_json(F.sort_array(F.collect_list(F.struct("key", "texts")))).alias("fixed"), F.sum("n").alias("n"))
+    total = seen.groupBy("host", "cls").agg(F.sum("total").alias("total"))
+    return same.join(total, ["host", "cls"]).where("2 * n <= total").select("host", "cls", "fixed")
 
 
-def extract(pages: DataFrame, sample: int = 12, scratch: Scratch | None = None) -> DataFrame:
+def extract(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(page_id, url, text, n_chars, fits) of every row of ``pages``."""
     scratch = scratch or Scratch(pages.sparkSession, "wrappers")
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", host.alias("host"))
-    made = scratch.keep(wrappers(pages, sample))
-    # a wrapper is a few kB: up to 5,000 hosts they travel to every task, beyond that pages meet them in a join
-    met = pages.join(F.broadcast(made) if made.count() <= 5_000 else made, "host", "left")
-    return met.select("page_id", "url", "html", "wrapper").mapInArrow(_extract, "page_id long, url string, text string, n_chars long, fits boolean")
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", host.alias("host"), F.xxhash64("html").alias("h"))
+    learnt = pages.where("html <> ''")
+    made, of = wrappers(learnt, scratch)
+    n, n_of = made.count(), of.count()
+    # a wrapper is a few kB: up to 5,000 they travel to every task, beyond that pages meet them in a join
+    own = lambda some, wrapped: join_small(join_small(some, of, ["host", "h"], "left", n_of).withColumn("cls", F.coalesce("cls", F.lit(0))), wrapped, ["host", "cls"], "left", n, 5_000)
+    fixed = scratch.keep(templates(own(learnt, made), scratch))
+    met = own(pages, scratch.keep(made.join(fixed, ["host", "cls"], "left")))
+    return met.select("page_id", "url", "html", "nodes", "fixed").mapInArrow(_extract, "page_id long, url string, text string, n_chars long, fits boolean")

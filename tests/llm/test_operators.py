@@ -598,3 +598,26 @@ def test_headings_that_all_pages_repeat_stay(spark, frame):
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     for r in got:
         assert r.text == f"Dish {r.page_id}\nIngredients\nTake {r.page_id} eggs and {r.page_id} cups.\nMethod\nStir for {r.page_id} minutes and wait {r.page_id} hours."
+
+
+def test_html_template_is_learnt_from_all_pages(spark):
+    """A slot that two pages of hundreds share goes, one that a single page of hundreds varies stays; copies count once."""
+    page = "<html><body><div class=lead><p>Lead {i} says much about {i}, at some length</p></div><div class=place><p>{place}</p></div>{more}<div class=legal><p>All rights reserved</p></div></body></html>"
+    more = {7: "<section class=rare><p>Only on two</p></section>", 90: "<section class=rare><p>Only on two</p></section>", 33: "<section class=own><p>Only here</p></section>"}
+    rows = [(i, "http://large.org/x", page.format(i=i, place="Written in Berne" if i == 55 else "Written in Basle", more=more.get(i, ""))) for i in range(200)]
+    rows += [(300 + k, rows[33][1], rows[33][2]) for k in range(3)] + [rows[33]]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(200):
+        assert got[i] == f"Lead {i} says much about {i}, at some length\nWritten in {'Berne' if i == 55 else 'Basle'}" + "\nOnly here" * (i == 33), i
+    assert got[300] == got[33]
+
+
+def test_html_pages_of_no_host_are_all_learnt(spark):
+    """Pages of unlike shapes get wrappers of their own, whose size is bounded by the shapes'; none is left out."""
+    kinds = [["section", "div", "p", "ul", "blockquote"][k % 5] for k in range(200)]
+    rows = [(i, None, "<body>" + "".join(f"<{kinds[(i * k) % 199]} class='c{chr(97 + (i * 7 + k) % 26)}{chr(97 + i % 26)}'>t{i}-{k}</{kinds[(i * k) % 199]}>" for k in range(40)) + "</body>") for i in range(120)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: "\n".join(f"t{i}-{k}" for k in range(40)) for i in range(120)}
+    shapes = [(html_text.fold(html_text.read_page(r[2])[0]), 90, [r[0]]) for r in rows[:30]]
+    made = html_text.merged(shapes)
+    assert len(made) > 1 and sorted(i for w in made for i in w[2]) == list(range(30)) and max(len(w[0]) for w in made) <= 2 * max(w[1] for w in made) + 64
