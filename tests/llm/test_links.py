@@ -62,3 +62,10 @@ def test_memory_of_words_is_bounded():
         text = " ".join(f"w{(k * 31 + i) % 900}" for i in range(50))
         assert small(text) == large(text)
         assert len(small.seen) + len(small.seen.old) <= 300
+
+
+def test_a_chain_becomes_a_star(spark):
+    """What a task leaves of a chain are edges to its smallest node, so groups settle in few rounds."""
+    chain = spark.range(1, 300, 1, 1).select("id", (F.col("id") - 1).alias("b")).withColumnRenamed("id", "a").orderBy(F.xxhash64("a"))
+    assert {tuple(r) for r in forest(chain, Scratch(spark, "links")).collect()} == {(k, 0) for k in range(1, 300)}
+    assert {tuple(r) for r in connected_components(chain, Scratch(spark, "links"), most_rounds=1).collect()} == {(k, 0) for k in range(300)}

@@ -185,6 +185,26 @@ def test_within_a_tenth():
     assert line_hash.within_a_tenth([(long + "x" * 90, "y" * 90 + long), (long, long[::-1])]).tolist() == [True, False]
 
 
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh ij\u00ff\u0100\u4e2d", "".join(chr(0x4E00 + k) for k in range(400))])
+def test_distances_on_diagonals(letters):
+    """Bounds of their own for pairs of all lengths, empty texts too, against tables of distances."""
+    rng, xs, ys, most, want = random.Random(3), [], [], [], []
+    for _ in range(300):
+        x = [rng.choice(letters) for _ in range(rng.randrange(60))]
+        y = list(x)
+        for _ in range(rng.randrange(9)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randrange(3)] = [rng.choice(letters) for _ in range(rng.randrange(3))]
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            row = [last := i] + [last := min(row[j] + 1, last + 1, row[j - 1] + (a != b)) for j, b in enumerate(y, 1)]
+        xs.append("".join(x))
+        ys.append("".join(y))
+        most.append(rng.randrange(12))
+        want.append(row[-1] <= most[-1])
+    assert line_hash._on_diagonals(tuple(xs), tuple(ys), np.array(most)).tolist() == want and 50 < sum(want) < 290
+
+
 def brute_lines(texts):
     """(pairs of distinct normalised lines within a tenth, the lines), with a bound by characters before the table of distances."""
     lines = sorted({n for t in texts for x in (t or "").split("\n") if (n := line_dedup.normalise(x))}, key=len)
